@@ -6,8 +6,9 @@
 2. Texts with equal sets form a class; its smallest id stands for it. Copies go no further.
 3. Bands of ``BAND`` registers are hashed; classes that share a band are candidates. Two sets of similarity 0.75 miss
    each other in all 51 bands once in a million.
-4. A shared band is not expanded into pairs: its members are paired with one pivot first. After verification and
-   connected components, only members of different components are paired.
+4. A shared band is not expanded into pairs: its members meet one pivot first; those outside the largest component then
+   meet a few of its members; only what is still in another component after that is compared
+   with all of the band, block by block on full sets.
 5. Pairs whose sizes allow the threshold and whose collision-corrected estimate is within ``SLACK`` of it (five standard
    errors) are verified on their full sets, computed again from the whole texts of the documents concerned.
 
@@ -34,6 +35,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 BUCKETS, MANTISSA_BITS, BAND = 256, 10, 5
 BANDS = BUCKETS // BAND
 SLACK = 0.19
+#: Members of a band's largest component that its other members meet before any wider comparison.
+PIVOTS = 8
+#: Sets on either side of a block comparison.
+BLOCK = 256
 
 _BOUNDS = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56))
 _BORROW = np.stack([np.random.default_rng(7_000 + k).permutation(BUCKETS) for k in range(BUCKETS)])
@@ -144,18 +149,22 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full shingle sets are similar."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(narrow(ids), "doc_id", "left_semi")
-    key = docs.schema["doc_id"].dataType
-    set_type = T.StructType([T.StructField("id", key), T.StructField("values", T.BinaryType())])
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and values (the packed shingle set) of the documents in ``ids``, from their whole texts."""
+    texts = docs.select("doc_id", "text").join(narrow(ids.toDF("doc_id")), "doc_id", "left_semi")
+    out = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("values", T.BinaryType())])
 
-    def to_sets(batches):
+    def run(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "values"])
 
-    sets = written(texts.mapInArrow(to_sets, set_type).dropDuplicates(["id"]))
+    return written(texts.mapInArrow(run, out).dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b whose full shingle sets are similar."""
+    key = docs.schema["doc_id"].dataType
+    sets = full_sets(written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), docs)
     joined = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
 
     def run(batches):
@@ -177,21 +186,83 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = written(members.join(narrow(shared), "band").where("id <> pivot"))
     first = written(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     found = written(verified(written(estimated(first, classes)), docs))
-    part = components(found)
-    # what the pivots have not settled: members of one band in different components
-    rest = members.join(part, members.id == part.node, "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    rest = written(rest)
+    # then the members outside a band's largest component meet a few of that component, one for each of PIVOTS hashes
+    rest = unsettled(members, components(found))
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("p")))["p"] for k in range(PIVOTS)]
+    pivots = rest.where("component = core").groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+    some = rest.where("component <> core").join(narrow(written(pivots)), "band").select("id", F.explode("pivots").alias("x"))
+    some = written(some.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct())
+    found = written(found.unionByName(verified(written(estimated(some, classes)), docs)))
+    # and what is left of them all members of other components: after this every shared band is settled
+    rest = unsettled(members, components(found))
+    return found.unionByName(settled(rest, docs))
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set of ``one`` with each of ``two``: a product of incidence matrices, over the
+    values that occur on both sides, a few thousand at a time."""
+    values, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    cut = sum(map(len, one))
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    columns = [place[:cut], place[cut:]]
+    both = np.flatnonzero(np.bincount(columns[0], minlength=len(values)).astype(bool) & np.bincount(columns[1], minlength=len(values)).astype(bool))
+    at = np.full(len(values), -1)
+    at[both] = np.arange(len(both))
+    out = np.zeros((len(one), len(two)), np.float32)
+    for start in range(0, len(both), 4096):
+        parts = []
+        for r, c, sets in zip(rows, columns, (one, two), strict=True):
+            here = (at[c] >= start) & (at[c] < start + 4096)
+            m = np.zeros((len(sets), min(4096, len(both) - start)), np.float32)
+            m[r[here], at[c[here]] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def settled(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b between different components within a band, from full sets, one for each two components that a block
+    meets. Members outside the band's core are queries against all of the band, in blocks of ``BLOCK`` by ``BLOCK``: a
+    group is two blocks, and no pair is ever a row."""
+    key = docs.schema["doc_id"].dataType
+    sizes = rest.groupBy("band").agg(F.count_if(F.expr("component <> core")).alias("q"), F.count("*").alias("m"))
+    sizes = sizes.select("band", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
+    rest = rest.join(narrow(written(sizes)), "band")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    asked = rest.where("component <> core").select("band", "id", "component", F.lit(True).alias("asks"), block("nq").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"))
+    asked = asked.unionByName(rest.select("band", "id", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), block("nm").alias("m")))
+    rows = written(asked).join(full_sets(written(rest.select("id").distinct()), docs), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("asks").to_numpy(zero_copy_only=False)
+        out: dict[tuple, tuple] = {}
+        if side.any() and not side.all():
+            ids, parts = np.array(table.column("id").to_pylist()), np.array(table.column("component").to_pylist())
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("values")]
+            x, y = np.flatnonzero(side), np.flatnonzero(~side)
+            both = intersections([sets[k] for k in x], [sets[k] for k in y])
+            n = np.array([len(s) for s in sets])
+            near = DENOMINATOR * both >= NUMERATOR * (n[x][:, None] + n[y][None, :] - both)
+            for i, j in np.argwhere(near & (parts[x][:, None] != parts[y][None, :])):
+                out.setdefault((parts[x[i]], parts[y[j]]), (ids[x[i]], ids[y[j]]))
+        return pa.table({"a": [int(a) for a, _ in out.values()], "b": [int(b) for _, b in out.values()]}, schema=link)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType([T.StructField("a", key), T.StructField("b", key)])
+    link = to_arrow_schema(kind)
+    return rows.groupBy("band", "q", "m").applyInArrow(run, kind)
+
+
+def unsettled(members: DataFrame, part: DataFrame) -> DataFrame:
+    """The members of bands that hold more than one component, with their component and the band's largest one (core)."""
+    part = written(part)
+    rest = written(members.join(narrow(part), members.id == part.node, "left").select("band", "id", F.coalesce("component", "id").alias("component")))
     mixed = rest.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
     rest = written(rest.join(narrow(written(mixed)), "band"))
-    # the members outside a band's largest component meet all members of other components
     sizes = rest.groupBy("band", "component").agg(F.count("*").alias("_n"))
     core = written(sizes.groupBy("band").agg(F.max(F.struct("_n", "component")).alias("_m")).select("band", F.col("_m.component").alias("core")))
-    rest = written(rest.join(narrow(core), "band"))
-    others = rest.where("component <> core").select("band", F.col("id").alias("x"), F.col("component").alias("_cx"))
-    pairs = rest.join(others, "band").where("component <> _cx AND (component = core OR id < x)")
-    pairs = written(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct())
-    pairs = written(pairs.join(first, ["a", "b"], "left_anti"))
-    return found.unionByName(verified(written(estimated(pairs, classes)), docs))
+    return written(rest.join(narrow(core), "band"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
