@@ -51,8 +51,8 @@ def through(rows: DataFrame, key: str, words: DataFrame, bits: int, seed: int) -
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: doc_id, text_sha256, keep_id, group_size, kept and the columns in ``keep``. An empty table
-    gives no rows; other columns are ignored, whatever their names."""
+    """A row per input row: doc_id, text_sha256, keep_id, group_size, kept and, as ``own_<name>``, the columns in
+    ``keep``. An empty table gives no rows; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_sha256"), *(F.col(c).alias(f"own_{c}") for c in keep))
     rows = written(rows)
     n = rows.count()
@@ -61,7 +61,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     some = first.where("_maybe").drop("_maybe")
     second = written(through(some, "text_sha256", repeated_words(some, "text_sha256", bits, 2), bits, 2))
     candidates = second.where("_maybe").drop("_maybe")
-    own = [F.col(f"own_{c}").alias(c) for c in keep]
+    own = [f"own_{c}" for c in keep]
     single = first.where("NOT _maybe").drop("_maybe").unionByName(second.where("NOT _maybe").drop("_maybe"))
     single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *own)
     groups = written(candidates.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))

@@ -73,23 +73,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # stages of the pipeline -----------------------------------------------------------------------------------------------
+def set_apart(docs: DataFrame) -> DataFrame:
+    """docs with each column as own_<name>, so that none clashes with what an operator adds."""
+    return docs.toDF(*(f"own_{c}" for c in docs.columns))
+
+
+def restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under 0.5; the model learns from the labelled documents of the whole table."""
     known = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
     model = toxicity.train(known)
-    return toxicity.score(docs, model, keep=docs.columns).where("score < 0.5").select(*docs.columns)
+    return restored(toxicity.score(set_apart(docs), model, keep=set_apart(docs).columns, text="own_text").where("score < 0.5"), docs)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the method accepts; it learns from the lang column of what it is given."""
-    return langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang")), keep=docs.columns).where("NOT rejected").select(*docs.columns)
+    own = set_apart(docs)
+    return restored(langid.identify(own, langid.train(docs.select("doc_id", "text", "lang")), text="own_text", keep=own.columns).where("NOT rejected"), docs)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts. Other columns travel with their row, so rows without a possible copy
     don't shuffle."""
     keep = tuple(c for c in docs.columns if c != "doc_id")
-    return exact.exact_groups(docs, keep=keep).where("kept").select(*docs.columns)
+    return restored(exact.exact_groups(docs, keep=keep).where("kept").withColumnRenamed("doc_id", "own_doc_id"), docs)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
