@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: field caps and the white-space class (wider than Java's \s)
 NAME_CAP, TITLE_CAP, SUMMARY_CAP, SLUG_CAP = 120, 200, 500, 64
@@ -42,7 +43,7 @@ def slugify_ascii(text: Column) -> Column:
     return F.nullif(slug, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(texts):
     import unicodedata
 
