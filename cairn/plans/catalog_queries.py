@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import integrity, merge, pricing, progress, readmodels, recall, robots
+from cairn.operators import curated, integrity, merge, pricing, progress, readmodels, recall, robots, scenario
 from cairn.sources import pages as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,6 +480,60 @@ def report_row(s, d):
     return one("part").toDF("products").crossJoin(one("supplier").toDF("solutions")).crossJoin(one("lineitem").toDF("slots")).crossJoin(rate)  # one row each
 
 
+# curated shapes and scenarios -----------------------------------------------------------------------------------------
+LANE_LAYERS = {"A": ["F", "O"], "N": ["F"], "R": ["O"]}
+
+
+@query("""WITH p AS (SELECT p_partkey - 1 AS ord, p_size AS n, 'products[' || p_partkey - 1 || ']' AS base FROM part),
+    i(path, message, ord) AS (SELECT base || '.productId', 'slug', ord FROM p WHERE n % 3 = 0
+        UNION ALL SELECT base || '.roleKo', 'text', ord FROM p WHERE n % 11 = 0
+        UNION ALL SELECT base || '.placements', 'list', ord FROM p WHERE n % 13 = 0
+        UNION ALL SELECT base || '.placements', 'distinct', ord FROM p WHERE n % 13 <> 0 AND n % 4 = 0
+        UNION ALL SELECT base || '.placements[1].layer', 'layer', ord FROM p WHERE n % 13 <> 0 AND n % 4 = 1
+        UNION ALL SELECT base || '.sourceUrl', 'url', ord FROM p WHERE n % 5 = 0
+        UNION ALL SELECT base || '.verifiedAt', 'instant', ord FROM p WHERE n % 7 = 0)
+    SELECT 'invalid-shape' AS code, * FROM i""")
+def curated_product_issues(s, d):
+    place = lambda lane, layer: F.struct(F.lit(lane).alias("lane"), F.lit(layer).alias("layer"))
+    n = F.col("p_size")
+    second = F.when(n % 4 == 0, place("A", "F")).when(n % 4 == 1, place("N", "O")).otherwise(place("R", "O"))
+    rows = t(s, d, "part").select(
+        (F.col("p_partkey") - 1).alias("ord"),
+        F.concat(F.when(n % 3 == 0, "Part ").otherwise("part-"), F.col("p_partkey").cast("string")).alias("productId"),
+        F.when(n % 11 == 0, "  ").otherwise(F.col("p_type")).alias("roleKo"),
+        F.filter(F.array(place("A", "F"), second), lambda x: F.col("p_size") % 13 != 0).alias("placements"),
+        F.concat(F.when(n % 5 == 0, "http").otherwise("https"), F.lit(f"://{HOSTS[0]}/x")).alias("sourceUrl"),
+        F.concat(F.lit("2024-01-01T00:00:00"), F.when(n % 7 == 0, "").otherwise("Z")).alias("verifiedAt"),
+    )
+    return curated.shape_issues(rows, "products", HOSTS, LANE_LAYERS)
+
+
+_SCENARIO = """WITH e AS (SELECT event_id, user_id % 30 AS a, (event_id + 7) % 30 AS b, event_type, round(value) - 20 AS v FROM events),
+    k AS (SELECT event_id, a, b, event_type, v, a IN (SELECT s_suppkey FROM supplier) AS has_a, b IN (SELECT s_suppkey FROM supplier) AND a <> b AS has_b FROM e),
+    r AS (SELECT event_id, 0 AS pos, a::VARCHAR AS product, CASE WHEN event_type IN ('view', 'click') THEN 'paid' END AS tier, CASE WHEN v > 0 THEN v::DOUBLE END AS qty FROM k WHERE has_a
+        UNION ALL SELECT event_id, 1, b::VARCHAR, NULL, NULL FROM k WHERE has_b) """
+
+
+def _scenarios(s, d):
+    a, b = (F.col("user_id") % 30).cast("string"), ((F.col("event_id") + 7) % 30).cast("string")
+    tier = F.when(F.col("event_type").isin("view", "click"), "paid").otherwise("none")
+    amount = (F.round("value") - 20).cast("string")
+    q = F.concat(F.lit("products="), a, F.lit("%2C+"), b, F.lit(",,"), a, F.lit("&t."), a, F.lit("="), tier, F.lit("&u."), a, F.lit(".qty="), amount, F.lit("&u."), a, F.lit(".nothing=5&t."), a, F.lit("=free"))
+    tiers, meters = (x.withColumn("product", F.col("product").cast("string")) for x in (_tiers(s, d), _meters(s, d)))
+    return scenario.settings(t(s, d, "events").select("event_id", q.alias("q")), "event_id", "q", tiers, meters)
+
+
+@query(_SCENARIO + "SELECT * FROM r")
+def scenario_settings(s, d):
+    return _scenarios(s, d).select("event_id", "pos", "product", "tier", F.try_element_at("usage", F.lit("qty")).alias("qty"))
+
+
+@query(_SCENARIO + """SELECT event_id, 'products=' || string_agg(product, ',' ORDER BY pos) || coalesce('&' || string_agg('t.' || product || '=' || tier, '&' ORDER BY pos), '')
+    || coalesce('&' || string_agg('u.' || product || '.qty=' || qty::BIGINT, '&' ORDER BY pos), '') AS query FROM r GROUP BY 1""")
+def scenario_query_strings(s, d):
+    return scenario.serialize(_scenarios(s, d), "event_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import integrity, merge, pricing, progress, recall, robots
+from cairn.operators import curated, integrity, merge, pricing, progress, recall, robots, scenario
 from cairn.sources import json_documents, pages
 from cairn.streaming import progress as streaming
 
@@ -110,3 +110,33 @@ def test_redirects(spark):
     answers = spark.createDataFrame([("https://h/a", 301, "https://h/c"), ("https://h/c", 404, None), ("https://h/b", 302, "https://evil/x"), ("https://h/loop", 302, "https://h/loop")], "url string, status int, location string")
     got = {r.url: (r.status, r.hops, r.problem) for r in pages.follow(asked, answers, ["h"]).collect()}
     assert got["https://h/a"] == (404, 1, None) and got["https://h/b"][2] == "forbidden" and got["https://h/loop"][2] == "too-many-redirects"
+
+
+def test_curated_pricing_shape(spark):
+    meters = "meters array<struct<metric string, included double, per string, labelKo string, overage struct<usd double, perUnits double>>>"
+    schema = f"ord int, productId string, tiers array<struct<id string, name string, monthlyUsd double, noteKo string, featuresKo array<string>, limits array<struct<metric string, included double, per string, labelKo string, noteKo string>>, {meters}>>, sourceUrl string, verifiedAt string"
+    good = ("paid", "Paid", 5.0, None, ["a"], [("qty", 1.0, "day", None, None)], [("qty", 0.0, "month", None, (0.3, 10.0))])
+    free = ("free", "Free", None, None, None, None, None)
+    bad = ("free", " ", -1.0, None, [], [("qty", 0.0, "year", None, None)], [("qty", 0.0, "month", None, (0.0, 1.5)), ("qty", 0.0, "month", None, None)])
+    rows = spark.createDataFrame([(0, "p", [free, good], "https://h.example/x", "2026-01-02T03:04:05Z"), (1, "p", [free, bad], "https://h.example/x", "2026-01-02T03:04:05Z"), (2, None, None, None, None)], schema)
+    found = curated.shape_issues(rows, "pricing", ["h.example"], {}).collect()
+    at = "pricing[1].tiers[1]"
+    assert {r.path for r in found if r.ord == 1} == {"pricing[1].tiers", *(f"{at}.{x}" for x in ("name", "monthlyUsd", "featuresKo", "limits[0].included", "limits[0].per", "meters[0].overage.usd", "meters[0].overage.perUnits", "meters[1].overage.usd", "meters[1].overage.perUnits"))}
+    assert sorted(r.path for r in found if r.ord != 1) == ["pricing[2].productId", "pricing[2].sourceUrl", "pricing[2].tiers", "pricing[2].verifiedAt"]
+
+
+def test_curated_note_shape(spark):
+    schema = "ord int, productId string, whyKo string, misconceptionKo string, customerQuestionKo string, analogyKo string, se struct<archKo string, opsKo string, limitsKo string>, ae struct<pitchKo string, valueKo string, objections array<struct<q string, a string>>>, battlecard array<struct<competitor string, vsKo string, grounding string, sourceUrl string>>, sourceUrl string, verifiedAt string"
+    tail = ("https://h.example/x", "2026-01-02T03:04:05Z")
+    rows = [(0, "p", "w", "m", "c", None, None, None, None, *tail), (1, "p", "w", "m", "c", "", (None, None, None), ("x", None, [("q", "a")] * 4), [("c", "v", "rumour", tail[0])], *tail)]
+    found = curated.shape_issues(spark.createDataFrame(rows, schema), "learningNotes", ["h.example"], {}).collect()
+    assert sorted(r.path for r in found) == [f"learningNotes[1].{x}" for x in ("ae.objections", "analogyKo", "battlecard[0].grounding", "se")]
+
+
+def test_scenario_drops_what_is_unknown(spark):
+    tiers = spark.createDataFrame([("a", "free"), ("a", "paid"), ("b", "free")], "product string, tier string")
+    metrics = spark.createDataFrame([("a", "m"), ("b", "m")], "product string, metric string")
+    urls = [("k", "https://x.example/c?products=b,%20a,zz,b&t.a=paid&t.b=gold&u.a.m=2.5&u.b.m=NaN&u.c.m=4&u.a.other=3&u.b.m=7#f"), ("n", None), ("e", ""), ("z", "products=zz")]
+    found = scenario.settings(spark.createDataFrame(urls, "k string, q string"), "k", "q", tiers, metrics)
+    assert [(r.k, r["product"], r.tier, r.usage) for r in found.orderBy("pos").collect()] == [("k", "b", None, {}), ("k", "a", "paid", {"m": 2.5})]
+    assert [r["query"] for r in scenario.serialize(found, "k").collect()] == ["products=b,a&t.a=paid&u.a.m=2.5"]
