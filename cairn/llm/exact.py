@@ -7,7 +7,8 @@ A pass sets one bit per text and keeps the bits that two or more rows hit, as wo
 once has no copy. The second pass hashes anew, over the rows that the first let through, so a text is sent on only if
 both of its bits were hit twice. Bits are counted by Spark's partial aggregation; rows move no text for it.
 
-All is DataFrame code. Each pass's filter is broadcast if its counted rows allow, and joined by word otherwise.
+All is DataFrame code. The passes read hashes alone; whole rows are written once, with what both passes say of them. Each
+pass's filter is broadcast if its counted rows allow, and joined by word otherwise.
 Exactness never rests on the filters: what they let through is grouped by SHA-256. A group's size is summed before rows
 meet it; groups of over a thousandth of all candidates are at most a thousand, and join by broadcast.
 """
@@ -43,7 +44,6 @@ def repeated_words(keys: DataFrame, key: str, bits: int, seed: int) -> DataFrame
 
 def through(rows: DataFrame, key: str, words: DataFrame, bits: int, seed: int) -> DataFrame:
     """rows with _maybe: whether the row's bit was hit by two or more rows."""
-    words = narrow(written(words))
     bit = _bit(F.col(key), bits, seed)
     rows = rows.withColumn("_word", F.shiftright(bit, 5)).withColumn("_at", (bit.bitwiseAND(F.lit(31))).cast("int"))
     hit = F.expr("coalesce((shiftright(_mask, _at) & 1L) = 1L, false)")
@@ -54,16 +54,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     """A row per input row: doc_id, text_sha256, keep_id, group_size, kept and, as ``own_<name>``, the columns in
     ``keep``. An empty table gives no rows; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_sha256"), *(F.col(c).alias(f"own_{c}") for c in keep))
-    rows = written(rows)
-    n = rows.count()
+    keys = written(rows.select("text_sha256"))
+    n = keys.count()
     bits = 1 << max(10, (BITS_PER_ROW * n).bit_length())
-    first = written(through(rows, "text_sha256", repeated_words(rows, "text_sha256", bits, 1), bits, 1))
-    some = first.where("_maybe").drop("_maybe")
-    second = written(through(some, "text_sha256", repeated_words(some, "text_sha256", bits, 2), bits, 2))
-    candidates = second.where("_maybe").drop("_maybe")
+    one = narrow(written(repeated_words(keys, "text_sha256", bits, 1)))
+    some = through(keys, "text_sha256", one, bits, 1).where("_maybe").select("text_sha256")
+    two = narrow(written(repeated_words(some, "text_sha256", bits, 2)))
+    rows = through(rows, "text_sha256", one, bits, 1).withColumnRenamed("_maybe", "_first")
+    rows = written(through(rows, "text_sha256", two, bits, 2).withColumn("_maybe", F.expr("_first AND _maybe")).drop("_first"))
+    candidates = rows.where("_maybe").drop("_maybe")
     own = [f"own_{c}" for c in keep]
-    single = first.where("NOT _maybe").drop("_maybe").unionByName(second.where("NOT _maybe").drop("_maybe"))
-    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *own)
+    single = rows.where("NOT _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *own)
     groups = written(candidates.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     met = join_groups(candidates, groups, "text_sha256", "group_size", n)
     stays = met.where("doc_id <=> keep_id").withColumn("kept", F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))) == 1)
