@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import curated, integrity, merge, pricing, progress, readmodels, recall, robots, scenario
+from cairn.sources import page_parsers
 from cairn.sources import pages as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,6 +535,46 @@ def scenario_query_strings(s, d):
     return scenario.serialize(_scenarios(s, d), "event_id")
 
 
+# pages of the five kinds, made from nations and their suppliers ---------------------------------------------------------
+def _page(path: str, page_id: str, body) -> tuple:
+    """url and html of a page; every fifth has the canonical link of another page, every seventh no description."""
+    k = F.col(page_id)
+    link = F.when(k % 5 == 4, F.lit("/elsewhere")).otherwise(F.concat(F.lit(path), k.cast("string")))
+    about = F.when(k % 7 == 6, "").otherwise('<meta name="description" content="What there is.">')
+    html = F.concat(F.lit("<html><head><title> A\n page </title><link rel=canonical href='"), link, F.lit("'>"), about, F.lit("</head><body>"), body, F.lit("</body></html>"))
+    return F.concat(F.lit(f"https://{HOSTS[0]}{path}"), k.cast("string")).alias("url"), html.alias("html")
+
+
+def _inner(rows: DataFrame, page_id: str, order: str, part) -> DataFrame:
+    """A page's parts in order, joined: as many as a nation has suppliers, or a region nations."""
+    return rows.groupBy(page_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda x: x["p"]), "").alias("body"))
+
+
+@query(f"""WITH c AS (SELECT n_regionkey AS page_id, n_nationkey, n_name AS "group", s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'Key ' || s_suppkey END AS summary,
+        'https://{HOSTS[0]}/products/' || s_suppkey AS href FROM nation JOIN supplier ON s_nationkey = n_nationkey)
+    SELECT page_id, 'products-overview' AS kind, row_number() OVER (PARTITION BY page_id ORDER BY n_nationkey, s_suppkey) - 1 AS pos, "group", name, summary, href FROM c WHERE page_id % 5 <> 4 AND page_id % 7 <> 6""")
+def parsed_product_cards(s, d):
+    k = F.col("s_suppkey").cast("string")
+    card = F.concat(F.lit('<a href="/products/'), k, F.lit('"><div><strong>'), F.col("s_name"), F.lit("</strong></div>"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("<p> Key  "), k, F.lit("</p>"))).otherwise(""), F.lit("</a>"))
+    nations = t(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    figures = _inner(t(s, d, "supplier"), "s_nationkey", "s_suppkey", card).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    figure = F.concat(F.lit("<figure><figcaption>"), F.col("n_name"), F.lit("</figcaption>"), F.col("body"), F.lit("</figure>"))
+    made = _inner(figures, "n_regionkey", "n_nationkey", figure).select(F.col("n_regionkey").alias("page_id"), *_page("/regions/", "n_regionkey", F.col("body")))
+    return page_parsers.cards(page_parsers.parse(made))
+
+
+@query("""SELECT s_nationkey AS page_id, CASE WHEN s_nationkey % 5 = 4 OR s_nationkey % 7 = 6 OR bool_and(s_suppkey % 4 = 0) THEN NULL ELSE count(*) FILTER (s_suppkey % 4 > 0) END AS n_cards,
+        CASE WHEN s_nationkey % 5 = 4 THEN 'canonical link of another page' WHEN s_nationkey % 7 = 6 THEN 'no description' WHEN bool_and(s_suppkey % 4 = 0) THEN 'no cards' END AS issue
+    FROM supplier GROUP BY 1""")
+def parsed_docs_pages(s, d):
+    k = F.col("s_suppkey").cast("string")
+    entry = F.concat(F.lit('<a href="/docs/'), k, F.lit('">'), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("<span>"), F.col("s_name"), F.lit("</span><p>Key "), k, F.lit("</p>"))).otherwise("Menu"), F.lit("</a>"))
+    body = F.concat(F.lit("<main data-pagefind-body>"), F.col("body"), F.lit("</main>"))
+    made = _inner(t(s, d, "supplier"), "s_nationkey", "s_suppkey", entry).select(F.col("s_nationkey").alias("page_id"), *_page("/nations/", "s_nationkey", body))
+    parsed = page_parsers.parse(made)
+    return parsed.select("page_id", F.when(F.col("cards").isNotNull(), F.size("cards")).alias("n_cards"), "issue")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

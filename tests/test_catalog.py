@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import curated, integrity, merge, pricing, progress, recall, robots, scenario
-from cairn.sources import json_documents, pages
+from cairn.sources import json_documents, page_parsers, pages
 from cairn.streaming import progress as streaming
 
 
@@ -140,3 +140,32 @@ def test_scenario_drops_what_is_unknown(spark):
     found = scenario.settings(spark.createDataFrame(urls, "k string, q string"), "k", "q", tiers, metrics)
     assert [(r.k, r["product"], r.tier, r.usage) for r in found.orderBy("pos").collect()] == [("k", "b", None, {}), ("k", "a", "paid", {"m": 2.5})]
     assert [r["query"] for r in scenario.serialize(found, "k").collect()] == ["products=b,a&t.a=paid&u.a.m=2.5"]
+
+
+def test_page_parsers(spark):
+    head = '<html><head><title> A  page </title><link rel="canonical" href="{}"><meta name="description" content="About it."></head><body>'
+    entry = "<main data-pagefind-body>{}</main>"
+    sites = {
+        1: ("products/", "/products", '<figure><figcaption>Fam <b>One</b></figcaption><a href="/products/a"><div><strong>A &amp; B</strong></div><p>Tag line.</p></a><a href="/products/b/"><span><strong>B</strong></span></a></figure>'),
+        2: ("solutions", "https://X.org/solutions/", '<div><a aria-label="See solution about S" href="s1"></a><div><p data-cms-path="pages.solutions-page.benefits.0.title"><strong>S</strong></p><p data-cms-path="pages.solutions-page.benefits.0.description">Desc<script>x</script>.</p></div></div>'),
+        3: ("m", "/m", '<h1 data-cms-path="products.m.sections.hero.title">M</h1><p data-cms-path="products.m.sections.useCases.items.0.title">T<p data-cms-path="products.m.sections.useCases.items.0.description">D</p>'),
+        4: ("n", "/n", '<h1 data-cms-path="pages.n.hero.eyebrow"> N  n</h1>'),
+        5: ("d", "/d", entry.format('<a href="/nav">nav</a><a href="/d/e?q=1"><span>E</span><p>About E</p></a>')),
+        6: ("d", "/other", entry.format('<a href="/d/e"><span>E</span><p>About E</p></a>')),
+        7: ("d", "/d", entry.format('<a href="/d/e"><span>E</span></a>')),
+        8: ("d", "/d", entry.format('<a href="/d/e"><p>E</p></a>') + '<h1 data-cms-path="pages.n.hero.eyebrow">N</h1>'),
+    }
+    rows = [(k, f"https://x.org/{path}", head.format(link) + body, "x") for k, (path, link, body) in sites.items()] + [(9, None, None, None), (10, "https://x.org/", "", "x")]
+    parsed = page_parsers.parse(spark.createDataFrame(rows, "page_id int, url string, html string, kind string").repartition(1))
+    found = {r.page_id: r for r in parsed.collect()}
+    assert [found[k].kind for k in range(1, 6)] == list(page_parsers.KINDS) and not any(found[k].issue for k in range(1, 6))
+    assert {k: [tuple(c) for c in found[k].cards] for k in range(1, 6)} == {
+        1: [("Fam One", "A & B", "Tag line.", "https://x.org/products/a"), ("Fam One", "B", None, "https://x.org/products/b/")],
+        2: [(None, "S", "Desc.", "https://x.org/solutions/s1")],
+        3: [(None, "T", "D", None)],
+        4: [],
+        5: [(None, "E", "About E", "https://x.org/d/e?q=1")],
+    }
+    assert found[4].solution_name == "N n" and found[1].title == "A page" and found[1].canonical_url == "https://x.org/products"
+    assert [found[k].issue for k in range(6, 11)] == ["canonical link of another page", "card without a description", "several of the kinds fit", "none of the kinds fit", "none of the kinds fit"]
+    assert all(found[k].cards is None for k in range(6, 11))
