@@ -23,6 +23,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a worker's piece cache; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Code points of a leaf of a long text, and mapped bytes of a piece that is encoded in halves.
 LEAF_CHARS = 32_768
 LONG_PIECE = 2_048
@@ -89,7 +90,6 @@ class Codec:
         self._tok = Tokenizer.from_file(tokenizer_path)
         self._tok.no_padding()
         self._tok.no_truncation()
-        self._model = Tokenizer(self._tok.model)  # merges alone, on mapped bytes
         self.specials = {t.content: i for i, t in self._tok.get_added_tokens_decoder().items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
@@ -100,9 +100,22 @@ class Codec:
         self._split = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
         self._ranked = self._rank_encoder()
         self._pieces = _Pieces(self._encode_piece)
-        self._token = {i: t for t, i in self._tok.get_vocab().items()}
+
+    # tables of long pieces and of decoding, made when first used
+    @cached_property
+    def _model(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer(self._tok.model)  # merges alone, on mapped bytes
+
+    @cached_property
+    def _token(self) -> dict[int, str]:
+        return {i: t for t, i in self._tok.get_vocab().items()}
+
+    @cached_property
+    def _raw(self) -> dict[bytes, bytes]:
         raw = {c: b for b, c in enumerate(ALPHABET)}
-        self._raw = {struct.pack("<I", i): bytes(raw[c] for c in t) if i not in self.specials.values() else t.encode() for i, t in self._token.items()}
+        return {struct.pack("<I", i): bytes(raw[c] for c in t) if i not in self.specials.values() else t.encode() for i, t in self._token.items()}
 
     def _rank_encoder(self):
         """An encoder of one piece from this file's own vocabulary, where ids follow the order of the merges (they then
