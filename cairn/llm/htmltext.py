@@ -36,6 +36,10 @@ CUT_WORDS = frozenset(
     "comment comments respond discussion cookie cookies consent notice notices newsletter subscribe signup popup modal share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search login".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+#: End tags of raw elements. What such an element holds is not read as HTML: '<' and '<!--' in a script are its own.
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW if name != "head"}
+#: Raw elements that browsers, too, read to the end of the page if they are never closed; others then count as a tag only.
+TO_THE_END = frozenset("script style noscript textarea iframe title".split())
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 Token = tuple[str, str, int]
@@ -47,25 +51,28 @@ class Scan:
     def __init__(self, page: str):
         self.boxes: list[tuple[int, str, bool]] = [(-1, "page", False)]  # parent, name, cut
         self.tokens: list[tuple[str, int, str]] = []  # type, box, text or ""
-        here, stack, raw, link = 0, [0], "", 0
-        add = self.tokens.append
-        for m in _TOKEN.finditer(page):
+        here, stack, link, at, unclosed = 0, [0], 0, 0, set()
+        add, match = self.tokens.append, _TOKEN.match
+        while at < len(page):
+            m = match(page, at)
+            at = m.end()
             close, name, attrs, text = m.groups()
             if text is not None:
-                if raw:
-                    continue
                 add(("w", here, text) if not link else ("wa", here, text))
                 continue
             if name is None:
                 continue
             name = name.lower()
-            if raw:
-                if close and name == raw:
-                    raw = ""
-                continue
             if not close and name in RAW and not attrs.endswith("/"):
-                raw = name if name not in ("head",) else ""
                 add(("t", here, ""))
+                if name in _END and name not in unclosed:
+                    end = _END[name].search(page, at)
+                    if end:
+                        at = end.end()
+                    elif name in TO_THE_END:
+                        break
+                    else:  # none follows later either, so each name is sought in vain once
+                        unclosed.add(name)
             elif name in BOXES:
                 add(("t", here, ""))
                 if not close:

@@ -227,6 +227,31 @@ def test_html(spark, sf):
     assert [htmltext.main_text(x) for x in (None, "", "<p>", "<<<", "<script>x")] == [""] * 2 + [""] + [htmltext.main_text("<<<"), ""]
 
 
+SCRIPTS = [
+    "<script>for(i=0;i<n;i++){}</script>",
+    "<script>if(a<b){c()}</script >",
+    "<SCRIPT>x='<!--'</Script>",
+    "<script><!-- \nvar a = '<p>' + 1</script\n>",
+    "<style>a::before{content:'<!--<b '}</style>",
+    "<textarea>a <b \" c</textarea>",
+    "<title>1 <!-- 2</title>",
+    "<script>var s = '</scripted>' + i<n</script>",
+]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_html_scripts(script):
+    """What a script holds is not HTML: the text after it stays, and nothing of the script comes in."""
+    said = "Some words for the reader to read and more of them."
+    page = f"<html><body><article>{script}<p>{said}</p>{script}<p>{said}</p></article></body></html>"
+    assert htmltext.main_text(page) == htmltext.visible_text(page) == f"{said} {said}"
+
+
+def test_html_unclosed_raw():
+    assert htmltext.visible_text("<p>One <button>two<p>three <svg>four") == "One two three four"
+    assert htmltext.visible_text("<p>One<script>two<p>three") == "One"
+
+
 def test_warc(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").limit(5).unionByName(spark.createDataFrame([(99, None, None)], "page_id long, url string, html string"))
     rows = warc.derivatives(warc.responses(pages)).collect()
