@@ -7,6 +7,10 @@ contiguous run with the largest sum. The run is then widened to the smallest sec
 article, if it lies in one), and what such an element holds of menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments is left out.
 
+A class, id or role marks what is left out if one of its tokens is a cut word or a known form of one ("site-header",
+"cookie-banner"), not if it only contains one ("no-sidebar"). Marks never cut html, body, main or article. A marked box
+that holds the page's text all the same, by the score of the run with marks unread, is not left out.
+
 Null and empty pages, and pages with no words, have an empty text. Broken markup (unclosed tags, stray closings) is read
 as far as it goes; memory and time are linear in the page.
 """
@@ -40,16 +44,39 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW if name != "head"}
 #: Raw elements that browsers, too, read to the end of the page if they are never closed; others then count as a tag only.
 TO_THE_END = frozenset("script style noscript textarea iframe title".split())
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+#: Marks of reader comments: prose that may outweigh a short article, so they hold unless no other text is found.
+DISCUSSION = frozenset("comment comments respond discussion".split())
+#: What else the parts of a hyphenated mark may be: "site-header", "comments-area"; not "no-sidebar", "comments-open".
+FORM_WORDS = frozenset(
+    "site page main global primary secondary tertiary top bottom left right area box bar block wrap wrapper container inner outer content section list item items group panel col column row region zone slot unit link links button buttons menu form field text title message overlay thread template post posts article articles stories".split()
+)
+#: What marks can't cut.
+UNMARKED = frozenset("html body main article".split())
+#: A marked box is kept if the run in it has so large a sum (some seventeen words of prose), and so many times that of the run without it.
+LARGE, TIMES = 50.0, 10.0
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_SPLIT = re.compile(r"[^a-z0-9]+")
 Token = tuple[str, str, int]
 
 
+def mark_of(attrs: str) -> int:
+    """0 if no class, id or role marks what is left out, 2 if reader comments, 1 if anything else."""
+    found = 0
+    for value in _MARK.findall(attrs):
+        for token in value.strip("\"'").lower().split():
+            parts = {p for p in _SPLIT.split(token) if p.isalpha()}
+            words = parts & CUT_WORDS
+            if words and parts - words <= FORM_WORDS:
+                found = max(found, 2 if words & DISCUSSION else 1)
+    return found
+
+
 class Scan:
     """Blocks of a page in order: (text, path of boxes, whether cut, in a link), and the tags before each."""
 
     def __init__(self, page: str):
         self.boxes: list[tuple[int, str, bool]] = [(-1, "page", False)]  # parent, name, cut
+        self.marks: dict[int, int] = {}  # boxes that only a mark of their own cuts
         self.tokens: list[tuple[str, int, str]] = []  # type, box, text or ""
         here, stack, link, at, unclosed = 0, [0], 0, 0, set()
         add, match = self.tokens.append, _TOKEN.match
@@ -76,10 +103,12 @@ class Scan:
             elif name in BOXES:
                 add(("t", here, ""))
                 if not close:
-                    marks = {w for x in _MARK.findall(attrs) for w in _SPLIT.split(x.lower())} if attrs else set()
-                    cut = self.boxes[here][2] or name in CUT or bool(marks & CUT_WORDS)
+                    mark = mark_of(attrs) if attrs and name not in UNMARKED and name not in CUT else 0
+                    cut = self.boxes[here][2] or name in CUT or mark > 0
                     self.boxes.append((here, name, cut))
                     here = len(self.boxes) - 1
+                    if mark:
+                        self.marks[here] = mark
                     stack.append(here)
                 else:
                     for k in range(len(stack) - 1, 0, -1):
@@ -95,6 +124,13 @@ class Scan:
             else:
                 add(("h" if name[0] == "h" and name[1:].isdigit() else "t", here, ""))
 
+    def unmark(self, void: Iterable[int]) -> list[tuple[int, str, bool]]:
+        """The boxes, as cut without the marks of those in ``void``."""
+        marks, boxes = self.marks.keys() - set(void), []
+        for b, (parent, name, _) in enumerate(self.boxes):
+            boxes.append((parent, name, (parent >= 0 and boxes[parent][2]) or name in CUT or b in marks))
+        return boxes
+
     def typed(self) -> Iterable[tuple[str, int]]:
         """(type, number) of each token: words are counted, by the kind of the box they stand in."""
         for kind, box, text in self.tokens:
@@ -159,13 +195,46 @@ def weight(kind: str) -> float:
     return known
 
 
+def scored_run(scan: Scan) -> tuple[int, int, list[float], list[int]]:
+    """[start, end) of the best run, its tokens' scores and the boxes of its words."""
+    scores = [weight(kind) * n for kind, n in scan.typed()]
+    start, end = best_run(scores)
+    held = [box for _, box, text in scan.tokens[start:end] if text and not scan.boxes[box][2] and not text.isspace()]
+    return start, end, scores[start:end], held
+
+
+def content_run(scan: Scan) -> tuple[int, int, list[int]]:
+    """[start, end) of the page's content and the boxes of its words. Marks of boxes that hold most of the run found
+    without marks are void, if that run far outweighs the one with them; ``scan.boxes`` is then without these marks."""
+    start, end, scores, held = scored_run(scan)
+    marked, least = scan.boxes, max(LARGE, TIMES * sum(scores))
+    for level in (1, 2):
+        unread = [b for b, mark in scan.marks.items() if mark <= level]
+        if not unread or (level == 2 and held):
+            break
+        scan.boxes = scan.unmark(unread)
+        first, last, scores, _ = scored_run(scan)
+        if sum(scores) >= least:
+            within = [0.0] * len(scan.boxes)
+            for (_, box, text), score in zip(scan.tokens[first:last], scores, strict=True):
+                within[box] += score if text else 0.0
+            for b in range(len(within) - 1, 0, -1):
+                within[scan.boxes[b][0]] += within[b]
+            void = [b for b in unread if within[b] >= max(least, within[0] / 2)]
+            scan.boxes = scan.unmark(void)
+            first, last, scores, words = scored_run(scan)
+            if void and words and sum(scores) >= least:
+                return first, last, words
+        scan.boxes = marked
+    return start, end, held
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     scan = Scan(page)
-    start, end = best_run([weight(kind) * n for kind, n in scan.typed()])
+    start, end, held = content_run(scan)
     boxes, tokens = scan.boxes, scan.tokens
-    held = [box for _, box, text in tokens[start:end] if text and not boxes[box][2] and not text.isspace()]
     if not held:
         return ""
 

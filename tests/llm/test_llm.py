@@ -252,6 +252,31 @@ def test_html_unclosed_raw():
     assert htmltext.visible_text("<p>One<script>two<p>three") == "One"
 
 
+PROSE = "Some words for the reader to read and more of them, said at length so that nobody takes this for a menu or an advert."
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    ['<body class="no-sidebar">%s', '<div id="page" class="has-sidebar">%s</div>', '<article class="post comments-open">%s</article>', '<body class="search-results">%s', '<body class="sidebar">%s',
+     '<html class="widget"><main role="search">%s</main>', '<div class="sidebar">%s</div>', '<div class="login"><div id="comments"><div class="search">%s</div></div></div>', '<div data-class="ad" title="id=ad">%s</div>'],
+)
+def test_html_marks_of_wrappers(wrap):
+    """A wrapper's class, id or role doesn't cut the article that it holds."""
+    page = wrap % f"<h1>Title</h1><p>{PROSE}</p><div class='ad'>Buy this</div><div class='site-footer'>All rights</div><p>{PROSE}</p>"
+    assert htmltext.main_text(page) == f"Title {PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("mark", ["sidebar", "ad-300x250", "cookie-banner", "comments-area", "site_header", "x widget-area", "advert ads-1"])
+def test_html_marks_that_cut(mark):
+    side = f"<div class='{mark}'><p>{PROSE}</p></div>"
+    assert htmltext.main_text(f"<body>{side}<div><h1>Title</h1><p>{PROSE}</p>{side}<p>{PROSE}</p></div>{side}") == f"Title {PROSE} {PROSE}"
+
+
+def test_html_short_article_long_discussion():
+    talk = "<div id='comments'>" + f"<p>{PROSE}</p>" * 50 + "</div>"
+    assert htmltext.main_text(f"<body><div class='post'><p>A note.</p>{talk}</div>") == "A note."
+
+
 def test_warc(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").limit(5).unionByName(spark.createDataFrame([(99, None, None)], "page_id long, url string, html string"))
     rows = warc.derivatives(warc.responses(pages)).collect()
