@@ -30,8 +30,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    dictionaries = langid.train(docs.where(fold(4) != 2))
-    return langid.identify(docs, dictionaries).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    model = langid.train(docs.where(fold(4) != 2))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,28 @@ def test_language_held_out(spark):
     assert [model.classify(t)[0] for t in (None, "", "123 !!")] == ["und"] * 3 and langid.Classifier({}).classify("x")[0] == "und"
 
 
+def test_language_rejects(spark):
+    """Texts of a language that was not learned, mixed texts and gibberish are rejected; nearly all others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    fresh = collections.defaultdict(list)
+    for r in docs.where("crc32(string(doc_id)) % 20 = 2 AND length(text) BETWEEN 400 AND 8000").collect():
+        fresh[r.lang].append(r.text)
+
+    def share(model, items):
+        found = langid.identify(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string"), model).collect()
+        return sum(r.rejected for r in found) / len(items)
+
+    rest = docs.where("crc32(string(doc_id)) % 20 <> 2")
+    model = langid.train(rest.where("lang <> 'de'"))
+    rng = random.Random(3)
+    gibberish = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in range(100, 1100, 10)]
+    mixed = [f"{a[:n]} {b[:n]}" for a, b in zip(fresh["en"], fresh["fr"]) for n in [min(len(a), len(b))]]  # noqa: B905
+    assert share(model, fresh["de"]) > 0.9 and share(model, gibberish) > 0.98 and share(model, mixed) > 0.7
+    assert all(share(model, fresh[lang]) < 0.08 for lang in ("en", "es", "fr"))
+    alone = langid.train(rest.where("lang = 'en'"))
+    assert share(alone, fresh["fr"]) > 0.9 and share(alone, gibberish) > 0.98 and share(alone, fresh["en"]) < 0.08
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
