@@ -7,17 +7,44 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.tables import written
 
-def sorted_names(id: str = "id", name: str = "name", sep: str = " | "):
-    """Aggregate: the names in display order (lower-case name, then id), joined."""
-    entry = F.struct(F.lower(name).alias("l"), F.col(id).alias("i"), F.col(name).alias("n"))
-    return F.array_join(F.transform(F.array_sort(F.collect_set(entry)), lambda s: s["n"]), sep)
 
+def _ranged_members(products: DataFrame, placements: DataFrame, layers: DataFrame) -> DataFrame:
+    """The distinct lane, layer, id, name and l (the lower-case name) of placed products, with the bucket that they lie in:
+    buckets are ranges of the display order (l, then id), many per (lane, layer). Written, since their bounds are sampled."""
+    n = 4 * int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placements.join(F.broadcast(layers.select("lane", "layer").distinct()), ["lane", "layer"], "left_semi").select("lane", "layer", "id").distinct()
+    members = placed.join(products.select("id", "name"), "id").select("lane", "layer", "id", "name", F.lower("name").alias("l")).distinct()
+    return written(members.repartitionByRange(n, "lane", "layer", *_display_order()).withColumn("bucket", F.spark_partition_id()))
 
-def map_model(products: DataFrame, placements: DataFrame, layers: DataFrame) -> DataFrame:
+
+def _display_order() -> list:
+    return [F.col("l").asc_nulls_last(), F.col("id"), F.col("name").asc_nulls_last()]
+
+
+def map_members(products: DataFrame, placements: DataFrame, layers: DataFrame) -> DataFrame:
+    """A row per product of each (lane, layer) of the contract, with its place there in display order, from 1. Places come
+    from counts of the buckets and a row number within the bucket, so no task sees all products of a (lane, layer)."""
+    ranged = _ranged_members(products, placements, layers)
+    counts = ranged.groupBy("lane", "layer", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lane", "layer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("lane", "layer", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("lane", "layer", "bucket").orderBy(*_display_order()))
+    numbered = ranged.withColumn("number", number).join(F.broadcast(before), ["lane", "layer", "bucket"])
+    return numbered.select("lane", "layer", (F.col("before") + F.col("number")).alias("place"), "id", "name")
+
+
+def map_model(products: DataFrame, placements: DataFrame, layers: DataFrame, sep: str = " | ") -> DataFrame:
     """A row per (lane, layer) of the contract, empty ones too: how many products it holds and their names in order.
-    products: id, name; placements: id, lane, layer; layers: lane, layer, ord."""
-    placed = placements.join(products, "id").groupBy("lane", "layer").agg(F.count_distinct("id").alias("n_products"), sorted_names().alias("members"))
+    products: id, name; placements: id, lane, layer; layers: lane, layer, ord. Names are sorted and joined by bucket; only
+    the joined texts of a (lane, layer) meet. That cell grows with the catalog: ``map_members`` has the same as rows."""
+    ranged = _ranged_members(products, placements, layers)
+    sizes = ranged.groupBy("lane", "layer").agg(F.count_distinct("id").alias("n_products"))
+    entry = F.struct("l", F.col("id").alias("i"), F.col("name").alias("n"))
+    part = ranged.where("name IS NOT NULL").groupBy("lane", "layer", "bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["n"]), sep).alias("part"))
+    names = part.groupBy("lane", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda s: s["part"]), sep).alias("members"))
+    placed = sizes.join(names, ["lane", "layer"], "left")
     return F.broadcast(layers).join(placed, ["lane", "layer"], "left").select("lane", "layer", "ord", F.coalesce("n_products", F.lit(0)).alias("n_products"), F.coalesce("members", F.lit("")).alias("members"))
 
 

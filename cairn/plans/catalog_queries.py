@@ -269,6 +269,12 @@ def map_model(s, d):
     return readmodels.map_model(_products(s, d), _placements(s, d), _layers(s))
 
 
+@query(f"""WITH p AS (SELECT DISTINCT lane, layer, id, p_name AS name FROM ({_PL}) JOIN part ON id = p_partkey)
+    SELECT p.lane, p.layer, row_number() OVER (PARTITION BY p.lane, p.layer ORDER BY lower(name), id) AS place, id, name FROM p JOIN {_L} ON p.lane = layers.lane AND p.layer = layers.layer""")
+def map_members(s, d):
+    return readmodels.map_members(_products(s, d), _placements(s, d), _layers(s))
+
+
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def unplaced_products(s, d):
     placed = t(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import curated, integrity, merge, pricing, progress, recall, robots, scenario
+from cairn.operators import curated, integrity, merge, pricing, progress, readmodels, recall, robots, scenario
 from cairn.sources import json_documents, page_parsers, pages
 from cairn.streaming import progress as streaming
 
@@ -169,3 +169,26 @@ def test_page_parsers(spark):
     assert found[4].solution_name == "N n" and found[1].title == "A page" and found[1].canonical_url == "https://x.org/products"
     assert [found[k].issue for k in range(6, 11)] == ["canonical link of another page", "card without a description", "several of the kinds fit", "none of the kinds fit", "none of the kinds fit"]
     assert all(found[k].cards is None for k in range(6, 11))
+
+
+def test_map_members(spark):
+    """Members as rows, in buckets far smaller than a (lane, layer); names repeat, differ in case, are null or empty."""
+    rng = random.Random(8)
+    names = [rng.choice([None, "", "Same", "same", f"N{rng.randrange(400)}", f"n{rng.randrange(400)}"]) for _ in range(2000)]
+    products = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    placed = [(k, rng.choice("ab"), rng.choice("xz")) for k in range(2000) for _ in range(3)] + [(5000, "a", "x"), (1, None, "x")]
+    placements = spark.createDataFrame(placed, "id long, lane string, layer string")
+    layers = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "x", 2)], "lane string, layer string, ord int")
+    want = {}
+    for lane, layer in (("a", "x"), ("a", "y"), ("b", "x")):
+        ids = {k for k, la, ly in placed if (la, ly) == (lane, layer) and k < 2000}
+        want[lane, layer] = sorted(ids, key=lambda k: (names[k] is None, (names[k] or "").lower(), k))
+    got = {key: [] for key in want}
+    for r in readmodels.map_members(products, placements, layers).orderBy("place").collect():
+        got[r.lane, r.layer].append(r.id)
+        assert r.place == len(got[r.lane, r.layer]) and r.name == names[r.id]
+    assert got == want
+    model = {(r.lane, r.layer): (r.n_products, r.members) for r in readmodels.map_model(products, placements, layers).collect()}
+    assert model == {key: (len(ids), " | ".join(names[k] for k in ids if names[k] is not None)) for key, ids in want.items()}
+    largest = readmodels._ranged_members(products, placements, layers).groupBy("lane", "layer", "bucket").count().agg(F.max("count")).first()[0]
+    assert largest < 0.5 * len(want["a", "x"])
