@@ -296,6 +296,18 @@ def test_language_held_out(spark):
     assert [model.classify(t)[0] for t in (None, "", "123 !!")] == ["und"] * 3 and langid.Classifier({}).classify("x")[0] == "und"
 
 
+def test_language_of_long_texts(spark):
+    """A language whose labelled texts are all long, or begin without letters, is learned like any other."""
+    rng = random.Random(6)
+    vocabularies = {lang: ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(4, 9))) for _ in range(60)] for lang in ("long", "late", "short")}
+    said = lambda lang, n: " ".join(rng.choice(vocabularies[lang]) for _ in range(n))
+    rows = [(k, said("long", 4000), "long") for k in range(3)] + [(k, "1 " * 9000 + said("late", 500), "late") for k in range(3)]
+    rows += [(k, said("short", 100), "short") for k in range(30)] + [(None, "123", "none")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = spark.createDataFrame([(lang, said(lang, 60)) for lang in vocabularies], "doc_id string, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(fresh, model).collect()} == {lang: lang for lang in vocabularies}
+
+
 def test_language_rejects(spark):
     """Texts of a language that was not learned, mixed texts and gibberish are rejected; nearly all others stay."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
