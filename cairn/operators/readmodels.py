@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.tables import written
+from cairn.sources.shared import written
 
 
 def _ranged_members(products: DataFrame, placements: DataFrame, layers: DataFrame) -> DataFrame:
