@@ -20,19 +20,32 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def order_key(text: Column) -> Column:
+    """A key that sorts by UTF-16 code units, as documents are ordered; plain strings sort by code points."""
+    return F.encode(text, "UTF-16BE")
+
+
+def utf16_left(text: Column, n: int) -> Column:
+    """The first n UTF-16 units; the first half of a pair at the end is left out."""
+    units = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * n - 1, 1))
+    short = F.decode(F.substring(units, F.lit(1), F.when(last.between("D8", "DB"), 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    return F.when(utf16_length(text) == F.length(text), F.substring(text, 1, n)).otherwise(short)
+
+
 def bounded_field(text: Column, cap: int) -> Column:
-    """The collapsed text, or null if blank or over the cap."""
+    """The collapsed text, or null if blank or over the cap. Caps count UTF-16 units."""
     clean = collapse_whitespace(text)
-    return F.when(F.length(clean).between(1, cap), clean)
+    return F.when(utf16_length(clean).between(1, cap), clean)
 
 
 def trim_summary(text: Column, cap: int = SUMMARY_CAP) -> Column:
     """A text within the cap as it is; else cut behind the last full sentence of the window, or hard where it has none."""
     clean = collapse_whitespace(text)
-    window = F.substring(clean, 1, cap)
+    window = utf16_left(clean, cap)
     sentence = F.regexp_extract(window, r"(?s)^(.+[.!?]) ", 1)
     ends = F.substring(window, -1, 1).isin(".", "!", "?")
-    return F.when(F.length(clean) <= cap, clean).when(sentence != "", sentence).when(ends, window).otherwise(F.rtrim(window))
+    return F.when(utf16_length(clean) <= cap, clean).when(sentence != "", sentence).when(ends, window).otherwise(F.rtrim(window))
 
 
 def slugify_ascii(text: Column) -> Column:
@@ -84,7 +97,7 @@ def docs_slug(url: Column, docs_host: str) -> Column:
 
 def canonical_url(url: Column, hosts: list[str]) -> Column:
     """https, an approved host, at most 300 characters, no query, fragment, port or credentials."""
-    return F.coalesce(url.rlike("^https://[^/?#@:]+(/[^?#]*)?$") & url_host(url).isin(*hosts) & (F.length(url) <= 300), F.lit(False))
+    return F.coalesce(url.rlike(r"\Ahttps://[^/?#@:\s]+(/[^?#\s]*)?\z") & url_host(url).isin(*hosts) & (F.length(url) <= 300), F.lit(False))
 
 
 def round_cents(value: Column) -> Column:
@@ -93,7 +106,7 @@ def round_cents(value: Column) -> Column:
 
 
 def id_slug(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & (F.length(text) <= SLUG_CAP), F.lit(False))
+    return F.coalesce(text.rlike(r"\A[a-z0-9]+(-[a-z0-9]+)*\z") & (F.length(text) <= SLUG_CAP), F.lit(False))
 
 
 def non_blank(text: Column, cap: int) -> Column:
@@ -105,7 +118,7 @@ def unique_list(items: Column, least: int = 1) -> Column:
 
 
 def utc_instant(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?Z$") & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+    return F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?Z\z") & F.try_to_timestamp(text).isNotNull(), F.lit(False))
 
 
 def issue_path(collection: str, index: Column, field: str) -> Column:

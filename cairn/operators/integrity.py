@@ -1,4 +1,8 @@
-"""Integrity checks that emit issues (code, path, message, ord): duplicates, missing references, duplicate edges."""
+"""Integrity checks that emit issues (code, path, message, phase, ord, sub): duplicates, missing references, repeated edges.
+
+Issues come in a fixed order: the phase of the check, the row's place (ord), the place within it (sub). Every check is a
+join or a grouping on the key that it tests; none stops at the first issue.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import issue_path
+from cairn.operators.dimensions import ENDPOINTS
 
 MAX_VISIBLE_ISSUES = 10
+COLLECTIONS = ("productFamilies", "products", "solutions", "useCases")
+CURATED_KEYS = {"products": "productId", "compositions": "solutionId", "pricing": "productId", "learningNotes": "productId", "scenarios": "id", "narration": "productId", "solutionNotes": "solutionId"}
 
 
 def issues(df: DataFrame, code: str, path: Column, message: Column, ord: Column) -> DataFrame:
@@ -21,6 +28,13 @@ def duplicate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("occurrence > 1")
 
 
+def later_rows(df: DataFrame, keys: list[str], ord: str = "ord") -> DataFrame:
+    """Every row of a key but its first by ``ord`` (a place of its own for each row). The firsts are aggregated before rows
+    meet them, so a key of many rows needs no sort."""
+    first = df.groupBy(*keys).agg(F.min(ord).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return df.join(first, keys).where(F.col(ord) > F.col("_first")).drop("_first")
+
+
 def missing_references(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """The children whose non-null key no parent has."""
     known = parent.select(F.col(parent_key).alias(child_key)).distinct()
@@ -34,7 +48,7 @@ def collisions(one: DataFrame, two: DataFrame, a: str, b: str) -> DataFrame:
 
 def report(parts: list[DataFrame]) -> DataFrame:
     """All issues with ``phase``, the position of the check that made them."""
-    return reduce(DataFrame.unionByName, (p.withColumn("phase", F.lit(k)) for k, p in enumerate(parts)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.withColumn("phase", F.lit(k)) for k, p in enumerate(parts)))
 
 
 def summary(issue_rows: DataFrame) -> DataFrame:
@@ -48,21 +62,106 @@ def visible(issue_rows: DataFrame, most: int = MAX_VISIBLE_ISSUES) -> DataFrame:
     return shown.crossJoin(F.broadcast(hidden))  # one row
 
 
+def _at(collection: str, field: str, sub: Column | None = None, inner: str = "") -> Column:
+    """collection[ord].field, or collection[ord].field[sub].inner."""
+    path = F.concat(F.lit(f"{collection}["), F.col("ord").cast("string"), F.lit(f"]{'.' if field else ''}{field}"))
+    return path if sub is None else F.concat(path, F.lit("["), sub.cast("string"), F.lit(f"]{'.' if inner else ''}{inner}"))
+
+
+def _quoted(before: str, value: Column | str, after: str = "") -> Column:
+    return F.concat(F.lit(f"{before} '"), value, F.lit(f"'{after}"))
+
+
+def _rows(df: DataFrame, code: str, path: Column, message: Column, sub: Column | None = None) -> DataFrame:
+    return issues(df, code, path, message, F.col("ord")).withColumn("sub", F.lit(0).cast("long")) if sub is None else df.select(
+        F.lit(code).alias("code"), path.alias("path"), message.alias("message"), F.col("ord").cast("long").alias("ord"), sub.cast("long").alias("sub")
+    )
+
+
+def _unknown(rows: DataFrame, key: str, known: DataFrame, kind: str, path: Column, sub: Column | None = None, code: str = "unknown-entity-reference") -> DataFrame:
+    return _rows(missing_references(rows, known, key, "id"), code, path, _quoted(f"Unknown {kind} id", key), sub)
+
+
+def document_issues(catalog: dict[str, DataFrame]) -> DataFrame:
+    """All issues of a catalog's collections: repeated ids, unknown sources, unknown families, unknown ends of edges, and
+    repeated edges. Collections have ord and id, entities also sourceIds, products familyId, relationships type, fromId and
+    toId. One id in two collections is no issue."""
+    parts = [_rows(later_rows(catalog[c], ["id"]), "duplicate-id", _at(c, "id"), _quoted("Duplicate id", "id", f" in {c}")) for c in ("sources", *COLLECTIONS)]
+    for c in (*COLLECTIONS, "relationships"):
+        used = catalog[c].select("ord", F.posexplode("sourceIds").alias("sub", "source"))
+        parts.append(_unknown(used, "source", catalog["sources"], "source", _at(c, "sourceIds", F.col("sub")), F.col("sub"), "unknown-source-reference"))
+    parts.append(_unknown(catalog["products"], "familyId", catalog["productFamilies"], "productFamilies", _at("products", "familyId")))
+    edges, ends = catalog["relationships"], []
+    for place, (field, side) in enumerate((("fromId", 0), ("toId", 1))):
+        for c in dict.fromkeys(e[side] for e in ENDPOINTS.values()):
+            typed = edges.where(F.col("type").isin(*(t for t, e in ENDPOINTS.items() if e[side] == c)))
+            ends.append(_unknown(typed, field, catalog[c], c, _at("relationships", field), F.lit(place)))
+    named = F.concat(_quoted("Duplicate relationship", "type"), _quoted(" from", "fromId"), _quoted(" to", "toId"))
+    ends.append(_rows(later_rows(edges, ["type", "fromId", "toId"]), "duplicate-relationship", _at("relationships", ""), named, F.lit(2)))
+    return report([*parts, reduce(DataFrame.unionByName, ends)])
+
+
+def curated_issues(curated: dict[str, DataFrame]) -> DataFrame:
+    """Repeated keys of the curated collections, in the order of the document."""
+    return report([_rows(later_rows(curated[c], [key]), "duplicate-id", _at(c, key), _quoted(f"Duplicate {key}", key, f" in {c}")) for c, key in CURATED_KEYS.items()])
+
+
+def curated_reference_issues(curated: dict[str, DataFrame], products: DataFrame, solutions: DataFrame, known_collisions: list[str]) -> DataFrame:
+    """What the curated collections refer to and the catalog hasn't, scenarios that share an id with a solution, solutions
+    that bound themselves, and product ids that became solution ids without being known as such."""
+    def own(c: str, key: str, known: DataFrame, kind: str) -> DataFrame:
+        return _unknown(curated[c], key, known, kind, _at(c, key), F.lit(-1))
+
+    def listed(c: str) -> DataFrame:
+        return _unknown(curated[c].select("ord", F.posexplode("productIds").alias("sub", "product")), "product", products, "products", _at(c, "productIds", F.col("sub")), F.col("sub"))
+
+    bounds = curated["solutionNotes"].select("ord", "solutionId", F.posexplode("boundariesKo").alias("sub", "b")).select("ord", "solutionId", "sub", F.col("b.solutionId").alias("other"))
+    at = _at("solutionNotes", "boundariesKo", F.col("sub"), "solutionId")
+    known = solutions.select("id").distinct()
+    shared = curated["scenarios"].join(known, "id", "left_semi")
+    both = known.join(products.select("id").distinct(), "id", "left_semi").where(~F.col("id").isin(*known_collisions))
+    parts = [
+        [own("products", "productId", products, "products")],
+        [own("compositions", "solutionId", solutions, "solutions"), listed("compositions")],
+        [own("pricing", "productId", products, "products")],
+        [own("learningNotes", "productId", products, "products")],
+        [_rows(shared, "duplicate-id", _at("scenarios", "id"), _quoted("Scenario id", "id", " collides with a solution id"), F.lit(-1)), listed("scenarios")],
+        [own("narration", "productId", products, "products")],
+        [own("solutionNotes", "solutionId", solutions, "solutions"), _unknown(bounds, "other", solutions, "solutions", at, 2 * F.col("sub")),
+         _rows(bounds.where("other = solutionId"), "duplicate-id", at, _quoted("Solution", "solutionId", " cannot bound itself"), 2 * F.col("sub") + 1)],
+        [both.select(F.lit("duplicate-id").alias("code"), F.concat(F.lit("catalog.solutions["), "id", F.lit("]")).alias("path"), _quoted("New id of a product and a solution", "id").alias("message"), F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("sub"))],
+    ]
+    return report([reduce(DataFrame.unionByName, p) for p in parts])
+
+
+def two_phases(shape: DataFrame, integrity: DataFrame) -> DataFrame:
+    """The shape issues; if there are none, the integrity issues, which need well-formed rows."""
+    clean = shape.agg((F.count("*") == 0).alias("_clean"))
+    return shape.unionByName(integrity.crossJoin(F.broadcast(clean)).where("_clean").drop("_clean"), allowMissingColumns=True)  # one row
+
+
 def catalog_issues(products: DataFrame, families: DataFrame, edges: DataFrame, product: str, family: str, family_id: str, source: str, target: str) -> DataFrame:
     """Duplicate product ids, products of unknown families, and repeated edges, as one report."""
-    dup = duplicate_keys(products, [product], ["ord"])
     orphan = missing_references(products, families, family, family_id)
-    twice = duplicate_keys(edges, [source, target], ["ord"])
     text = lambda *cols: F.concat_ws(" ", *(F.col(c).cast("string") for c in cols))
     return report([
-        issues(dup, "duplicate-id", issue_path("products", F.col("ord"), "id"), text(product), F.col("ord")),
+        issues(later_rows(products, [product]), "duplicate-id", issue_path("products", F.col("ord"), "id"), text(product), F.col("ord")),
         issues(orphan, "unknown-entity-reference", issue_path("products", F.col("ord"), "familyId"), text(family), F.col("ord")),
-        issues(twice, "duplicate-id", issue_path("relationships", F.col("ord"), "id"), text(source, target), F.col("ord")),
+        issues(later_rows(edges, [source, target]), "duplicate-relationship", _at("relationships", ""), text(source, target), F.col("ord")),
     ])
 
 
-def gate(issue_rows: DataFrame) -> None:
-    """Raises if there are issues, naming the first ten."""
-    found = visible(issue_rows).collect()
+class ValidationError(ValueError):
+    """A document with issues; ``issues`` has all of them in order."""
+
+    def __init__(self, issues: list, subject: str):
+        self.issues = issues
+        super().__init__("\n".join([f"{subject} validation failed with {len(issues)} issue(s):", *(f"  {i.path}: {i.message}" for i in issues)]))
+
+
+def gate(issue_rows: DataFrame, subject: str = "Catalog") -> None:
+    """Raises if there are issues, with a line for each. For documents that a person mends; use ``visible`` for large ones."""
+    order = [c for c in ("phase", "ord", "sub", "path") if c in issue_rows.columns]
+    found = issue_rows.orderBy(*order).collect()
     if found:
-        raise ValueError("; ".join(f"{r.code} at {r.path}" for r in found) + (f" and {found[0].hidden} more" if found[0].hidden else ""))
+        raise ValidationError(found, subject)

@@ -10,9 +10,9 @@ from cairn.functions.text import round_cents
 
 
 def usage_metrics(tiers: DataFrame, meters: DataFrame) -> DataFrame:
-    """The metrics of a product by first appearance over its tiers, with the first label."""
+    """The metrics of a product with their first label and the place of their first appearance (pos, mpos)."""
     at = F.struct("pos", "mpos")
-    return meters.join(tiers.select("product", "tier", "pos"), ["product", "tier"]).groupBy("product", "metric").agg(F.min_by("label", at).alias("label"), F.min(F.col("pos") * 1000 + F.col("mpos")).alias("place"))
+    return meters.join(tiers.select("product", "tier", "pos"), ["product", "tier"]).groupBy("product", "metric").agg(F.min_by("label", at).alias("label"), F.min(at).alias("place"))
 
 
 def tier_estimates(tiers: DataFrame, meters: DataFrame, usage: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def uncovered(tiers: DataFrame, meters: DataFrame, usage: DataFrame) -> DataFram
 
 
 def default_tier(tiers: DataFrame, meters: DataFrame) -> DataFrame:
-    """The first tier with meters, else the first."""
+    """The first tier with meters, else the first; products without tiers have no row."""
     metered = tiers.join(meters.select("product", "tier", F.lit(True).alias("_m")).distinct(), ["product", "tier"], "left")
     return metered.groupBy("product").agg(F.coalesce(F.min_by(F.when(F.col("_m"), F.col("tier")), F.when(F.col("_m"), F.col("pos"))), F.min_by("tier", "pos")).alias("tier"))
 
@@ -51,8 +51,20 @@ def edits(events: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame
     return last.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) != float("inf")))
 
 
-def parse_scenario(urls: DataFrame, key: str, query: str, known: DataFrame) -> DataFrame:
-    """key, pos, product of ``products=a,b`` in a query string: trimmed, first of repeats kept, unknown ids dropped."""
-    raw = F.regexp_extract(query, r"(?:^|[?&])products=([^&#]*)", 1)
-    items = F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != ""))
-    return urls.select(key, F.posexplode(items).alias("pos", "product")).join(known, "product", "left_semi").select(key, "pos", "product")
+def edited(scenarios: DataFrame, events: DataFrame) -> DataFrame:
+    """scenario, product, field, value after the edits (scenario, seq, product, field, value): the last edit of a field
+    counts. Field ``selected`` chooses a product by true, other fields are its tier and usage; those of products that are
+    not chosen are dropped, as are usages that are no positive finite number."""
+    rows = scenarios.select("scenario", "product", "field", "value", F.lit(-1).cast("long").alias("seq")).unionByName(events.select("scenario", "product", "field", "value", F.col("seq").cast("long").alias("seq")))
+    last = rows.groupBy("scenario", "product", "field").agg(F.max_by("value", "seq").alias("value"))
+    chosen = last.where("field = 'selected' AND value = 'true'").select("scenario", "product")
+    amount = F.try_to_number("value", F.lit("S999999999999D999999"))
+    holds = F.when(F.startswith("field", F.lit("usage.")), F.coalesce(amount > 0, F.lit(False))).otherwise(F.col("value").isNotNull())
+    return last.where("field <> 'selected'").where(holds).join(chosen, ["scenario", "product"], "left_semi").unionByName(chosen.select("*", F.lit("selected").alias("field"), F.lit("true").alias("value")))
+
+
+def calculator_cards(selections: DataFrame, tiers: DataFrame, meters: DataFrame, names: DataFrame) -> DataFrame:
+    """pos, product, name, tier of the selected products in their order: the chosen tier, else the default one. selections:
+    pos, product, tier (null unless chosen); names: product, name."""
+    rows = selections.join(default_tier(tiers, meters).withColumnRenamed("tier", "_d"), "product").join(names, "product", "left")
+    return rows.select("pos", "product", F.coalesce("name", F.col("product").cast("string")).alias("name"), F.coalesce("tier", "_d").alias("tier"))

@@ -72,6 +72,35 @@ def shared_with(members: DataFrame) -> DataFrame:
     return pairs.join(n, "id").select("solution", "id", "n_shared")
 
 
+def focus_view(members: DataFrame, products: DataFrame, solutions: DataFrame, focus: str | int) -> DataFrame:
+    """id, name, other, other_name: the products of one solution with the other solutions that have them too; other is null
+    for a product of its own. Products that the catalog lacks are left out, an unknown solution has no rows."""
+    pairs = members.select("solution", "id").distinct()
+    own = pairs.where(F.col("solution") == focus).select("id").join(products.select("id", "name"), "id")
+    others = pairs.where(F.col("solution") != focus).withColumnRenamed("solution", "other").join(solutions.select(F.col("solution").alias("other"), F.col("name").alias("other_name")), "other", "left")
+    return own.join(others, "id", "left").select("id", "name", "other", "other_name")
+
+
+def priced_members(members: DataFrame, pricing: DataFrame) -> DataFrame:
+    """The members that have a price."""
+    return members.select("solution", "id").distinct().join(pricing.select("id"), "id", "left_semi").select("solution", "id")
+
+
+def family_bands(products: DataFrame, placements: DataFrame, lane: str, layer: str) -> DataFrame:
+    """family_id, place, id, name of one layer's products, sub-grouped by family, in display order within it."""
+    placed = placements.where((F.col("lane") == lane) & (F.col("layer") == layer)).select("id").distinct()
+    rows = products.join(placed, "id")
+    return rows.select("family_id", F.row_number().over(Window.partitionBy("family_id").orderBy(F.lower("name"), "id")).alias("place"), "id", "name")
+
+
+def panel_sources(products: DataFrame, families: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, family_name (the id of an unknown family), and its known sources' titles in the order of source_ids."""
+    listed = products.select("id", F.posexplode("source_ids").alias("pos", "source")).join(sources.select(F.col("id").alias("source"), "title"), "source")
+    titles = listed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]).alias("titles"))
+    named = products.join(families.select(F.col("id").alias("family_id"), F.col("name").alias("_f")), "family_id", "left").join(titles, "id", "left")
+    return named.select("id", F.coalesce("_f", "family_id").alias("family_name"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
+
+
 def shared_solutions(members: DataFrame, focus: int) -> DataFrame:
     """The other solutions that share products with one solution, and how many."""
     pairs = members.select("solution", "id").distinct()

@@ -1,10 +1,13 @@
-"""Recall sessions: pools of answers and decoys, prefix suggestions, scores."""
+"""Recall sessions: pools of answers and decoys, prefix suggestions, scores and what they do to a record."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.learning import shared_products
+from cairn.operators.readmodels import mirrored_boundaries
+
 
 def adjacent_layers(layers: DataFrame) -> DataFrame:
     """lane, layer, near: the layers before and after each in its lane."""
@@ -16,15 +19,16 @@ def adjacent_layers(layers: DataFrame) -> DataFrame:
 
 def recall_pool(products: DataFrame, placements: DataFrame, layers: DataFrame, share: float = 0.3, least: int = 2) -> DataFrame:
     """lane, layer, id, name, is_answer: the answers of each layer, and decoys from adjacent layers: the first
-    max(2, 30 %) in display order that are no answers."""
-    placed = placements.select("lane", "layer", "id").distinct()
-    near = adjacent_layers(layers).join(placed.withColumnRenamed("layer", "near"), ["lane", "near"]).select("lane", "layer", "id").distinct()
-    decoys = near.join(placed, ["lane", "layer", "id"], "left_anti").join(products, "id")
+    max(2, 30 % of the answers) in display order that are no answers. A layer without answers has two decoys. Placed ids
+    that no product has are neither."""
+    placed = placements.select("lane", "layer", "id").distinct().join(products.select("id", "name"), "id")
+    near = adjacent_layers(layers).join(placed.withColumnRenamed("layer", "near"), ["lane", "near"]).select("lane", "layer", "id", "name").distinct()
+    decoys = near.join(placed, ["lane", "layer", "id"], "left_anti")
     n = placed.groupBy("lane", "layer").agg(F.greatest(F.lit(least), F.floor(F.count("*") * share + 0.5).cast("int")).alias("k"))
     order = Window.partitionBy("lane", "layer").orderBy(F.lower("name"), "id")
-    decoys = decoys.withColumn("_r", F.row_number().over(order)).join(F.broadcast(n), ["lane", "layer"]).where("_r <= k")
+    decoys = decoys.withColumn("_r", F.row_number().over(order)).join(F.broadcast(n), ["lane", "layer"], "left").where(F.col("_r") <= F.coalesce("k", F.lit(least)))  # a row per layer
     cols = ["lane", "layer", "id", "name"]
-    return placed.join(products, "id").select(*cols, F.lit(True).alias("is_answer")).unionByName(decoys.select(*cols, F.lit(False).alias("is_answer")))
+    return placed.select(*cols, F.lit(True).alias("is_answer")).unionByName(decoys.select(*cols, F.lit(False).alias("is_answer")))
 
 
 def suggest(products: DataFrame, query: str, entered: DataFrame | None = None, limit: int = 8) -> DataFrame:
@@ -43,6 +47,21 @@ def suggest(products: DataFrame, query: str, entered: DataFrame | None = None, l
     return found.orderBy(F.lower("name"), "id").limit(limit)
 
 
+def solution_pools(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The answers (solution, id, name) of every solution that has a composition, and its boundary questions: solution,
+    neighbour, neighbour_name and answers, for each neighbour of either direction with which it shares products."""
+    named = members.distinct().join(products.select("id", "name"), "id", "left").join(solutions.select(F.col("id").alias("solution")), "solution", "left_semi")
+    answers = named.select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
+    sides = mirrored_boundaries(boundaries).where("a <> b").select("a", "b").join(solutions.select(F.col("id").alias("a")), "a", "left_semi")
+    asked = shared_products(sides, members, products).join(solutions.select(F.col("id").alias("b"), F.col("name").alias("_n")), "b", "left")
+    return answers, asked.select(F.col("a").alias("solution"), F.col("b").alias("neighbour"), F.coalesce("_n", F.col("b").cast("string")).alias("neighbour_name"), F.col("shared").alias("answers"))
+
+
+def results(answers: DataFrame, picked: DataFrame) -> DataFrame:
+    """area, id, correct: a row per answer."""
+    return answers.select("area", "id").distinct().join(picked.select("area", "id").distinct().withColumn("_p", F.lit(True)), ["area", "id"], "left").select("area", "id", F.col("_p").isNotNull().alias("correct"))
+
+
 def score(answers: DataFrame, picked: DataFrame) -> DataFrame:
     """area: n_answers, n_correct, n_wrong, kind. answers: area, id; picked: area, id. More wrong than right picks make a
     session practice."""
@@ -51,6 +70,31 @@ def score(answers: DataFrame, picked: DataFrame) -> DataFrame:
     return counts.withColumn("kind", F.when(F.col("n_wrong") > F.col("n_correct"), "practice").otherwise("verify"))
 
 
-def compose_effect(correct: str = "n_correct", total: str = "n_answers", wrong: str = "n_wrong", threshold: float = 0.8):
+def compose_effect(correct: str = "n_correct", total: str = "n_answers", wrong: str = "n_wrong", threshold: float = 0.8) -> Column:
     """none for a spray of picks, verify from the threshold on, else demote."""
     return F.when(F.col(wrong) > F.col(correct), "none").when(F.coalesce(F.try_divide(correct, total) >= threshold, F.lit(False)), "verify").otherwise("demote")
+
+
+def boundary_effect(correct: str = "n_correct", total: str = "n_answers", wrong: str = "n_wrong") -> Column:
+    """demote for any miss or wrong entry; a perfect answer changes nothing."""
+    return F.when((F.col(wrong) > 0) | (F.col(correct) < F.col(total)), "demote").otherwise("none")
+
+
+def picks(toggles: DataFrame, answers: DataFrame) -> DataFrame:
+    """area, id: what is picked after the toggles (area, seq, id) in order, with no more picks at a time than the area has
+    answers. A toggle removes a pick that is there; else it adds one while there is room. A session's toggles are one
+    learner's clicks; the fold over them is an aggregation of the sorted list."""
+    room = answers.groupBy("area").agg(F.count_distinct("id").cast("int").alias("room"))
+    empty = F.array().cast(f"array<{dict(toggles.dtypes)['id']}>")
+    ordered = toggles.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("t")).join(room, "area")
+
+    def step(acc: Column, x: Column) -> Column:
+        removed = F.array_remove(acc, x["id"])
+        return F.when(F.array_contains(acc, x["id"]), removed).when(F.size(acc) < F.col("room"), F.array_append(acc, x["id"])).otherwise(acc)
+
+    return ordered.select("area", F.explode(F.aggregate("t", empty, step)).alias("id"))
+
+
+def entered_chips(entered: DataFrame, products: DataFrame) -> DataFrame:
+    """entered (area, id) with the product's name, its id where the catalog lacks it."""
+    return entered.join(products.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", F.col("id").cast("string")))

@@ -6,42 +6,26 @@ Roles: product = part, family = p_brand, solution = supplier, composition = (l_s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import curated, integrity, merge, pricing, progress, readmodels, recall, robots, scenario
+from cairn.plans.registry import query, t
 from cairn.sources import page_parsers
 from cairn.sources import pages as P
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 LAYERS = [("A", "F", 1), ("A", "O", 2), ("N", "F", 3), ("N", "O", 4), ("R", "F", 5), ("R", "O", 6)]
 HOSTS = ["therat.example.net", "ththed.example.org", "tionsh.example.net"]
 ROBOTS = [
     ("therat.example.net", "User-agent: *\nDisallow: /de/\nAllow: /de/1\nCrawl-delay: 2\n"),
     ("ththed.example.org", "User-agent: cairn\nUser-agent: other\nDisallow: /*5$\nDisallow: /fr/\nAllow: /fr/\n\nUser-agent: *\nDisallow: /"),
+    ("h4.example.net", "User-agent: a\nUser-agent:\nDisallow: /a\nCrawl-delay: x\nUser-agent: cairn\nCrawl-delay: 2\nCrawl-delay: 7\nDisallow: /b"),
     ("tionsh.example.net", "# all\r\nUser-agent: *\r\nDisallow:\r\nUser-agent: x\r\nDisallow: /"),
 ]
 TODAY = "2024-01-31"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _products(s, d):
     return t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
@@ -90,16 +74,16 @@ def id_collisions_across_collections(s, d):
 
 def _issues(s, d):
     products = t(s, d, "part").select(F.col("p_partkey").alias("product"), F.col("p_brand").alias("family"), F.col("p_partkey").alias("ord"))
-    families = products.where("product % 3 <> 0").select("family").distinct().where("family < 'Brand#4'").withColumnRenamed("family", "family_id")
+    families = t(s, d, "part").where("p_size > 3 AND p_brand < 'Brand#4'").select(F.col("p_brand").alias("family")).distinct().withColumnRenamed("family", "family_id")
     edges = t(s, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return integrity.catalog_issues(products, families, edges, "product", "family", "family_id", "a", "b")
 
 
 _ISSUES = """
-    WITH f AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 3 <> 0 AND p_brand < 'Brand#4'),
+    WITH f AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 3 AND p_brand < 'Brand#4'),
     e AS (SELECT l_suppkey AS a, l_partkey AS b, l_orderkey * 10 + l_linenumber AS ord, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem),
     i AS (SELECT 'unknown-entity-reference' AS code, 'products[' || p_partkey || '].familyId' AS path, p_brand AS message, p_partkey AS ord, 1 AS phase FROM part WHERE p_brand NOT IN (FROM f)
-          UNION ALL SELECT 'duplicate-id', 'relationships[' || ord || '].id', a || ' ' || b, ord, 2 FROM e WHERE n > 1)"""
+          UNION ALL SELECT 'duplicate-relationship', 'relationships[' || ord || ']', a || ' ' || b, ord, 2 FROM e WHERE n > 1)"""
 
 
 @query(_ISSUES + " SELECT code, count(*) AS n, min(path) AS first_path FROM i GROUP BY code")
@@ -244,19 +228,31 @@ def _robots(s):
     return robots.parse(s.createDataFrame(ROBOTS, "host string, body string"))
 
 
-@query("SELECT * FROM (VALUES ('therat.example.net', 1, 4), ('ththed.example.org', 1, 5), ('ththed.example.org', 2, 2), ('tionsh.example.net', 1, 2), ('tionsh.example.net', 2, 2)) v(host, grp, n)")
+_ROBOTS = (
+    "WITH f(host, body) AS (VALUES " + ", ".join(f"('{host}', '{body}')" for host, body in ROBOTS) + r"""),
+    l AS (SELECT host, unnest(range(len(x))) AS pos, regexp_replace(unnest(x), '#.*', '') AS line FROM (SELECT host, regexp_split_to_array(body, '\r\n|\n|\r') AS x FROM f)),
+    k AS (SELECT host, pos, lower(trim(split_part(line, ':', 1))) AS field, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM l WHERE contains(line, ':')),
+    e AS (SELECT *, lag(field) OVER (PARTITION BY host ORDER BY pos) AS prev FROM k WHERE field IN ('allow', 'disallow') OR (field = 'user-agent' AND value <> '') OR (field = 'crawl-delay' AND try_cast(value AS DOUBLE) >= 0)),
+    g AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND prev IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS grp FROM e),
+    b AS (SELECT host, coalesce(arg_max(lower(value), (length(value), -pos)) FILTER (value <> '*' AND contains('cairn', lower(value))), '*') AS token FROM g WHERE field = 'user-agent' GROUP BY 1),
+    o AS (SELECT DISTINCT g.host, grp FROM g JOIN b ON b.host = g.host AND lower(value) = token AND field = 'user-agent'),
+    r AS (SELECT g.host, value AS pattern, field = 'allow' AS allow, '^' || regexp_replace(replace(regexp_replace(value, '([\\.^$|?+()\[\]{}])', '\\\1', 'g'), '*', '.*'), '\\\$$', '$') AS re FROM g JOIN o ON o.host = g.host AND o.grp = g.grp WHERE field IN ('allow', 'disallow') AND value <> '')"""
+)
+
+
+@query(_ROBOTS + " SELECT host, grp::INT AS grp, count(*)::INT AS n FROM g WHERE grp > 0 GROUP BY ALL")
 def robots_parse_groups(s, d):
     return _robots(s).groupBy("host", F.col("group").cast("int").alias("grp")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query(f"""SELECT page_id, CASE {_HOST} WHEN 'therat.example.net' THEN NOT starts_with({_PATH}, '/de/') OR starts_with({_PATH}, '/de/1')
-    WHEN 'ththed.example.org' THEN NOT ends_with({_PATH}, '5') OR starts_with({_PATH}, '/fr/') ELSE true END AS allowed FROM pages""")
+@query(_ROBOTS + f""", p AS (SELECT page_id, {_HOST} AS host, CASE WHEN starts_with({_PATH}, '/') THEN {_PATH} ELSE '/' || {_PATH} END AS path FROM pages),
+    d AS (SELECT page_id, arg_max(allow, (length(pattern), allow)) AS allow FROM p JOIN r ON r.host = p.host AND regexp_matches(path, re) GROUP BY 1) SELECT page_id, coalesce(allow, true) AS allowed FROM p LEFT JOIN d USING (page_id)""")
 def robots_allowed(s, d):
     paths = t(s, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), X.url_path(F.col("url")).alias("path"))
     return robots.decisions(paths, _robots(s), "cairn").select("page_id", "allowed")
 
 
-@query("SELECT 'therat.example.net' AS host, 2.0::DOUBLE AS delay")
+@query(_ROBOTS + ", dl AS (SELECT g.host, g.grp, arg_max(value::DOUBLE, pos) AS delay FROM g JOIN o ON o.host = g.host AND o.grp = g.grp WHERE field = 'crawl-delay' GROUP BY ALL) SELECT host, arg_min(delay, grp) AS delay FROM dl GROUP BY 1")
 def robots_crawl_delay(s, d):
     return robots.crawl_delay(_robots(s), "cairn")
 
@@ -290,11 +286,11 @@ def product_panel(s, d):
     return readmodels.panel(_products(s, d), _placements(s, d), notes, prices)
 
 
-@query("SELECT s_suppkey AS solution, s_name, n AS member_count FROM supplier LEFT JOIN (SELECT l_suppkey, count(p_partkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey % 7 <> 0) LEFT JOIN part ON l_partkey = p_partkey AND p_size <= 25 GROUP BY 1) ON l_suppkey = s_suppkey")
+@query("SELECT s_suppkey AS solution, s_name, n AS member_count FROM supplier LEFT JOIN (SELECT l_suppkey, count(p_partkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0) LEFT JOIN part ON l_partkey = p_partkey AND p_size <= 25 GROUP BY 1) ON l_suppkey = s_suppkey")
 def solution_cards(s, d):
     solutions = t(s, d, "supplier").select(F.col("s_suppkey").alias("solution"), "s_name")
     known = t(s, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    return readmodels.solution_cards(solutions, _members(s, d).where("solution % 7 <> 0"), known)
+    return readmodels.solution_cards(solutions, t(s, d, "lineitem").where("l_quantity = 50 AND l_discount = 0").select(F.col("l_suppkey").alias("solution"), F.col("l_partkey").alias("id")), known)
 
 
 @query("WITH p AS (SELECT DISTINCT l_suppkey AS solution, l_partkey AS id FROM lineitem) SELECT solution, id, count(*) OVER (PARTITION BY id) - 1 AS n_shared FROM p")
@@ -363,6 +359,7 @@ def _usage(s, d):
     return sums.unpivot("product", ["qty", "lines", "numbers"], "metric", "amount")
 
 
+_TIER_ROWS = "ti(tier, pos, monthly) AS (VALUES ('free', 1, 0.0), ('paid', 2, 5.0), ('enterprise', 3, NULL)), me(tier, mpos, metric, label) AS (VALUES ('paid', 1, 'qty', 'Quantity'), ('paid', 2, 'lines', 'Lines'), ('enterprise', 1, 'qty', 'Volume'))"
 _USE = "u AS (SELECT l_suppkey AS product, sum(l_quantity)::DOUBLE AS qty, count(*)::DOUBLE AS lines FROM lineitem GROUP BY 1)"
 _CENTS = lambda x: f"floor(({x}) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE"
 _EST = f"""WITH {_USE}, e AS (SELECT s_suppkey AS product, 'free' AS tier, 0.0::DOUBLE AS total FROM supplier
@@ -375,17 +372,18 @@ def tier_estimates(s, d):
     return pricing.tier_estimates(_tiers(s, d), _meters(s, d), _usage(s, d)).select("product", "tier", "total")
 
 
-@query("SELECT s_suppkey AS product, metric, label, place FROM supplier, (VALUES ('qty', 'Quantity', 2001), ('lines', 'Lines', 2002)) v(metric, label, place)")
+@query(f"WITH {_TIER_ROWS}, m AS (SELECT metric, arg_min(label, (pos, mpos)) AS label, min(pos * 1000 + mpos) AS place FROM me JOIN ti USING (tier) GROUP BY 1) SELECT s_suppkey AS product, metric, label, place FROM supplier, m")
 def usage_metrics_first_seen(s, d):
-    return pricing.usage_metrics(_tiers(s, d), _meters(s, d))
+    return pricing.usage_metrics(_tiers(s, d), _meters(s, d)).withColumn("place", F.col("place.pos") * 1000 + F.col("place.mpos"))
 
 
-@query(f"WITH {_USE} SELECT product, tier, metric FROM u, (VALUES ('free', 'qty'), ('free', 'lines'), ('free', 'numbers'), ('paid', 'numbers'), ('enterprise', 'lines'), ('enterprise', 'numbers')) v(tier, metric) WHERE product IN (SELECT s_suppkey FROM supplier)")
+@query(f"""WITH {_USE}, {_TIER_ROWS}, un AS (SELECT l_suppkey AS product, unnest(['qty', 'lines', 'numbers']) AS metric, unnest([sum(l_quantity), count(*), sum(l_linenumber)]) AS amount FROM lineitem GROUP BY l_suppkey)
+    SELECT product, tier, metric FROM un, ti WHERE amount > 0 AND product IN (SELECT s_suppkey FROM supplier) AND (tier, metric) NOT IN (SELECT (tier, metric) FROM me)""")
 def uncovered_metrics(s, d):
     return pricing.uncovered(_tiers(s, d), _meters(s, d), _usage(s, d))
 
 
-@query("SELECT s_suppkey AS product, 'paid' AS tier FROM supplier")
+@query(f"WITH {_TIER_ROWS} SELECT s_suppkey AS product, coalesce((SELECT arg_min(tier, pos) FROM ti WHERE tier IN (SELECT tier FROM me)), (SELECT arg_min(tier, pos) FROM ti)) AS tier FROM supplier")
 def default_tier(s, d):
     return pricing.default_tier(_tiers(s, d), _meters(s, d))
 
@@ -414,9 +412,9 @@ def recall_pool_decoys(s, d):
     return _recall(s, d)
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[\\s/-]+'), lambda w: starts_with(w, 'par'))) > 0 OR starts_with(p_partkey::VARCHAR, 'par') ORDER BY lower(p_name), p_partkey LIMIT 8")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[\\s/-]+'), lambda w: starts_with(w, 'rin'))) > 0 OR starts_with(p_partkey::VARCHAR, 'rin') ORDER BY lower(p_name), p_partkey LIMIT 8")
 def suggest_prefix(s, d):
-    return recall.suggest(_products(s, d), "par")
+    return recall.suggest(_products(s, d), "rin")
 
 
 @query("""WITH a AS (SELECT DISTINCT event_type AS area, user_id AS id FROM events WHERE value < 60), p AS (SELECT DISTINCT event_type AS area, user_id AS id FROM events WHERE value > 50),
@@ -467,7 +465,7 @@ _NODES = """WITH e AS (SELECT user_id || ':' || event_id % 3 AS node, event_id,
         event_type = 'purchase' AS hit, event_type = 'error' AND value < 20 AS miss FROM events),
     m AS (SELECT *, max(CASE WHEN miss THEN event_id END) OVER (PARTITION BY node) AS m FROM e),
     g AS (SELECT node, max(CASE WHEN m IS NULL OR event_id > m THEN r ELSE least(r, 1) END) AS r, count(*) FILTER (hit AND (m IS NULL OR event_id > m)) AS streak FROM m GROUP BY 1),
-    n AS (SELECT node, ['absent', 'visited', 'learned', 'verified'][r + 1] AS status, streak FROM g) """
+    n AS (SELECT node, ['absent', 'visited', 'marked', 'verified'][r + 1] AS status, streak FROM g) """
 
 
 @query(_NODES + "SELECT * FROM n")
@@ -541,7 +539,12 @@ def scenario_query_strings(s, d):
     return scenario.serialize(_scenarios(s, d), "event_id")
 
 
-# pages of the five kinds, made from nations and their suppliers ---------------------------------------------------------
+# pages of the five kinds ----------------------------------------------------------------------------------------------
+@query("SELECT page_id, 'none' AS kind, 'none of the kinds fit' AS issue FROM pages")
+def parsed_pages(s, d):
+    return page_parsers.parse(t(s, d, "pages")).select("page_id", "kind", "issue")
+
+
 def _page(path: str, page_id: str, body) -> tuple:
     """url and html of a page; every fifth has the canonical link of another page, every seventh no description."""
     k = F.col(page_id)
@@ -551,39 +554,24 @@ def _page(path: str, page_id: str, body) -> tuple:
     return F.concat(F.lit(f"https://{HOSTS[0]}{path}"), k.cast("string")).alias("url"), html.alias("html")
 
 
-def _inner(rows: DataFrame, page_id: str, order: str, part) -> DataFrame:
-    """A page's parts in order, joined: as many as a nation has suppliers, or a region nations."""
-    return rows.groupBy(page_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda x: x["p"]), "").alias("body"))
-
-
-@query(f"""WITH c AS (SELECT n_regionkey AS page_id, n_nationkey, n_name AS "group", s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'Key ' || s_suppkey END AS summary,
-        'https://{HOSTS[0]}/products/' || s_suppkey AS href FROM nation JOIN supplier ON s_nationkey = n_nationkey)
-    SELECT page_id, 'products-overview' AS kind, row_number() OVER (PARTITION BY page_id ORDER BY n_nationkey, s_suppkey) - 1 AS pos, "group", name, summary, href FROM c WHERE page_id % 5 <> 4 AND page_id % 7 <> 6""")
+@query(f"""WITH c AS (SELECT o_orderkey AS page_id, o_orderstatus AS "group", unnest(['One ' || o_custkey, 'Two ' || o_custkey]) AS name, unnest([CASE WHEN o_totalprice > 250000 THEN 'Key ' || o_custkey END, 'Much']) AS summary, unnest(['https://{HOSTS[0]}/products/1-' || o_custkey, 'https://{HOSTS[0]}/products/2-' || o_custkey]) AS href, unnest([0, 1]) AS pos FROM orders)
+    SELECT page_id, 'products-overview' AS kind, pos, "group", name, summary, href FROM c WHERE page_id % 5 <> 4 AND page_id % 7 <> 6""")
 def parsed_product_cards(s, d):
-    k = F.col("s_suppkey").cast("string")
-    card = F.concat(F.lit('<a href="/products/'), k, F.lit('"><div><strong>'), F.col("s_name"), F.lit("</strong></div>"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("<p> Key  "), k, F.lit("</p>"))).otherwise(""), F.lit("</a>"))
-    nations = t(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
-    figures = _inner(t(s, d, "supplier"), "s_nationkey", "s_suppkey", card).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    figure = F.concat(F.lit("<figure><figcaption>"), F.col("n_name"), F.lit("</figcaption>"), F.col("body"), F.lit("</figure>"))
-    made = _inner(figures, "n_regionkey", "n_nationkey", figure).select(F.col("n_regionkey").alias("page_id"), *_page("/regions/", "n_regionkey", F.col("body")))
+    """An overview page per order, of one family and two products."""
+    k = F.col("o_custkey").cast("string")
+    about = F.when(F.col("o_totalprice") > 250000, F.concat(F.lit("<p> Key  "), k, F.lit("</p>"))).otherwise("")
+    card = lambda n, name, about: F.concat(F.lit(f'<a href="/products/{n}-'), k, F.lit(f'"><div><strong>{name} '), k, F.lit("</strong></div>"), about, F.lit("</a>"))
+    body = F.concat(F.lit("<figure><figcaption>"), F.col("o_orderstatus"), F.lit("</figcaption>"), card(1, "One", about), card(2, "Two", F.lit("<p>Much</p>")), F.lit("</figure>"))
+    made = t(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), *_page("/orders/", "o_orderkey", body))
     return page_parsers.cards(page_parsers.parse(made))
 
 
-@query("""SELECT s_nationkey AS page_id, CASE WHEN s_nationkey % 5 = 4 OR s_nationkey % 7 = 6 OR bool_and(s_suppkey % 4 = 0) THEN NULL ELSE count(*) FILTER (s_suppkey % 4 > 0) END AS n_cards,
-        CASE WHEN s_nationkey % 5 = 4 THEN 'canonical link of another page' WHEN s_nationkey % 7 = 6 THEN 'no description' WHEN bool_and(s_suppkey % 4 = 0) THEN 'no cards' END AS issue
-    FROM supplier GROUP BY 1""")
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 7 <> 6 AND p_size > 10 THEN CASE WHEN p_size > 30 THEN 2 ELSE 1 END END AS n_cards,
+        CASE WHEN p_partkey % 5 = 4 THEN 'canonical link of another page' WHEN p_partkey % 7 = 6 THEN 'no description' WHEN p_size <= 10 THEN 'no cards' END AS issue FROM part""")
 def parsed_docs_pages(s, d):
-    k = F.col("s_suppkey").cast("string")
-    entry = F.concat(F.lit('<a href="/docs/'), k, F.lit('">'), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("<span>"), F.col("s_name"), F.lit("</span><p>Key "), k, F.lit("</p>"))).otherwise("Menu"), F.lit("</a>"))
-    body = F.concat(F.lit("<main data-pagefind-body>"), F.col("body"), F.lit("</main>"))
-    made = _inner(t(s, d, "supplier"), "s_nationkey", "s_suppkey", entry).select(F.col("s_nationkey").alias("page_id"), *_page("/nations/", "s_nationkey", body))
+    """A directory page per part; entries without text are navigation."""
+    entry = lambda path, shown: F.concat(F.lit(f'<a href="/{path}">'), F.when(shown, F.concat(F.lit("<span>"), F.col("p_name"), F.lit("</span><p>About</p>"))).otherwise("Menu"), F.lit("</a>"))
+    body = F.concat(F.lit("<main data-pagefind-body>"), entry("one", F.col("p_size") > 10), entry("two", F.col("p_size") > 30), F.lit("</main>"))
+    made = t(s, d, "part").select(F.col("p_partkey").alias("page_id"), *_page("/parts/", "p_partkey", body))
     parsed = page_parsers.parse(made)
     return parsed.select("page_id", F.when(F.col("cards").isNotNull(), F.size("cards")).alias("n_cards"), "issue")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

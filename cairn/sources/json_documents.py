@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTITY = "struct<id:string,name:string,summary:string,sourceIds:array<string>>"
 CATALOG = (
@@ -18,6 +21,21 @@ CATALOG = (
 COLLECTIONS = ("sources", "productFamilies", "products", "solutions", "useCases", "relationships")
 
 
+GROUNDED = "sourceUrl:string,verifiedAt:string"
+CURATED = (
+    f"schemaVersion string, products array<struct<productId:string,roleKo:string,placements:array<struct<lane:string,layer:string>>,{GROUNDED}>>, "
+    f"compositions array<struct<solutionId:string,productIds:array<string>,{GROUNDED}>>, "
+    "pricing array<struct<productId:string,tiers:array<struct<id:string,name:string,monthlyUsd:double,noteKo:string,featuresKo:array<string>,"
+    "limits:array<struct<metric:string,included:double,per:string,labelKo:string,noteKo:string>>,"
+    f"meters:array<struct<metric:string,included:double,per:string,overage:struct<usd:double,perUnits:double>,labelKo:string>>>>,{GROUNDED}>>, "
+    "learningNotes array<struct<productId:string,whyKo:string,misconceptionKo:string,customerQuestionKo:string,analogyKo:string,se:struct<archKo:string,opsKo:string,limitsKo:string>,"
+    "ae:struct<pitchKo:string,valueKo:string,objections:array<struct<q:string,a:string>>>,battlecard:array<struct<competitor:string,vsKo:string,grounding:string,sourceUrl:string>>,"
+    f"{GROUNDED}>>, solutionNotes array<struct<solutionId:string,oneLinerKo:string,whyKo:string,misconceptionKo:string,customerQuestionKo:string,"
+    f"boundariesKo:array<struct<solutionId:string,noteKo:string>>,seAngleKo:string,aeAngleKo:string,{GROUNDED}>>, "
+    f"scenarios array<struct<id:string,titleKo:string,situationKo:string,productIds:array<string>,talkTrackKo:string,{GROUNDED}>>, narration array<struct<productId:string,captionKo:string,{GROUNDED}>>"
+)
+
+
 def read_document(spark: SparkSession, path: str, schema: str = CATALOG) -> DataFrame:
     """One row of arrays; a document that isn't JSON has nulls."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -28,15 +46,53 @@ def collection(document: DataFrame, name: str) -> DataFrame:
     return document.select(F.posexplode(name).alias("ord", "item")).select("ord", "item.*")
 
 
-def unknown_keys(spark: SparkSession, path: str, schema: str = CATALOG) -> DataFrame:
-    """key: what the document has at its top and the schema has not."""
-    known = spark.createDataFrame([], schema).columns
-    return spark.read.text(path, wholetext=True).select(F.explode(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, known)))).alias("key"))
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text and problem of each document of a folder or file: a text that is no JSON has the stage at which it failed."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return rows.withColumn("problem", F.when(F.try_parse_json("text").isNull(), "parse"))
+
 
+def unknown_in(value: Column, kind: T.DataType, at: Column) -> Column:
+    """The paths of what an object of a variant has and its type hasn't, at any depth."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce(F.flatten(F.transform(items, lambda x, i: unknown_in(x, kind.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))), none)
+    if not isinstance(kind, T.StructType):
+        return none
+    inner = lambda name: F.when(at == "", name).otherwise(F.concat(at, F.lit("."), name))
+    keys = F.coalesce(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), none)
+    own = F.transform(F.array_except(keys, F.array(*map(F.lit, kind.fieldNames()))), inner)
+    nested = [unknown_in(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType, inner(F.lit(f.name))) for f in kind if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    return F.concat(own, *nested)
 
-def is_empty(document: DataFrame) -> DataFrame:
+
+def unknown_keys(texts: DataFrame, schema: str = CATALOG, text: str = "text") -> DataFrame:
+    """code, path, message, ord of each key that a document (a row of JSON text) has and the schema hasn't, at any depth."""
+    kind = T.StructType.fromDDL(schema)
+    paths = texts.select(F.posexplode(unknown_in(F.try_parse_json(F.col(text)), kind, F.lit(""))).alias("ord", "path"))
+    key = F.regexp_extract("path", r"([^.]*)$", 1)
+    return paths.select(F.lit("invalid-shape").alias("code"), "path", F.concat(F.lit('Unrecognized key: "'), key, F.lit('"')).alias("message"), F.col("ord").cast("long").alias("ord"))
+
+
+def load(spark: SparkSession, path: str, schema: str, check: Callable[[DataFrame], DataFrame], collections: tuple[str, ...]) -> tuple[str, DataFrame | None]:
+    """What became of reading a document, and the document: fetch-error, invalid-data (no JSON, or issues), empty (all
+    collections are) or success. ``check`` gives the issues of the document."""
+    try:
+        text = read_texts(spark, path)
+        if text.isEmpty():
+            return "fetch-error", None
+    except AnalysisException:
+        return "fetch-error", None
+    document = read_document(spark, path, schema)
+    if not text.where("problem IS NOT NULL").isEmpty() or not unknown_keys(text, schema).isEmpty() or not check(document).isEmpty():
+        return "invalid-data", None
+    return ("empty" if is_empty(document, collections).first().empty else "success"), document
+
+
+def is_empty(document: DataFrame, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
     """One row ``empty``: whether all collections are."""
-    n = sum((F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)) for c in COLLECTIONS), F.lit(0))
+    n = sum((F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)) for c in collections), F.lit(0))
     return document.select((n == 0).alias("empty"))
 
 

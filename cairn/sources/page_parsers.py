@@ -254,6 +254,8 @@ def parse(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     makers = (product_cards(), solution_cards(), use_case_cards(*PRODUCT_USE_CASES), use_case_cards(*SOLUTION_USE_CASES), docs_cards())
     cards = reduce(lambda rest, pair: F.when(F.col("kind") == pair[0], pair[1].cast(f"array<{CARD}>")).otherwise(rest), zip(KINDS, makers, strict=True), F.lit(None).cast(f"array<{CARD}>"))
     seen = seen.withColumn("_cards", cards)
+    # a generator of one row: the optimizer would put the expression of the cards into each of its uses below
+    seen = seen.select(F.inline(F.array(F.struct(*seen.columns))))
     same = lambda u: F.concat(url_host(u), path_key(u))
     uses, overview = F.col("kind").isin(*KINDS[2:4]), F.col("kind") == KINDS[0]
     lacks = lambda field: F.exists("_cards", lambda c: c[field].isNull())

@@ -2,43 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cairn.functions.text import collapse_whitespace, url_host
 
 # fixed values
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
 MAX_HOPS = 5
+RETRY_DELAYS_MS = (1000, 2000, 4000)
+# fixed values: codes of failed requests
+TIMEOUTS = ("timeout", "TimeoutError", "ETIMEDOUT", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT")
+NETWORK = ("network", "ECONNREFUSED", "ECONNRESET", "ENOTFOUND", "EAI_AGAIN", "EPIPE", "UND_ERR_SOCKET")
+
+
+def default_port(url: Column) -> Column:
+    """The URL without the port that https has anyway."""
+    return F.regexp_replace(url, r"^(https://[^/?#:]*):443(?=[/?#]|$)", "$1")
 
 
 def allowed_url(url: Column, hosts: list[str]) -> Column:
     """https, the default port, and a host of the list."""
-    return F.coalesce(url.startswith("https://") & url_host(url).isin(*hosts), F.lit(False))
+    return F.coalesce(url.startswith("https://") & url_host(default_port(url)).isin(*hosts), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
+    from urllib.parse import urljoin
+
+    def one(b, x):
+        try:
+            return urljoin(b, x)
+        except ValueError:
+            return None
 
+    return pd.Series([one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
 
-def follow(requests: DataFrame, answers: DataFrame, hosts: list[str]) -> DataFrame:
+
+def resolve(base: Column, link: Column) -> Column:
+    """A link, made absolute by the URL that it stands at; absolute ones need no Python."""
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.isNotNull() & base.isNotNull(), _joined(base, link))
+
+
+def follow(requests: DataFrame, answers: DataFrame, hosts: list[str], guard: Callable[[Column], Column] | None = None) -> DataFrame:
     """url, final_url, status, hops, problem: redirect chains over a table of answers (url, status, location), one join a
-    hop. Each hop is checked against the hosts before it is looked up."""
-    state = requests.select("url", F.col("url").alias("at"), F.lit(None).cast("int").alias("status"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("problem"), F.lit(False).alias("done"))
-    table = answers.select(F.col("url").alias("_u"), F.col("status").alias("_s"), F.col("location").alias("_l"))
+    hop. Each hop is checked against the hosts, and by ``guard`` (whether a URL may be asked for), before it is looked up.
+    Locations may be relative."""
+    state = requests.select("url", default_port(F.col("url")).alias("at"), F.lit(None).cast("int").alias("status"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("problem"), F.lit(False).alias("done"))
+    table = answers.select(default_port(F.col("url")).alias("_u"), F.col("status").alias("_s"), default_port(resolve(F.col("url"), F.col("location"))).alias("_l"))
     for _ in range(MAX_HOPS + 1):
         joined = state.join(table, (F.col("at") == F.col("_u")) & ~F.col("done"), "left")
-        bad = ~F.col("done") & ~allowed_url(F.col("at"), hosts)
-        moved = F.col("_s").isin(*REDIRECT_STATUSES)
+        wrong = ~allowed_url(F.col("at"), hosts)
+        vetoed = ~F.coalesce(guard(F.col("at")), F.lit(False)) if guard else F.lit(False)
+        bad = ~F.col("done") & (wrong | vetoed)
+        moved = F.col("_s").isin(*REDIRECT_STATUSES) & F.col("_l").isNotNull()
+        goes = ~F.col("done") & ~bad & F.coalesce(moved, F.lit(False)) & (F.col("hops") < MAX_HOPS)
         state = joined.select(
             "url",
-            F.when(~F.col("done") & ~bad & moved & (F.col("hops") < MAX_HOPS), F.col("_l")).otherwise(F.col("at")).alias("at"),
+            F.when(goes, F.col("_l")).otherwise(F.col("at")).alias("at"),
             F.when(F.col("done") | bad, F.col("status")).otherwise(F.col("_s")).alias("status"),
-            F.when(~F.col("done") & ~bad & moved & (F.col("hops") < MAX_HOPS), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            F.when(F.col("done"), F.col("problem")).when(bad, "forbidden").when(F.col("_s").isNull(), "network").when(moved & (F.col("hops") >= MAX_HOPS), "too-many-redirects").alias("problem"),
-            (F.col("done") | bad | F.col("_s").isNull() | ~F.coalesce(moved, F.lit(False)) | (F.col("hops") >= MAX_HOPS)).alias("done"),
+            F.when(goes, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
+            F.when(F.col("done"), F.col("problem")).when(bad & wrong, "forbidden").when(bad, "vetoed").when(F.col("_s").isNull(), "network").when(moved & (F.col("hops") >= MAX_HOPS), "too-many-redirects").alias("problem"),
+            (F.col("done") | ~goes).alias("done"),
         )
     return state.select("url", F.col("at").alias("final_url"), "status", "hops", "problem")
 
 
+def failure_class(error: Column) -> Column:
+    """timeout, network or other, by the error's code."""
+    return F.when(error.isin(*TIMEOUTS), "timeout").when(error.isin(*NETWORK), "network").when(error.isNotNull(), "other")
+
+
 def retryable(status: Column, error: Column) -> Column:
-    return F.coalesce(error.isin("timeout", "network"), F.lit(False)) | F.coalesce((status == 429) | status.between(500, 599), F.lit(False))
+    return F.coalesce(failure_class(error).isin("timeout", "network"), F.lit(False)) | F.coalesce((status == 429) | status.between(500, 599), F.lit(False))
 
 
 def title(html: Column) -> Column:

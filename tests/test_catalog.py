@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import curated, integrity, merge, pricing, progress, readmodels, recall, robots, scenario
-from cairn.sources import json_documents, page_parsers, pages
+from cairn.operators import assemble, claims, curated, curated_build, dimensions, integrity, learning, merge, places, pricing, progress, readmodels, recall, robots, scenario, source_config
+from cairn.sources import json_documents, page_parsers, pages, progress_records
 from cairn.streaming import progress as streaming
 
 
@@ -31,7 +31,7 @@ def test_text(spark):
 def test_duplicates_and_report(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2), ("a", 3)], "id string, ord int")
     assert sorted(r.ord for r in integrity.duplicate_keys(rows, ["id"], ["ord"]).collect()) == [2, 3]
-    with pytest.raises(ValueError, match="duplicate-id at products"):
+    with pytest.raises(ValueError, match="2 issue.s.:\n  products.2..id: a\n"):
         integrity.gate(integrity.report([integrity.issues(integrity.duplicate_keys(rows, ["id"], ["ord"]), "duplicate-id", X.issue_path("products", F.col("ord"), "id"), F.col("id"), F.col("ord"))]))
 
 
@@ -48,15 +48,148 @@ def test_robots(spark):
     assert robots.crawl_delay(robots.parse(files), "other").first().delay == 3.0
 
 
+def test_robots_lines_without_effect(spark):
+    """Blank agents and delays that are no number change nothing; of repeated delays the last counts, of equally long
+    tokens the first."""
+    files = {
+        "blank": "User-agent: *\nUser-agent:\nDisallow: /b\nDisallow /c",
+        "delay": "User-agent: a\nCrawl-delay: soon\nUser-agent: cairn\nDisallow: /b\nCrawl-delay: 2\nCrawl-delay: 7",
+        "tie": "User-agent: cai\nDisallow: /a\n\nUser-agent: irn\nDisallow: /b\nUser-agent: cai\nDisallow: /c",
+        "before": "Disallow: /\nUser-agent: *\nDisallow: /a",
+    }
+    parsed = robots.parse(spark.createDataFrame(list(files.items()), "host string, body string"))
+    paths = spark.createDataFrame([(h, p) for h in files for p in ("/a", "/b", "c")], "host string, path string")
+    got = {(r.host, r.path) for r in robots.decisions(paths, parsed, "cairn").collect() if not r.allowed}
+    assert got == {("blank", "/b"), ("delay", "/b"), ("tie", "/a"), ("tie", "c"), ("before", "/a")}
+    assert [(r.host, r.delay) for r in robots.crawl_delay(parsed, "cairn").collect()] == [("delay", 7.0)]
+
+
+def test_predicates_end_at_the_end(spark):
+    for column, good in ((X.id_slug, "abc"), (X.utc_instant, "2026-01-02T03:04:05Z"), (lambda c: X.canonical_url(c, ["h"]), "https://h/x")):
+        assert one(spark, column, good) and not one(spark, column, good + "\n")
+    assert one(spark, lambda c: X.bounded_field(c, 3), "😀a") == "😀a" and one(spark, lambda c: X.bounded_field(c, 3), "😀😀") is None
+    assert [one(spark, lambda c, n=n: X.trim_summary(c, n), "a😀😀b") for n in (1, 2, 3, 4, 6)] == ["a", "a", "a😀", "a😀", "a😀😀b"]
+    words = spark.createDataFrame([("\uffff",), ("😀",), ("a",)], "v string")
+    assert [r.v for r in words.orderBy(X.order_key(F.col("v"))).collect()] == ["a", "😀", "\uffff"]
+
+
+def test_empty_layers_have_decoys(spark):
+    products = spark.createDataFrame([(f"p{k}", f"P{k}") for k in range(6)], "id string, name string")
+    placements = spark.createDataFrame([(f"p{k}", "l", "one") for k in range(5)] + [("ghost", "l", "one"), ("p5", "l", "three")], "id string, lane string, layer string")
+    layers = dimensions.layers(spark, {"l": ["one", "two", "three"]})
+    got = recall.recall_pool(products, placements, layers).where("NOT is_answer").collect()
+    assert sorted((r.layer, r.id) for r in got) == [("two", "p0"), ("two", "p1")]
+
+
+def test_picks(spark):
+    answers = spark.createDataFrame([("x", "a"), ("x", "b")], "area string, id string")
+    toggles = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("x", 3, "r"), ("x", 4, "p"), ("x", 5, "r"), ("x", 6, "s")], "area string, seq int, id string")
+    assert sorted(r.id for r in recall.picks(toggles, answers).collect()) == ["q", "r"]
+
+
+def test_configuration(spark, tmp_path):
+    def write(**over):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json_documents.serialize({"allowedHosts": ["s.org", "d.org"], "fetch": {"timeoutMs": 1000, "maxRetries": 2, "concurrency": 4, "minRequestIntervalMs": 250}, "sources": [{"id": "a", "url": "https://s.org/x", "pageKind": "marketing-product"}]} | over))
+        return str(path)
+
+    load = lambda path: source_config.load(spark, path, ["s.org", "d.org"], "d.org", "s.org")
+    assert load(write()).count() == 1
+    with pytest.raises(integrity.ValidationError) as e:
+        load(write(allowedHosts=["s.org", "s.org", "evil.org"], fetch={"timeoutMs": 1000.5}, sources=[{"id": "A", "url": "http://s.org/x", "pageKind": "other"}]))
+    assert [i.path for i in e.value.issues] == ["allowedHosts", "allowedHosts", "fetch.timeoutMs", "fetch.maxRetries", "fetch.concurrency", "fetch.minRequestIntervalMs", "sources[0].id", "sources[0].url", "sources[0].pageKind"]
+    with pytest.raises(integrity.ValidationError) as e:
+        load(write(sources=[{"id": "a", "url": "https://s.org", "pageKind": "developer-docs"}, {"id": "a", "url": "https://s.org/", "pageKind": "marketing-product"}, {"id": "b", "url": "https://x.org/", "pageKind": "marketing-product"}]))
+    assert [(i.code, i.path) for i in e.value.issues] == [("duplicate-id", "sources[1].id"), ("invalid-shape", "sources[2].url"), ("invalid-shape", "sources[0].pageKind"), ("invalid-shape", "sources[1].url")]
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([(f"k{random.Random(k).randrange(10**6)}", k) for k in range(500)], "name string, n int").repartition(7)
+    got = {r.n: r.ord for r in places.placed(rows, ["name", "n"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [r.n for r in rows.orderBy("name", "n").collect()] and sorted(got.values()) == list(range(500))
+    assert places.placed(rows.limit(0), ["name"]).count() == 0
+
+
+def _pages_of_a_site(spark, over=()):
+    """A small site: an overview, a product page, a solution page and a directory."""
+    head = '<html><head><title>T</title><link rel="canonical" href="{}"><meta name="description" content="{}"></head><body>'
+    sites = {
+        "over": ("/products", "All", '<figure><figcaption>Fam One</figcaption><a href="/products/a"><div><strong>A</strong></div><p>Tag.</p></a><a href="/products/b/"><div><strong>B</strong></div></a></figure>'),
+        "a": ("/products/a", "About A.", '<h1 data-cms-path="products.a.sections.hero.title">A</h1><p data-cms-path="products.a.sections.useCases.items.0.title">Use it</p><p data-cms-path="products.a.sections.useCases.items.0.description">D</p>'),
+        "s": ("/solutions/s", "About S.", '<h1 data-cms-path="pages.s.hero.eyebrow">S</h1>'),
+        "docs": ("/d", "Docs", '<main data-pagefind-body><a href="https://d.org/a/"><span>A</span><p>x</p></a><a href="https://d.org/a/more"><span>A</span><p>x</p></a><a href="https://x.org/b"><span>B</span><p>x</p></a></main>'),
+    } | dict(over)
+    kinds = {"over": "marketing-overview", "s": "marketing-solution", "docs": "developer-docs"}
+    rows = [(k, f"https://x.org{path}", head.format(path, about) + body, kinds.get(k, "marketing-product")) for k, (path, about, body) in sites.items()]
+    made = spark.createDataFrame(rows, "source string, url string, html string, page_kind string")
+    parsed = page_parsers.parse(made, key="source", configured="page_kind")
+    assert not parsed.where("issue IS NOT NULL").collect()
+    return claims.normalized(parsed.join(made.select("source", "page_kind"), "source").withColumn("retrieved_at", F.lit("2026-01-01T00:00:00Z")), "d.org")
+
+
+def test_assembly(spark):
+    catalog = assemble.run(_pages_of_a_site(spark))
+    rows = {c: sorted(tuple(r) for r in df.collect()) for c, df in catalog.items()}
+    assert rows["products"] == [("a", "A", "About A.", "fam-one", ["a", "docs", "over"]), ("b", "B", 'Product "B" as listed on the official products overview.', "fam-one", ["over"])]
+    assert rows["productFamilies"] == [("fam-one", "Fam One", 'Product family "Fam One" as grouped on the official products overview.', ["over"])]
+    assert rows["solutions"] == [("s", "S", "About S.", ["s"])] and rows["useCases"] == [("use-it", "Use it", "D", ["a"])]
+    assert rows["relationships"] == [("product-use-case", "a", "use-it", ["a"])] and [r[0] for r in rows["sources"]] == ["a", "docs", "over", "s"]
+
+
+def test_assembly_problems(spark):
+    """A product that no overview lists, two pages that disagree, and a name without an id: all are named at once."""
+    item = '<h1 data-cms-path="products.{0}.sections.hero.title">C</h1><p data-cms-path="products.{0}.sections.useCases.items.0.title">{1}</p><p data-cms-path="products.{0}.sections.useCases.items.0.description">{2}</p>'
+    over = {"c": ("/products/c", "About C.", item.format("c", "Use it", "Other")), "c2": ("/products/c/", "About C?", item.format("c", "!!", "x"))}
+    with pytest.raises(assemble.RunError) as e:
+        assemble.run(_pages_of_a_site(spark, over))
+    found = {(p.subject, p.message) for p in e.value.problems}
+    assert ("product c", "incomplete: https://x.org/products/c") in found
+    assert ("product /products/c", "conflicting summary between https://x.org/products/c and https://x.org/products/c/") in found
+    assert ("use case use-it", "conflicting summary between https://x.org/products/a and https://x.org/products/c") in found
+    assert ("https://x.org/products/c/", "no id from the name of card !!") in found
+    assert ("product-use-case c use-it", "unknown products id c") in found
+
+
+def test_configured_kind(spark):
+    html = '<html><head><title>T</title><link rel=canonical href="/n"><meta name=description content=x></head><body><h1 data-cms-path="pages.n.hero.eyebrow">N</h1>'
+    rows = [(1, "https://x.org/n", html, "marketing-solution"), (2, "https://x.org/n", html, "developer-docs"), (3, "https://x.org/n", html, None)]
+    got = {r.page_id: r.issue for r in page_parsers.parse(spark.createDataFrame(rows, "page_id int, url string, html string, kind string"), configured="kind").collect()}
+    assert got == {1: None, 2: "not the configured kind", 3: None}
+
+
+def test_curated_shapes_of_lists(spark):
+    tail = ("https://h.example/x", "2026-01-02T03:04:05Z")
+    rows = {
+        "compositions": ("solutionId string, productIds array<string>", [("s", ["a", "b"]), ("s", []), ("S!", ["a", "a"])], {"compositions[1].productIds", "compositions[2].solutionId", "compositions[2].productIds"}),
+        "scenarios": ("id string, titleKo string, situationKo string, productIds array<string>, talkTrackKo string", [("x", "t", "s", ["a", "b"], None), ("x", " ", "s", ["a"], "")], {"scenarios[1].titleKo", "scenarios[1].productIds", "scenarios[1].talkTrackKo"}),
+        "narration": ("productId string, captionKo string", [("a", "c"), ("a", None)], {"narration[1].captionKo"}),
+        "solutionNotes": ("solutionId string, oneLinerKo string, whyKo string, misconceptionKo string, customerQuestionKo string, boundariesKo array<struct<solutionId string, noteKo string>>, seAngleKo string, aeAngleKo string",
+                          [("s", "o", "w", "m", "c", None, None, None), ("s", "o", "w", "m", "c", [("T", "n"), ("t", "")], None, "x")], {"solutionNotes[1].boundariesKo[0].solutionId", "solutionNotes[1].boundariesKo[1].noteKo"}),
+    }
+    for name, (schema, items, want) in rows.items():
+        df = spark.createDataFrame([(k, *r, *tail) for k, r in enumerate(items)], f"ord int, {schema}, sourceUrl string, verifiedAt string")
+        assert {r.path for r in curated.shape_issues(df, name, ["h.example"], {}).collect()} == want
+
+
+def test_curated_build(spark):
+    notes = spark.createDataFrame([("b", [("z", "1"), ("a", "2"), ("a", "3")]), ("a", None)], "solutionId string, boundariesKo array<struct<solutionId string, noteKo string>>")
+    narration = spark.createDataFrame([(0, "z", "c"), (1, "a", "d")], "ord int, productId string, captionKo string")
+    built = curated_build.artifact({"solutionNotes": notes, "narration": narration}, notes.select(F.lit("x").alias("path"), F.lit("m").alias("message"), F.lit(0).alias("ord")).limit(0), notes.select(F.lit("x").alias("path"), F.lit("m").alias("message"), F.lit(0).alias("ord")).limit(0))
+    assert [(r.ord, r.solutionId, [b.noteKo for b in r.boundariesKo or []]) for r in built["solutionNotes"].orderBy("ord").collect()] == [(0, "a", []), (1, "b", ["2", "3", "1"])]
+    assert [r.productId for r in built["narration"].orderBy("ord").collect()] == ["z", "a"]
+
+
+def test_stop_index(spark):
+    got = [one(spark, lambda c: learning.stop_index(c, F.lit(3)), x) for x in ("2", " 3 ", "0", "4", "1.5", "x", "")]
+    assert got == [2, 3, 1, 1, 1, 1, 1] and one(spark, lambda c: learning.stop_index(c, F.lit(0)), "1") == 0
+
+
 def test_pricing(spark):
     tiers = spark.createDataFrame([("p", "paid", 1, 5.0), ("p", "ent", 2, None)], "product string, tier string, pos int, monthly double")
     meters = spark.createDataFrame([("p", "paid", 1, "req", "Requests", 10.0, 1, 0.3)], "product string, tier string, mpos int, metric string, label string, included double, per_units int, usd double")
     for amount, want in ((10.0, 5.0), (11.5, 5.45), (-3.0, 5.0)):
         usage = spark.createDataFrame([("p", "req", amount)], "product string, metric string, amount double")
         assert {r.tier: r.total for r in pricing.tier_estimates(tiers, meters, usage).collect()} == {"paid": want, "ent": None}
-    known = spark.createDataFrame([("a",), ("b",)], "product string")
-    urls = spark.createDataFrame([(1, "?products=b, a,b,zz&t.a=x")], "k int, q string")
-    assert [r.product for r in pricing.parse_scenario(urls, "k", "q", known).orderBy("pos").collect()] == ["b", "a"]
 
 
 def test_suggest(spark):
@@ -90,10 +223,11 @@ def test_streaming_equals_fold(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[k * 100 : (k + 1) * 100], "node string, ord long, kind string").coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(k)))
     stream = spark.readStream.schema("node string, ord long, kind string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
-    query = streaming.node_states(stream).writeStream.format("memory").queryName("nodes").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    seen = {r.node for r in spark.table("nodes").collect()}
-    assert seen == set(_folded(rows))
+    query = progress_records.keep(streaming.node_states(stream), str(tmp_path / "states"), str(tmp_path / "c"))
+    assert query.awaitTermination(120)
+    want, n = _folded(rows), len(list((tmp_path / "states").iterdir()))
+    got = {r.node: (r.status, r.streak) for r in progress_records.kept(spark, str(tmp_path / "states"), "node").collect()}
+    assert n == 3 and got == want
 
 
 def test_documents(spark, tmp_path):
@@ -101,14 +235,36 @@ def test_documents(spark, tmp_path):
     json_documents.write_atomically(json_documents.serialize({"schemaVersion": "1", "odd": 1, "products": [{"id": "a", "name": "A"}]}), str(path))
     doc = json_documents.read_document(spark, str(path))
     assert json_documents.collection(doc, "products").first().id == "a"
-    assert [r.key for r in json_documents.unknown_keys(spark, str(path)).collect()] == ["odd"]
+    texts = json_documents.read_texts(spark, str(path))
+    assert [(r.path, r.message) for r in json_documents.unknown_keys(texts).collect()] == [("odd", 'Unrecognized key: "odd"')]
     assert not json_documents.is_empty(doc).first().empty
 
 
+def test_document_lifecycle(spark, tmp_path):
+    """Missing, broken, unsound, empty and sound documents; unknown keys at any depth."""
+    none = lambda doc: doc.select(F.lit(1).alias("x")).limit(0)
+    some = lambda doc: doc.select(F.lit(1).alias("x"))
+    def status(body, check=none, schema=json_documents.CATALOG, collections=json_documents.COLLECTIONS):
+        path = tmp_path / f"{abs(hash((body, check)))}.json"
+        path.write_text(body)
+        return json_documents.load(spark, str(path), schema, check, collections)[0]
+
+    assert json_documents.load(spark, str(tmp_path / "none.json"), json_documents.CATALOG, none, json_documents.COLLECTIONS) == ("fetch-error", None)
+    assert status("{nope") == "invalid-data" and status('{"products":[{"id":"a","x":{"y":1}}]}') == "invalid-data"
+    assert status('{"schemaVersion":"1","products":[]}') == "empty" and status('{"products":[{"id":"a"}]}') == "success" and status('{"products":[{"id":"a"}]}', some) == "invalid-data"
+    assert status('{"narration":[{"productId":"a","captionKo":"x"}]}', none, json_documents.CURATED, ("narration",)) == "success"
+    rows = spark.createDataFrame([('{"pricing":[{"productId":"a","tiers":[{"id":"t","meters":[{"overage":{"usd":1,"eur":2}}]},{"odd":1}]}],"x":null}',), (None,), ("[1]",)], "text string")
+    assert sorted(r.path for r in json_documents.unknown_keys(rows, json_documents.CURATED).collect()) == ["pricing[0].tiers[0].meters[0].overage.eur", "pricing[0].tiers[1].odd", "x"]
+
+
 def test_redirects(spark):
     asked = spark.createDataFrame([("https://h/a",), ("https://h/b",), ("https://h/loop",)], "url string")
     answers = spark.createDataFrame([("https://h/a", 301, "https://h/c"), ("https://h/c", 404, None), ("https://h/b", 302, "https://evil/x"), ("https://h/loop", 302, "https://h/loop")], "url string, status int, location string")
     got = {r.url: (r.status, r.hops, r.problem) for r in pages.follow(asked, answers, ["h"]).collect()}
+    asked = spark.createDataFrame([("https://h:443/a/b",)], "url string")
+    answers = spark.createDataFrame([("https://h/a/b", 307, "../c?x=1"), ("https://h/c?x=1", 302, "/d"), ("https://h:443/d", 301, "//h/e"), ("https://h/e", 200, None)], "url string, status int, location string")
+    assert [tuple(r)[1:] for r in pages.follow(asked, answers, ["h"]).collect()] == [("https://h/e", 200, 3, None)]
+    assert [tuple(r)[1:] for r in pages.follow(asked, answers, ["h"], lambda u: ~u.endswith("/d")).collect()] == [("https://h/d", 302, 2, "vetoed")]
     assert got["https://h/a"] == (404, 1, None) and got["https://h/b"][2] == "forbidden" and got["https://h/loop"][2] == "too-many-redirects"
 
 

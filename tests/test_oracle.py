@@ -1,9 +1,9 @@
 import pytest
 from oracle import differences
 
-from cairn.plans import catalog_queries
+from cairn import plans
 
 
-@pytest.mark.parametrize("name", sorted(catalog_queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_matches_sql(spark, sf, name):
-    assert not differences(spark, catalog_queries.queries()[name], catalog_queries.oracle_sql()[name], sf)
+    assert not differences(spark, plans.queries()[name], plans.oracle_sql()[name], sf)
