@@ -3,14 +3,16 @@
 Texts are equal when identical after each run of ASCII white space is one space; null counts as empty. Of equal texts the
 row with the smallest doc_id stays (a null doc_id is larger than any other; of rows that repeat text and doc_id, one).
 
-A pass sets one bit per text and keeps the bits that two or more rows hit, as words of 32 bits; a text whose bit was hit
-once has no copy. The second pass hashes anew, over the rows that the first let through, so a text is sent on only if
-both of its bits were hit twice. Bits are counted by Spark's partial aggregation; rows move no text for it.
-
-All is DataFrame code. The passes read hashes alone; whole rows are written once, with what both passes say of them. Each
-pass's filter is broadcast if its counted rows allow, and joined by word otherwise.
-Exactness never rests on the filters: what they let through is grouped by SHA-256. A group's size is summed before rows
-meet it; groups of over a thousandth of all candidates are at most a thousand, and join by broadcast.
+The first pass hashes every text to a bit and keeps, as a filter, the bits that two or more rows hit: a text whose bit was
+hit once has no copy. The second pass hashes anew, over the rows that the first let through. A row that misses either
+filter passes straight through, whole; the others are candidates, shuffle by SHA-256 and are grouped, so exactness never
+rests on the filters. A group's size is summed before rows meet it; groups of over a thousandth of all candidates are at
+most a thousand, and join by broadcast.
+
+All is DataFrame code. Filters are bit arrays in blocks of 4 kB, broadcast, and never larger than ``tables.MAX_BITS`` (64
+MB): there is no other path for large inputs. Up to 33 million rows a filter has 16 bits a row or more, and some 6 % of
+single texts pass the first, under 1 % both. Beyond, filters fill up: at 500 million rows two in five single rows are
+candidates too and shuffle, at several billion nearly all. Results stay the same; raise MAX_BITS with the executors' memory.
 """
 
 from __future__ import annotations
@@ -18,56 +20,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.tables import join_groups, narrow, written
-
-#: Bits of a filter per row, as a power of two above the number of rows.
-BITS_PER_ROW = 16
+from cairn.llm import tables
+from cairn.llm.tables import bit_blocks, hits, join_groups, written
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def text_key(text: Column) -> Column:
-    return F.sha2(normalised(text), 256)
-
-
-def _bit(key: Column, bits: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits))
-
-
-def repeated_words(keys: DataFrame, key: str, bits: int, seed: int) -> DataFrame:
-    """The bits that two or more rows hit: word, mask."""
-    hit = keys.groupBy(_bit(F.col(key), bits, seed).alias("_bit")).agg(F.count("*").alias("_n")).where("_n > 1")
-    return hit.groupBy(F.shiftright("_bit", 5).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 31 as int))")).alias("_mask"))
-
-
-def through(rows: DataFrame, key: str, words: DataFrame, bits: int, seed: int) -> DataFrame:
-    """rows with _maybe: whether the row's bit was hit by two or more rows."""
-    bit = _bit(F.col(key), bits, seed)
-    rows = rows.withColumn("_word", F.shiftright(bit, 5)).withColumn("_at", (bit.bitwiseAND(F.lit(31))).cast("int"))
-    hit = F.expr("coalesce((shiftright(_mask, _at) & 1L) = 1L, false)")
-    return rows.join(words, "_word", "left").withColumn("_maybe", hit).drop("_word", "_at", "_mask")
-
-
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per input row: doc_id, text_sha256, keep_id, group_size, kept and, as ``own_<name>``, the columns in
     ``keep``. An empty table gives no rows; other columns are ignored, whatever their names."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_sha256"), *(F.col(c).alias(f"own_{c}") for c in keep))
-    keys = written(rows.select("text_sha256"))
-    n = keys.count()
-    bits = 1 << max(10, (BITS_PER_ROW * n).bit_length())
-    one = narrow(written(repeated_words(keys, "text_sha256", bits, 1)))
-    some = through(keys, "text_sha256", one, bits, 1).where("_maybe").select("text_sha256")
-    two = narrow(written(repeated_words(some, "text_sha256", bits, 2)))
-    rows = through(rows, "text_sha256", one, bits, 1).withColumnRenamed("_maybe", "_first")
-    rows = written(through(rows, "text_sha256", two, bits, 2).withColumn("_maybe", F.expr("_first AND _maybe")).drop("_first"))
-    candidates = rows.where("_maybe").drop("_maybe")
     own = [f"own_{c}" for c in keep]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_text"), *(F.col(c).alias(f"own_{c}") for c in keep))
+    rows = rows.withColumn("_h1", F.xxhash64("_text", F.lit(1))).withColumn("_h2", F.xxhash64("_text", F.lit(2)))
+    hashes = written(rows.select("_h1", "_h2"))
+    n = hashes.count()
+    bits = tables.filter_bits(n)
+    one = written(bit_blocks(hashes, "_h1", bits, least=2))
+    two = written(bit_blocks(hits(hashes, "_h1", one, bits, "_maybe").where("_maybe"), "_h2", bits, least=2))
+    rows = hits(hits(rows, "_h1", one, bits, "_one"), "_h2", two, bits, "_two").withColumn("text_sha256", F.sha2("_text", 256))
+    rows = rows.select("doc_id", "text_sha256", *own, (F.col("_one") & F.col("_two")).alias("_maybe"))
     single = rows.where("NOT _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *own)
-    groups = written(candidates.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    met = join_groups(candidates, groups, "text_sha256", "group_size", n)
+    candidates = rows.where("_maybe").drop("_maybe")
+    ids = written(candidates.select("doc_id", "text_sha256"))
+    groups = written(ids.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    met = join_groups(candidates if own else ids, groups, "text_sha256", "group_size", n)
     stays = met.where("doc_id <=> keep_id").withColumn("kept", F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))) == 1)
     goes = met.where("NOT (doc_id <=> keep_id)").withColumn("kept", F.lit(False))
-    met = stays.unionByName(goes).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *own)
-    return single.unionByName(met)
+    return single.unionByName(stays.unionByName(goes).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *own))

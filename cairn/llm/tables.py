@@ -1,39 +1,60 @@
-"""Reading the tables and cutting lineage in the folder that the cluster's machines share."""
+"""Reading the tables, joins whose broadcasts are bounded, and filters of bits."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairn.sources.shared import shared_dir, written
+
+__all__ = ["BROADCAST_ROWS", "bit_blocks", "filter_bits", "hits", "join_groups", "narrow", "read", "reduced", "shared_dir", "small_batches", "with_found", "written"]
 
 #: Rows up to which a narrow table may be broadcast, once counted (16 to 64 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Bits of a filter per row it is made for, and the most bits of any filter: 64 MB, whatever the input.
+BITS_PER_ROW, MAX_BITS = 16, 1 << 29
+#: Bits of a block, the row of a filter: 512 words of 64.
+BLOCK_BITS = 1 << 15
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of an Arrow batch, where the session leaves Spark's 10,000: texts are long, and each task holds a batch twice.
+ARROW_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set to a fresh local one only where it is unset and Spark runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
 
+def with_found(docs: DataFrame, text: str, keep: list[str], found: list[T.StructField], model: Callable) -> DataFrame:
+    """The columns in ``keep`` and what a model finds in the text column: ``model()`` is made once a task and maps a batch's
+    texts to tuples of the fields ``found``. A text that is kept travels once."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again, so that what follows neither repeats nor loses its work.
-    The tables of an application lie under cairn-<application id>; they may go when it has ended."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cairn-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = T.StructType([*(docs.schema[c] for c in keep), *found])
+    arrow, names = to_arrow_schema(out), [f.name for f in found]
+    columns = keep if text in keep else [*keep, text]
+    at, n = columns.index(text), len(keep)
+
+    def run(batches):
+        find = model()
+        for b in batches:
+            rows = find([t.as_py() for t in b.column(at)])
+            made = [pa.array([r[i] for r in rows], arrow.field(n + i).type) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], schema=arrow)
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(*columns).mapInArrow(run, out)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
@@ -49,3 +70,42 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int)
 def narrow(rows: DataFrame) -> DataFrame:
     """rows with a broadcast hint if their count allows it; a written table of a few columns."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+# filters ------------------------------------------------------------------------------------------------------------
+def filter_bits(n: int) -> int:
+    """Bits of a filter for n rows, a power of two."""
+    return min(MAX_BITS, max(BLOCK_BITS, 1 << (BITS_PER_ROW * n).bit_length()))
+
+
+def bit_blocks(hashes: DataFrame, name: str, bits: int, least: int = 1) -> DataFrame:
+    """The filter of the bits that ``least`` or more rows hit: block, words (an array of longs). At most bits / BLOCK_BITS
+    rows of 4 kB. What is shuffled to make it is bit numbers, counted on the map side first: a task holds a small share of
+    the rows, so its list of bits is shorter than its bitmap."""
+    bit = F.pmod(F.col(name), F.lit(bits))
+    hit = hashes.groupBy(bit.alias("_bit")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    words = hit.groupBy(F.expr(f"cast(_bit div {BLOCK_BITS} as int)").alias("_block"), F.expr(f"cast(_bit div 64 % {BLOCK_BITS // 64} as int)").alias("_word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_mask"))
+    blocks = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("long")))
+    return blocks.select("_block", dense.alias("_words"))
+
+
+def hits(rows: DataFrame, name: str, blocks: DataFrame, bits: int, out: str) -> DataFrame:
+    """rows with ``out``: whether the filter has the bit of the hash in column ``name``. The filter is broadcast."""
+    bit = F.pmod(F.col(name), F.lit(bits))
+    rows = rows.withColumn("_block", (bit / F.lit(BLOCK_BITS)).cast("int")).join(F.broadcast(blocks), "_block", "left")
+    word = F.get("_words", (bit % F.lit(BLOCK_BITS) / F.lit(64)).cast("int"))
+    shifted: Column = F.call_function("shiftright", word, (bit % 64).cast("int"))
+    return rows.withColumn(out, F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_block", "_words")
+
+
+def reduced(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that may have a partner in ``keys``, a written table: all those that have one, and few others. Rows that
+    a join with many keys would shuffle in vain are left out where they are read."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows
+    bits, h = filter_bits(n), F.xxhash64(*on)
+    blocks = written(bit_blocks(keys.select(h.alias("_h")), "_h", bits))
+    return hits(rows.withColumn("_h", h), "_h", blocks, bits, "_maybe").where("_maybe").drop("_h", "_maybe")
