@@ -6,14 +6,17 @@
 2. Texts with equal sets form a class; its smallest id stands for it. Copies go no further.
 3. Bands of ``BAND`` registers are hashed; classes that share a band are candidates. Two sets of similarity 0.75 miss
    each other in all 51 bands once in a million.
-4. A shared band is not expanded into pairs: its members meet one pivot first; those outside the largest component then
-   meet a few of its members; only what is still in another component after that is compared
-   with all of the band, block by block on full sets.
-5. Pairs whose sizes allow the threshold and whose collision-corrected estimate is within ``SLACK`` of it (five standard
-   errors) are verified on their full sets, computed again from the whole texts of the documents concerned.
+4. A shared band is not expanded into pairs. In the first few bands, members meet one pivot; this joins most of what
+   belongs together, and after it only bands that hold several components count. There, members outside the largest
+   component meet a few of its members; only what is still in another component after that is compared with all of the
+   band, block by block on full sets.
+5. Pairs whose sizes allow the threshold and whose collision-corrected estimate is within ``ERRORS`` standard errors of it
+   are verified on their full sets, computed again from the whole texts of the documents concerned.
 
 Texts with fewer than five words have one shingle, the whole sequence; without words, none and no links. Null texts are
-empty. Rows that share a doc_id are taken as one document; a null doc_id links with nothing and keeps its row.
+empty. doc_ids may be of any type that has an order. Rows that share a doc_id and differ in text are documents of their
+own: each is in the component of its text, which is named by its smallest doc_id. A null doc_id links with nothing and
+keeps its row.
 """
 
 from __future__ import annotations
@@ -27,14 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.components import components
-from cairn.llm.tables import join_groups, narrow, written
+from cairn.llm.tables import join_groups, narrow, reduced, written
 
 WORDS = 5
 #: The threshold as a fraction: similar if DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
 BUCKETS, MANTISSA_BITS, BAND = 256, 10, 5
 BANDS = BUCKETS // BAND
-SLACK = 0.19
+#: Standard errors by which an estimate may miss the threshold.
+ERRORS = 5.2
+#: Bands in which members meet a pivot before components count.
+FIRST_BANDS = 12
 #: Members of a band's largest component that its other members meet before any wider comparison.
 PIVOTS = 8
 #: Sets on either side of a block comparison.
@@ -43,7 +49,6 @@ BLOCK = 256
 _BOUNDS = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56))
 _BORROW = np.stack([np.random.default_rng(7_000 + k).permutation(BUCKETS) for k in range(BUCKETS)])
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_ODD = np.random.default_rng(13).integers(1 << 62, 1 << 63, size=BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,11 +92,6 @@ def registers(values: np.ndarray) -> np.ndarray:
     return out.astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    rows = regs[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
-    return _mix((rows * _BAND_ODD).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
-
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The probability that a register of two disjoint sets of n and m elements is equal: both minima in one level of
     leading zeros, and equal mantissas."""
@@ -105,67 +105,99 @@ def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (at(n) * at(m)).sum(axis=1) * 2.0**-MANTISSA_BITS
 
 
-SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+def least_estimate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The least estimate at which two sets of n and m elements are verified. The standard error is that of the registers
+    which the larger set fills; short texts fill few."""
+    share = NUMERATOR / DENOMINATOR
+    filled = BUCKETS * -np.expm1(-np.maximum(np.maximum(n, m), 1) / BUCKETS)
+    return share - ERRORS * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
+
+
+SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("registers", T.BinaryType())]
+PAIR = "a long, b long"
+
+
+def fingerprint(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (of the set), registers and band keys; the last three null for empty sets."""
+def sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in ``carry``, n_shingles, fingerprint (of the set) and registers; the last two null for empty
+    sets."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = T.StructType([docs.schema["doc_id"], *SKETCH])
+    out = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carry), *SKETCH])
     arrow = to_arrow_schema(out)
 
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column(1):
+            for text in b.column(0):
                 s = shingle_set(text.as_py())
-                if len(s):
-                    regs = registers(s)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), regs.tobytes(), band_keys(regs)))
-                else:
-                    rows.append((0, None, None, None))
-            cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(arrow)[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema=arrow)
+                rows.append((len(s), fingerprint(s), registers(s).tobytes()) if len(s) else (0, None, None))
+            cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(arrow)[1 + len(carry) :])]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("text", "doc_id", *carry).mapInArrow(run, out)
+
+
+def banded(classes: DataFrame, first: int, last: int) -> DataFrame:
+    """classes with a row for each of their bands [first, last): ``band``, a hash of its registers and its number."""
+    key = lambda k: F.xxhash64(F.substring("registers", k * (2 * BAND) + 1, F.lit(2 * BAND)), k)
+    return classes.withColumn("band", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last - 1)), key))).drop("registers")
+
+
+def sided(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """a, b, and the column ``name`` of both ends as a_<name>, b_<name>. rows: node and the column. The b end meets its
+    pairs where it is read, then only the ends that some pair has are shuffled, by a."""
+    some = reduced(rows, pairs.select(F.col("b").alias("node")), ["node"])
+    two = some.join(narrow(pairs), some.node == pairs.b).select("a", "b", F.col(name).alias(f"b_{name}"))
+    ends = written(pairs.select(F.col("a").alias("node")).distinct())
+    one = reduced(rows, ends, ["node"]).join(narrow(ends), "node").select(F.col("node").alias("a"), F.col(name).alias(f"a_{name}"))
+    return two.join(one, "a").select("a", "b", f"a_{name}", f"b_{name}")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs a, b whose sizes and collision-corrected similarity estimate allow the threshold."""
-    side = classes.select("id", "n", "registers")
-    joined = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
-    joined = joined.where(f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    joined = sided(pairs, classes.select("node", F.struct("n", "registers").alias("s")), "s")
+    sizes = "a_s.n", "b_s.n"
+    joined = joined.where(F.least(*sizes) * DENOMINATOR >= F.greatest(*sizes) * NUMERATOR).select("a", "b", *sizes, "a_s.registers", "b_s.registers").toDF("a", "b", "n_a", "n_b", "r_a", "r_b")
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in (4, 5))
-            chance = collision_rate(b.column(2).to_numpy(), b.column(3).to_numpy())
+            sizes = b.column(2).to_numpy(), b.column(3).to_numpy()
+            chance = collision_rate(*sizes)
             estimate = ((one == two).mean(axis=1) - chance) / (1 - chance)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(estimate >= NUMERATOR / DENOMINATOR - SLACK))
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(estimate >= least_estimate(*sizes)))
 
-    return joined.mapInArrow(run, T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)]))
+    return joined.mapInArrow(run, PAIR)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and values (the packed shingle set) of the documents in ``ids``, from their whole texts."""
-    texts = docs.select("doc_id", "text").join(narrow(ids.toDF("doc_id")), "doc_id", "left_semi")
-    out = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("values", T.BinaryType())])
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and values (the packed shingle set) of ``nodes``, from the whole text of a document of each class. A row of
+    another text with that doc_id is known by its fingerprint and left out."""
+    wanted = written(classes.select("node", "doc_id", "fingerprint").join(narrow(nodes), "node").select("node", "doc_id", "fingerprint"))
+    texts = reduced(docs.select("doc_id", "text"), wanted.select("doc_id"), ["doc_id"]).join(narrow(wanted), "doc_id").select("node", "fingerprint", "text")
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "values"])
+            found = []
+            for node, known, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = shingle_set(text.as_py())
+                if len(s) and fingerprint(s) == known:
+                    found.append((node, s.tobytes()))
+            yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], names=["node", "values"])
 
-    return written(texts.mapInArrow(run, out).dropDuplicates(["id"]))
+    return written(texts.mapInArrow(run, "node long, values binary"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full shingle sets are similar."""
-    key = docs.schema["doc_id"].dataType
-    sets = full_sets(written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), docs)
-    joined = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b whose full shingle sets are similar. A row that repeats a document repeats its links, no more."""
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    joined = sided(pairs, full_sets(nodes, classes, docs), "values")
 
     def run(batches):
         for b in batches:
@@ -176,26 +208,25 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(one) + len(two) - both))
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, T.StructType([T.StructField("a", key), T.StructField("b", key)]))
+    return joined.mapInArrow(run, PAIR)
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links a, b between classes (id, n, registers, bands): all that matter for connected components."""
-    members = classes.select("id", F.explode("bands").alias("band"))
-    shared = written(members.groupBy("band").agg(F.count("*").alias("_n"), F.min("id").alias("pivot")).where("_n > 1").drop("_n"))
-    members = written(members.join(narrow(shared), "band").where("id <> pivot"))
-    first = written(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    found = written(verified(written(estimated(first, classes)), docs))
-    # then the members outside a band's largest component meet a few of that component, one for each of PIVOTS hashes
-    rest = unsettled(members, components(found))
-    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("p")))["p"] for k in range(PIVOTS)]
+    """Verified links a, b between classes (node, doc_id, fingerprint, n, registers): all that matter for components."""
+    tested = lambda pairs: written(verified(written(estimated(written(pairs.distinct()), classes)), classes, docs))
+    # in the first few bands, members meet the band's first one: this joins most of what belongs together
+    members = banded(classes.select("node", "registers"), 0, FIRST_BANDS)
+    shared = written(members.groupBy("band").agg(F.count("*").alias("_n"), F.min("node").alias("pivot")).where("_n > 1").drop("_n"))
+    found = tested(members.join(narrow(shared), "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    # then, in all bands that hold several components, members outside the largest meet a few of it, one for each of PIVOTS hashes
+    rest = unsettled(banded(parts(classes.select("node", "registers"), components(found)), 0, BANDS))
+    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("p")))["p"] for k in range(PIVOTS)]
     pivots = rest.where("component = core").groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
-    some = rest.where("component <> core").join(narrow(written(pivots)), "band").select("id", F.explode("pivots").alias("x"))
-    some = written(some.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct())
-    found = written(found.unionByName(verified(written(estimated(some, classes)), docs)))
+    some = rest.where("component <> core").join(narrow(written(pivots)), "band").select("node", F.explode("pivots").alias("x"))
+    found = written(found.unionByName(tested(some.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")))))
     # and what is left of them all members of other components: after this every shared band is settled
-    rest = unsettled(members, components(found))
-    return found.unionByName(settled(rest, docs))
+    rest = unsettled(parts(rest.select("node", "band"), components(found)))
+    return found.unionByName(settled(rest, classes, docs))
 
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -220,63 +251,125 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def settled(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links a, b between different components within a band, from full sets, one for each two components that a block
-    meets. Members outside the band's core are queries against all of the band, in blocks of ``BLOCK`` by ``BLOCK``: a
-    group is two blocks, and no pair is ever a row."""
-    key = docs.schema["doc_id"].dataType
+def folded(regs: np.ndarray) -> np.ndarray:
+    """Registers of one byte: as good for telling sets apart that are far from similar, at half the bytes."""
+    return ((regs.astype(np.uint32) * np.uint32(0x9E37)) >> np.uint32(8)).astype(np.uint8)
+
+
+def candidates(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``asked`` whose node has, in its group of two blocks, a partner in another component that the folded
+    registers allow. No pair is a row."""
+    nodes = written(asked.select("node").distinct())
+    own = classes.select("node", "n", "registers").join(narrow(nodes), "node").select("node", "n", "registers")
+
+    def fold(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([folded(np.frombuffer(x.as_py(), np.uint16)).tobytes() for x in b.column(2)], pa.binary())], names=["node", "n", "f"])
+
+    names = asked.columns
+    rows = asked.join(written(own.mapInArrow(fold, "node long, n long, f binary")), "node").select(*names, "n", "f")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("asks").to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(side), bool)
+        if side.any() and not side.all():
+            part, n = (table.column(c).to_numpy() for c in ("component", "n"))
+            regs = np.frombuffer(b"".join(table.column("f").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            x, y = np.flatnonzero(side), np.flatnonzero(~side)
+            for i in x:
+                chance = collision_rate(n[i : i + 1], n[y])
+                chance = chance + (1 - chance) / 256
+                close = (regs[y] == regs[i]).mean(axis=1) >= chance + least_estimate(n[i : i + 1], n[y]) * (1 - chance)
+                near = y[close & (part[y] != part[i]) & (np.minimum(n[y], n[i]) * DENOMINATOR >= np.maximum(n[y], n[i]) * NUMERATOR)]
+                keep[near] = True
+                keep[i] = len(near) > 0
+        return table.select(names).filter(pa.array(keep))
+
+    return rows.groupBy("band", "q", "m").applyInArrow(run, asked.schema)
+
+
+def settled(rest: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b between different components within a band, one for each two components that a block meets. Members
+    outside the band's core are queries against all of the band, in blocks of ``BLOCK`` by ``BLOCK``: a group is two
+    blocks, and no pair is ever a row. Members that no other could be similar to by their registers leave first; the full
+    sets of the others decide."""
     sizes = rest.groupBy("band").agg(F.count_if(F.expr("component <> core")).alias("q"), F.count("*").alias("m"))
     sizes = sizes.select("band", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
     rest = rest.join(narrow(written(sizes)), "band")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asked = rest.where("component <> core").select("band", "id", "component", F.lit(True).alias("asks"), block("nq").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"))
-    asked = asked.unionByName(rest.select("band", "id", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), block("nm").alias("m")))
-    rows = written(asked).join(full_sets(written(rest.select("id").distinct()), docs), "id")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asked = rest.where("component <> core").select("band", "node", "component", F.lit(True).alias("asks"), block("nq").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"))
+    asked = asked.unionByName(rest.select("band", "node", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), block("nm").alias("m")))
+    asked = written(candidates(written(asked), classes))
+    rows = asked.join(full_sets(written(asked.select("node").distinct()), classes, docs), "node")
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("asks").to_numpy(zero_copy_only=False)
         out: dict[tuple, tuple] = {}
         if side.any() and not side.all():
-            ids, parts = np.array(table.column("id").to_pylist()), np.array(table.column("component").to_pylist())
+            ids, part = (table.column(c).to_numpy() for c in ("node", "component"))
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("values")]
             x, y = np.flatnonzero(side), np.flatnonzero(~side)
             both = intersections([sets[k] for k in x], [sets[k] for k in y])
             n = np.array([len(s) for s in sets])
             near = DENOMINATOR * both >= NUMERATOR * (n[x][:, None] + n[y][None, :] - both)
-            for i, j in np.argwhere(near & (parts[x][:, None] != parts[y][None, :])):
-                out.setdefault((parts[x[i]], parts[y[j]]), (ids[x[i]], ids[y[j]]))
-        return pa.table({"a": [int(a) for a, _ in out.values()], "b": [int(b) for _, b in out.values()]}, schema=link)
+            for i, j in np.argwhere(near & (part[x][:, None] != part[y][None, :])):
+                out.setdefault((part[x[i]], part[y[j]]), (ids[x[i]], ids[y[j]]))
+        return pa.table({"a": pa.array([a for a, _ in out.values()], pa.int64()), "b": pa.array([b for _, b in out.values()], pa.int64())})
+
+    return rows.groupBy("band", "q", "m").applyInArrow(run, PAIR)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = T.StructType([T.StructField("a", key), T.StructField("b", key)])
-    link = to_arrow_schema(kind)
-    return rows.groupBy("band", "q", "m").applyInArrow(run, kind)
+def parts(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """rows with the component of their node: itself where nothing links it."""
+    part = written(part.withColumnRenamed("node", "_node"))
+    return rows.join(narrow(part), F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
 
 
-def unsettled(members: DataFrame, part: DataFrame) -> DataFrame:
-    """The members of bands that hold more than one component, with their component and the band's largest one (core)."""
-    part = written(part)
-    rest = written(members.join(narrow(part), members.id == part.node, "left").select("band", "id", F.coalesce("component", "id").alias("component")))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
-    rest = written(rest.join(narrow(written(mixed)), "band"))
+def unsettled(rows: DataFrame) -> DataFrame:
+    """band, node, component and core (the band's largest component) of the bands that hold more than one component. Bands
+    are aggregated first, so members of all others meet nothing."""
+    mixed = rows.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
+    rest = written(rows.select("band", "node", "component").join(narrow(written(mixed)), "band"))
     sizes = rest.groupBy("band", "component").agg(F.count("*").alias("_n"))
     core = written(sizes.groupBy("band").agg(F.max(F.struct("_n", "component")).alias("_m")).select("band", F.col("_m.component").alias("core")))
     return written(rest.join(narrow(core), "band"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of ``docs`` (doc_id, text; other columns are ignored)."""
-    docs = docs.select("doc_id", "text")
-    sketched = written(sketches(docs))
+def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per row of ``docs`` (doc_id, text; other columns are ignored). With
+    ``carry``, also these columns and ``first`` (the component's least row of doc_id and them; null for rows without links)."""
+    own = ("doc_id", *carry)
+    docs = docs.select(*own, "text")
+    sketched = written(sketches(docs, carry))
     n = sketched.count()
-    rows = sketched.select("doc_id", "n_shingles", "fingerprint")
+    rows = sketched.drop("registers")
     filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    classes = written(classes)
-    part = components(links(classes.select("id", "n", "registers", "bands"), docs))
-    groups = classes.join(part, classes.id == part.node, "left").select("fingerprint", "size", F.coalesce("component", "id").alias("component_id"))
+    classes = filled.groupBy("fingerprint").agg(F.min(F.struct(*own)).alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "first.doc_id", "first", "fingerprint", "size", "n", "registers"))
+    part = written(components(links(classes.select("node", "doc_id", "fingerprint", "n", "registers"), docs)))
+    linked = part.join(classes.select("node", "fingerprint", "size", "first"), "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("first"))
+    groups = written(linked.drop("first").join(least, "component").select("fingerprint", "size", "first"))
+    groups = groups.unionByName(classes.join(narrow(part.select("node")), "node", "left_anti").select("fingerprint", "size", "first"))
     lone = "n_shingles = 0 OR doc_id IS NULL"
-    met = join_groups(rows.where(f"NOT ({lone})"), written(groups), "fingerprint", "size", n).select("doc_id", "n_shingles", "component_id")
-    met = met.unionByName(rows.where(lone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    met = join_groups(rows.where(f"NOT ({lone})"), written(groups), "fingerprint", "size", n).withColumn("component_id", F.col("first.doc_id"))
+    met = met.unionByName(rows.where(lone).withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
+    out = met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select(*own, "n_shingles", "component_id", "kept", *(["first"] if carry else []))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, whole, of which one of each group of near-duplicates stays: the first by doc_id, then by a hash of
+    its text; of rows that repeat doc_id and text, one. Rows without words and rows without doc_id all stay."""
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_t"))
+    found = near_groups(keyed, ("_t",))
+    stays = F.struct("doc_id", "_t") == F.col("first")
+    found = written(found.select("doc_id", "_t", F.coalesce(stays, F.lit(True)).alias("_stays"), F.col("first").isNotNull().alias("_linked")))
+    goes = written(found.where("NOT _stays").select("doc_id", "_t").distinct())
+    twice = written(found.where("_stays AND _linked").groupBy("doc_id", "_t").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    on = ["doc_id", "_t"]
+    out = keyed.select("_row", *on).join(narrow(goes), on, "left_anti")
+    if not twice.isEmpty():
+        again = out.join(narrow(twice), on, "left_semi").dropDuplicates(on)
+        out = out.join(narrow(twice), on, "left_anti").unionByName(again)
+    return out.select("_row.*")
