@@ -23,14 +23,17 @@ import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.tables import with_found
+
 #: Expected number of labelled rows taken for each language, and bytes of each dictionary.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 32 * 1024
+#: Values of the label that are learned: the most frequent ones. Stray values of a dirty column are no languages.
+LANGUAGES = 200
 BLOCK = 2048
 LEVEL = 6
 BITS = 1.0
@@ -67,7 +70,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """A dictionary of at most ``size`` bytes for each language, and the limits of what is accepted. Nothing but the sample
     reaches the driver."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    labelled = labelled.where(F.col("l").isin(*counts)) if counts else labelled
     at = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30))
     share = F.lit(0.0)
     for name, n in counts.items():
@@ -170,18 +174,11 @@ OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.Doub
 def identify(docs: DataFrame, trained: Model, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """A row per document: the columns in ``keep``, lang_pred, score, margin, rejected. The dictionaries (a bounded few
     hundred kB) travel with the tasks."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     keep = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(trained))
-    out = T.StructType([*(docs.schema[c] for c in keep), *OUT])
-    arrow = to_arrow_schema(out)
 
-    def run(batches):
-        model = Classifier(*shared.value)
-        for b in batches:
-            found = [model.classify(t.as_py()) for t in b.column(0)]
-            cols = [pa.array([r[i] for r in found], f.type) for i, f in enumerate(list(arrow)[len(keep) :])]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], schema=arrow)
+    def model():
+        classifier = Classifier(*shared.value)
+        return lambda texts: [classifier.classify(t) for t in texts]
 
-    return docs.select(F.col(text), *(F.col(c) for c in keep)).mapInArrow(run, out)
+    return with_found(docs, text, keep, OUT, model)

@@ -4,7 +4,7 @@ Features of a whole text: densities of a learned and of a fixed lexicon, their d
 lexicon word, shares of capitals, punctuation and obfuscated words (letters mixed with digits or symbols), and how many
 of those read as lexicon words once digits and symbols are mapped back.
 
-Training takes at most about ``TRAIN_ROWS`` labelled rows (by a hash of the key). The lexicon is the words whose document
+Training takes at most about ``TRAIN_ROWS`` labelled keys (by a hash of the key). The lexicon is the words whose document
 frequencies differ most between the labels, counted on Spark; trees and calibration are fitted to the rows' features.
 A fifth of the rows is kept from the trees and calibrates them. Null texts count as empty; they get a score like others.
 With no labelled rows, or one label only, all scores are the share of that label.
@@ -171,15 +171,18 @@ class Model:
         return np.interp(self.trees.predict(x), *self.knots)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows key, text, toxic (0 or 1; others are ignored). What reaches the driver is at most about ``rows``
-    rows of features and ``LEXICON_WORDS`` words."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
+    """A model from ``docs`` (key, text) and ``labels`` (key, toxic: 0 or 1; others are ignored; of several labels of a key
+    the larger counts). At most about ``rows`` keys are sampled from the labels, and these meet the documents by broadcast,
+    so no text shuffles. What reaches the driver is their features and ``LEXICON_WORDS`` words."""
     from cairn.llm.tables import written
 
-    labelled = labelled.where("toxic IN (0, 1)").select(F.col(key).cast("string").alias("k"), "text", F.col("toxic").cast("int").alias("toxic"))
-    n = labelled.count()
-    at = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
-    sample = written(labelled.where(at < int(min(1.0, rows / max(n, 1)) * (1 << 30))).withColumn("fold", at % 5))
+    labels = written(labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    n = labels.count()
+    at = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(1 << 30))
+    chosen = labels.where(at < int(min(1.0, rows / max(n, 1)) * (1 << 30))).withColumn("fold", at % 5)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    sample = written(texts.join(F.broadcast(chosen), "_key").select(F.col("_key").cast("string").alias("k"), "text", "toxic", "fold"))
     lexicon = learn_lexicon(sample.where("fold < 4"))
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("fold", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
@@ -201,15 +204,7 @@ def train(labelled: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS) -> M
 
 def score(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns in ``keep`` and ``score`` of each row. The model (some hundred kB at most) travels with the tasks."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    from cairn.llm.tables import with_found
 
-    keep = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    arrow = to_arrow_schema(out)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(shared.value.scores(t.as_py() for t in b.column(0)), pa.float64())], schema=arrow)
-
-    return docs.select(F.col(text), *(F.col(c) for c in keep)).mapInArrow(run, out)
+    return with_found(docs, text, list(keep), [T.StructField("score", T.DoubleType())], lambda: lambda texts: [(float(s),) for s in shared.value.scores(texts)])
