@@ -1,15 +1,23 @@
 """Quality rules as a short-circuit cascade ordered by measured rejection per cost, all in DataFrame functions.
 
-``order_rules`` runs each rule over a sample (``SAMPLE_ROWS`` expected rows by a hash of the text), takes its time beyond
+A rule says from the raw text whether it rejects it. ``order_rules`` runs each rule over a sample (``SAMPLE_ROWS`` expected
+rows, drawn row by row, so neither nulls nor a text that many rows share weigh more than their share), takes its time beyond
 a job that only reads the sample as its cost and the share of rows it rejects as its selectivity, and orders rules by
-rejection per cost. ``cascade`` evaluates them in that order inside one CASE, so that a rejected row meets no later rule.
-The order changes the time and which rule is named, never whether a row is rejected.
+rejection per cost; scores within a factor of two count as equal and keep the order they were declared in. ``cascade``
+evaluates the rules in that order inside one CASE, so a rejected row meets no later rule, and what a rule measures is
+computed in its branch only. The order changes the time and which rule is named, never whether a row is rejected.
 
-Words are runs of anything but ASCII white space. Null texts have no words; no rule but the number of words rejects them.
+``judge`` is that cascade over all rules, the base rules (too few words, repeated passages) among them. The registered query
+also returns the base measures, which must then be computed for every row; its base rules read these columns, and its
+cascade spares only the other rules.
+
+Words are runs of anything but ASCII white space. Null texts have no words. Words are compared by 64-bit hashes in windows:
+two different windows with one hash would count as a repeat.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,97 +28,148 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 2_000
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
+LEAST_WORDS, REPEAT_PERCENT = 10, 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects rows where ``fails`` holds; it may use the columns of ``measures``."""
+    """Rejects rows where ``fails`` of the text column holds."""
 
     name: str
-    fails: Callable[[], Column]
+    fails: Callable[[Column], Column]
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
+    return F.array_remove(F.split(whole(text), SPACE, -1), "")
+
+
+def n_words(text: Column) -> Column:
+    return F.size(words(text)).cast("long")
+
+
+def word_chars(text: Column) -> Column:
+    return F.char_length(F.translate(whole(text), " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+def n_symbols(text: Column) -> Column:
+    return (F.char_length(whole(text)) - F.char_length(F.translate(whole(text), "#*$%&|<>", ""))).cast("long")
+
+
+def n_dup_lines(text: Column) -> Column:
+    lines = F.filter(F.split(whole(text), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+
+def _places(windows: Column) -> Column:
+    """How many words the windows cover that occur twice or more. Sorted by hash, neighbours with one hash are repeats."""
+    ordered = F.array_sort(F.transform(windows, lambda v, k: F.struct(v.alias("v"), k.alias("k"))))
+    none = F.array().cast("array<int>")
+    pairs = let(ordered, lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.when(a["v"] == b["v"], F.array(a["k"], b["k"])).otherwise(none)))
+    places = F.array_sort(F.array_distinct(F.flatten(pairs)))
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
+    step = lambda s, k: F.struct(k.alias("last"), (s["n"] + F.least(F.lit(WINDOW), k - s["last"])).alias("n"))
+    return F.aggregate(places, start, step, lambda s: s["n"])
+
+
+def n_repeat_words(text: Column) -> Column:
+    """Words in windows of five that the text has twice or more. Only texts with a repeated window sort theirs."""
+    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda k: F.xxhash64(*(F.get(h, k + j) for j in range(WINDOW))))
+    repeats = lambda h: let(windows(h), lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), _places(v)).otherwise(0))
+    return let(hashes, lambda h: F.when(F.size(h) > WINDOW, repeats(h)).otherwise(0)).cast("long")
+
+
+MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("_w", words(F.col(text)))
-    docs = docs.withColumn("n_words", F.size("_w").cast("long"))
-    docs = docs.withColumn("word_chars", F.char_length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"))
-    docs = docs.withColumn("n_symbols", (F.char_length(whole) - F.char_length(F.translate(whole, "#*$%&|<>", ""))).cast("long"))
-    docs = docs.withColumn("_lines", F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    docs = docs.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    docs = docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
-    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda k: F.xxhash64(*(F.get("_h", k + j) for j in range(WINDOW))))
-    docs = docs.withColumn("_v", F.when(F.size("_h") > WINDOW, windows)).drop("_h")
-    docs = docs.withColumn("_again", F.size(F.array_distinct("_v")) < F.size("_v"))
-    # only texts with a repeated window sort theirs: neighbours with one hash are repeats, and give their places
-    ordered = F.array_sort(F.transform("_v", lambda v, k: F.struct(v.alias("v"), k.alias("k"))))
-    docs = docs.withColumn("_s", F.when(F.col("_again"), ordered)).drop("_v")
-    pairs = F.zip_with(F.slice("_s", 1, F.size("_s") - 1), F.slice("_s", 2, F.size("_s") - 1), lambda a, b: F.when(a["v"] == b["v"], F.array(a["k"], b["k"])).otherwise(F.array().cast("array<int>")))
-    docs = docs.withColumn("_at", F.when(F.col("_again"), F.array_sort(F.array_distinct(F.flatten(pairs))))).drop("_s")
-    covered = F.aggregate("_at", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, k: F.struct(k.alias("last"), (s["n"] + F.least(F.lit(WINDOW), k - s["last"])).alias("n")), lambda s: s["n"])
-    docs = docs.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(0).cast("long"))
-    return docs.drop("_again", "_at")
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-
-
-def rules(text: str = "text") -> list[Rule]:
-    """Wide bounds: prose of any kind passes, rows made of symbols, copied lines or unbroken runs don't."""
-    whole = lambda: F.coalesce(F.col(text), F.lit(""))
+    """docs with all measures of the whole text."""
+    return docs.select("*", *(measure(F.col(text)).alias(name) for name, measure in MEASURES.items()))
+
+
+def base_failed(words: Column, repeats: Column) -> Column:
+    return (words < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words)
+
+
+def base_rules() -> list[Rule]:
+    return [
+        Rule("few_words", lambda t: n_words(t) < LEAST_WORDS),
+        Rule("repeated_passages", lambda t: 100 * n_repeat_words(t) > REPEAT_PERCENT * n_words(t)),
+    ]
+
+
+def rules() -> list[Rule]:
+    """Wide bounds: prose of any kind passes; rows made of symbols, copied lines or unbroken runs don't. None rejects an
+    empty text."""
+    letters = lambda t: F.char_length(F.regexp_replace(whole(t), r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", lambda: F.col("n_symbols") * 10 > F.col("word_chars")),
-        Rule("copied_lines", lambda: F.col("n_dup_lines") * 2 > F.size(F.split(whole(), "\n", -1))),
-        Rule("word_length", lambda: (F.col("word_chars") > 25 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("letters", lambda: F.char_length(F.regexp_replace(whole(), r"[^\p{L}]+", "")) * 2 < F.col("word_chars")),
-        Rule("replacement_characters", lambda: F.char_length(whole()) - F.char_length(F.translate(whole(), "�", "")) > F.col("n_words")),
+        Rule("symbols", lambda t: n_symbols(t) * 10 > word_chars(t)),
+        Rule("copied_lines", lambda t: n_dup_lines(t) * 2 > F.size(F.split(whole(t), "\n", -1))),
+        Rule("word_length", lambda t: let(F.struct(word_chars(t).alias("c"), n_words(t).alias("n")), lambda m: (m["c"] > 25 * m["n"]) | (m["c"] < 2 * m["n"]))),
+        Rule("letters", lambda t: letters(t) * 2 < word_chars(t)),
+        Rule("replacement_characters", lambda t: F.char_length(whole(t)) - F.char_length(F.translate(whole(t), "�", "")) > n_words(t)),
     ]
 
 
+def ranked(measured: list[tuple[float, float]]) -> list[int]:
+    """The order of rules with these (seconds, rejected share): by rejection per second, in steps of a factor of two; ties in
+    their own order, rules that reject nothing last and the cheapest of them first."""
+    step = lambda x: round(math.log2(max(x, 1e-9)))
+    key = lambda k: (-step(measured[k][1] / measured[k][0]), k) if measured[k][1] else (math.inf, step(measured[k][0]), k)
+    return sorted(range(len(measured)), key=key)
+
+
 def order_rules(docs: DataFrame, candidates: list[Rule], text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost on a sample of about ``rows`` rows; their own order where there are no rows."""
     n = docs.count()
     if not n:
         return list(candidates)
-    share = min(1.0, rows / n)
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = measures(sample.select(text), text).persist()
+    sample = docs.select(F.col(text).alias("t")).sample(min(1.0, rows / n), seed=11).persist()
     try:
 
         def timed(condition: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(condition)).first()[0]
-            return time.perf_counter() - began, hits
-
-        timed(F.lit(True))
+            best, hits = math.inf, 0
+            for _ in range(2):
+                began = time.perf_counter()
+                hits = sample.agg(F.count_if(condition)).first()[0]
+                best = min(best, time.perf_counter() - began)
+            return best, hits
+
+        seen = max(1, sample.count())
         floor, _ = timed(F.lit(True))
-        found = []
-        for k, rule in enumerate(candidates):
-            seconds, hits = timed(rule.fails())
-            found.append((-hits / max(seconds - floor, 1e-3), k))
-        return [candidates[k] for _, k in sorted(found)]
+        found = [timed(rule.fails(F.col("t"))) for rule in candidates]
+        return [candidates[k] for k in ranked([(max(seconds - floor, 1e-3), hits / seen) for seconds, hits in found])]
     finally:
         sample.unpersist()
 
 
-def cascade(ordered: list[Rule]) -> Column:
+def cascade(ordered: list[Rule], text: str = "text") -> Column:
     """The name of the first rule that rejects the row, or null."""
-    out = None
-    for rule in ordered:
-        out = F.when(rule.fails(), rule.name) if out is None else out.when(rule.fails(), rule.name)
-    return out if out is not None else F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
+    for rule in reversed(ordered):
+        out = F.when(rule.fails(F.col(text)), rule.name).otherwise(out)
+    return out
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with its measures, base_failed, rejected_by (the first rule of the cascade; null also where the base fails)
-    and kept."""
-    ordered = order_rules(docs, rules(text), text)
-    docs = measures(docs, text).withColumn("base_failed", base_failed())
-    docs = docs.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(ordered)))
+    """docs with rejected_by (the first rule of the cascade that rejects the row, null for none) and kept."""
+    ordered = order_rules(docs, base_rules() + rules(), text)
+    return docs.withColumn("rejected_by", cascade(ordered, text)).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with all measures, base_failed, rejected_by (null where the base fails) and kept: the cascade runs behind the
+    base rules, whose columns are computed anyway."""
+    ordered = order_rules(docs, rules(), text)
+    docs = measures(docs, text).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    docs = docs.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(ordered, text)))
     return docs.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
