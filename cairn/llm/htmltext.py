@@ -39,7 +39,9 @@ CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead "
     "comment comments respond discussion cookie cookies consent notice notices newsletter subscribe signup popup modal share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search login".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+|<)", re.S)
+#: The same without quotes, for the rest of a page whose quotes don't close: a tag ends at the next '>'.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|([^<]+|<)", re.S)
 #: End tags of raw elements. What such an element holds is not read as HTML: '<' and '<!--' in a script are its own.
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW if name != "head"}
 #: Raw elements that browsers, too, read to the end of the page if they are never closed; others then count as a tag only.
@@ -78,10 +80,16 @@ class Scan:
         self.boxes: list[tuple[int, str, bool]] = [(-1, "page", False)]  # parent, name, cut
         self.marks: dict[int, int] = {}  # boxes that only a mark of their own cuts
         self.tokens: list[tuple[str, int, str]] = []  # type, box, text or ""
-        here, stack, link, at, unclosed = 0, [0], 0, 0, set()
-        add, match = self.tokens.append, _TOKEN.match
+        here, stack, link, at, unclosed, opened = 0, [0], 0, 0, set(), Counter()
+        add, match, last = self.tokens.append, _TOKEN.match, page.rfind(">")
         while at < len(page):
+            if at > last and page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?"):
+                add(("wa" if link else "w", here, page[at:]))  # no tag ends from here on
+                break
             m = match(page, at)
+            if m[4] == "<" and match is not _PLAIN.match and page[at + 1 : at + 2].isalpha():
+                match = _PLAIN.match  # a tag's quotes run to the end of the page
+                m = match(page, at)
             at = m.end()
             close, name, attrs, text = m.groups()
             if text is not None:
@@ -110,11 +118,13 @@ class Scan:
                     if mark:
                         self.marks[here] = mark
                     stack.append(here)
+                    opened[name] += 1
                 else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.boxes[stack[k]][1] == name:
-                            del stack[k:]
-                            here = stack[-1]
+                    while opened[name]:  # closes what is open in it as well
+                        shut = self.boxes[stack.pop()][1]
+                        opened[shut] -= 1
+                        here = stack[-1]
+                        if shut == name:
                             break
                     link = 0
             elif name in INLINE:
@@ -238,16 +248,18 @@ def main_text(page: str | None) -> str:
     if not held:
         return ""
 
-    def up(box: int) -> list[int]:
-        path = []
-        while box >= 0:
-            path.append(box)
-            box = boxes[box][0]
-        return path[::-1]
-
-    common = up(held[0])
-    for box in set(held):
-        common = [a for a, b in zip(common, up(box), strict=False) if a == b]
+    # boxes are numbered as they open, so the box that holds all is the one that holds the first and the last
+    one, two = min(held), max(held)
+    while one != two:
+        if one > two:
+            one = boxes[one][0]
+        else:
+            two = boxes[two][0]
+    common = []
+    while one >= 0:
+        common.append(one)
+        one = boxes[one][0]
+    common.reverse()
     named = [b for b in common if boxes[b][1] in ("article", "main")]
     top = named[-1] if named else next((b for b in reversed(common) if boxes[b][1] not in ("ul", "ol", "table", "dl", "figure")), 0)
     inside = [False] * len(boxes)

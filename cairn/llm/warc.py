@@ -3,16 +3,19 @@
 A derived record names its response in WARC-Refers-To, keeps the target URI and date, and has a digest of its own block.
 The metadata record's block (application/warc-fields) holds the source's id, HTTP status, HTTP headers and payload
 digest; the conversion record's block is the page's visible text in UTF-8, with the source's digest in its headers.
-Record ids are name-based UUIDs of the response's id and the record type, so a retried task makes the same records.
+Record ids are name-based UUIDs of the response's id, its payload's digest and the record type, so a retried task makes the
+same records, and responses that share an id but not their payload get records of their own.
 
-Null payloads count as empty, null URIs give records without a target; repeated rows give repeated records, with one id
-if their ids are one. ``record_bytes`` serialises a record, ``parse_records`` reads records back from bytes.
+Null payloads count as empty, null URIs give records without a target; rows that repeat id and payload give repeated
+records with one id. Control characters in a URI or a header's value are percent-encoded, so no value makes a header line.
+``record_bytes`` serialises a record, ``parse_records`` reads records back from bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,14 +37,20 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def derived_id(source: str, kind: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {source}')}>"
+def derived_id(source: str, kind: str, payload: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {payload} {source}')}>"
+
+
+def header_value(text: str) -> str:
+    """The text as a header's value: one line, control characters percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of a table of pages that come without HTTP headers: status 200 and headers made from the page.
-    Ids are made from key and URL. ``key`` is kept."""
-    name = F.md5(F.concat_ws("\n", F.col(key).cast("string"), F.col(url)))
+    Ids are made from key, URL and a digest of the page. ``key`` is kept."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    name = F.md5(F.concat_ws("\n", known(F.col(key).cast("string")), known(F.col(url)), F.md5(F.coalesce(F.col(html), F.lit("")))))
     part = lambda a, n: F.substring(name, a, n)
     record_id = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
     size = F.octet_length(F.coalesce(F.col(html), F.lit(""))).cast("string")
@@ -57,15 +66,16 @@ def derive(record_id: str, target: str | None, date: str | None, status: int | N
     """(record id, headers in order, block) of the metadata and of the conversion record of one response."""
     body = (payload or "").encode("utf-8", "replace")
     source, sent = digest(body), parse_http(http_headers)
-    fields = [("source-record-id", record_id), ("http-status", "" if status is None else str(status)), *((f"http-{k}", sent[k]) for k in SOURCE_HEADERS if k in sent), ("payload-digest", source), ("payload-length", str(len(body)))]
+    record_id = header_value(record_id)
+    fields = [("source-record-id", record_id), ("http-status", "" if status is None else str(status)), *((f"http-{k}", header_value(sent[k])) for k in SOURCE_HEADERS if k in sent), ("payload-digest", source), ("payload-length", str(len(body)))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = visible_text(payload).encode("utf-8", "replace")
     out = []
     for kind, mime, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
-        own = derived_id(record_id, kind)
+        own = derived_id(record_id, kind, source)
         headers = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Refers-To": record_id}
-        headers |= {"WARC-Target-URI": target} if target is not None else {}
-        headers |= {"WARC-Date": date} if date is not None else {}
+        headers |= {"WARC-Target-URI": header_value(target)} if target is not None else {}
+        headers |= {"WARC-Date": header_value(date)} if date is not None else {}
         headers |= {"X-Source-Payload-Digest": source, "Content-Type": mime, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
         out.append((own, headers, block))
     return out
