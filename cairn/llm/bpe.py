@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding, exact to the tokenizers library.
 
 ``Codec`` encodes one text: it splits it as the tokenizer file's byte-level pre-tokenizer does, looks each piece up in a
-bounded cache and hands unseen pieces to the library. Texts with characters whose Unicode class has changed since
-Unicode 3.2 go to the library whole, so that its own tables decide.
+bounded cache and encodes unseen pieces by the file's own ranks. Texts with characters that became letters or numbers
+after Unicode 3.2, or are still unassigned, go to the library whole, so that its own tables decide.
 
 ``encode_documents`` is the operator. Long texts are cut into leaves that are encoded in parallel on Spark; then the
 leaves of a document are joined as a tree. A join re-encodes a growing window around the cut until the window starts as
@@ -52,15 +52,19 @@ def _byte_alphabet() -> list[str]:
 ALPHABET = _byte_alphabet()
 
 
-def _char_class(test) -> str:
-    """The inside of a character class with the BMP characters for which test holds."""
+#: Code points up to which characters are classed here; no letters or numbers lie beyond.
+LAST = 0x40000
+
+
+def _char_class(test, last: int = LAST) -> str:
+    """The inside of a character class with the characters below ``last`` for which test holds."""
     out, start = [], None
-    for c in range(0x10001):
-        inside = c < 0x10000 and not 0xD800 <= c <= 0xDFFF and test(chr(c))
+    for c in range(last + 1):
+        inside = c < last and not 0xD800 <= c <= 0xDFFF and test(chr(c))
         if inside and start is None:
             start = c
         elif not inside and start is not None:
-            out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
     return "".join(out)
 
@@ -92,15 +96,37 @@ class Codec:
         self._tok.no_truncation()
         self.specials = {t.content: i for i, t in self._tok.get_added_tokens_decoder().items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
-        letter, number = (_char_class(lambda c, k=k: new(c)[0] == k) for k in "LN")
+        old, new = (lambda c: unicodedata.ucd_3_2_0.category(c)[0]), (lambda c: unicodedata.category(c)[0])
         # fixed: the White_Space property
-        space = r"\t-\r \x85\xa0  -     　"
-        self._odd = re.compile(f"[{_char_class(lambda c: old(c)[0] != new(c)[0])}\ud800-\udfff\U00010000-\U0010ffff]")
-        self._split = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        # letters or numbers in one version of Unicode and not in another; what is no letter or number in either, like emoji, splits alike
+        changed = lambda c: (new(c) in "LN" or old(c) in "LN") and old(c) != new(c) or unicodedata.category(c) == "Cn"
+
+        def pattern(last: int) -> re.Pattern:
+            letter, number = (_char_class(lambda c, k=k: new(c) == k, last) for k in "LN")
+            return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+        # classes of the first 65,536 characters are tables, of all they are lists of ranges: few texts need the second
+        self._beyond = re.compile("[\U00010000-\U0010ffff]")
+        self._odd_here = re.compile(f"[{_char_class(changed, 0x10000)}\ud800-\udfff]")
+        self._odd_beyond = re.compile(f"[{_char_class(lambda c: c > '\uffff' and changed(c))}{chr(LAST)}-\U0010ffff]")
+        self._split, self._split_all = pattern(0x10000), None
+        self._pattern = pattern
         self._ranked = self._rank_encoder()
         self._pieces = _Pieces(self._encode_piece)
 
+    def odd(self, text: str) -> bool:
+        """Whether a text has characters that the library must class."""
+        return not text.isascii() and bool(self._odd_here.search(text) or (self._beyond.search(text) and self._odd_beyond.search(text)))
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text without odd characters and special strings."""
+        if text.isascii() or not self._beyond.search(text):
+            return self._split.findall(text)
+        if self._split_all is None:
+            self._split_all = self._pattern(LAST)
+        return self._split_all.findall(text)
+
     # tables of long pieces and of decoding, made when first used
     @cached_property
     def _model(self):
@@ -139,7 +165,7 @@ class Codec:
         """The ids of the whole text, packed."""
         if not text:
             return b""
-        if not text.isascii() and self._odd.search(text):
+        if self.odd(text):
             return self.pack(self._tok.encode(text, add_special_tokens=False).ids)
         return b"".join(self._pack_parts(text))
 
@@ -150,9 +176,9 @@ class Codec:
                 if part in self.specials:
                     yield self.pack([self.specials[part]])
                 else:
-                    yield from map(get, self._split.findall(part))
+                    yield from map(get, self.split(part))
         else:
-            yield from map(get, self._split.findall(text))
+            yield from map(get, self.split(text))
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -186,7 +212,7 @@ class Codec:
     # leaves of a long text -------------------------------------------------------------------------------------------
     def leaf(self, text: str) -> tuple[list[str], list[bytes]]:
         """The pieces of a part of a text and their packed ids. Special strings are kept out of leaves by the cutter."""
-        pieces = self._split.findall(text)
+        pieces = self.split(text)
         return pieces, list(map(self._pieces.__getitem__, pieces))
 
     def join(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
@@ -199,7 +225,7 @@ class Codec:
             a, b = min(width, len(lp)), min(width, len(rp))
             head, tail = lp[len(lp) - a :], rp[:b]
             text = "".join(head) + "".join(tail)
-            scan, end, ends, at = self._split.findall(text), len(text), set(), len(text) - sum(map(len, tail))
+            scan, end, ends, at = self.split(text), len(text), set(), len(text) - sum(map(len, tail))
             for p in tail:
                 at += len(p)
                 ends.add(at)
@@ -238,7 +264,7 @@ class Codec:
 
     def cuttable(self, text: str) -> bool:
         """Whether a text may be cut into leaves: no special strings, and no characters that the library must class."""
-        return not self._odd.search(text) and not any(s in text for s in self.specials)
+        return not self.odd(text) and not any(s in text for s in self.specials)
 
     # decoding -------------------------------------------------------------------------------------------------------
     def decode(self, packed: bytes) -> str:
