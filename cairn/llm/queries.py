@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, exact, htmltext, langid, neardup, packing, quality, toxicity, urlfilter, warc
-from cairn.llm.tables import read, written
+from cairn.llm.tables import read, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,7 +51,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.train(docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -68,7 +68,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.measured(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -84,13 +84,13 @@ def restored(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under 0.5; the model learns from the labelled documents of the whole table."""
-    known = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.train(known)
+    model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return restored(toxicity.score(set_apart(docs), model, keep=set_apart(docs).columns, text="own_text").where("score < 0.5"), docs)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the method accepts; it learns from the lang column of what it is given."""
+    small_batches(spark)
     own = set_apart(docs)
     return restored(langid.identify(own, langid.train(docs.select("doc_id", "text", "lang")), text="own_text", keep=own.columns).where("NOT rejected"), docs)
 
@@ -104,13 +104,12 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    from cairn.llm.tables import narrow
-
-    goes = written(neardup.near_groups(docs).where("NOT kept").select("doc_id"))
-    return docs.join(narrow(goes), "doc_id", "left_anti").select(*docs.columns)
+    small_batches(spark)
+    return neardup.representatives(docs)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -132,4 +131,17 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+        "op10_quality_rules": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+            m AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS lines FROM d),
+            g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM m)),
+            p AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM g, range(5) k(j) WHERE n > 1 GROUP BY r),
+            b AS (SELECT m.r, doc_id, t, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+                    len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                    coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN p ON m.r = p.r),
+            f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+                NOT (base_failed OR n_symbols * 10 > word_chars OR n_dup_lines * 2 > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+                    OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 2 < word_chars OR length(t) - length(replace(t, '�', '')) > n_words) AS kept
+            FROM f""",
     }

@@ -12,7 +12,7 @@ from oracle import differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import bpe, components, exact, htmltext, langid, neardup, packing, quality, queries, toxicity, urlfilter, warc
+from cairn.llm import bpe, components, exact, htmltext, langid, neardup, packing, quality, queries, tables, toxicity, urlfilter, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +66,17 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, PATH).count() == 0
 
 
+def test_bpe_cuts_around_emoji(spark):
+    """A long text with emoji and letters beyond the BMP goes through leaves and joins, equal to the library."""
+    tok, c = Tokenizer.from_file(PATH), bpe.codec(PATH)
+    text = "so 😀👍🏽 much \U0001d4d0bc \U00020000\U00020001 ١٢ Ⅷ ₂ " * 40
+    assert c.cuttable(text)
+    df = spark.createDataFrame([(1, text), (2, "\u0378 unassigned " * 30)], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_documents(df, PATH, leaf_chars=37).collect()}
+    for k, t in ((1, text), (2, "\u0378 unassigned " * 30)):
+        assert got[k] == c.pack(tok.encode(t, add_special_tokens=False).ids)
+
+
 def test_bpe_joins_anywhere():
     rng, c = random.Random(4), bpe.codec(PATH)
     parts = ["a", "'", "ll", "s", " ", "  ", "\n", "é", "1", "--", "re", "x" * 40, "_"]
@@ -119,6 +130,23 @@ def test_exact(docs, empty):
     assert exact.exact_groups(empty).count() == 0
 
 
+def test_exact_with_full_filters(docs, monkeypatch):
+    """A filter that is too small lets rows through; groups stay exact."""
+    want = sorted(tuple(r) for r in exact.exact_groups(docs).collect())
+    monkeypatch.setattr(tables, "MAX_BITS", 64)
+    monkeypatch.setattr(tables, "BLOCK_BITS", 64)
+    assert sorted(tuple(r) for r in exact.exact_groups(docs).collect()) == want
+
+
+def test_reduced(spark, monkeypatch):
+    """A large key table is met through a filter: no row with a partner is lost."""
+    rows, keys = spark.range(5000).toDF("id"), spark.range(0, 5000, 7).toDF("id")
+    assert tables.reduced(rows, keys, ["id"]).count() == 5000
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)
+    some = tables.reduced(rows, keys, ["id"])
+    assert some.join(keys, "id").count() == keys.count() and some.count() < 2000
+
+
 def test_stages_keep_columns(spark, sf):
     """Documents come out with their own columns, whatever they are named."""
     d = "/root/testdata/sf0.01"
@@ -171,6 +199,28 @@ def test_near_chain_in_one_band(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(df).collect()} == brute_components(items)
 
 
+def test_near_repeated_ids(spark):
+    """Rows that share a doc_id are documents of their own; ids may be text; of exact repeats one stays."""
+    rng = random.Random(5)
+    said = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    a, b = said(60), said(60)
+    rows = [("1", b), ("5", a), ("5", b + " more"), ("7", a), ("7", a), ("8", "  "), (None, a), ("9", "x"), ("9", "x")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id string, text string, n int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_groups(df).collect()), key=str)
+    assert got == sorted([("1", "1", True), ("5", "5", True), ("5", "1", False), ("7", "5", False), ("7", "5", False), ("8", "8", True), (None, None, True), ("9", "9", True), ("9", "9", True)], key=str)
+    stays = neardup.representatives(df)
+    assert stays.columns == df.columns
+    assert sorted((r.doc_id or "", r.text) for r in stays.collect()) == sorted([("1", b), ("5", a), ("8", "  "), ("", a), ("9", "x")])
+
+
+def test_near_blocks(spark, monkeypatch):
+    """Large bands are compared block by block: no link is lost, whatever the size of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "FIRST_BANDS", 1)
+    test_near_chain_in_one_band(spark)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(25)]
@@ -190,7 +240,8 @@ def test_components(spark):
 
 
 def test_quality(docs, empty):
-    got = {r.doc_id: r for r in quality.judge(docs.select("doc_id", "text")).collect()}
+    got = {r.doc_id: r for r in quality.measured(docs.select("doc_id", "text")).collect()}
+    assert {r.doc_id: r.kept for r in quality.judge(docs).collect()} == {k: r.kept for k, r in got.items()}
     for k, t in enumerate(texts()):
         t = t or ""
         w = WORD.findall(t)
@@ -204,6 +255,22 @@ def test_quality(docs, empty):
     assert quality.judge(empty.select("doc_id", "text")).count() == 0
 
 
+def test_quality_rules(spark):
+    """Each rule rejects what it is for, the order follows rejection per second, and no row or shared text fills a sample."""
+    said = "one of many words that make some sense to whoever reads all of them now"
+    bad = {"few_words": "a b c", "repeated_passages": (said + " ") * 3, "symbols": said + " " + "#$%&" * 9, "copied_lines": "one two three\n" * 9 + "four five six seven eight nine ten eleven twelve\n" * 9, "word_length": "x" * 900 + " " + said, "letters": "12345678 " + " ".join(f"{k}4567890" for k in range(100, 120)), "replacement_characters": said + "\ufffd" * 40}
+    rows = spark.createDataFrame([("good", said), *bad.items()], "name string, text string")
+    rules = {r.name: r for r in quality.base_rules() + quality.rules()}
+    for name, text in bad.items():
+        assert rows.where(F.col("name") == name).select(rules[name].fails(F.col("text"))).first()[0], name
+        assert not rows.where("name = 'good'").select(rules[name].fails(F.col("text"))).first()[0], name
+    assert {r.name for r in quality.judge(rows).where("kept").collect()} == {"good"}
+    assert quality.ranked([(1.0, 0.1), (0.1, 0.1), (0.1, 0.0), (0.11, 0.1), (0.01, 0.0)]) == [1, 3, 0, 4, 2]
+    names = [r.name for r in quality.order_rules(rows, [rules[n] for n in sorted(rules)], rows=3)]
+    assert sorted(names) == sorted(rules)
+    assert quality.judge(spark.range(5).select(F.lit(None).cast("string").alias("text"))).where("kept").count() == 0
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://NET", "http://a.net/", "https://x.example.net/en/1?a#b", "http://example.com/de/x", "http://badexample.com/de/", "http://q.org/fr/", "http://q.org/fr", "a://b.net/x://c"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(1, "http://a.net/")], "page_id long, url string")
@@ -247,6 +314,19 @@ def test_html_scripts(script):
     assert htmltext.main_text(page) == htmltext.visible_text(page) == f"{said} {said}"
 
 
+def test_html_is_linear():
+    """Broken pages of 200 kB to 1 MB: every scan is linear."""
+    import time
+
+    for page in ("<a " * 60_000, "<a<" * 60_000, '<a "' * 60_000 + ">", "<p title='x" * 40_000 + "<p>end</p>", "<div>x " * 40_000 + "</section>" * 40_000, "<div>" * 40_000 + "</p></nav>" * 40_000, "<!--" * 60_000, "<script>" * 60_000, "<button>a" * 40_000):
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        htmltext.visible_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+    assert htmltext.visible_text("<p>One <b title='x>two</b><p>three") == "One two three"
+    assert htmltext.visible_text("<p>1 < 2 and <b") == "1 < 2 and <b"
+
+
 def test_html_unclosed_raw():
     assert htmltext.visible_text("<p>One <button>two<p>three <svg>four") == "One two three four"
     assert htmltext.visible_text("<p>One<script>two<p>three") == "One"
@@ -289,6 +369,18 @@ def test_warc(spark, sf):
             assert f"source-record-id: {r.refers_to}".encode() in block and b"http-content-type: text/html" in block
 
 
+def test_warc_headers_and_ids(spark):
+    """No value makes a header line, and pages that share key and URL have records of their own."""
+    rows = [(1, "http://h/\r\nX: y", "<p>a"), (1, "http://h/\r\nX: y", "<p>b"), (None, None, None), (2, "http://h/", "<p>c"), (2, "http://h/", "<p>c")]
+    got = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len({r.record_id for r in got}) == 8 and len(got) == 10
+    for r in got:
+        (headers, _), = warc.parse_records(bytes(r.record))
+        assert "X" not in headers and headers.get("WARC-Target-URI") in (None, "http://h/", "http://h/%0D%0AX: y")
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(empty)).count() == 0 and htmltext.extract(empty).count() == 0
+
+
 def test_language_held_out(spark):
     rows = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
