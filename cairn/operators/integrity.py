@@ -29,10 +29,12 @@ def duplicate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def later_rows(df: DataFrame, keys: list[str], ord: str = "ord") -> DataFrame:
-    """Every row of a key but its first by ``ord`` (a place of its own for each row). The firsts are aggregated before rows
-    meet them, so a key of many rows needs no sort."""
+    """Every row of a key but its first by ``ord``; of rows that share the first place all but one. The firsts are
+    aggregated before rows meet them, so a key of many rows needs no sort."""
     first = df.groupBy(*keys).agg(F.min(ord).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(first, keys).where(F.col(ord) > F.col("_first")).drop("_first")
+    rows = df.join(first, keys)
+    tied = rows.where(F.col(ord) == F.col("_first")).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(ord))).where("_k > 1").drop("_k")
+    return rows.where(F.col(ord) > F.col("_first")).unionByName(tied).drop("_first")
 
 
 def missing_references(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
