@@ -271,7 +271,9 @@ def test_quality_rules(spark):
     assert quality.judge(spark.range(5).select(F.lit(None).cast("string").alias("text"))).where("kept").count() == 0
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("shapes", [32, 0])
+def test_url_rules(spark, monkeypatch, shapes):
+    monkeypatch.setattr(urlfilter, "SHAPES", shapes)
     urls = [None, "", "no scheme", "http://NET", "http://a.net/", "https://x.example.net/en/1?a#b", "http://example.com/de/x", "http://badexample.com/de/", "http://q.org/fr/", "http://q.org/fr", "a://b.net/x://c"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(1, "http://a.net/")], "page_id long, url string")
     rules = spark.createDataFrame(urlfilter.RULES, "action string, host string, path string")
@@ -282,6 +284,9 @@ def test_url_rules(spark):
     assert got[4] == [("a.net", "/", "net/", "block")] and got[5] == [("x.example.net", "/en/1", "example.net/en/", "allow")]
     assert got[6][0][2:] == ("example.com/de/", "block") and got[7][0][2] is None and got[8][0][2:] == ("org/fr/", "allow") and got[9][0][2] is None
     assert got[10] == [("b.net", "/x://c", "net/", "block")] and len(got[1]) == 2
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0 and {r.verdict for r in urlfilter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+    twice = spark.createDataFrame([("block", "NET", "/"), ("allow", "net", "/"), ("block", "net", "/")], "action string, host string, path string")
+    assert [r.verdict for r in urlfilter.judge(pages.where("page_id = 4"), twice).collect()] == ["allow"]
 
 
 def test_html(spark, sf):
