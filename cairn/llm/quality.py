@@ -8,8 +8,8 @@ evaluates the rules in that order inside one CASE, so a rejected row meets no la
 computed in its branch only. The order changes the time and which rule is named, never whether a row is rejected.
 
 ``judge`` is that cascade over all rules, the base rules (too few words, repeated passages) among them. The registered query
-also returns the base measures, which must then be computed for every row; its base rules read these columns, and its
-cascade spares only the other rules.
+also returns the base measures, which must then be computed for every row; its rules read these columns, so its cascade
+spares no more than what they need beyond them.
 
 Words are runs of anything but ASCII white space. Null texts have no words. Words are compared by 64-bit hashes in windows:
 two different windows with one hash would count as a repeat.
@@ -31,12 +31,25 @@ WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
 
 
+class Measures:
+    """What rules read: the whole text, and its measures, computed where they are read or taken from columns that have
+    them."""
+
+    def __init__(self, text: Column, known: bool = False):
+        self.text, self._known = whole(text), known
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in MEASURES:
+            raise AttributeError(name)
+        return F.col(name) if self._known else MEASURES[name](self.text)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects rows where ``fails`` of the text column holds."""
+    """Rejects rows where ``fails`` of their measures holds."""
 
     name: str
-    fails: Callable[[Column], Column]
+    fails: Callable[[Measures], Column]
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -80,43 +93,45 @@ def _places(windows: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["n"])
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words in windows of five that the text has twice or more. Only texts with a repeated window sort theirs."""
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+def repeat_words(items: Column) -> Column:
+    """Words in windows of five that the list has twice or more. Only texts with a repeated window sort theirs."""
+    hashes = F.transform(items, lambda w: F.xxhash64(w))
     windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda k: F.xxhash64(*(F.get(h, k + j) for j in range(WINDOW))))
     repeats = lambda h: let(windows(h), lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), _places(v)).otherwise(0))
     return let(hashes, lambda h: F.when(F.size(h) > WINDOW, repeats(h)).otherwise(0)).cast("long")
 
 
-MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+def n_repeat_words(text: Column) -> Column:
+    return repeat_words(words(text))
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with all measures of the whole text."""
-    return docs.select("*", *(measure(F.col(text)).alias(name) for name, measure in MEASURES.items()))
+MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 
 
-def base_failed(words: Column, repeats: Column) -> Column:
-    return (words < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words)
+def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with all measures of the whole text; its words are split once."""
+    split = {"n_words": lambda w: F.size(w).cast("long"), "n_repeat_words": repeat_words}
+    one = [(split[name](F.col("_words")) if name in split else measure(F.col(text))).alias(name) for name, measure in MEASURES.items()]
+    return docs.withColumn("_words", words(F.col(text))).select(*docs.columns, *one)
 
 
 def base_rules() -> list[Rule]:
     return [
-        Rule("few_words", lambda t: n_words(t) < LEAST_WORDS),
-        Rule("repeated_passages", lambda t: 100 * n_repeat_words(t) > REPEAT_PERCENT * n_words(t)),
+        Rule("few_words", lambda m: m.n_words < LEAST_WORDS),
+        Rule("repeated_passages", lambda m: 100 * m.n_repeat_words > REPEAT_PERCENT * m.n_words),
     ]
 
 
 def rules() -> list[Rule]:
     """Wide bounds: prose of any kind passes; rows made of symbols, copied lines or unbroken runs don't. None rejects an
     empty text."""
-    letters = lambda t: F.char_length(F.regexp_replace(whole(t), r"[^\p{L}]+", ""))
+    letters = lambda m: F.char_length(F.regexp_replace(m.text, r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", lambda t: n_symbols(t) * 10 > word_chars(t)),
-        Rule("copied_lines", lambda t: n_dup_lines(t) * 2 > F.size(F.split(whole(t), "\n", -1))),
-        Rule("word_length", lambda t: let(F.struct(word_chars(t).alias("c"), n_words(t).alias("n")), lambda m: (m["c"] > 25 * m["n"]) | (m["c"] < 2 * m["n"]))),
-        Rule("letters", lambda t: letters(t) * 2 < word_chars(t)),
-        Rule("replacement_characters", lambda t: F.char_length(whole(t)) - F.char_length(F.translate(whole(t), "�", "")) > n_words(t)),
+        Rule("symbols", lambda m: m.n_symbols * 10 > m.word_chars),
+        Rule("copied_lines", lambda m: m.n_dup_lines * 2 > F.size(F.split(m.text, "\n", -1))),
+        Rule("word_length", lambda m: let(F.struct(m.word_chars.alias("c"), m.n_words.alias("n")), lambda x: (x["c"] > 25 * x["n"]) | (x["c"] < 2 * x["n"]))),
+        Rule("letters", lambda m: letters(m) * 2 < m.word_chars),
+        Rule("replacement_characters", lambda m: F.char_length(m.text) - F.char_length(F.translate(m.text, "\ufffd", "")) > m.n_words),
     ]
 
 
@@ -146,30 +161,32 @@ def order_rules(docs: DataFrame, candidates: list[Rule], text: str = "text", row
 
         seen = max(1, sample.count())
         floor, _ = timed(F.lit(True))
-        found = [timed(rule.fails(F.col("t"))) for rule in candidates]
+        found = [timed(rule.fails(Measures(F.col("t")))) for rule in candidates]
         return [candidates[k] for k in ranked([(max(seconds - floor, 1e-3), hits / seen) for seconds, hits in found])]
     finally:
         sample.unpersist()
 
 
-def cascade(ordered: list[Rule], text: str = "text") -> Column:
+def cascade(ordered: list[Rule], measures: Measures) -> Column:
     """The name of the first rule that rejects the row, or null."""
     out = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        out = F.when(rule.fails(F.col(text)), rule.name).otherwise(out)
+        out = F.when(rule.fails(measures), rule.name).otherwise(out)
     return out
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with rejected_by (the first rule of the cascade that rejects the row, null for none) and kept."""
     ordered = order_rules(docs, base_rules() + rules(), text)
-    return docs.withColumn("rejected_by", cascade(ordered, text)).withColumn("kept", F.col("rejected_by").isNull())
+    return docs.withColumn("rejected_by", cascade(ordered, Measures(F.col(text)))).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with all measures, base_failed, rejected_by (null where the base fails) and kept: the cascade runs behind the
-    base rules, whose columns are computed anyway."""
+    base rules, and reads the measures from their columns."""
     ordered = order_rules(docs, rules(), text)
-    docs = measures(docs, text).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    docs = docs.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(ordered, text)))
+    known = Measures(F.col(text), known=True)
+    failed = base_rules()[0].fails(known) | base_rules()[1].fails(known)
+    docs = measures(docs, text).withColumn("base_failed", failed)
+    docs = docs.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(ordered, known)))
     return docs.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
