@@ -75,14 +75,20 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+def pathname(url: Column) -> Column:
+    """The path of a URL, or of one that is relative to a site's root."""
+    relative = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "^/+", ""))
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url_path(url)).otherwise(relative)
+
+
 def path_key(url: Column) -> Column:
     """The lower-case path without one trailing slash; the root is '/'."""
-    path = F.lower(url_path(url))
+    path = F.lower(pathname(url))
     return F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
 
 
 def segments(url: Column) -> Column:
-    return F.filter(F.split(url_path(url), "/"), lambda s: s != "")
+    return F.filter(F.split(pathname(url), "/"), lambda s: s != "")
 
 
 def id_from_path(url: Column) -> Column:

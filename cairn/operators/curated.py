@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import canonical_url, id_slug, non_blank, unique_list, utc_instant
+from cairn.functions.text import canonical_url, id_slug, non_blank, unique_list, url_host, utc_instant
+from cairn.operators.dimensions import host_of_kind
 from cairn.operators.integrity import issues
 
 # fixed values: caps of text fields, least lengths of lists, closed sets
@@ -39,6 +40,13 @@ RULES = {
     "scenarios": ["id slug", "titleKo text 80", "situationKo text 400", "productIds list 2", "productIds distinct", "productIds[] slug", "talkTrackKo? text 400", *GROUNDED],
     "narration": ["productId slug", "captionKo text 400", *GROUNDED],
 }
+# fixed values: the same for the collections of the catalog
+ENTITY = ["id slug", "name text 120", "summary text 500", "sourceIds list 1", "sourceIds distinct", "sourceIds[] slug"]
+CATALOG_RULES = {
+    "sources": ["id slug", "url url", "pageKind one_of marketing-product marketing-solution marketing-overview developer-docs", "title text 200", "retrievedAt instant"],
+    "productFamilies": ENTITY, "products": [*ENTITY, "familyId slug"], "solutions": ENTITY, "useCases": ENTITY,
+    "relationships": ["type one_of product-solution product-use-case solution-use-case", "fromId slug", "toId slug", "sourceIds list 1", "sourceIds distinct", "sourceIds[] slug"],
+}
 
 
 def predicates(hosts: list[str], layers: dict[str, list[str]]) -> dict[str, Callable[..., Column]]:
@@ -81,15 +89,23 @@ def labelled(paths: Column, rule: str) -> Column:
     return F.transform(paths, lambda p: F.struct(F.concat(p, suffix).alias("path"), F.lit(rule).alias("message")))
 
 
-def shape_issues(rows: DataFrame, name: str, hosts: list[str], layers: dict[str, list[str]], ord: str = "ord") -> DataFrame:
+def shape_issues(rows: DataFrame, name: str, hosts: list[str], layers: dict[str, list[str]], ord: str = "ord", rules: dict[str, list[str]] = RULES) -> DataFrame:
     """The issues (code, path, message, ord) of a collection's rows; message is the rule that is broken. A table of
-    nested columns named as in ``RULES[name]``, with ``ord`` for its order; other columns are ignored."""
+    nested columns named as in ``rules[name]``, with ``ord`` for its order; other columns are ignored."""
     known = predicates(hosts, layers)
     root, row = F.concat(F.lit(f"{name}["), F.col(ord).cast("string"), F.lit("]")), F.struct(*(c for c in rows.columns if c != ord))
     parts = []
-    for line in RULES[name]:
+    for line in rules[name]:
         path, rule, *args = line.split()
         found = broken(row, root, path.split("."), lambda x, rule=rule, args=args: known[rule](x, *args))
         parts.append(labelled(found, rule))
     out = rows.select(F.col(ord).alias("_place"), F.explode(F.concat(*parts)).alias("i"))
     return issues(out, "invalid-shape", F.col("i.path"), F.col("i.message"), F.col("_place"))
+
+
+def coupling_issues(sources: DataFrame, hosts: list[str], docs_host: str, site_host: str, ord: str = "ord") -> DataFrame:
+    """Sources on an approved host that is not the one of their kind; other hosts are issues of their URL."""
+    host, wanted = url_host(F.col("url")), host_of_kind(F.col("pageKind"), docs_host, site_host)
+    wrong = sources.where(F.coalesce(host.isin(*hosts) & (host != wanted), F.lit(False)))
+    message = F.concat(F.lit("pageKind '"), "pageKind", F.lit("' requires hostname '"), wanted, F.lit("'"))
+    return issues(wrong, "invalid-shape", F.concat(F.lit("sources["), F.col(ord).cast("string"), F.lit("].pageKind")), message, F.col(ord))

@@ -7,7 +7,7 @@ need them. A parameter that names nothing known selects nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.dimensions import solution_key
@@ -145,3 +145,18 @@ def mode(raw: Column) -> Column:
 def label_offsets(anchor: Column, y: Column, height: float) -> tuple[Column, Column]:
     """How far a label stands from its node: 18 pixels to its side, above in the upper half and below in the lower."""
     return F.when(anchor == "start", 18).when(anchor == "end", -18).otherwise(0), F.when(y < height / 2, -18).otherwise(30)
+
+
+def question_at(questions: DataFrame, step: int) -> DataFrame:
+    """The boundary question of that number in each solution's session, by neighbour's name; -1 is the step before them. A
+    step out of bounds has none."""
+    place = F.row_number().over(Window.partitionBy("solution").orderBy("neighbour_name", "neighbour")) - 1
+    return questions.withColumn("step", place).where(F.col("step") == step)
+
+
+def calculator_rows(products: DataFrame, pricing: DataFrame, selected: DataFrame, usage: DataFrame) -> DataFrame:
+    """id, metric, is_selected, has_pricing and the metric's amount (0 where there is none). pricing: id, metric; selected:
+    id; usage: id, metric, amount."""
+    rows = products.select("id").join(_flag(selected, "id", "_s"), "id", "left").join(pricing.select("id", "metric").distinct().withColumn("_p", F.lit(True)), "id", "left")
+    rows = rows.join(usage.select("id", "metric", "amount"), ["id", "metric"], "left")
+    return rows.select("id", "metric", F.coalesce("_s", F.lit(False)).alias("is_selected"), F.coalesce("_p", F.lit(False)).alias("has_pricing"), F.coalesce("amount", F.lit(0.0)).alias("amount"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import curated_build, dimensions, integrity, learning, pricing, progress, readmodels, recall, robots, source_config
+from cairn.operators import curated, dimensions, learning, pricing, progress, readmodels, recall, robots, source_config
 from cairn.plans.registry import query, t
 from cairn.sources import json_documents, pages, progress_records
 
@@ -509,3 +509,47 @@ def status_ranks(s, d):
 @query("SELECT user_id, count(*) FILTER (user_id > 0 AND value / user_id >= 0.8) AS n_success FROM events GROUP BY 1")
 def recall_successes(s, d):
     return t(s, d, "events").groupBy("user_id").agg(F.count_if(X.is_success(F.col("value"), F.when(F.col("user_id") > 0, F.col("user_id")).otherwise(0))).alias("n_success"))
+
+
+# sessions, slugs and shapes -------------------------------------------------------------------------------------------
+@query(f"""WITH {_MEM}, {_BOUND}, q AS (SELECT bd.a AS solution, bd.b AS neighbour, min(coalesce(n.s_name, bd.b)) AS neighbour_name FROM bd JOIN named m ON m.s = bd.a JOIN mem o ON o.s = bd.b AND o.id = m.id
+    LEFT JOIN (SELECT s_suppkey::VARCHAR AS k, s_name FROM supplier) n ON n.k = bd.b WHERE bd.a IN (SELECT s_suppkey::VARCHAR FROM supplier) GROUP BY bd.a, bd.b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY solution ORDER BY neighbour_name, neighbour) - 1 AS step FROM q) SELECT solution, neighbour, step FROM r WHERE step = 1""")
+def session_questions(s, d):
+    return learning.question_at(_pools(s, d)[1], 1).select("solution", "neighbour", F.col("step").cast("long").alias("step"))
+
+
+@query("""WITH u AS (SELECT l_partkey AS id, 'm' || l_linenumber AS metric, sum(l_quantity) AS amount FROM lineitem WHERE l_linenumber < 4 GROUP BY ALL),
+    p AS (SELECT p_partkey, p_size, CASE WHEN p_retailprice > 915 THEN 'm1' END AS metric FROM part)
+    SELECT p_partkey::VARCHAR AS id, p.metric, p_size > 25 AS is_selected, p.metric IS NOT NULL AS has_pricing, coalesce(u.amount, 0) AS amount FROM p LEFT JOIN u ON u.id = p_partkey AND u.metric = p.metric""")
+def calculator_rows(s, d):
+    part = t(s, d, "part")
+    pricing_rows = part.where("p_retailprice > 915").select(_text("p_partkey").alias("id"), F.lit("m1").alias("metric"))
+    usage = t(s, d, "lineitem").where("l_linenumber < 4").groupBy(_text("l_partkey").alias("id"), F.concat(F.lit("m"), _text("l_linenumber")).alias("metric")).agg(F.sum("l_quantity").alias("amount"))
+    return learning.calculator_rows(_products(s, d), pricing_rows, part.where("p_size > 25").select(_text("p_partkey").alias("id")), usage)
+
+
+@query("SELECT doc_id, nullif(rtrim(substr(trim(regexp_replace(strip_accents(lower(substr(text, 1, 90))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64), '-'), '') AS slug FROM documents")
+def slugs(s, d):
+    """Slugs of the beginnings of texts, accents and all: a slug has 64 characters at most."""
+    return t(s, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 90)).alias("slug"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS ord, s_nationkey AS n FROM supplier), p AS (SELECT p_partkey AS ord, p_size AS n FROM part)
+    SELECT 'sources' AS collection, 'sources[' || ord || '].id' AS path, 'slug' AS message FROM s WHERE n < 5
+    UNION ALL SELECT 'sources', 'sources[' || ord || '].url', 'url' FROM s WHERE n BETWEEN 5 AND 9
+    UNION ALL SELECT 'sources', 'sources[' || ord || '].pageKind', 'one_of' FROM s WHERE n > 20
+    UNION ALL SELECT 'coupling', 'sources[' || ord || '].pageKind', concat('pageKind ', chr(39), 'developer-docs', chr(39), ' requires hostname ', chr(39), 'docs.example.net', chr(39)) FROM s WHERE n BETWEEN 10 AND 14
+    UNION ALL SELECT 'products', 'products[' || ord || '].sourceIds', 'distinct' FROM p WHERE n > 40
+    UNION ALL SELECT 'products', 'products[' || ord || '].familyId', 'slug' FROM p WHERE n < 10""")
+def catalog_shape_issues(s, d):
+    n, m, hosts = F.col("s_nationkey"), F.col("p_size"), [SITE, DOCS]
+    kind = F.when(n > 20, "other").when(n.between(10, 14), "developer-docs").otherwise("marketing-product")
+    url = F.concat(F.when(n.between(5, 9), "http").otherwise("https"), F.lit(f"://{SITE}/x"))
+    sources = t(s, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.when(n < 5, "Bad id").otherwise(F.concat(F.lit("s-"), _text("s_suppkey"))).alias("id"), url.alias("url"), kind.alias("pageKind"), F.col("s_name").alias("title"), F.lit("2024-01-01T00:00:00Z").alias("retrievedAt"))
+    listed = F.when(m > 40, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a")))
+    products = t(s, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("p-"), _text("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("summary"), listed.alias("sourceIds"), F.when(m < 10, F.col("p_brand")).otherwise("fam").alias("familyId"))
+    named = lambda rows, c: rows.select(F.lit(c).alias("collection"), "path", "message")
+    out = named(curated.shape_issues(sources, "sources", hosts, {}, rules=curated.CATALOG_RULES), "sources")
+    out = out.unionByName(named(curated.coupling_issues(sources.where("pageKind <> 'other'"), hosts, DOCS, SITE), "coupling"))
+    return out.unionByName(named(curated.shape_issues(products, "products", hosts, {}, rules=curated.CATALOG_RULES), "products"))

@@ -113,3 +113,18 @@ def write_atomically(body: str, target: str) -> None:
     except BaseException:
         os.unlink(staged)
         raise
+
+
+def version_issues(document: DataFrame, version: str = "1") -> DataFrame:
+    """An issue if the document's version is not the one that is read here."""
+    wrong = document.where(~F.coalesce(F.col("schemaVersion") == version, F.lit(False)))
+    return wrong.select(F.lit("invalid-shape").alias("code"), F.lit("schemaVersion").alias("path"), F.lit(f'Invalid input: expected "{version}"').alias("message"), F.lit(0).cast("long").alias("ord"))
+
+
+def write_catalog(catalog: dict[str, DataFrame], target: str, generated_at: str, version: str = "1") -> None:
+    """A catalog's collections, with ``ord``, as the one document that readers load: a file of the size of a site's
+    directory. Large collections are tables; write these as Parquet."""
+    body = {"schemaVersion": version, "generatedAt": generated_at}
+    for name, rows in catalog.items():
+        body[name] = [r.asDict(recursive=True) for r in rows.orderBy("ord").drop("ord").toLocalIterator()]
+    write_atomically(serialize(body), target)

@@ -127,12 +127,16 @@ def _pages_of_a_site(spark, over=()):
     return claims.normalized(parsed.join(made.select("source", "page_kind"), "source").withColumn("retrieved_at", F.lit("2026-01-01T00:00:00Z")), "d.org")
 
 
-def test_assembly(spark):
+def test_assembly(spark, tmp_path):
     catalog = assemble.run(_pages_of_a_site(spark))
     rows = {c: sorted(tuple(r) for r in df.collect()) for c, df in catalog.items()}
     assert rows["products"] == [("a", "A", "About A.", "fam-one", ["a", "docs", "over"]), ("b", "B", 'Product "B" as listed on the official products overview.', "fam-one", ["over"])]
     assert rows["productFamilies"] == [("fam-one", "Fam One", 'Product family "Fam One" as grouped on the official products overview.', ["over"])]
     assert rows["solutions"] == [("s", "S", "About S.", ["s"])] and rows["useCases"] == [("use-it", "Use it", "D", ["a"])]
+    path = str(tmp_path / "catalog.json")
+    json_documents.write_catalog({c: df.withColumn("ord", F.monotonically_increasing_id()) for c, df in catalog.items() if c in ("solutions", "useCases")}, path, "2026-01-01T00:00:00Z")
+    document = json_documents.read_document(spark, path)
+    assert json_documents.collection(document, "solutions").first().name == "S" and json_documents.version_issues(document).isEmpty() and not json_documents.version_issues(document, "2").isEmpty()
     assert rows["relationships"] == [("product-use-case", "a", "use-it", ["a"])] and [r[0] for r in rows["sources"]] == ["a", "docs", "over", "s"]
 
 
