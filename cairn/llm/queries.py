@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact, htmltext, langid, neardup, packing, quality, toxicity, urlfilter, warc
+from cairn.llm import bpe, exact, htmltext, langid, neardup, packing, quality, substring, toxicity, urlfilter, warc
 from cairn.llm.tables import read, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 # stages of the pipeline -----------------------------------------------------------------------------------------------
 def set_apart(docs: DataFrame) -> DataFrame:
     """docs with each column as own_<name>, so that none clashes with what an operator adds."""
@@ -114,7 +118,7 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_warc_derivatives, op4_url_filter, op5_bpe_round_trip, op6_toxicity, op7_exact_dedup, op8_html_text, op9_near_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_warc_derivatives, op4_url_filter, op5_bpe_round_trip, op6_toxicity, op7_exact_dedup, op8_html_text, op9_near_dedup, op10_quality_rules, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -144,4 +148,12 @@ def oracle_sql() -> dict[str, str]:
                 NOT (base_failed OR n_symbols * 10 > word_chars OR n_dup_lines * 2 > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words
                     OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 2 < word_chars OR length(t) - length(replace(t, '�', '')) > n_words) AS kept
             FROM f""",
+        "op13_substring_dedup": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            p AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
+            f AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k),
+            g AS (SELECT DISTINCT r, i + j AS i FROM p JOIN f USING (k), range(50) c(j) WHERE doc_id > least),
+            s AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+            k AS (SELECT s.r, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY s.i) FILTER (g.i IS NULL) AS kept FROM s LEFT JOIN g ON s.r = g.r AND s.i = g.i GROUP BY s.r)
+            SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
     }

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.sources.shared import shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "bit_blocks", "filter_bits", "hits", "join_groups", "narrow", "read", "reduced", "shared_dir", "small_batches", "with_found", "written"]
+__all__ = ["BROADCAST_ROWS", "bit_blocks", "filter_bits", "filter_rounds", "hits", "join_groups", "maybe", "narrow", "read", "reduced", "shared_dir", "small_batches", "with_found", "written"]
 
 #: Rows up to which a narrow table may be broadcast, once counted (16 to 64 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -109,3 +111,29 @@ def reduced(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     bits, h = filter_bits(n), F.xxhash64(*on)
     blocks = written(bit_blocks(keys.select(h.alias("_h")), "_h", bits))
     return hits(rows.withColumn("_h", h), "_h", blocks, bits, "_maybe").where("_maybe").drop("_h", "_maybe")
+
+
+def filter_rounds(spark: SparkSession, hashes: DataFrame, name: str) -> Iterator[tuple[int, int, Broadcast]]:
+    """Filters of the distinct hashes in column ``name`` (a written table) for tasks in Python: (round, rounds, bytes of the
+    bits). A round's filter holds the hashes whose bits 40 and up are the round modulo ``rounds``; there are as many rounds as
+    keep a filter within MAX_BITS at BITS_PER_ROW a hash, so its size is bounded and it never fills up. Each is let go after
+    its round; what was made with it should be written by then."""
+    n = hashes.count()
+    rounds = max(1, -(-n * BITS_PER_ROW // MAX_BITS))
+    for k in range(rounds):
+        own = hashes.where(F.pmod(F.shiftright(name, 40), F.lit(rounds)) == k) if rounds > 1 else hashes
+        bits = filter_bits(-(-n // rounds))
+        words = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 64), np.int64)
+        for b in bit_blocks(own, name, bits).toArrow().to_batches():
+            words[b["_block"].to_numpy()] = b["_words"].flatten().to_numpy().reshape(b.num_rows, -1)
+        sent = spark.sparkContext.broadcast(words.tobytes())
+        yield k, rounds, sent
+        sent.destroy()
+
+
+def maybe(filter_bytes: bytes, k: int, rounds: int, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) the filter of a round may hold: all that it holds, and few others."""
+    words = np.frombuffer(filter_bytes, np.uint64)
+    bit = hashes & np.uint64(len(words) * 64 - 1)
+    found = (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return found & (np.mod(hashes.view(np.int64) >> 40, rounds) == k) if rounds > 1 else found
