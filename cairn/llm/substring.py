@@ -12,9 +12,11 @@ symbol's reach lies within them. Of the symbols whose reach lies within it, a wi
 its seed; a single word's reach is the word, so each window has a seed, and equal windows have equal ones.
 
 First pass: the seeds of all windows, and the documents that they are in; seeds of one document alone are dropped. Second pass:
-windows whose seed is shared are hashed (128 bits over all their words: this verifies what the symbols reveal, so nothing
-rests on names) and the smallest doc_id of each hash is found. Third pass: what is covered goes. Shared seeds reach the
-second pass as a bounded filter of bits, in as many rounds as it takes; texts move only for documents that lose words.
+runs of windows with one shared seed, segments, are hashed (128 bits over all their words: this verifies what the symbols
+reveal, so nothing rests on names). Of segments with the same words those of larger doc_ids go whole, without a row for each
+window. Third pass: where a seed has segments of different words, windows are hashed one by one, of what stays of each
+kind of segment, and the smallest doc_id of each hash is found. Last, what is covered goes. Seeds and segments reach a pass
+as bounded filters of bits, in as many rounds as it takes; texts move only for documents that lose words.
 
 Null texts have no words. A null doc_id is larger than any other; rows that share a doc_id count as one document. Texts of
 under ``width`` words keep all. A text's windows are found in slices of ``SLICE`` words that overlap by a window, so that
@@ -26,12 +28,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.llm.tables import bit_blocks, filter_bits, filter_rounds, hits, maybe, written
 from cairn.llm.words import Hasher, bounds, mixed
@@ -111,44 +116,51 @@ def window_hashes(words: np.ndarray, width: int, lane: int) -> np.ndarray:
 
 
 def _slices(column: pa.Array, hasher: Hasher, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(row, place in the row, hashes) of the words of a batch, a 0 after each text, in slices that overlap by a window."""
+    """(row, place in the text, hashes) of the words of a batch's texts, a 0 after each text. Texts go in groups; one of more
+    than SLICE words goes alone, in slices that overlap by a window, so where it is cut doesn't depend on the batch."""
     rows, places, hashes, held = [], [], [[] for _ in hasher.values], 0
     zero = np.zeros(1, np.uint64)
-
-    def out():
-        row, place, h = np.concatenate(rows), np.concatenate(places), [np.concatenate(x) for x in hashes]
-        for x in (rows, places, *hashes):
-            x.clear()
-        for at in range(0, max(1, len(row) - width + 1), SLICE):
-            cut = slice(at, at + SLICE + width - 1)
-            yield row[cut], place[cut], [x[cut] for x in h]
-
     for r, text in enumerate(column):
         data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
         starts, ends = bounds(data)
         if len(starts) < width:
             continue
-        for x, h in zip(hashes, hasher(data, starts, ends), strict=True):
-            x += [h, zero]
+        h = hasher(data, starts, ends)
+        if len(starts) > SLICE:
+            for at in range(0, len(starts) - width + 1, SLICE):
+                own = [x[at : at + SLICE + width - 1] for x in h]
+                yield np.full(len(own[0]), r), np.arange(at, at + len(own[0])), own
+            continue
+        for x, y in zip(hashes, h, strict=True):
+            x += [y, zero]
         rows.append(np.full(len(starts) + 1, r))
         places.append(np.arange(len(starts) + 1))
         held += len(starts)
         if held >= SLICE:
-            yield from out()
-            held = 0
+            yield np.concatenate(rows), np.concatenate(places), [np.concatenate(x) for x in hashes]
+            rows, places, hashes, held = [], [], [[] for _ in hasher.values], 0
     if rows:
-        yield from out()
+        yield np.concatenate(rows), np.concatenate(places), [np.concatenate(x) for x in hashes]
+
+
+def _segments(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, seed): where in the slice the runs of windows with one seed begin, and their lengths, at most a window's."""
+    zero = np.zeros(1, np.uint64)
+    starts, seed = seeds(np.concatenate([zero, words, zero]), width)
+    starts = starts - 1
+    new = np.ones(len(starts), bool)
+    new[1:] = (seed[1:] != seed[:-1]) | (starts[1:] != starts[:-1] + 1)
+    since = np.arange(len(starts)) - np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))
+    first = np.flatnonzero(since % width == 0)
+    return starts[first], np.diff(np.append(first, len(starts))), seed[first]
 
 
-def _edged(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), h, np.zeros(1, np.uint64)])
+def _piece(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mixed(row.view(np.uint64), start.astype(np.uint64), 60)
 
 
-def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def shared_seeds(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -159,60 +171,89 @@ def shared_seeds(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for b in batches:
             doc = b.column(1).to_numpy()
             for row, _, (h,) in _slices(b.column(0), hasher, width):
-                starts, seed = seeds(_edged(h), width)
-                at = _first_of_runs(seed, row[starts - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(doc[row[starts[at] - 1]])], names=["seed", "_doc"])
+                first, _, seed = _segments(h, width)
+                yield pa.RecordBatch.from_arrays([_signed(seed), pa.array(doc[row[first]])], names=["seed", "_doc"])
 
     found = docs.select("_text", "_doc").mapInArrow(run, "seed long, _doc long")
     return found.groupBy("seed").agg(F.min("_doc").alias("_a"), F.max("_doc").alias("_b")).where("_a < _b").select("seed")
 
 
-def shared_windows(docs: DataFrame, sent, k: int, rounds: int, width: int = WIDTH) -> DataFrame:
-    """A row for each run of equal windows whose seed may be shared: two hashes, doc_id, _row, the run's start and length."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _fields(docs: DataFrame, names: str) -> T.StructType:
+    return T.StructType([*(T.StructField(c, T.LongType()) for c in names.split()), docs.schema["doc_id"], T.StructField("_row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
+
+
+def segments(docs: DataFrame, sent: Broadcast, k: int, rounds: int, width: int = WIDTH) -> DataFrame:
+    """A row for each run of windows with one seed that may be shared: the seed, two hashes of its words, a number of its own,
+    doc_id, _row, the first window's place and the number of windows."""
+    out = _fields(docs, "seed c1 c2 piece")
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        hasher = Hasher(2)
+        for b in batches:
+            rows = b.column(2).to_numpy()
+            for row, place, h in _slices(b.column(0), hasher, width):
+                first, n, seed = _segments(h[0], width)
+                own = maybe(sent.value, k, rounds, seed)
+                first, n, seed = first[own], n[own], seed[own]
+                if len(first):  # its first and last window cover all its words
+                    hashes = [mixed(mixed(w[first], w[first + n - 1], 70), n.astype(np.uint64), 71) for w in (window_hashes(x, width, 1 + lane) for lane, x in enumerate(h))]
+                    at, start = pa.array(row[first]), place[first]
+                    numbers = map(_signed, (seed, *hashes, _piece(rows[row[first]], start)))
+                    yield pa.RecordBatch.from_arrays([*numbers, b.column(1).take(at), b.column(2).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema=arrow)
+
+    return docs.select("_text", "doc_id", "_row").mapInArrow(run, out)
+
 
-    out = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), docs.schema["doc_id"], T.StructField("_row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
+def windows(docs: DataFrame, sent: Broadcast, k: int, rounds: int, width: int = WIDTH) -> DataFrame:
+    """A row for each window of the segments whose number a filter may hold: two hashes, doc_id, _row, its place, 1."""
+    out = _fields(docs, "w1 w2")
     arrow = to_arrow_schema(out)
 
     def run(batches):
         hasher = Hasher(2)
         for b in batches:
+            rows = b.column(2).to_numpy()
             for row, place, h in _slices(b.column(0), hasher, width):
-                starts, seed = seeds(_edged(h[0]), width)
-                starts = starts[maybe(sent.value, k, rounds, seed)] - 1
-                if not len(starts):
-                    continue
-                w1, w2 = (window_hashes(x, width, 1 + lane)[starts] for lane, x in enumerate(h))
-                own, at = row[starts], place[starts]
-                first = _first_of_runs(w1, w2, own, at - np.arange(len(at)))
-                length = np.diff(np.append(first, len(at)))
-                picked = pa.array(own[first])
-                yield pa.RecordBatch.from_arrays([pa.array(w1[first].view(np.int64)), pa.array(w2[first].view(np.int64)), b.column(1).take(picked), b.column(2).take(picked), pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32))], schema=arrow)
+                first, n, _ = _segments(h[0], width)
+                own = maybe(sent.value, k, rounds, _piece(rows[row[first]], place[first]))
+                first, n = first[own], n[own]
+                if len(first):
+                    at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    hashes = (_signed(window_hashes(x, width, 1 + lane)[at]) for lane, x in enumerate(h))
+                    of = pa.array(row[at])
+                    yield pa.RecordBatch.from_arrays([*hashes, b.column(1).take(of), b.column(2).take(of), pa.array(place[at].astype(np.int32)), pa.array(np.ones(len(at), np.int32))], schema=arrow)
 
     return docs.select("_text", "doc_id", "_row").mapInArrow(run, out)
 
 
+LATER = "_least IS NOT NULL AND (doc_id IS NULL OR doc_id > _least)"
+
+
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, _row (a hash of the text), spans: the starts and lengths of runs of windows that go, of each text that has any."""
+    """doc_id, _row (a hash of doc_id and text), start, n: runs of n windows that go."""
+    spark = docs.sparkSession
     shared = written(shared_seeds(docs, width))
-    found = None
-    for k, rounds, sent in filter_rounds(docs.sparkSession, shared, "seed"):
-        windows = written(shared_windows(docs, sent, k, rounds, width))
-        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("_least"), F.min("_row").alias("_r1"), F.max("_row").alias("_r2")).where("_least IS NOT NULL AND _r1 < _r2").select("w1", "w2", "_least")
-        goes = windows.join(least, ["w1", "w2"]).where("doc_id IS NULL OR doc_id > _least")
-        spans = written(goes.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("start", "n")).alias("_spans")))
-        found = spans if found is None else found.unionByName(spans)
-    return found
+    found = reduce(DataFrame.unionByName, [written(segments(docs, sent, k, rounds, width)) for k, rounds, sent in filter_rounds(spark, shared, "seed")])
+    # segments of the same words are one class: all but those of its smallest doc_id go
+    classes = written(found.groupBy("seed", "c1", "c2").agg(F.min("doc_id").alias("_least")))
+    several = classes.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed", F.lit(True).alias("_several"))
+    met = found.join(classes.join(several, "seed", "left"), ["seed", "c1", "c2"]).where(f"_several OR ({LATER})")
+    met = written(met.select("doc_id", "_row", "start", "n", "_least", F.when(F.expr(f"_several AND NOT ({LATER})"), F.col("piece")).alias("piece")))
+    # where a seed has several classes, the windows of what stays in each may still be in another
+    first = written(met.where("piece IS NOT NULL").select("piece").distinct())
+    single = reduce(DataFrame.unionByName, [written(windows(docs, sent, k, rounds, width)) for k, rounds, sent in filter_rounds(spark, first, "piece")])
+    least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("_least"), F.min("_row").alias("_r1"), F.max("_row").alias("_r2")).where("_least IS NOT NULL AND _r1 < _r2").select("w1", "w2", "_least")
+    goes = ["doc_id", "_row", "start", "n"]
+    return met.where(LATER).select(*goes).unionByName(single.join(least, ["w1", "w2"]).where(LATER).select(*goes))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """A row per input row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space and, if asked for,
     these as ``kept_text``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("_text"))
     rows = rows.withColumn("_doc", F.xxhash64("doc_id")).withColumn("_row", F.xxhash64("doc_id", "_text"))
-    spans = covered(rows, width).groupBy("doc_id", "_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    spans = covered(rows, width).groupBy("doc_id", "_row").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     spans = written(spans.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_own"), F.col("_spans.start").alias("_starts"), F.col("_spans.n").alias("_ns")))
     bits = filter_bits(spans.count())
     rows = hits(rows, "_row", written(bit_blocks(spans, "_own", bits)), bits, "_maybe")
