@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact, htmltext, langid, neardup, packing, quality, substring, toxicity, urlfilter, warc
+from cairn.llm import bpe, exact, hardneg, htmltext, langid, neardup, packing, phrases, quality, substring, toxicity, urlfilter, warc
 from cairn.llm.tables import read, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").where(hardneg.valid(F.col("label"), F.col("embedding")))
+    rows = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vector"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -118,7 +129,7 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_warc_derivatives, op4_url_filter, op5_bpe_round_trip, op6_toxicity, op7_exact_dedup, op8_html_text, op9_near_dedup, op10_quality_rules, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_warc_derivatives, op4_url_filter, op5_bpe_round_trip, op6_toxicity, op7_exact_dedup, op8_html_text, op9_near_dedup, op10_quality_rules, op11_hard_negatives, op12_phrases, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -148,6 +159,27 @@ def oracle_sql() -> dict[str, str]:
                 NOT (base_failed OR n_symbols * 10 > word_chars OR n_dup_lines * 2 > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words
                     OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 2 < word_chars OR length(t) - length(replace(t, '�', '')) > n_words) AS kept
             FROM f""",
+        "op11_hard_negatives": r"""
+            WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id AS id, b.k, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.k <> b.k),
+            p AS (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5)
+            SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.ak, p.place ORDER BY s.score DESC, s.id)::INT AS rank
+            FROM p JOIN s ON p.ak = s.ak AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
+        "op12_phrases": r"""
+            WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+            w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+            g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 4) c(m))),
+            f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL),
+            n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+            c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+            k AS (SELECT c.lang, c.phrase, c.m, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+                  FROM (SELECT c.*, d.k, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, 3) d(k) WHERE d.k < c.m) c
+                  JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+            s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            h AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM c WHERE m = 3) GROUP BY ALL)
+            SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score::BIGINT AS score
+            FROM s JOIN n ON n.lang = s.lang LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000""",
         "op13_substring_dedup": r"""
             WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
             p AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
