@@ -31,7 +31,7 @@ from cairn.llm.words import Hasher, bounds, mixed
 #: Occurrences of a slot, as expected from the length of all texts; its summary has this many counters by ``least`` or so.
 SLOT = 1 << 21
 #: Occurrences that a task holds before it sums them up, and bytes of text that it splits at a time.
-HELD, BYTES = 1 << 22, 1 << 22
+HELD, BYTES = 1 << 21, 1 << 21
 # fixed: what parts pieces, and words within them
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -137,7 +137,7 @@ def survivors(docs: DataFrame, mass: DataFrame, most: int, least: int, slots: in
             slot = slot_of(keys, slots)
             first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
             ends = np.append(first[1:], len(keys))
-            counts = counts.astype(np.int64)
+            counts = counts.astype(np.int32)
             yield pa.RecordBatch.from_pydict({"slot": pa.array(slot[first]), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
         for b in batches:
@@ -148,6 +148,7 @@ def survivors(docs: DataFrame, mass: DataFrame, most: int, least: int, slots: in
                 if size >= HELD:
                     yield from flush()
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if size:
             yield from flush()
 
@@ -156,7 +157,7 @@ def survivors(docs: DataFrame, mass: DataFrame, most: int, least: int, slots: in
         for b in batches:
             if b.num_rows:
                 capacity = b.column(3)[0].as_py() // least + 1
-                more = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+                more = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], [np.frombuffer(x, np.int32).astype(np.int64) for x in b.column(2).to_pylist()]
                 keys, counts = summed(np.concatenate([keys, *more[0]]), np.concatenate([counts, *more[1]]))
                 keys, counts, taken = trimmed(keys, counts, capacity)
                 lost += taken
