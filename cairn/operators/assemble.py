@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from cairn.operators.claims import Claims
 from cairn.operators.dimensions import ENDPOINTS
-from cairn.operators.integrity import document_issues, missing_references
-from cairn.operators.merge import ambiguous, pick
+from cairn.operators.integrity import document_issues
+from cairn.operators.merge import ambiguous
 from cairn.operators.places import placed
+from cairn.sources.shared import written
 
-# fixed values: texts for what no page states
+#: Texts for what no page states.
 FAMILY_SUMMARY = 'Product family "{}" as grouped on the official products overview.'
 PRODUCT_SUMMARY = 'Product "{}" as listed on the official products overview.'
 
@@ -47,28 +48,6 @@ def _problem(rows: DataFrame, subject: Column, message: Column, stage: str = "no
     return rows.select(F.lit(stage).alias("stage"), subject.cast("string").alias("subject"), message.alias("message"))
 
 
-def _sources(claims: DataFrame, keys: list[str]) -> DataFrame:
-    return claims.groupBy(*keys).agg(F.array_sort(F.collect_set("source")).alias("sourceIds"))
-
-
-def _fields(claims: DataFrame, key: str, fields: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
-    """key and its ``fields`` by precedence; the fields in which claims of one level disagree, as problems."""
-    out, problems = claims.select(key).distinct(), []
-    for field in fields:
-        found = pick(claims, key, field, "precedence")
-        at = claims.where(F.col(field).isNotNull()).groupBy(key, "precedence").agg(F.array_join(F.array_sort(F.collect_set("url")), " and ").alias("urls"), F.count_distinct(field).alias("n"))
-        top = at.groupBy(key).agg(F.max(F.struct("precedence", "n", "urls")).alias("t")).where("t.n > 1")
-        problems.append(_problem(top, F.concat(F.lit(f"{kind} "), key), F.concat(F.lit(f"conflicting {field} between "), "t.urls")))
-        out = out.join(found.select(key, field), key, "left")
-    return out, reduce(DataFrame.unionByName, problems)
-
-
-def _identities(claims: DataFrame, kind: str) -> DataFrame:
-    """Ids that two keys mint, and keys with two ids."""
-    two = _problem(ambiguous(claims, "id", "key"), F.concat(F.lit(f"{kind} "), "id"), F.concat(F.lit("id of two keys: "), "least", F.lit(" and "), "most"))
-    return two.unionByName(_problem(ambiguous(claims, "key", "id"), F.concat(F.lit(f"{kind} "), "key"), F.concat(F.lit("key of two ids: "), "least", F.lit(" and "), "most")))
-
-
 def families(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """id, name, summary, sourceIds; families of two names are problems and take the smaller."""
     out = claims.groupBy("id").agg(F.min("name").alias("name"), F.array_sort(F.collect_set("source")).alias("sourceIds"))
@@ -76,16 +55,24 @@ def families(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def entities(claims: DataFrame, key: str, fields: list[str], kind: str, optional: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Entities by key with their fields and sources. claims also have precedence and url of their source. An entity that
-    lacks a field is a problem, named by the url of its weightiest claim, and left out."""
-    merged, problems = _fields(claims, key, fields, kind)
-    best = claims.groupBy(key).agg(F.min("id").alias("id") if key != "id" else F.lit(None).alias("_"), F.min_by("url", F.struct(-F.col("precedence"), "url")).alias("_url"))
-    rows = merged.join(best, key).join(_sources(claims, [key]), key)
-    lacks = reduce(lambda a, b: a | b, (F.col(f).isNull() for f in fields if f not in optional))
-    problems = problems.unionByName(_problem(rows.where(lacks), F.concat(F.lit(f"{kind} "), "id"), F.concat(F.lit("incomplete: "), "_url")))
+    """Entities by key with their fields and sources. claims also have precedence and url of their source. A field is what its
+    weightiest claims state, the smallest of several, which are a problem. An entity that lacks a field is a problem, named by
+    the url of its weightiest claim, and left out.
+
+    Claims are grouped once by key and level (there are as many levels as kinds of pages), for all fields at once."""
+    at = [F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.collect_set(F.when(F.col(f).isNotNull(), F.col("url"))).alias("urls")).alias(f) for f in fields]
+    levels = claims.groupBy(key, "precedence").agg(F.min("id").alias("_least"), F.max("id").alias("_most"), F.min("url").alias("_url"), F.collect_set("source").alias("_sources"), *at)
+    top = [F.max_by(f, F.when(F.col(f"{f}.lo").isNotNull(), F.col("precedence"))).alias(f"_{f}") for f in fields]
+    merged = levels.groupBy(key).agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"), F.max_by("_url", "precedence").alias("_url"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sourceIds"), *top)
+    merged = written(merged)  # for the entities and for each sort of problem
+    lacks = reduce(lambda a, b: a | b, (F.col(f"_{f}.lo").isNull() for f in fields if f not in optional))
+    stated = merged.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}.lo").alias("lo"), F.col(f"_{f}.hi").alias("hi"), F.col(f"_{f}.urls").alias("urls")) for f in fields))).alias("s"))
+    problems = _problem(stated.where("s.lo <> s.hi"), F.concat(F.lit(f"{kind} "), key), F.concat(F.lit("conflicting "), "s.field", F.lit(" between "), F.array_join(F.array_sort("s.urls"), " and ")))
+    problems = problems.unionByName(_problem(merged.where(lacks), F.concat(F.lit(f"{kind} "), "_least"), F.concat(F.lit("incomplete: "), "_url")))
     if key != "id":
-        problems = problems.unionByName(_identities(claims, kind))
-    return rows.where(~lacks).select("id", *fields, "sourceIds"), problems
+        problems = problems.unionByName(_problem(merged.where("_least <> _most"), F.concat(F.lit(f"{kind} "), key), F.concat(F.lit("key of two ids: "), "_least", F.lit(" and "), "_most")))
+        problems = problems.unionByName(_problem(ambiguous(claims, "id", key), F.concat(F.lit(f"{kind} "), "id"), F.concat(F.lit("id of two keys: "), "least", F.lit(" and "), "most")))
+    return merged.where(~lacks).select(F.col("_least").alias("id"), *(F.col(f"_{f}.lo").alias(f) for f in fields), "sourceIds"), problems
 
 
 def enriched(products: DataFrame, docs: DataFrame) -> DataFrame:
@@ -97,12 +84,12 @@ def enriched(products: DataFrame, docs: DataFrame) -> DataFrame:
 def relationships(edges: DataFrame, ids: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """type, fromId, toId, sourceIds of distinct edges; edges with an end that the catalog hasn't are problems."""
     out = edges.groupBy("type", F.col("from_id").alias("fromId"), F.col("to_id").alias("toId")).agg(F.array_sort(F.collect_set("source")).alias("sourceIds"))
-    lost = []
-    for kind, sides in ENDPOINTS.items():
-        for end, name in zip(("fromId", "toId"), sides, strict=True):
-            gone = missing_references(out.where(F.col("type") == kind), ids[name], end, "id")
-            lost.append(_problem(gone, F.concat_ws(" ", "type", "fromId", "toId"), F.concat(F.lit(f"unknown {name} id "), end)))
-    return out, reduce(DataFrame.unionByName, lost)
+    # each edge has two ends to look up, in one join with the ids of all collections
+    end = lambda field, side: F.struct(F.lit(field).alias("end"), F.element_at(F.create_map(*(F.lit(x) for kind, sides in ENDPOINTS.items() for x in (kind, sides[side]))), F.col("type")).alias("collection"), F.col(field).alias("id"))
+    ends = out.select("type", "fromId", "toId", F.inline(F.array(end("fromId", 0), end("toId", 1)))).where("collection IS NOT NULL AND id IS NOT NULL")
+    known = reduce(DataFrame.unionByName, (rows.select(F.lit(c).alias("collection"), "id") for c, rows in ids.items())).distinct()
+    lost = ends.join(known, ["collection", "id"], "left_anti")
+    return out, _problem(lost, F.concat_ws(" ", "type", "fromId", "toId"), F.concat(F.lit("unknown "), "collection", F.lit(" id "), "id"))
 
 
 def assembled(claims: Claims) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions.text import issue_path
 from cairn.operators.dimensions import ENDPOINTS
 
+# fixed values: how many issues are shown, and the texts of the issues below
 MAX_VISIBLE_ISSUES = 10
 COLLECTIONS = ("productFamilies", "products", "solutions", "useCases")
 CURATED_KEYS = {"products": "productId", "compositions": "solutionId", "pricing": "productId", "learningNotes": "productId", "scenarios": "id", "narration": "productId", "solutionNotes": "solutionId"}
@@ -88,19 +89,28 @@ def document_issues(catalog: dict[str, DataFrame]) -> DataFrame:
     """All issues of a catalog's collections: repeated ids, unknown sources, unknown families, unknown ends of edges, and
     repeated edges. Collections have ord and id, entities also sourceIds, products familyId, relationships type, fromId and
     toId. One id in two collections is no issue."""
-    parts = [_rows(later_rows(catalog[c], ["id"]), "duplicate-id", _at(c, "id"), _quoted("Duplicate id", "id", f" in {c}")) for c in ("sources", *COLLECTIONS)]
-    for c in (*COLLECTIONS, "relationships"):
-        used = catalog[c].select("ord", F.posexplode("sourceIds").alias("sub", "source"))
-        parts.append(_unknown(used, "source", catalog["sources"], "source", _at(c, "sourceIds", F.col("sub")), F.col("sub"), "unknown-source-reference"))
-    parts.append(_unknown(catalog["products"], "familyId", catalog["productFamilies"], "productFamilies", _at("products", "familyId")))
-    edges, ends = catalog["relationships"], []
-    for place, (field, side) in enumerate((("fromId", 0), ("toId", 1))):
-        for c in dict.fromkeys(e[side] for e in ENDPOINTS.values()):
-            typed = edges.where(F.col("type").isin(*(t for t, e in ENDPOINTS.items() if e[side] == c)))
-            ends.append(_unknown(typed, field, catalog[c], c, _at("relationships", field), F.lit(place)))
-    named = F.concat(_quoted("Duplicate relationship", "type"), _quoted(" from", "fromId"), _quoted(" to", "toId"))
-    ends.append(_rows(later_rows(edges, ["type", "fromId", "toId"]), "duplicate-relationship", _at("relationships", ""), named, F.lit(2)))
-    return report([*parts, reduce(DataFrame.unionByName, ends)])
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    phase = {c: k for k, c in enumerate(("sources", *COLLECTIONS))}
+    named = lambda c: F.lit(c).alias("c")
+    ids = union(catalog[c].select(named(c), F.lit(k).alias("phase"), F.col("ord").cast("long").alias("ord"), "id") for c, k in phase.items())
+    at = lambda field, *inner: F.concat("c", F.lit("["), F.col("ord").cast("string"), F.lit(f"]{'.' if field else ''}{field}"), *inner)
+    issue = lambda rows, code, path, message: rows.select(F.lit(code).alias("code"), path.alias("path"), message.alias("message"), F.col("ord").cast("long").alias("ord"), F.col("sub").cast("long").alias("sub"), "phase")
+    zero = F.lit(0).alias("sub")
+    twice = issue(later_rows(ids, ["c", "id"]).select("*", zero), "duplicate-id", at("id"), F.concat(_quoted("Duplicate id", "id", " in "), "c"))
+    # whatever refers to a source, in one join
+    used = union(catalog[c].select(named(c), F.lit(len(phase) + k).alias("phase"), "ord", F.posexplode("sourceIds").alias("sub", "source")) for k, c in enumerate((*COLLECTIONS, "relationships")))
+    unsourced = issue(missing_references(used, catalog["sources"], "source", "id"), "unknown-source-reference", at("sourceIds", F.lit("["), F.col("sub").cast("string"), F.lit("]")), _quoted("Unknown source id", "source"))
+    # and whatever refers to an entity in another: a row for each end of an edge, one for a product's family
+    last = 2 * len(phase)
+    side = lambda field, k: F.struct(F.lit(k).alias("sub"), F.lit(field).alias("field"), F.element_at(F.create_map(*(F.lit(x) for kind, sides in ENDPOINTS.items() for x in (kind, sides[k]))), F.col("type")).alias("to"), F.col(field).alias("id"))
+    ends = catalog["relationships"].select(named("relationships"), F.lit(last + 1).alias("phase"), "ord", F.inline(F.array(side("fromId", 0), side("toId", 1))))
+    family = catalog["products"].select(named("products"), F.lit(last).alias("phase"), "ord", zero, F.lit("familyId").alias("field"), F.lit("productFamilies").alias("to"), F.col("familyId").alias("id"))
+    known = ids.where("c <> 'sources'").select(F.col("c").alias("to"), "id").distinct()
+    lost = ends.unionByName(family).where("id IS NOT NULL AND to IS NOT NULL").join(known, ["to", "id"], "left_anti")
+    unknown = issue(lost, "unknown-entity-reference", at("", F.lit("."), "field"), F.concat(F.lit("Unknown "), "to", _quoted(" id", "id")))
+    again = later_rows(catalog["relationships"].select(named("relationships"), F.lit(last + 1).alias("phase"), F.col("ord").cast("long").alias("ord"), "type", "fromId", "toId", F.lit(2).alias("sub")), ["type", "fromId", "toId"])
+    repeated = issue(again, "duplicate-relationship", at(""), F.concat(_quoted("Duplicate relationship", "type"), _quoted(" from", "fromId"), _quoted(" to", "toId")))
+    return union([twice, unsourced, unknown, repeated])
 
 
 def curated_issues(curated: dict[str, DataFrame]) -> DataFrame:

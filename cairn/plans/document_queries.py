@@ -175,7 +175,7 @@ def _made_pages(s, d) -> DataFrame:
 
 def _claims(s, d) -> claims.Claims:
     made = _made_pages(s, d)
-    parsed = page_parsers.parse(made, key="source", configured="page_kind")
+    parsed = page_parsers.parse(made, key="source", configured="page_kind", partitions=s.sparkContext.defaultParallelism)
     parsed = parsed.join(made.select("source", "page_kind"), "source").withColumn("retrieved_at", F.lit("2024-01-01T00:00:00Z"))
     return claims.normalized(parsed, DOCS)
 

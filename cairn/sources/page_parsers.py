@@ -1,20 +1,22 @@
-"""The five page kinds: an element table per page from one Arrow UDF, then column expressions over it, with no shuffle.
+"""The five page kinds: a table of the elements that matter from one Arrow UDF, then relations over it.
 
-``with_elements`` adds the page's elements as an array in document order. An element's place is its ``pos``; its descendants
-are the places up to ``last``; ``parent`` is a place too. Names, links and texts of the kinds are filters of that array.
-``parse`` never fails: a page that breaks a rule of its kind has an ``issue`` and no cards.
+An element's place is its ``pos``; its descendants are the places up to ``last``. What lies in what is one sweep over each page
+(``structural.enclosing``); names, links and texts of the cards are groupings and joins on the place of what holds them, so a page of
+many cards costs no more a card than a small one. ``parse`` never fails: a page that breaks a rule of its kind has an ``issue``
+and no cards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import NAME_CAP, TITLE_CAP, bounded_field, collapse_whitespace, path_key, trim_summary, url_host
+from cairn.operators.structural import enclosing
+from cairn.sources.shared import written
 
 # fixed values: what marks each kind and its cards
 PRODUCT_LINK = "/products/"
@@ -33,54 +35,71 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_OWN = frozenset("li dt dd option tr td th".split())
 WITH_TEXT = frozenset("title figcaption strong p span".split())
+#: Elements that the rules of the kinds ask for, besides those with a content path and what holds an overlay.
+KEPT = WITH_TEXT | frozenset("a figure link main meta".split())
 
-ELEMENTS = "array<struct<pos:int,last:int,parent:int,tag:string,attrs:map<string,string>,link:string,text:string>>"
+ELEMENTS = "array<struct<pos:int,last:int,parent:int,beside:int,tag:string,attrs:map<string,string>,link:string,text:string,scope:boolean>>"
 CARD = "struct<group:string,name:string,summary:string,href:string>"
 
 
 def elements_of(html: str | None, url: str | None) -> list[dict]:
-    """The elements of one page. text: of titles, captions and other short elements, and of those with a content path,
-    without scripts and styles. link: the href, resolved against the page's canonical URL; null if it can't be."""
+    """The elements of one page that matter. text: of titles, captions and other short elements, and of those with a content
+    path, without scripts and styles. link: the href, resolved against the page's canonical URL; null if it can't be. beside: the
+    place of the element that follows its parent under the same element. scope: whether an overlay is a child of it."""
+    from collections import Counter
     from html.parser import HTMLParser
     from urllib.parse import urljoin, urlsplit, urlunsplit
 
     out: list[dict] = []
     texts: dict[int, list[str]] = {}
     stack: list[int] = []
+    opened: Counter[str] = Counter()  # tags on the stack
+    reading: list[list[str]] = []  # the texts of open elements that have one
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            out[stack.pop()]["last"] = len(out) - 1
+            e = out[stack.pop()]
+            e["last"] = len(out) - 1
+            opened[e["tag"]] -= 1
+            if e["pos"] in texts:
+                reading.pop()
+
+    def close_last(tag: str) -> None:
+        depth = len(stack) - 1
+        while out[stack[depth]]["tag"] != tag:
+            depth -= 1
+        close(depth)
 
     class Reader(HTMLParser):
         def handle_starttag(self, tag, attrs):
-            open_tags = [out[k]["tag"] for k in stack]
-            if tag in CLOSES_P and "p" in open_tags:
-                close(open_tags.index("p"))
-            elif tag in CLOSES_OWN and open_tags and open_tags[-1] == tag:
+            if tag in CLOSES_P:
+                while opened["p"]:
+                    close_last("p")
+            elif tag in CLOSES_OWN and stack and out[stack[-1]]["tag"] == tag:
                 close(len(stack) - 1)
             pos, first = len(out), {}
             for name, value in attrs:
                 first.setdefault(name, value or "")
-            out.append({"pos": pos, "last": pos, "parent": stack[-1] if stack else -1, "tag": tag, "attrs": first, "link": None, "text": None})
+            out.append({"pos": pos, "last": pos, "parent": stack[-1] if stack else -1, "tag": tag, "attrs": first, "link": None, "text": None, "scope": False})
             if tag in WITH_TEXT or CMS in first:
                 texts[pos] = []
             if tag not in VOID:
                 stack.append(pos)
+                opened[tag] += 1
+                if pos in texts:
+                    reading.append(texts[pos])
 
         def handle_startendtag(self, tag, attrs):
             self.handle_starttag(tag, attrs)
 
         def handle_endtag(self, tag):
-            open_tags = [out[k]["tag"] for k in stack]
-            if tag in open_tags:
-                close(len(open_tags) - 1 - open_tags[::-1].index(tag))
+            if opened[tag]:
+                close_last(tag)
 
         def handle_data(self, data):
-            if not any(out[k]["tag"] in ("script", "style") for k in stack):
-                for k in stack:
-                    if k in texts:
-                        texts[k].append(data)
+            if not opened["script"] and not opened["style"]:
+                for text in reading:
+                    text.append(data)
 
     def resolved(href: str, base: str) -> str | None:
         try:
@@ -101,81 +120,61 @@ def elements_of(html: str | None, url: str | None) -> list[dict]:
             base = resolved(e["attrs"].get("href", ""), base) or base
             break
     for e in out:
+        if e["tag"] == "a" and e["attrs"].get("aria-label", "").startswith(OVERLAY_LABEL) and e["parent"] >= 0:
+            out[e["parent"]]["scope"] = True
+    kept = [e for e in out if e["tag"] in KEPT or e["scope"] or CMS in e["attrs"]]
+    for e in kept:
+        box = out[e["parent"]] if e["parent"] >= 0 else None
+        after = out[box["last"] + 1] if box and box["last"] + 1 < len(out) else None
+        e["beside"] = after["pos"] if after and after["parent"] == box["parent"] else None
         if "href" in e["attrs"]:
             e["link"] = resolved(e["attrs"]["href"], (url or "") if e["tag"] == "link" else base)
         if e["pos"] in texts:
             e["text"] = "".join(texts[e["pos"]])
-    return out
+    return kept
 
 
-def with_elements(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with their elements as ``_e``; null and empty pages have none."""
+def elements(pages: DataFrame, html: str = "_html", url: str = "_url") -> DataFrame:
+    """A row per element that matters: the page's columns without its html, the element, and its content path ``cms``. A page
+    without one, null and empty ones too, has a row of nulls."""
 
     @F.pandas_udf(ELEMENTS)
     def read(html: pd.Series, url: pd.Series) -> pd.Series:
         return pd.Series([elements_of(h, u) for h, u in zip(html, url, strict=True)])
 
-    return pages.withColumn("_e", read(F.col(html), F.col(url)))
+    return pages.select(*(c for c in pages.columns if c != html), F.inline_outer(read(F.col(html), F.col(url)))).withColumn("cms", F.try_element_at("attrs", F.lit(CMS)))
 
 
-# steps over the array ------------------------------------------------------------------------------------------------
-def elements() -> Column:
-    return F.col("_e")
+# tests of elements ---------------------------------------------------------------------------------------------------
+def attribute(name: str) -> Column:
+    return F.try_element_at("attrs", F.lit(name))
 
 
-def having(test: Callable[[Column], Column]) -> Column:
-    return F.filter(elements(), test)
+def is_tag(*tags: str) -> Column:
+    return F.col("tag").isin(*tags)
 
 
-def inside(of: Column, test: Callable[[Column], Column]) -> Column:
-    """The descendants of an element that pass."""
-    return F.filter(elements(), lambda m: (m["pos"] > of["pos"]) & (m["pos"] <= of["last"]) & test(m))
+def path(start: str, end: str = "", within: str = "") -> Column:
+    """Whether the content path starts, ends and has inside what it should."""
+    return F.coalesce(F.startswith("cms", F.lit(start)) & F.endswith("cms", F.lit(end)) & F.contains("cms", F.lit(within)), F.lit(False))
 
 
-def first(found: Column) -> Column:
-    return F.get(found, F.lit(0))
+PLINK, DLINK, BODY, SCARD, SDESC, OVERLAY = "is_plink", "is_dlink", "is_body", "is_scard", "is_sdesc", "is_overlay"
 
 
-def tagged(*tags: str) -> Callable[[Column], Column]:
-    return lambda m: m["tag"].isin(*tags)
+def marked(rows: DataFrame) -> DataFrame:
+    """rows with what the kinds' rules call links, bodies, cards and overlays, and the link as a card has it."""
+    href = F.coalesce(attribute("href"), F.lit(""))
+    return rows.withColumns({
+        PLINK: is_tag("a") & href.startswith(PRODUCT_LINK), DLINK: is_tag("a") & attribute("href").isNotNull(), BODY: is_tag("main") & F.map_contains_key("attrs", F.lit(DOCS_BODY)),
+        SCARD: is_tag("p") & path(SOLUTION_CARD, ".title"), SDESC: is_tag("p") & path(SOLUTION_CARD, ".description"), OVERLAY: is_tag("a") & F.coalesce(attribute("aria-label").startswith(OVERLAY_LABEL), F.lit(False)),
+        "goes": F.when(collapse_whitespace(href) != "", F.col("link")),
+    })
 
 
-def attribute(m: Column, name: str) -> Column:
-    return F.try_element_at(m["attrs"], F.lit(name))
-
-
-def cms(start: str, end: str = "", within: str = "") -> Callable[[Column], Column]:
-    """Elements by their content path: how it starts and ends, and what it has inside."""
-
-    def test(m: Column) -> Column:
-        path = attribute(m, CMS)
-        return F.coalesce(path.startswith(start) & path.endswith(end) & path.contains(within), F.lit(False))
-
-    return test
-
-
-def product_link(m: Column) -> Column:
-    return (m["tag"] == "a") & F.coalesce(attribute(m, "href").startswith(PRODUCT_LINK), F.lit(False))
-
-
-def docs_links() -> Column:
-    bodies = having(lambda m: (m["tag"] == "main") & F.map_contains_key(m["attrs"], DOCS_BODY))
-    return having(lambda m: (m["tag"] == "a") & F.map_contains_key(m["attrs"], "href") & F.exists(bodies, lambda b: (m["pos"] > b["pos"]) & (m["pos"] <= b["last"])))
-
-
-def kind() -> Column:
-    """The one kind whose mark the page has, else 'none' or 'several'."""
-    some = lambda found: F.size(found) > 0
-    figures = having(tagged("figure"))
-    marks = [
-        F.exists(figures, lambda f: some(inside(f, tagged("figcaption")))) & F.exists(figures, lambda f: some(inside(f, product_link))),
-        some(having(lambda m: (m["tag"] == "p") & cms(SOLUTION_CARD, ".title")(m))),
-        some(having(cms(*PRODUCT_HERO))),
-        some(having(cms(*SOLUTION_EYEBROW))),
-        some(docs_links()),
-    ]
-    found = F.array_compact(F.array(*(F.when(mark, name) for mark, name in zip(marks, KINDS, strict=True))))
-    return F.when(F.size(found) == 1, first(found)).when(F.size(found) == 0, "none").otherwise("several")
+def first(value: str | Column, test: Column) -> Column:
+    """Within a group: the value of the first element in page order that passes."""
+    return F.min_by(value, F.when(test, F.col("pos")))
 
 
 def source_kind(kind: Column) -> Column:
@@ -183,79 +182,79 @@ def source_kind(kind: Column) -> Column:
     return F.when(kind.isin(*KINDS[:2]), "marketing-overview").otherwise(kind)
 
 
-# cards of each kind --------------------------------------------------------------------------------------------------
-def card(name: Column, summary: Column, href: Column, group: Column | None = None) -> Column:
+# cards of each kind: _page, kind, at (their order), group, name, summary, href --------------------------------------------
+def _cards(rows: DataFrame, kind: str, at: list[Column], name: Column, summary: Column, href: Column, group: Column | None = None) -> DataFrame:
     group = F.lit(None).cast("string") if group is None else group
-    return F.struct(group.alias("group"), bounded_field(name, NAME_CAP).alias("name"), F.nullif(trim_summary(summary), F.lit("")).alias("summary"), href.alias("href"))
-
-
-def link_of(m: Column) -> Column:
-    return F.when(collapse_whitespace(attribute(m, "href")) != "", m["link"])
-
+    place = F.array(*(F.coalesce(x, F.lit(-1)).cast("int") for x in at))
+    return rows.select("_page", F.lit(kind).alias("kind"), place.alias("at"), group.alias("group"), bounded_field(name, NAME_CAP).alias("name"), F.nullif(trim_summary(summary), F.lit("")).alias("summary"), href.alias("href"))
 
-def product_cards() -> Column:
-    """A group for each figure, with its caption; a card without a tagline has a null summary."""
 
-    def one(a: Column, heading: Column) -> Column:
-        strong = first(inside(a, tagged("strong")))
-        box = F.get(elements(), strong["parent"])
-        after = first(F.filter(elements(), lambda m: (m["parent"] == box["parent"]) & (m["pos"] == box["last"] + 1) & (m["tag"] == "p")))
-        return card(strong["text"], after["text"], link_of(a), heading)
+def product_cards(rows: DataFrame, held: DataFrame, holds: DataFrame) -> DataFrame:
+    """A group for each figure, with its caption; a card without a tagline has a null summary. A figure without cards breaks the
+    page: it leaves one without a name."""
+    figures = rows.where(is_tag("figure")).select("_page", F.col("pos").alias("figure")).join(holds.select("_page", F.col("around").alias("figure"), F.col("caption").alias("heading")), ["_page", "figure"], "left")
+    links = held.where(F.col(PLINK)).select("_page", F.col("around").alias("figure"), F.col("pos").alias("a"), "goes")
+    named = holds.select("_page", F.col("around").alias("a"), F.col("strong.text").alias("name"), F.col("strong.beside").alias("beside"))
+    after = rows.where(is_tag("p")).select("_page", F.col("pos").alias("beside"), F.col("text").alias("tagline"))
+    found = figures.join(links, ["_page", "figure"], "left").join(named, ["_page", "a"], "left").join(after, ["_page", "beside"], "left")
+    return _cards(found, KINDS[0], [F.col("figure"), F.col("a")], F.col("name"), F.col("tagline"), F.col("goes"), bounded_field(F.col("heading"), NAME_CAP))
 
-    def figure(f: Column) -> Column:
-        heading = bounded_field(first(inside(f, tagged("figcaption")))["text"], NAME_CAP)
-        found = F.transform(inside(f, product_link), lambda a: one(a, heading))
-        # a figure without cards breaks the page: it leaves one without a name
-        none = F.array(F.struct(heading.alias("group"), *(F.lit(None).cast("string").alias(c) for c in ("name", "summary", "href"))))
-        return F.when(F.size(found) > 0, found).otherwise(none)
 
-    return F.flatten(F.transform(having(tagged("figure")), figure))
-
-
-def solution_cards() -> Column:
+def solution_cards(rows: DataFrame, held: DataFrame, holds: DataFrame) -> DataFrame:
     """The link of a card is the overlay anchor of the nearest element around it that has one as its child."""
-    overlays = having(lambda m: (m["tag"] == "a") & F.coalesce(attribute(m, "aria-label").startswith(OVERLAY_LABEL), F.lit(False)))
-
-    def one(p: Column) -> Column:
-        about = first(F.filter(elements(), lambda m: (m["parent"] == p["parent"]) & (m["pos"] > p["last"]) & (m["tag"] == "p") & cms(SOLUTION_CARD, ".description")(m)))
-        around = F.filter(overlays, lambda a: (a["parent"] < p["pos"]) & (F.get(elements(), a["parent"])["last"] >= p["pos"]))
-        nearest = F.array_max(F.transform(around, lambda a: F.struct(a["parent"].alias("at"), (-a["pos"]).alias("early"), link_of(a).alias("link"))))
-        return card(first(inside(p, tagged("strong")))["text"], about["text"], nearest["link"])
-
-    return F.transform(having(lambda m: (m["tag"] == "p") & cms(SOLUTION_CARD, ".title")(m)), one)
+    # from the end of the page the nearest description behind a card among its siblings is the last one seen
+    behind = F.last(F.when(F.col(SDESC), F.struct("text")), ignorenulls=True).over(Window.partitionBy("_page", "parent").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.where(F.col(SCARD) | F.col(SDESC)).withColumn("about", behind).where(F.col(SCARD)).select("_page", "pos", F.col("about.text").alias("about"))
+    named = holds.select("_page", F.col("around").alias("pos"), F.col("strong.text").alias("name"))
+    nearest = held.where(F.col(SCARD)).join(rows.where("scope").select("_page", F.col("pos").alias("around")), ["_page", "around"]).groupBy("_page", "pos").agg(F.max("around").alias("around"))
+    links = rows.where(F.col(OVERLAY)).groupBy("_page", F.col("parent").alias("around")).agg(F.min_by("goes", "pos").alias("goes"))
+    found = found.join(named, ["_page", "pos"], "left").join(nearest.join(links, ["_page", "around"]).drop("around"), ["_page", "pos"], "left")
+    return _cards(found, KINDS[1], [F.col("pos")], F.col("name"), F.col("about"), F.col("goes"))
 
 
-def use_case_cards(start: str, within: str) -> Column:
+def use_case_cards(rows: DataFrame, kind: str, start: str, within: str) -> DataFrame:
     """Cards by the path of their item, in order of appearance; of repeated fields the last counts."""
-    items = F.transform(having(cms(start, within=within)), lambda m: F.struct(F.regexp_extract(attribute(m, CMS), r"^(.*)\.", 1).alias("item"), F.substring_index(attribute(m, CMS), ".", -1).alias("field"), m["text"].alias("text")))
-    items = F.filter(items, lambda i: i["field"].isin("title", "description"))
-    last = lambda item, field: F.try_element_at(F.filter(items, lambda i: (i["item"] == item) & (i["field"] == field)), F.lit(-1))["text"]
-    return F.transform(F.array_distinct(F.transform(items, lambda i: i["item"])), lambda item: card(last(item, "title"), last(item, "description"), F.lit(None).cast("string")))
+    items = rows.where(path(start, within=within)).select("_page", "pos", F.regexp_extract("cms", r"^(.*)\.", 1).alias("item"), F.substring_index("cms", ".", -1).alias("field"), "text")
+    last = lambda field: F.max_by("text", F.when(F.col("field") == field, F.col("pos"))).alias(field)
+    found = items.where(F.col("field").isin("title", "description")).groupBy("_page", "item").agg(F.min("pos").alias("pos"), last("title"), last("description"))
+    return _cards(found, kind, [F.col("pos")], F.col("title"), F.col("description"), F.lit(None).cast("string"))
 
 
-def docs_cards() -> Column:
+def docs_cards(docs_links: DataFrame, holds: DataFrame) -> DataFrame:
     """Links with a span or a paragraph; those with neither are navigation."""
-    entries = F.filter(docs_links(), lambda a: F.size(inside(a, tagged("span", "p"))) > 0)
-    return F.transform(entries, lambda a: card(first(inside(a, tagged("span")))["text"], first(inside(a, tagged("p")))["text"], link_of(a)))
+    inside = holds.where("span IS NOT NULL OR p IS NOT NULL").select("_page", F.col("around").alias("pos"), "span", "p")
+    return _cards(docs_links.join(inside, ["_page", "pos"]), KINDS[4], [F.col("pos")], F.col("span.text"), F.col("p.text"), F.col("goes"))
 
 
-def parse(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", configured: str | None = None) -> DataFrame:
+def parse(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", configured: str | None = None, partitions: int | None = None) -> DataFrame:
     """key, kind, canonical_url, title, description, solution_name, cards, issue: a row per page. issue is the first rule
-    that the page breaks, or null; cards are null where it isn't. ``configured``: a column with the source's kind."""
-    seen = with_elements(pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"), (F.col(configured) if configured else F.lit(None).cast("string")).alias("_configured")), "_html", "_url")
-    canonical = first(having(lambda m: (m["tag"] == "link") & F.coalesce(attribute(m, "rel") == "canonical", F.lit(False))))
-    about = first(having(lambda m: (m["tag"] == "meta") & F.coalesce(attribute(m, "name") == "description", F.lit(False))))
-    eyebrow = first(having(cms(*SOLUTION_EYEBROW)))
-    seen = seen.select(
-        "_key", "_url", "_configured", "_e", kind().alias("kind"), link_of(canonical).alias("canonical_url"),
-        bounded_field(first(having(tagged("title")))["text"], TITLE_CAP).alias("title"), F.nullif(trim_summary(attribute(about, "content")), F.lit("")).alias("description"),
-        bounded_field(eyebrow["text"], NAME_CAP).alias("solution_name"),
+    that the page breaks, or null; cards are null where it isn't. ``configured``: a column with the source's kind.
+    ``partitions``: deal the pages out first, for tables of few files; else they are read where they lie."""
+    own = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"), (F.col(configured) if configured else F.lit(None).cast("string")).alias("_configured"))
+    own = (own.repartition(partitions) if partitions else own).withColumn("_page", F.monotonically_increasing_id())
+    rows = written(marked(elements(own)))  # numbers pages once, for all that follows
+    page = [F.any_value(c).alias(c) for c in ("_key", "_url", "_configured")]
+    holder = is_tag("figure") | F.col(PLINK) | F.col(DLINK) | F.col(BODY) | F.col(SCARD) | F.col("scope")
+    held = written(enclosing(rows, "_page", holder, is_tag("figcaption", "strong", "span", "p", "a"), every=True))
+    inside = lambda tag: first(F.struct("text", "beside"), is_tag(tag)).alias(tag)
+    holds = held.groupBy("_page", "around").agg(first("text", is_tag("figcaption")).alias("caption"), inside("strong"), inside("span"), inside("p"), F.bool_or(is_tag("figcaption")).alias("captioned"), F.bool_or(PLINK).alias("linked"))
+    figures = rows.where(is_tag("figure")).select("_page", F.col("pos").alias("around"))
+    shelves = holds.join(figures, ["_page", "around"]).groupBy("_page").agg((F.bool_or("captioned") & F.bool_or("linked")).alias("m0"))
+    docs_links = held.where(F.col(DLINK)).join(rows.where(F.col(BODY)).select("_page", F.col("pos").alias("around")), ["_page", "around"]).select("_page", "pos", "goes").distinct()
+    heads = rows.groupBy("_page").agg(
+        *page, F.bool_or(SCARD).alias("m1"), F.bool_or(path(*PRODUCT_HERO)).alias("m2"), F.bool_or(path(*SOLUTION_EYEBROW)).alias("m3"),
+        first("goes", is_tag("link") & F.coalesce(attribute("rel") == "canonical", F.lit(False))).alias("canonical_url"), first("text", is_tag("title")).alias("title"),
+        first(attribute("content"), is_tag("meta") & F.coalesce(attribute("name") == "description", F.lit(False))).alias("description"), first("text", path(*SOLUTION_EYEBROW)).alias("solution_name"),
+    ).join(shelves, "_page", "left").join(docs_links.select("_page").distinct().withColumn("m4", F.lit(True)), "_page", "left")
+    marks = F.array_compact(F.array(*(F.when(F.col(f"m{k}"), name) for k, name in enumerate(KINDS))))
+    seen = heads.withColumn("_marks", marks).select(
+        "_page", "_key", "_url", "_configured", F.when(F.size("_marks") == 1, F.get("_marks", F.lit(0))).when(F.size("_marks") == 0, "none").otherwise("several").alias("kind"), "canonical_url",
+        bounded_field(F.col("title"), TITLE_CAP).alias("title"), F.nullif(trim_summary(F.col("description")), F.lit("")).alias("description"), bounded_field(F.col("solution_name"), NAME_CAP).alias("solution_name"),
     )
-    makers = (product_cards(), solution_cards(), use_case_cards(*PRODUCT_USE_CASES), use_case_cards(*SOLUTION_USE_CASES), docs_cards())
-    cards = reduce(lambda rest, pair: F.when(F.col("kind") == pair[0], pair[1].cast(f"array<{CARD}>")).otherwise(rest), zip(KINDS, makers, strict=True), F.lit(None).cast(f"array<{CARD}>"))
-    seen = seen.withColumn("_cards", cards)
-    # a generator of one row: the optimizer would put the expression of the cards into each of its uses below
-    seen = seen.select(F.inline(F.array(F.struct(*seen.columns))))
+    parts = [product_cards(rows, held, holds), solution_cards(rows, held, holds), use_case_cards(rows, KINDS[2], *PRODUCT_USE_CASES), use_case_cards(rows, KINDS[3], *SOLUTION_USE_CASES), docs_cards(docs_links, holds)]
+    lists = reduce(DataFrame.unionByName, parts).groupBy("_page", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "group", "name", "summary", "href"))).alias("_cards"))
+    seen = seen.join(lists, ["_page", "kind"], "left")
+    seen = seen.withColumn("_cards", F.when(F.col("kind").isin(*KINDS), F.transform(F.coalesce("_cards", F.array()), lambda c: F.struct(*(c[f].alias(f) for f in ("group", "name", "summary", "href")))).cast(f"array<{CARD}>")))
     same = lambda u: F.concat(url_host(u), path_key(u))
     uses, overview = F.col("kind").isin(*KINDS[2:4]), F.col("kind") == KINDS[0]
     lacks = lambda field: F.exists("_cards", lambda c: c[field].isNull())
