@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import url_host
+
 DELAY = r"^\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -40,13 +42,29 @@ def rules(parsed: DataFrame, agent: str) -> DataFrame:
 
 
 def decisions(paths: DataFrame, parsed: DataFrame, agent: str) -> DataFrame:
-    """paths (host, path) with ``allowed``: the longest matching pattern decides, allow wins ties, no match allows."""
-    asked = paths.select("host", "path").distinct()
-    hits = asked.join(rules(parsed, agent), "host").where(F.rlike(F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path")), F.col("regex")))
+    """paths (host, path) with ``allowed``: the longest matching pattern decides, allow wins ties, no match allows.
+
+    A rule is found by what it has before its first wildcard: a path is cut to each length that such a beginning has on its host,
+    and cuts and beginnings meet by equality. Only rules with a wildcard or an end mark are then matched as patterns. So a path meets
+    the rules whose beginning it has, not all those of its host."""
+    asked = paths.select("host", "path").distinct().withColumn("_p", F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
+    found = rules(parsed, agent).distinct().withColumn("_begins", F.regexp_extract("pattern", r"\A([^*$]*)", 1))
+    lengths = found.groupBy("host").agg(F.collect_set(F.length("_begins")).alias("_lengths"))  # as many as a path is long, at most
+    cuts = asked.join(lengths, "host").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_p")))).withColumn("_begins", F.expr("substring(_p, 1, _n)")).drop("_lengths", "_n")
+    hits = cuts.join(found, ["host", "_begins"]).where((F.col("_begins") == F.col("pattern")) | F.rlike("_p", F.col("regex")))
     best = hits.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
     return paths.join(best, ["host", "path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 
 
+def barred(urls: DataFrame, decided: DataFrame, parsed: DataFrame, agent: str) -> DataFrame:
+    """url and reason of those that may not be asked for: of hosts without a decision, of hosts that failed, and of paths that rules
+    disallow. urls: url. decided: ``host_decisions``; parsed: ``parse`` of the hosts that have rules."""
+    rows = urls.select("url", url_host(F.col("url")).alias("host"), F.regexp_extract("url", r"\A[^:]*://[^/?#]*([^#]*)", 1).alias("path")).distinct().join(decided, "host", "left")
+    rows = decisions(rows, parsed, agent)
+    reason = F.when(F.col("decision").isNull(), "no robots decision for the host").when(F.col("decision") == "failed", F.col("problem")).when((F.col("decision") == "rules") & ~F.col("allowed"), "path disallowed")
+    return rows.select("url", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def crawl_delay(parsed: DataFrame, agent: str) -> DataFrame:
     """host and its delay in seconds: of the groups that apply, the first that declares one; of its delays, the last."""
     found = parsed.where("field = 'crawl-delay'").join(selected(parsed, agent), ["host", "group"])

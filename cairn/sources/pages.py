@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cairn.functions.text import collapse_whitespace, url_host
+from cairn.sources.shared import written
 
 # fixed values
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
@@ -48,28 +50,31 @@ def resolve(base: Column, link: Column) -> Column:
     return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.isNotNull() & base.isNotNull(), _joined(base, link))
 
 
-def follow(requests: DataFrame, answers: DataFrame, hosts: list[str], guard: Callable[[Column], Column] | None = None) -> DataFrame:
-    """url, final_url, status, hops, problem: redirect chains over a table of answers (url, status, location), one join a
-    hop. Each hop is checked against the hosts, and by ``guard`` (whether a URL may be asked for), before it is looked up.
-    Locations may be relative."""
-    state = requests.select("url", default_port(F.col("url")).alias("at"), F.lit(None).cast("int").alias("status"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("problem"), F.lit(False).alias("done"))
-    table = answers.select(default_port(F.col("url")).alias("_u"), F.col("status").alias("_s"), default_port(resolve(F.col("url"), F.col("location"))).alias("_l"))
-    for _ in range(MAX_HOPS + 1):
-        joined = state.join(table, (F.col("at") == F.col("_u")) & ~F.col("done"), "left")
+def answer_table(answers: DataFrame) -> DataFrame:
+    """url without a default port, status, and where an answer redirects to, made absolute."""
+    return answers.select(default_port(F.col("url")).alias("_u"), F.col("status").alias("_s"), default_port(resolve(F.col("url"), F.col("location"))).alias("_l"))
+
+
+def follow(requests: DataFrame, answers: DataFrame, hosts: list[str], guard: Callable[[Column], Column] | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """url, final_url, status, hops, problem: redirect chains over a table of answers (url, status, location). A round looks up
+    only the chains that are still alive, so those without a redirect are looked up once, and ends when none is; a loop ends
+    with the most hops that are allowed. Each hop is checked before it is looked up: against the hosts, by ``guard`` (whether
+    a URL may be asked for) and against ``barred`` (a table of URLs that may not). Locations may be relative."""
+    live = requests.select("url", default_port(F.col("url")).alias("at"), F.lit(None).cast("int").alias("before"), F.lit(0).alias("hops"))
+    table, ended = written(answer_table(answers)), []
+    while True:
+        rows = live.join(table, F.col("at") == F.col("_u"), "left")
+        if barred is not None:
+            rows = rows.join(barred.select(F.col("url").alias("at"), F.lit(True).alias("_barred")).distinct(), "at", "left")
         wrong = ~allowed_url(F.col("at"), hosts)
-        vetoed = ~F.coalesce(guard(F.col("at")), F.lit(False)) if guard else F.lit(False)
-        bad = ~F.col("done") & (wrong | vetoed)
-        moved = F.col("_s").isin(*REDIRECT_STATUSES) & F.col("_l").isNotNull()
-        goes = ~F.col("done") & ~bad & F.coalesce(moved, F.lit(False)) & (F.col("hops") < MAX_HOPS)
-        state = joined.select(
-            "url",
-            F.when(goes, F.col("_l")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("done") | bad, F.col("status")).otherwise(F.col("_s")).alias("status"),
-            F.when(goes, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            F.when(F.col("done"), F.col("problem")).when(bad & wrong, "forbidden").when(bad, "vetoed").when(F.col("_s").isNull(), "network").when(moved & (F.col("hops") >= MAX_HOPS), "too-many-redirects").alias("problem"),
-            (F.col("done") | ~goes).alias("done"),
-        )
-    return state.select("url", F.col("at").alias("final_url"), "status", "hops", "problem")
+        vetoed = (~F.coalesce(guard(F.col("at")), F.lit(False)) if guard else F.lit(False)) | (F.col("_barred").isNotNull() if barred is not None else F.lit(False))
+        moved = F.coalesce(F.col("_s").isin(*REDIRECT_STATUSES) & F.col("_l").isNotNull(), F.lit(False))
+        problem = F.when(wrong, "forbidden").when(vetoed, "vetoed").when(F.col("_s").isNull(), "network").when(moved & (F.col("hops") >= MAX_HOPS), "too-many-redirects")
+        state = written(rows.select("url", "at", F.when(wrong | vetoed, F.col("before")).otherwise(F.col("_s")).alias("status"), "hops", problem.alias("problem"), F.when(problem.isNull() & moved, F.col("_l")).alias("next")))
+        ended.append(state.where("next IS NULL").select("url", F.col("at").alias("final_url"), "status", "hops", "problem"))
+        live = state.where("next IS NOT NULL").select("url", F.col("next").alias("at"), F.col("status").alias("before"), (F.col("hops") + 1).alias("hops"))
+        if live.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
 
 
 def failure_class(error: Column) -> Column:
