@@ -7,8 +7,11 @@ contiguous run with the largest sum. The run is then widened to the smallest sec
 article, if it lies in one), and what such an element holds of menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments is left out.
 
-A class, id or role marks what is left out if one of its tokens is a cut word or a known form of one ("site-header",
-"cookie-banner"), not if it only contains one ("no-sidebar"). Marks never cut html, body, main or article. A marked box
+Of what lies outside the run, boxes that are mostly links and whose own sum isn't positive are left out too, and so are lines
+of links alone in what isn't an article or main: menus that have no name.
+
+A class, id or role marks what is left out if the weights of the parts of one of its tokens, which has a cut word, add up to more than zero
+("site-header", "reader-comments"), not if a part tells of the page's state ("no-sidebar"); so does the attribute hidden. Marks never cut html, body, main or article. A marked box
 that holds the page's text all the same, by the score of the run with marks unread, is not left out.
 
 Null and empty pages, and pages with no words, have an empty text. Broken markup (unclosed tags, stray closings) is read
@@ -22,7 +25,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ CUT = frozenset("nav header footer aside form dialog menu fieldset".split())
 #: Words of class, id or role that mark what is not the article.
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead "
-    "comment comments respond discussion cookie cookies consent notice notices newsletter subscribe signup popup modal share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search login".split()
+    "comment comments respond discussion cookie cookies consent notice notices newsletter subscribe signup popup modal share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search login disqus adsbygoogle adsense sharethis addthis".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+|<)", re.S)
 #: The same without quotes, for the rest of a page whose quotes don't close: a tag ends at the next '>'.
@@ -47,28 +50,37 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW if
 #: Raw elements that browsers, too, read to the end of the page if they are never closed; others then count as a tag only.
 TO_THE_END = frozenset("script style noscript textarea iframe title".split())
 #: Marks of reader comments: prose that may outweigh a short article, so they hold unless no other text is found.
-DISCUSSION = frozenset("comment comments respond discussion".split())
+DISCUSSION = frozenset("comment comments respond discussion disqus".split())
 #: What else the parts of a hyphenated mark may be: "site-header", "comments-area"; not "no-sidebar", "comments-open".
 FORM_WORDS = frozenset(
     "site page main global primary secondary tertiary top bottom left right area box bar block wrap wrapper container inner outer content section list item items group panel col column row region zone slot unit link links button buttons menu form field text title message overlay thread template post posts article articles stories".split()
 )
+#: Parts of a mark that tell of the page's state rather than name the box.
+STATE_WORDS = frozenset("no not non without has have with hide hidden show open opened closed close enabled disabled off on toggle toggled is using allow".split())
 #: What marks can't cut.
 UNMARKED = frozenset("html body main article".split())
 #: A marked box is kept if the run in it has so large a sum (some seventeen words of prose), and so many times that of the run without it.
 LARGE, TIMES = 50.0, 10.0
 _MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|=|$)(?!=[\"']?until-found)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 Token = tuple[str, str, int]
 
 
+def part_weight(part: str) -> float:
+    """What a part of a mark says for cutting: one that only says something about the page undoes a cut word ("no-sidebar",
+    "comments-open"), others that aren't known weigh a little against it."""
+    return 2.0 if part in CUT_WORDS else 0.0 if part in FORM_WORDS else -3.0 if part in STATE_WORDS else -0.5
+
+
 def mark_of(attrs: str) -> int:
-    """0 if no class, id or role marks what is left out, 2 if reader comments, 1 if anything else."""
-    found = 0
+    """0 if no class, id, role or the attribute hidden marks what is left out, 2 if reader comments, 1 if anything else."""
+    found = 1 if _HIDDEN.search(attrs) else 0
     for value in _MARK.findall(attrs):
         for token in value.strip("\"'").lower().split():
             parts = {p for p in _SPLIT.split(token) if p.isalpha()}
             words = parts & CUT_WORDS
-            if words and parts - words <= FORM_WORDS:
+            if words and sum(part_weight(p) for p in parts) > 0:
                 found = max(found, 2 if words & DISCUSSION else 1)
     return found
 
@@ -262,18 +274,61 @@ def main_text(page: str | None) -> str:
     common.reverse()
     named = [b for b in common if boxes[b][1] in ("article", "main")]
     top = named[-1] if named else next((b for b in reversed(common) if boxes[b][1] not in ("ul", "ol", "table", "dl", "figure")), 0)
+    lists = linked_boxes(scan, start, end)
     inside = [False] * len(boxes)
     for b, (parent, _, cut) in enumerate(boxes):
-        inside[b] = not cut and (b == top or (parent >= 0 and inside[parent]))
-    return blocks(tokens, inside)
+        inside[b] = not cut and (b == top or (parent >= 0 and inside[parent] and not lists[b]))
+    return blocks(tokens, inside, set() if named else loose_links(scan, start, end, top))
+
+
+def linked_boxes(scan: Scan, start: int, end: int) -> list[bool]:
+    """Of each box whether it is a menu without the name of one: no token of the run lies in it, its own sum isn't positive, and
+    half of its words at least are in links."""
+    n = len(scan.boxes)
+    total, words, links, run = [0.0] * n, [0] * n, [0] * n, [False] * n
+    for k, ((_, box, text), (kind, count)) in enumerate(zip(scan.tokens, scan.typed(), strict=True)):
+        total[box] += weight(kind) * count
+        if text:
+            words[box] += count
+            links[box] += count * kind.startswith("wa@")
+        run[box] |= start <= k < end and bool(text) and not text.isspace()
+    for b in range(n - 1, 0, -1):
+        up = scan.boxes[b][0]
+        total[up] += total[b]
+        words[up] += words[b]
+        links[up] += links[b]
+        run[up] |= run[b]
+    return [not run[b] and total[b] <= 0 and 0 < words[b] <= 2 * links[b] for b in range(n)]
+
+
+def loose_links(scan: Scan, start: int, end: int, top: int) -> set[int]:
+    """The texts before or behind the run, in ``top`` or a box that holds words of the run, of lines that are links only: menus without a
+    box of their own. A line lies between two tags that part words."""
+    holds = {top}
+    for _, box, text in scan.tokens[start:end]:
+        while text and not text.isspace() and box >= 0 and box not in holds:
+            holds.add(box)
+            box = scan.boxes[box][0]
+    found: set[int] = set()
+    line: list[int] = []
+    plain = False
+    for k, (kind, box, text) in enumerate([*scan.tokens, ("t", -1, "")]):
+        if text:
+            line.append(k)
+            plain |= kind != "wa" and not text.isspace()
+        elif kind != "i":
+            if not plain:
+                found.update(x for x in line if scan.tokens[x][1] in holds and not start <= x < end)
+            line, plain = [], False
+    return found
 
 
-def blocks(tokens: list[tuple[str, int, str]], inside: list[bool]) -> str:
-    """The text of tokens in the boxes ``inside``: inline tags join words, all others part them."""
+def blocks(tokens: list[tuple[str, int, str]], inside: list[bool], without: Collection[int] = ()) -> str:
+    """The text of tokens in the boxes ``inside`` but those in ``without``: inline tags join words, all others part them."""
     parts: list[str] = []
-    for kind, box, text in tokens:
+    for k, (kind, box, text) in enumerate(tokens):
         if text:
-            if inside[box]:
+            if inside[box] and k not in without:
                 parts.append(entities.unescape(text))
         elif kind != "i":
             parts.append(" ")

@@ -476,5 +476,81 @@ def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = [r.toxic for r in rows if r.predicted]
-    assert sum(hit) >= 0.95 * len(hit) and sum(hit) >= 0.6 * sum(r.toxic for r in rows)
+    assert sum(hit) >= 0.95 * len(hit) and sum(hit) >= 0.8 * sum(r.toxic for r in rows)
     assert 0 <= toxicity.Model({}).scores([None, "", "x"]).max() <= 1
+
+
+MARKS = ["reader-comments", "user-comments", "fb-comments", "comment-body", "disqus_thread", "adsbygoogle", "google-ad", "social-media-links share", "cookie-law-info", "share-this", "breadcrumb-trail", "sticky-sidebar"]
+PROSE = "It rained over the whole valley for three days and the river rose until the lower bridge could no longer be crossed by anyone."
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_html_marks_of_many_parts(mark):
+    page = f'<body><article><h1>Rain</h1><p>{PROSE}</p><div class="{mark}"><p>Nice one, thanks</p></div><p>{PROSE}</p></article></body>'
+    assert htmltext.main_text(page) == f"Rain {PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("mark", ["no-sidebar", "has-comments", "comments-open", "with-banner", "hidden-xs", "content"])
+def test_html_marks_of_state(mark):
+    page = f'<body><article><h1>Rain</h1><div class="{mark}"><p>{PROSE}</p></div></article></body>'
+    assert htmltext.main_text(page) == f"Rain {PROSE}"
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    ("<div><a href=/>Sign in</a><a href=/>Shop</a></div>", "<div><a href=/>Next</a><a href=/>Imprint</a></div>"),
+    ("<table><tr><td><a href=/>Home</a></td><td>", "</td></tr></table>"),
+    ("<a href=/>Home</a> <a href=/>News</a>", "<a href=/>Imprint</a>"),
+    ("<div><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul></div><div>", "</div><div hidden><p>Not shown at all</p></div>"),
+])
+def test_html_menus_without_a_name(before, after):
+    """Pages without nav, article or main: lists of links around the prose stay out, a short last paragraph stays in."""
+    page = f"<html><body>{before}<h1>Rain</h1><p>{PROSE}</p><p>{PROSE} <a href=/>More</a> on rain.</p><p>The end.</p>{after}</body></html>"
+    assert htmltext.main_text(page) == f"Rain {PROSE} {PROSE} More on rain. The end."
+
+
+def test_best_run_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        scores = [rng.choice((-3.0, -1.0, -0.5, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 25))]
+        start, end = htmltext.best_run(scores)
+        assert sum(scores[start:end]) == max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    rows = []
+    for k in range(205):
+        letters_ = [chr(0x4E00 + 40 * k + j) for j in range(30)]
+        for n in range(2):
+            rows.append((2 * k + n, " ".join("".join(rng.choice(letters_) for _ in range(4)) for _ in range(12)), f"l{k}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(df)
+    assert len(model.dictionaries) == 205
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert all(got[i] == name for i, _, name in rows)
+
+
+def test_language_is_that_of_the_smallest(spark):
+    """The choice against a plain count of compressed bytes by each dictionary."""
+    import zstandard
+
+    dictionaries = {"a": b"the rain in spain stays mainly in the plain " * 20, "b": "der regen fällt auf die ebene im westen ".encode() * 20, "c": b"la pluie tombe sur la plaine du pays " * 20}
+    texts_ = ["the plain rain", "der regen im westen", "la pluie du pays", "Rain, in the WESTEN pays!", "mainly " * 900]
+    model = langid.Classifier(dictionaries)
+    for t in texts_:
+        data, sizes = langid.letters(t), {}
+        for name, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.BLOCK, dict_size=langid.DICTIONARY_BYTES, write_content_size=0, write_dict_id=0)
+            sizes[name] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(data[k : k + langid.BLOCK])) for k in range(0, len(data), langid.BLOCK))
+        assert model.classify(t)[0] == min(sorted(sizes), key=sizes.get)
+
+
+def test_toxicity_takes_one_row_a_key(spark, monkeypatch):
+    """Rows that share a labelled key count once, whatever their number."""
+    seen = []
+    monkeypatch.setattr(toxicity, "isotonic", lambda p, y: seen.append(len(y)) or (lambda x: x))
+    docs = spark.createDataFrame([(k % 40, f"text {k} {'idiot' if k % 2 else 'nice'}") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert seen and seen[0] <= 40
