@@ -2,7 +2,7 @@
 
 Training gathers, per language, a sample of labelled texts (``SAMPLE_ROWS`` a language, chosen by a hash of key and text) and
 keeps texts in hash order until the dictionary of ``DICTIONARY_BYTES`` is full, as raw dictionary content: some twenty texts
-of 1,500 characters. Of a longer text it reads the first quarter of a dictionary's size (8,192 characters), so that no text
+of 1,500 characters. Every value of the label is learned; beyond 200 each has a smaller share. Of a longer text it reads the first quarter of a dictionary's size (8,192 characters), so that no text
 fills it alone. Every language with a letter in its texts has content, if the sample misses it by its first texts in order. Classification compresses the
 whole text, in blocks of ``BLOCK`` bytes (so that long texts don't become their own dictionary), once per language, and
 adds up the bytes. The score is the posterior of the winner, at ``BITS`` bits a byte saved.
@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,9 @@ from cairn.llm.tables import with_found
 #: Expected number of labelled rows taken for each language, and bytes of each dictionary.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 32 * 1024
-#: Values of the label that are learned: the most frequent ones. Stray values of a dirty column are no languages.
-LANGUAGES = 200
+#: Rows and bytes of all languages together. Of more languages than these hold at the figures above, each has a smaller share, of one
+#: text and ``LEAST_DICTIONARY`` bytes at least, so every value of the label is learned.
+ALL_ROWS, ALL_BYTES, LEAST_DICTIONARY = 80_000, 200 * DICTIONARY_BYTES, 256
 BLOCK = 2048
 LEVEL = 6
 BITS = 1.0
@@ -70,12 +71,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """A dictionary of at most ``size`` bytes for each language, and the limits of what is accepted. Nothing but the sample
     reaches the driver."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    labelled = labelled.where(F.col("l").isin(*counts)) if counts else labelled
+    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()}
+    if not counts:
+        return Model({}, {})
+    rows, size = max(1, min(rows, ALL_ROWS // len(counts))), max(LEAST_DICTIONARY, min(size, ALL_BYTES // len(counts)))
     at = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, rows / n))).otherwise(share)
+    share = F.element_at(F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, rows / n)))), F.col("l"))
     out: dict[str, list[bytes]] = {name: [] for name in counts}
     held: dict[str, list[bytes]] = {name: [] for name in counts}
     seen = dict.fromkeys(counts, 0)
@@ -92,9 +93,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 held[r.l].append(data)
 
     take(labelled.where(at < share * (1 << 30)).select("l", F.substring("t", 1, size // 4).alias("t"), at.alias("at")).orderBy("at", "t"))
-    for name in [name for name, texts in out.items() if not texts]:
-        lettered = labelled.where((F.col("l") == name) & F.col("t").rlike(r"\p{L}")).select("l", F.regexp_replace("t", r"^\P{L}+", "").alias("t"), at.alias("at"))
-        take(lettered.select("l", F.substring("t", 1, size // 4).alias("t"), "at").orderBy("at", "t").limit(rows))
+    missed = [name for name, texts in out.items() if not texts]
+    if missed:  # their first texts in order, of all such languages at once
+        lettered = labelled.where(F.col("l").isin(*missed) & F.col("t").rlike(r"\p{L}")).select("l", F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, size // 4).alias("t"), at.alias("at"))
+        order = F.row_number().over(Window.partitionBy("l").orderBy("at", "t"))
+        take(lettered.withColumn("_k", order).where(F.col("_k") <= rows).select("l", "t", "at").orderBy("l", "at", "t"))
     dictionaries = {name: b" ".join(texts)[:size] for name, texts in sorted(out.items()) if texts}
     return Model(dictionaries, measured(dictionaries, held))
 
