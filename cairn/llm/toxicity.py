@@ -174,7 +174,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """A model from ``docs`` (key, text) and ``labels`` (key, toxic: 0 or 1; others are ignored; of several labels of a key
     the larger counts). At most about ``rows`` keys are sampled from the labels, and these meet the documents by broadcast,
-    so no text shuffles. What reaches the driver is their features and ``LEXICON_WORDS`` words."""
+    so only their texts shuffle, to one a key: of rows that
+    share a key the least text counts, so repeated keys don't pass the bound. What reaches the driver is their features and ``LEXICON_WORDS`` words."""
     from cairn.llm.tables import written
 
     labels = written(labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     at = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(1 << 30))
     chosen = labels.where(at < int(min(1.0, rows / max(n, 1)) * (1 << 30))).withColumn("fold", at % 5)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    sample = written(texts.join(F.broadcast(chosen), "_key").select(F.col("_key").cast("string").alias("k"), "text", "toxic", "fold"))
+    sample = written(texts.join(F.broadcast(chosen), "_key").groupBy(F.col("_key").cast("string").alias("k"), "toxic", "fold").agg(F.min("text").alias("text")))
     lexicon = learn_lexicon(sample.where("fold < 4"))
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("fold", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
