@@ -62,11 +62,12 @@ def parse_http(headers: str | None) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in (headers or "").splitlines()) if v}
 
 
-def derive(record_id: str, target: str | None, date: str | None, status: int | None, http_headers: str | None, payload: str | None) -> list[tuple[str, dict[str, str], bytes]]:
-    """(record id, headers in order, block) of the metadata and of the conversion record of one response."""
+def derive(record_id: str | None, target: str | None, date: str | None, status: int | None, http_headers: str | None, payload: str | None) -> list[tuple[str, dict[str, str], bytes]]:
+    """(record id, headers in order, block) of the metadata and of the conversion record of one response. A response without an
+    id is given one by its payload, target and date, so that its two records still refer to the same."""
     body = (payload or "").encode("utf-8", "replace")
     source, sent = digest(body), parse_http(http_headers)
-    record_id = header_value(record_id)
+    record_id = header_value(record_id) if record_id else derived_id(f"{target} {date}", "response", source)
     fields = [("source-record-id", record_id), ("http-status", "" if status is None else str(status)), *((f"http-{k}", header_value(sent[k])) for k in SOURCE_HEADERS if k in sent), ("payload-digest", source), ("payload-length", str(len(body)))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = visible_text(payload).encode("utf-8", "replace")
@@ -87,12 +88,17 @@ def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each whole record; of data that is cut off in a record, those before it."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
         size = int(headers["Content-Length"])
+        if end + 4 + size > len(data):
+            return
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
@@ -111,7 +117,7 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
             rows = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for own, h, block in derive(*row[1:]):
-                    rows.append((row[0], h["WARC-Type"], own, row[1], row[2], h["WARC-Block-Digest"], h["X-Source-Payload-Digest"], h["Content-Type"], len(block), record_bytes(h, block)))
+                    rows.append((row[0], h["WARC-Type"], own, row[1] or h["WARC-Refers-To"], row[2], h["WARC-Block-Digest"], h["X-Source-Payload-Digest"], h["Content-Type"], len(block), record_bytes(h, block)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return records.select(key, "record_id", "target_uri", "date", "status", "http_headers", "payload").mapInArrow(run, out)

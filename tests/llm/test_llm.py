@@ -554,3 +554,16 @@ def test_toxicity_takes_one_row_a_key(spark, monkeypatch):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     toxicity.train(docs, labels)
     assert seen and seen[0] <= 40
+
+
+def test_warc_null_ids_and_cut_files(spark):
+    rows = [(1, None, "https://h/a", "2024-01-01T00:00:00Z", 200, "content-type: text/html", "<p>one &amp; two</p><script>no</script>"), (2, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, date string, status int, http_headers string, payload string")
+    got = warc.derivatives(df).collect()
+    assert len(got) == 4 and all(r.refers_to for r in got) and len({r.refers_to for r in got}) == 2
+    records = b"".join(bytes(r.record) for r in got)
+    whole = list(warc.parse_records(records))
+    assert [b for h, b in whole if h["WARC-Type"] == "conversion"] == [b"one & two", b""]
+    assert all(int(h["Content-Length"]) == len(b) for h, b in whole)
+    for cut in range(len(records)):
+        assert list(warc.parse_records(records[:cut])) == whole[: len(list(warc.parse_records(records[:cut])))]
