@@ -25,7 +25,7 @@ STAGES = ("robots", "fetch", "parse", "normalize", "validate")
 @dataclass(frozen=True)
 class Run:
     """catalog: its collections. failures: ord (of the source, null for what concerns several), stage, subject, message. counts:
-    sources, fetched, parsed and the rows of each collection."""
+    configured, fetched, parsed and the rows of each collection."""
 
     catalog: dict[str, DataFrame]
     failures: DataFrame
@@ -64,7 +64,7 @@ def run(sources: DataFrame, robots_answers: DataFrame, answers: DataFrame, agent
     """sources: ord, id, url, page_kind. robots_answers: host, status (null: the request failed), body. answers: url, status,
     location, html, retrieved_at. The catalog is of what passed every stage; it is whole only if there are no failures."""
     counts: dict[str, int] = {}
-    got = _observed(fetched(sources, robots_answers, answers, agent, hosts, interval_ms), counts, sources=F.count("*"), fetched=F.count_if(F.col("stage").isNull()))
+    got = _observed(fetched(sources, robots_answers, answers, agent, hosts, interval_ms), counts, configured=F.count("*"), fetched=F.count_if(F.col("stage").isNull()))
     pages = got.where("stage IS NULL").select("ord", "id", "page_kind", "final_url").join(answers.select(default_port(F.col("url")).alias("final_url"), "html", "retrieved_at"), "final_url")
     parsed = page_parsers.parse(pages, key="id", url="final_url", configured="page_kind", partitions=partitions)
     parsed = _observed(parsed.join(pages.select("id", "ord", "page_kind", "final_url", "retrieved_at"), "id"), counts, parsed=F.count_if(F.col("issue").isNull()))
@@ -87,7 +87,7 @@ def in_stages(failures: DataFrame) -> DataFrame:
 
 def lines(done: Run, sources: DataFrame) -> list[str]:
     """What a run says of itself, a line a stage."""
-    n, c = done.counts["sources"], done.counts
+    n, c = done.counts["configured"], done.counts
     hosts = sources.groupBy(url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.min("ord").alias("ord")).orderBy("ord").collect()  # as many as are allowed
     return [
         f"config: {n} sources ({', '.join(f'{h.host} {h.n}' for h in hosts)})", f"fetch: {c['fetched']}/{n} pages fetched (robots-gated)", f"parse: {c['parsed']} pages parsed and normalized",

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.places import placed_within
 from cairn.sources.shared import written
 
 
@@ -89,8 +90,8 @@ def priced_members(members: DataFrame, pricing: DataFrame) -> DataFrame:
 def family_bands(products: DataFrame, placements: DataFrame, lane: str, layer: str) -> DataFrame:
     """family_id, place, id, name of one layer's products, sub-grouped by family, in display order within it."""
     placed = placements.where((F.col("lane") == lane) & (F.col("layer") == layer)).select("id").distinct()
-    rows = products.join(placed, "id")
-    return rows.select("family_id", F.row_number().over(Window.partitionBy("family_id").orderBy(F.lower("name"), "id")).alias("place"), "id", "name")
+    rows = products.join(placed, "id").select("family_id", "id", "name")
+    return placed_within(rows, ["family_id"], [F.lower("name"), F.col("id")]).select("family_id", "place", "id", "name")
 
 
 def panel_sources(products: DataFrame, families: DataFrame, sources: DataFrame) -> DataFrame:

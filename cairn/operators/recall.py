@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.learning import shared_products
+from cairn.operators.places import first_within
 from cairn.operators.readmodels import mirrored_boundaries
+from cairn.sources.shared import written
 
 
 def adjacent_layers(layers: DataFrame) -> DataFrame:
@@ -25,8 +29,8 @@ def recall_pool(products: DataFrame, placements: DataFrame, layers: DataFrame, s
     near = adjacent_layers(layers).join(placed.withColumnRenamed("layer", "near"), ["lane", "near"]).select("lane", "layer", "id", "name").distinct()
     decoys = near.join(placed, ["lane", "layer", "id"], "left_anti")
     n = placed.groupBy("lane", "layer").agg(F.greatest(F.lit(least), F.floor(F.count("*") * share + 0.5).cast("int")).alias("k"))
-    order = Window.partitionBy("lane", "layer").orderBy(F.lower("name"), "id")
-    decoys = decoys.withColumn("_r", F.row_number().over(order)).join(F.broadcast(n), ["lane", "layer"], "left").where(F.col("_r") <= F.coalesce("k", F.lit(least)))  # a row per layer
+    n = near.select("lane", "layer").distinct().join(n, ["lane", "layer"], "left").select("lane", "layer", F.coalesce("k", F.lit(least)).alias("k"))
+    decoys = first_within(decoys, ["lane", "layer"], [F.lower("name"), F.col("id")], n)
     cols = ["lane", "layer", "id", "name"]
     return placed.select(*cols, F.lit(True).alias("is_answer")).unionByName(decoys.select(*cols, F.lit(False).alias("is_answer")))
 
@@ -47,6 +51,28 @@ def suggest(products: DataFrame, query: str, entered: DataFrame | None = None, l
     return found.orderBy(F.lower("name"), "id").limit(limit)
 
 
+def search_index(products: DataFrame, letters: int = 3) -> DataFrame:
+    """The words of names and ids by their first letters, once for any number of searches: _begins, _word, id, name. Written in order
+    of these, so that a search for few texts skips most of it."""
+    words = F.array_distinct(F.concat(F.split(F.lower("name"), r"[\s/-]+"), F.split(F.lower(F.col("id").cast("string")), "-")))
+    rows = products.select("id", "name", F.explode(words).alias("_word")).where(F.length("_word") >= letters)
+    rows = rows.withColumn("_begins", F.substring("_word", 1, letters))
+    return written(rows.repartitionByRange("_begins", "_word", "id").sortWithinPartitions("_begins", "_word"))
+
+
+def suggest_all(index: DataFrame, products: DataFrame, queries: DataFrame, limit: int = 8, letters: int = 3) -> DataFrame:
+    """query, place, id, name: what ``suggest`` gives for each row of queries (query, text), by the index of ``search_index``. A
+    text is searched once, however many queries have it."""
+    asked = queries.select("query", F.lower(F.trim("text")).alias("_q")).where(F.length("_q") > 0)
+    texts = asked.select("_q").distinct()
+    long = texts.where(F.length("_q") >= letters).withColumn("_begins", F.substring("_q", 1, letters))
+    begun = long.join(index, "_begins").where(F.startswith("_word", F.col("_q"))).select("_q", "id", "name").distinct()
+    short = texts.where(F.length("_q") < letters)
+    exact = [short.join(products.select(by.alias("_q"), "id", "name"), "_q").select("_q", "id", "name") for by in (F.lower("name"), F.col("id").cast("string"))]
+    found = first_within(begun.unionByName(reduce(DataFrame.unionByName, exact).distinct()), ["_q"], [F.lower("name"), F.col("id")], limit)
+    return asked.join(found, "_q").select("query", "place", "id", "name")
+
+
 def solution_pools(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The answers (solution, id, name) of every solution that has a composition, and its boundary questions: solution,
     neighbour, neighbour_name and answers, for each neighbour of either direction with which it shares products."""

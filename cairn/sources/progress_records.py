@@ -6,6 +6,8 @@ A record that doesn't have the expected structure is discarded as a whole. Older
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,17 +73,59 @@ def export_json(records: DataFrame, key: str, extras: list[str]) -> DataFrame:
     return records.select(key, F.to_json(body, {"pretty": "true"}).alias("body"))
 
 
-def keep(stream: DataFrame, path: str, checkpoint: str):
-    """A query that stores each batch of a stream of states under its number; a batch that is run again replaces itself."""
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def kept(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The last stored state of each key."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (key, "batch"))), "batch").alias("_s"))
-    return last.select(key, "_s.*")
+#: Folders of batches that a store holds before they are put together.
+MOST_BATCHES = 16
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The number of the last whole snapshot (-1 if there is none) and those of the batches after it, by the file system that the
+    path is on. A folder counts when the marker that Spark writes last is in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"snapshot": [], "batch": []}
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    last = max(found["snapshot"], default=-1)
+    return last, sorted(n for n in found["batch"] if n > last)
+
+
+def store(batch: DataFrame, number: int, path: str, key: str, most: int = MOST_BATCHES) -> None:
+    """Puts a batch of states under its number; one that is run again replaces itself. When ``most`` batches have come since the last
+    snapshot, the last state of each key becomes the next one; only when that is whole does what it replaces go. So what
+    is kept and read is bounded, whenever a run is killed."""
+    spark = batch.sparkSession
+    last, _ = _folders(spark, path)
+    if number <= last:  # it is in the snapshot
+        return
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    last, after = _folders(spark, path)
+    if len(after) < most:
+        return
+    kept(spark, path, key).write.mode("overwrite").parquet(f"{path}/snapshot={after[-1]}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        kind, _, n = status.getPath().getName().partition("=")
+        if (kind == "batch" and int(n) <= after[-1]) or (kind == "snapshot" and int(n) < after[-1]):
+            fs.delete(status.getPath(), True)
+
+
+def keep(stream: DataFrame, path: str, checkpoint: str, key: str = "node"):
+    """A query that stores each batch of a stream of states."""
+    return stream.writeStream.foreachBatch(lambda batch, number: store(batch, number, path, key)).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept(spark: SparkSession, path: str, key: str, initial: DataFrame | None = None) -> DataFrame:
+    """The last stored state of each key: of the snapshot and the few batches after it. Where nothing is stored yet, ``initial``."""
+    last, after = _folders(spark, path)
+    parts = [(last, f"{path}/snapshot={last}")] * (last >= 0) + [(n, f"{path}/batch={n}") for n in after]
+    if not parts:
+        if initial is None:
+            raise FileNotFoundError(f"no states at {path}")
+        return initial
+    rows = reduce(DataFrame.unionByName, (spark.read.parquet(p).withColumn("_batch", F.lit(n)) for n, p in parts))
+    columns = [c for c in rows.columns if c not in (key, "_batch")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("_s"))
+    return newest.select(key, *(F.col(f"_s.{c}").alias(c) for c in columns))

@@ -152,3 +152,38 @@ def test_redirects_with_barred_urls(spark):
     answers = spark.createDataFrame([("https://h/a", 301, "/c"), ("https://h/b", 200, None), ("https://h/c", 200, None)], "url string, status int, location string")
     got = pages.follow(asked, answers, ["h"], barred=spark.createDataFrame([("https://h/c",)], "url string"))
     assert sorted(tuple(r) for r in got.collect()) == [("https://h/a", "https://h/c", 301, 1, "vetoed"), ("https://h/b", "https://h/b", 200, 0, None)]
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_places_within_keys(spark, most):
+    """A key of most rows, null keys and keys of one row; ranges cut the large one."""
+    from cairn.operators import places
+
+    rng = random.Random(4)
+    rows = [(rng.choice(("hot", "hot", "hot", "hot", "b", None)), rng.randrange(60), k) for k in range(600)] + [("one", 5, 600)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(3)
+    want = set()
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: r[1:])
+        n = len(own) if most is None else {"hot": 90, "b": 2, None: 0}.get(key, 0)
+        want |= {(*r, place) for place, r in enumerate(own[:n], 1)}
+    if most is None:
+        got = places.placed_within(df, ["k"], ["v", "id"])
+    else:
+        limits = spark.createDataFrame([("hot", 90), ("b", 2), (None, 0)], "k string, n int")
+        got = places.first_within(df, ["k"], ["v", "id"], limits)
+        three = places.first_within(df, ["k"], ["v", "id"], 3).groupBy("k").agg(F.max("place").alias("m"), F.count("*").alias("n")).collect()
+        assert {r.k: (r.m, r.n) for r in three} == {"hot": (3, 3), "b": (3, 3), None: (3, 3), "one": (1, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_search_equals_each_suggestion(spark):
+    from cairn.operators import recall
+
+    rng = random.Random(5)
+    names = [" ".join(rng.choice(("Web", "Edge", "Zero-Trust", "KV", "Web/Mail", "Stream", "ab")) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    products = spark.createDataFrame([(f"p{k}-{rng.choice(('edge', 'web'))}", n) for k, n in enumerate(names)], "id string, name string")
+    texts = ["web", "we", "KV", "ab", "edge", " Tru", "stre", "zero-", "", "p1-edge", "p1", "nothing", "mail"]
+    got = recall.suggest_all(recall.search_index(products), products, spark.createDataFrame([(k, x) for k, x in enumerate(texts * 2)], "query int, text string")).collect()
+    for k, x in enumerate(texts * 2):
+        assert [r.id for r in sorted((r for r in got if r.query == k), key=lambda r: r.place)] == [r.id for r in recall.suggest(products, x).collect()], x
