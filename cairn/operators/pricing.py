@@ -10,9 +10,9 @@ from cairn.functions.text import round_cents
 
 
 def usage_metrics(tiers: DataFrame, meters: DataFrame) -> DataFrame:
-    """The metrics of a product with their first label and the place of their first appearance (pos, mpos)."""
+    """The metrics of a product with the label of their first appearance, the metric where that has none, and the place of their first appearance (pos, mpos)."""
     at = F.struct("pos", "mpos")
-    return meters.join(tiers.select("product", "tier", "pos"), ["product", "tier"]).groupBy("product", "metric").agg(F.min_by("label", at).alias("label"), F.min(at).alias("place"))
+    return meters.join(tiers.select("product", "tier", "pos"), ["product", "tier"]).groupBy("product", "metric").agg(F.min_by(F.coalesce("label", "metric"), at).alias("label"), F.min(at).alias("place"))
 
 
 def tier_estimates(tiers: DataFrame, meters: DataFrame, usage: DataFrame) -> DataFrame:
@@ -32,10 +32,16 @@ def uncovered(tiers: DataFrame, meters: DataFrame, usage: DataFrame) -> DataFram
     return asked.join(meters.select("product", "tier", "metric"), ["product", "tier", "metric"], "left_anti")
 
 
-def default_tier(tiers: DataFrame, meters: DataFrame) -> DataFrame:
-    """The first tier with meters, else the first; products without tiers have no row."""
+def default_tier(tiers: DataFrame, meters: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The first tier with meters, else the first. Products without tiers have an empty one if ``products`` names them, else no row."""
     metered = tiers.join(meters.select("product", "tier", F.lit(True).alias("_m")).distinct(), ["product", "tier"], "left")
-    return metered.groupBy("product").agg(F.coalesce(F.min_by(F.when(F.col("_m"), F.col("tier")), F.when(F.col("_m"), F.col("pos"))), F.min_by("tier", "pos")).alias("tier"))
+    found = metered.groupBy("product").agg(F.coalesce(F.min_by(F.when(F.col("_m"), F.col("tier")), F.when(F.col("_m"), F.col("pos"))), F.min_by("tier", "pos")).alias("tier"))
+    return found if products is None else products.select("product").distinct().join(found, "product", "left").withColumn("tier", F.coalesce("tier", F.lit("")))
+
+
+def excluded(selections: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The selections (product, tier) that a combined estimate leaves out: their tier has no total, or isn't there."""
+    return selections.join(estimates.where("total IS NOT NULL").select("product", "tier"), ["product", "tier"], "left_anti").select("product", "tier")
 
 
 def combined(selections: DataFrame, estimates: DataFrame) -> DataFrame:

@@ -123,9 +123,26 @@ def stale_solutions(solutions: DataFrame, states: DataFrame, reviews: DataFrame)
     return keyed.join(states.where("status = 'verified'").select("node"), "node", "left_semi").join(reviews.where("stale").select("node"), "node", "left_semi").drop("node")
 
 
-def report(slots: DataFrame, notes: DataFrame, opened_ids: DataFrame, areas: DataFrame, counts: DataFrame, solutions: DataFrame, stale: DataFrame) -> DataFrame:
+def area_flags(areas: DataFrame, stale: DataFrame) -> DataFrame:
+    """area and whether it is stale, of all areas."""
+    return areas.select("area").distinct().join(stale.select("area").distinct().withColumn("_s", F.lit(True)), "area", "left").select("area", F.col("_s").isNotNull().alias("stale"))
+
+
+def lens_flags(lenses: DataFrame, reviews: DataFrame) -> DataFrame:
+    """id of each lens (a solution) and whether the review of its own node has come, verified or not. reviews: node, stale."""
+    keyed = lenses.select("id", solution_key(F.col("id").cast("string")).alias("node"))
+    return keyed.join(reviews.select("node", "stale"), "node", "left").select("id", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+def stale_total(areas: DataFrame, solutions: DataFrame) -> DataFrame:
+    """One row: how many areas and solutions are due."""
+    return areas.select(F.lit(1).alias("x")).unionByName(solutions.select(F.lit(1).alias("x"))).agg(F.count("*").alias("stale_total"))
+
+
+def report(slots: DataFrame, notes: DataFrame, opened_ids: DataFrame, areas: DataFrame, counts: DataFrame, solutions: DataFrame, stale: DataFrame, exported_at: str | None = None) -> DataFrame:
     """One row, as exported: recall_rate, slot_total, note_read_rate, stale_areas, solution_verified, solution_total,
-    stale_solutions. Rates of nothing are null. slots: slots, verified; notes and opened_ids: id."""
+    stale_solutions, exported_at. Rates of nothing are null. slots: slots, verified; notes and opened_ids: id; solutions: the composed
+    ones (``composed``), which alone can be recalled."""
     read = notes.select("id").join(opened_ids.select("id").distinct().withColumn("_o", F.lit(1)), "id", "left").agg(F.count("_o").alias("read"), F.count("*").alias("notes"))
     listed = lambda rows, key, name: rows.agg(F.array_sort(F.collect_set(F.col(key).cast("string"))).alias(name))
     parts = [read, counts.select("solutions_verified"), solutions.agg(F.count("*").alias("solution_total")), listed(areas, "area", "stale_areas"), listed(stale, "id", "stale_solutions")]
@@ -134,5 +151,5 @@ def report(slots: DataFrame, notes: DataFrame, opened_ids: DataFrame, areas: Dat
         row = row.crossJoin(F.broadcast(part))  # one row each
     return row.select(
         F.try_divide("verified", "slots").alias("recall_rate"), F.col("slots").alias("slot_total"), F.try_divide("read", "notes").alias("note_read_rate"), "stale_areas",
-        F.col("solutions_verified").alias("solution_verified"), "solution_total", "stale_solutions",
+        F.col("solutions_verified").alias("solution_verified"), "solution_total", "stale_solutions", F.lit(exported_at).cast("string").alias("exported_at"),
     )

@@ -240,9 +240,21 @@ _ROBOTS = (
 )
 
 
-@query(_ROBOTS + " SELECT host, grp::INT AS grp, count(*)::INT AS n FROM g WHERE grp > 0 GROUP BY ALL")
+# a robots file per supplier: two groups, the first for one agent or for all by its nation
+_SUPPLIED = _ROBOTS.replace(_ROBOTS[_ROBOTS.index("(VALUES"):_ROBOTS.index("),\n    l AS")], """(SELECT 'h' || s_suppkey, 'User-agent: ' || CASE WHEN s_nationkey < 12 THEN 'cairn' ELSE '*' END || chr(10) || 'User-agent: other' || chr(10) || 'Crawl-delay: ' || s_nationkey || chr(10) || 'Disallow: /' || s_suppkey
+        || CASE WHEN s_nationkey % 3 = 0 THEN chr(10) || 'user-agent: *' || chr(10) || 'crawl-delay: 0.5' || chr(10) || 'allow: /' ELSE '' END FROM supplier""")
+
+
+def _supplied(s, d):
+    n, lf = F.col("s_nationkey").cast("string"), F.lit("\n")
+    more = F.when(F.col("s_nationkey") % 3 == 0, "\nuser-agent: *\ncrawl-delay: 0.5\nallow: /").otherwise("")
+    body = F.concat(F.lit("User-agent: "), F.when(F.col("s_nationkey") < 12, "cairn").otherwise("*"), lf, F.lit("User-agent: other"), lf, F.lit("Crawl-delay: "), n, lf, F.lit("Disallow: /"), F.col("s_suppkey").cast("string"), more)
+    return robots.parse(t(s, d, "supplier").select(F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("host"), body.alias("body")))
+
+
+@query(_SUPPLIED + " SELECT host, grp::INT AS grp, count(*)::INT AS n FROM g WHERE grp > 0 GROUP BY ALL")
 def robots_parse_groups(s, d):
-    return _robots(s).groupBy("host", F.col("group").cast("int").alias("grp")).agg(F.count("*").cast("int").alias("n"))
+    return _supplied(s, d).groupBy("host", F.col("group").cast("int").alias("grp")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query(_ROBOTS + f""", p AS (SELECT page_id, {_HOST} AS host, CASE WHEN starts_with({_PATH}, '/') THEN {_PATH} ELSE '/' || {_PATH} END AS path FROM pages),
@@ -252,9 +264,9 @@ def robots_allowed(s, d):
     return robots.decisions(paths, _robots(s), "cairn").select("page_id", "allowed")
 
 
-@query(_ROBOTS + ", dl AS (SELECT g.host, g.grp, arg_max(value::DOUBLE, pos) AS delay FROM g JOIN o ON o.host = g.host AND o.grp = g.grp WHERE field = 'crawl-delay' GROUP BY ALL) SELECT host, arg_min(delay, grp) AS delay FROM dl GROUP BY 1")
+@query(_SUPPLIED + ", dl AS (SELECT g.host, g.grp, arg_max(value::DOUBLE, pos) AS delay FROM g JOIN o ON o.host = g.host AND o.grp = g.grp WHERE field = 'crawl-delay' GROUP BY ALL) SELECT host, arg_min(delay, grp) AS delay FROM dl GROUP BY 1")
 def robots_crawl_delay(s, d):
-    return robots.crawl_delay(_robots(s), "cairn")
+    return robots.crawl_delay(_supplied(s, d), "cairn")
 
 
 # read models ----------------------------------------------------------------------------------------------------------
@@ -372,9 +384,12 @@ def tier_estimates(s, d):
     return pricing.tier_estimates(_tiers(s, d), _meters(s, d), _usage(s, d)).select("product", "tier", "total")
 
 
-@query(f"WITH {_TIER_ROWS}, m AS (SELECT metric, arg_min(label, (pos, mpos)) AS label, min(pos * 1000 + mpos) AS place FROM me JOIN ti USING (tier) GROUP BY 1) SELECT s_suppkey AS product, metric, label, place FROM supplier, m")
+# suppliers in debt don't name what they meter
+@query(f"WITH {_TIER_ROWS}, m AS (SELECT metric, arg_min(label, (pos, mpos)) AS label, min(pos * 1000 + mpos) AS place FROM me JOIN ti USING (tier) GROUP BY 1) SELECT s_suppkey AS product, metric, CASE WHEN s_acctbal < 0 THEN metric ELSE label END AS label, place FROM supplier, m")
 def usage_metrics_first_seen(s, d):
-    return pricing.usage_metrics(_tiers(s, d), _meters(s, d)).withColumn("place", F.col("place.pos") * 1000 + F.col("place.mpos"))
+    debts = t(s, d, "supplier").select(F.col("s_suppkey").alias("product"), (F.col("s_acctbal") < 0).alias("_debt"))
+    meters = _meters(s, d).join(debts, "product").withColumn("label", F.when(~F.col("_debt"), F.col("label"))).drop("_debt")
+    return pricing.usage_metrics(_tiers(s, d), meters).withColumn("place", F.col("place.pos") * 1000 + F.col("place.mpos"))
 
 
 @query(f"""WITH {_USE}, {_TIER_ROWS}, un AS (SELECT l_suppkey AS product, unnest(['qty', 'lines', 'numbers']) AS metric, unnest([sum(l_quantity), count(*), sum(l_linenumber)]) AS amount FROM lineitem GROUP BY l_suppkey)
@@ -383,9 +398,19 @@ def uncovered_metrics(s, d):
     return pricing.uncovered(_tiers(s, d), _meters(s, d), _usage(s, d))
 
 
-@query(f"WITH {_TIER_ROWS} SELECT s_suppkey AS product, coalesce((SELECT arg_min(tier, pos) FROM ti WHERE tier IN (SELECT tier FROM me)), (SELECT arg_min(tier, pos) FROM ti)) AS tier FROM supplier")
+# suppliers of small accounts have no meters, those in debt no tiers at all
+@query(f"WITH {_TIER_ROWS} SELECT s_suppkey AS product, CASE WHEN s_acctbal < 0 THEN '' WHEN s_acctbal < 1000 THEN (SELECT arg_min(tier, pos) FROM ti) ELSE (SELECT arg_min(tier, pos) FROM ti WHERE tier IN (SELECT tier FROM me)) END AS tier FROM supplier")
 def default_tier(s, d):
-    return pricing.default_tier(_tiers(s, d), _meters(s, d))
+    having = lambda test: t(s, d, "supplier").where(test).select(F.col("s_suppkey").alias("product"))
+    tiers, meters = _tiers(s, d).join(having("s_acctbal >= 0"), "product", "left_semi"), _meters(s, d).join(having("s_acctbal >= 1000"), "product", "left_semi")
+    return pricing.default_tier(tiers, meters, having("true"))
+
+
+@query(_EST.rstrip() + ", x AS (SELECT s_suppkey AS product, CASE s_suppkey % 4 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'nothing' ELSE 'paid' END AS tier FROM supplier) SELECT product, tier FROM x LEFT JOIN e USING (product, tier) WHERE total IS NULL")
+def excluded_products(s, d):
+    chosen = F.when(F.col("product") % 4 == 0, "enterprise").when(F.col("product") % 4 == 1, "nothing").otherwise("paid")
+    selections = t(s, d, "supplier").select(F.col("s_suppkey").alias("product")).withColumn("tier", chosen)
+    return pricing.excluded(selections, pricing.tier_estimates(_tiers(s, d), _meters(s, d), _usage(s, d)))
 
 
 @query(_EST.rstrip() + ", x AS (SELECT s_suppkey AS product, CASE s_suppkey % 4 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'nothing' ELSE 'paid' END AS tier FROM supplier) SELECT coalesce(sum(floor(total * 100 + 0.5)::BIGINT), 0)::DOUBLE / 100 AS total, count(*) FILTER (total IS NULL) AS n_excluded FROM x LEFT JOIN e USING (product, tier)")

@@ -57,7 +57,7 @@ _BOUND = """x AS (SELECT s_suppkey::VARCHAR AS a, s_nationkey::VARCHAR AS b, s_n
 
 
 # cards and lenses -----------------------------------------------------------------------------------------------------
-@query("""WITH q AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand, p_size, p_type, p_retailprice FROM part), pr AS (SELECT s_suppkey::VARCHAR AS a, s_nationkey::VARCHAR AS b FROM supplier WHERE s_nationkey < 5 AND s_suppkey BETWEEN 5 AND 24),
+@query("""WITH q AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand, p_size, p_type, p_retailprice FROM part), pr AS (SELECT s_suppkey::VARCHAR AS a, s_nationkey::VARCHAR AS b FROM supplier WHERE s_nationkey < s_suppkey),
     n AS (SELECT n_nationkey, n_name FROM nation)
     SELECT q.id, q.name, q.p_brand || CASE WHEN p_brand < 'Brand#3' THEN '!' ELSE '' END AS family_name, CASE WHEN p_size > 25 THEN p_type END AS role, CASE WHEN p_size < 10 THEN p_type END AS note, o.oid AS paired_id, o.oname AS paired_name, q.p_retailprice > 915 AS has_pricing,
         concat_ws(',', (SELECT n_name FROM n WHERE n_nationkey = p_size), (SELECT n_name FROM n WHERE n_nationkey = p_size - 1)) AS titles
@@ -67,7 +67,7 @@ def learning_cards(s, d):
     of = lambda rows, *cols: rows.select(_text("p_partkey").alias("id"), *cols)
     families = part.where("p_brand < 'Brand#3'").select(F.col("p_brand").alias("id"), F.concat("p_brand", F.lit("!")).alias("name")).distinct()
     sources = t(s, d, "nation").select(_text("n_nationkey").alias("id"), F.col("n_name").alias("title"))
-    pairs = t(s, d, "supplier").where("s_nationkey < 5 AND s_suppkey BETWEEN 5 AND 24").select(_text("s_suppkey").alias("id"), _text("s_nationkey").alias("paired"))
+    pairs = t(s, d, "supplier").where("s_nationkey < s_suppkey").select(_text("s_suppkey").alias("id"), _text("s_nationkey").alias("paired"))
     cards = learning.cards(_products(s, d), families, sources, of(part.where("p_size > 25"), F.col("p_type").alias("role")), of(part.where("p_size < 10"), F.col("p_type").alias("note")), of(part.where("p_retailprice > 915")), pairs)
     return cards.withColumn("titles", F.array_join("titles", ","))
 
@@ -268,13 +268,13 @@ def toggled_picks(s, d):
 
 
 # progress -------------------------------------------------------------------------------------------------------------
-_PLACE = "pl AS (SELECT DISTINCT l_partkey::VARCHAR AS node, l_returnflag AS area FROM lineitem WHERE l_partkey < 400), ar AS (SELECT area, area <> 'N' AS stale FROM (SELECT DISTINCT l_returnflag AS area FROM lineitem))"
+_PLACE = "pl AS (SELECT DISTINCT l_partkey::VARCHAR AS node, l_returnflag AS area FROM lineitem), ar AS (SELECT area, area <> 'N' AS stale FROM (SELECT DISTINCT l_returnflag AS area FROM lineitem))"
 _STALE = f"""WITH {_STATES}, {_PLACE}, al AS (SELECT node, bool_or(stale) AS stale FROM pl JOIN ar USING (area) GROUP BY 1),
     sn AS (SELECT st.node, status, coalesce(rv.stale, al.stale, false) AS stale, status = 'verified' AND coalesce(rv.stale, al.stale, false) AS refogged FROM st LEFT JOIN rv USING (node) LEFT JOIN al USING (node))"""
 
 
 def _stale(s, d):
-    placements = t(s, d, "lineitem").where("l_partkey < 400").select(_text("l_partkey").alias("node"), F.col("l_returnflag").alias("area")).distinct()
+    placements = t(s, d, "lineitem").select(_text("l_partkey").alias("node"), F.col("l_returnflag").alias("area")).distinct()
     areas = t(s, d, "lineitem").select(F.col("l_returnflag").alias("area")).distinct().withColumn("stale", F.col("area") != "N")
     return progress.stale_nodes(_states(s, d).select("node", "status"), _reviews(s, d), placements, areas), placements
 
@@ -306,10 +306,19 @@ def solution_recall_states(s, d):
     return _solution_states(s, d).withColumn("last", _text("last"))
 
 
-@query(f"WITH {_SOLO} SELECT s_suppkey AS id, s_name AS name FROM supplier JOIN ss ON node = 'solution:' || s_suppkey WHERE status = 'verified' AND last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}'")
+def _composed(s, d):
+    """The solutions that have a composition: those that sold fifty of something in the first line of an order."""
+    sold = t(s, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return t(s, d, "supplier").join(sold, "s_suppkey", "left_semi").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
+_COMPOSED = "s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+
+
+@query(f"WITH {_SOLO} SELECT s_suppkey AS id, s_name AS name FROM supplier JOIN ss ON node = 'solution:' || s_suppkey WHERE {_COMPOSED} AND status = 'verified' AND last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}'")
 def stale_solutions(s, d):
     states = _solution_states(s, d)
-    solutions = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    solutions = _composed(s, d)
     return progress.stale_solutions(solutions, states, progress.due(states.where("last IS NOT NULL"), TODAY))
 
 
@@ -335,16 +344,66 @@ def legacy_area_reviews(s, d):
 @query(_STALE + f""", {_SOLO}, tot AS (SELECT count(*) AS slots, count(*) FILTER (id IN (SELECT node FROM st WHERE status = 'verified')) AS verified FROM (SELECT DISTINCT l_partkey::VARCHAR AS id, l_returnflag, l_linestatus FROM lineitem)),
     op AS (SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE event_type = 'view'), no AS (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_size < 10)
     SELECT verified / slots AS recall_rate, slots AS slot_total, (SELECT count(*) FILTER (id IN (SELECT id FROM op)) / count(*) FROM no) AS note_read_rate, (SELECT string_agg(DISTINCT area, ',' ORDER BY area) FROM pl WHERE node IN (SELECT node FROM sn WHERE refogged)) AS stale_areas,
-        (SELECT count(*) FROM ss WHERE status = 'verified') AS solution_verified, (SELECT count(*) FROM supplier) AS solution_total,
-        (SELECT string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FROM supplier JOIN ss ON node = 'solution:' || s_suppkey WHERE status = 'verified' AND last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}') AS stale_solutions FROM tot""")
+        (SELECT count(*) FROM ss WHERE status = 'verified') AS solution_verified, (SELECT count(*) FROM supplier WHERE {_COMPOSED}) AS solution_total,
+        (SELECT string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FROM supplier JOIN ss ON node = 'solution:' || s_suppkey WHERE {_COMPOSED} AND status = 'verified' AND last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}') AS stale_solutions, '2024-01-31T09:00:00.000Z' AS exported_at FROM tot""")
 def progress_report(s, d):
     notes = t(s, d, "part").where("p_size < 10").select(_text("p_partkey").alias("id"))
     counts = progress.progress_counts(_solution_states(s, d).select("node", "status"))
-    solutions = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    row = progress.report(learning.verified_slots(_placements(s, d), _states(s, d)), notes, opened_cards(s, d).select(F.col("node").alias("id")), stale_areas(s, d), counts, solutions, stale_solutions(s, d))
+    solutions = _composed(s, d)
+    row = progress.report(learning.verified_slots(_placements(s, d), _states(s, d)), notes, opened_cards(s, d).select(F.col("node").alias("id")), stale_areas(s, d), counts, solutions, stale_solutions(s, d), "2024-01-31T09:00:00.000Z")
     return row.withColumn("stale_areas", F.array_join("stale_areas", ",")).withColumn("stale_solutions", F.array_join("stale_solutions", ","))
 
 
+@query(_STALE + " SELECT DISTINCT l_returnflag AS area, l_returnflag IN (SELECT area FROM pl WHERE node IN (SELECT node FROM sn WHERE refogged)) AS stale FROM lineitem")
+def area_stale_flags(s, d):
+    return progress.area_flags(t(s, d, "lineitem").select(F.col("l_returnflag").alias("area")), stale_areas(s, d))
+
+
+@query(f"WITH {_SOLO} SELECT s_suppkey AS id, coalesce(last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}', false) AS stale FROM supplier LEFT JOIN ss ON node = 'solution:' || s_suppkey")
+def lens_stale_flags(s, d):
+    return progress.lens_flags(t(s, d, "supplier").select(F.col("s_suppkey").alias("id")), progress.due(_solution_states(s, d).where("last IS NOT NULL"), TODAY))
+
+
+@query(_STALE + f""", {_SOLO} SELECT (SELECT count(DISTINCT area) FROM pl WHERE node IN (SELECT node FROM sn WHERE refogged))
+    + (SELECT count(*) FROM supplier JOIN ss ON node = 'solution:' || s_suppkey WHERE {_COMPOSED} AND status = 'verified' AND last + [1, 4, 14][least(greatest(streak, 1), 3)]::INT <= DATE '{TODAY}') AS stale_total""")
+def stale_total(s, d):
+    return progress.stale_total(stale_areas(s, d), stale_solutions(s, d))
+
+
+# a session a user and day: practice on odd days, of a solution for every fourth user; an event of value 20 or more is a right answer
+_SESSIONS = "x AS (SELECT event_id, user_id, ts::DATE AS day, CASE WHEN day(ts) % 2 = 1 THEN 'practice' ELSE 'verify' END AS kind, value >= 20 AS ok FROM events)"
+
+
+def _answered(s, d):
+    return t(s, d, "events").select("event_id", "user_id", F.to_date("ts").alias("date"), F.when(F.dayofmonth("ts") % 2 == 1, "practice").otherwise("verify").alias("kind"), (F.col("value") >= 20).alias("correct"))
+
+
+@query(f"""WITH {_SESSIONS}, e AS (SELECT user_id::VARCHAR AS node, event_id, kind = 'verify' AND ok AS hit, kind = 'verify' AND NOT ok AS miss, kind = 'practice' AND ok AS ph FROM x), m AS (SELECT *, max(CASE WHEN miss THEN event_id END) OVER (PARTITION BY node) AS m FROM e)
+    SELECT node, ['absent', 'visited', 'marked', 'verified'][max(CASE WHEN hit THEN CASE WHEN m IS NULL OR event_id > m THEN 3 ELSE 1 END WHEN ph THEN CASE WHEN m IS NULL OR event_id > m THEN 2 ELSE 1 END ELSE 0 END) + 1] AS status, count(*) FILTER (hit AND (m IS NULL OR event_id > m)) AS streak FROM m GROUP BY 1""")
+def recalled_states(s, d):
+    """Node states after practice and verify sessions, by each placement's answer."""
+    events = progress.recall_events(_answered(s, d).withColumnRenamed("event_id", "ord").withColumn("node", _text("user_id")))
+    return progress.node_states(events, ["node"], ["ord"])
+
+
+@query(f"""WITH {_SESSIONS} SELECT min(event_id) AS ord, strftime(day, '%Y-%m-%d') AS date, CASE WHEN user_id % 4 = 0 THEN 'solution:' || user_id ELSE 'area-' || user_id END AS area, kind, count(*) FILTER (ok) AS correct, count(*) AS total FROM x GROUP BY user_id, day, kind""")
+def recall_log_entries(s, d):
+    """The log entry that each session leaves: a solution's under the solution's key."""
+    sessions = _answered(s, d).groupBy("user_id", "date", "kind").agg(F.min("event_id").alias("ord"), F.count_if("correct").alias("correct"), F.count("*").alias("total"))
+    sessions = sessions.select("ord", _text("date"), F.concat(F.lit("area-"), _text("user_id")).alias("area"), F.when(F.col("user_id") % 4 == 0, F.col("user_id")).alias("solution"), "kind", "correct", "total")
+    return progress.recall_log(sessions)
+
+
+@query("""WITH q AS (SELECT event_id AS query, lower(substr(p_name, 1, (3 + event_id % 4)::INT)) AS text FROM events JOIN part ON p_partkey = user_id), w AS (SELECT p_partkey AS id, p_name AS name, list_concat(regexp_split_to_array(lower(p_name), '[\\s/-]+'), [p_partkey::VARCHAR]) AS ws FROM part),
+        f AS (SELECT text, id, name, row_number() OVER (PARTITION BY text ORDER BY lower(name), id) AS place FROM (SELECT DISTINCT text FROM q) JOIN w ON len(list_filter(ws, lambda x: starts_with(x, trim(text)))) > 0 QUALIFY place <= 8)
+    SELECT query, place, id, name FROM q JOIN f USING (text)""")
+def searched_products(s, d):
+    """A search per event, for the first letters of a part's name."""
+    products = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    asked = t(s, d, "events").join(products, F.col("user_id") == F.col("id")).select(F.col("event_id").alias("query"), F.expr("substring(name, 1, cast(3 + event_id % 4 as int))").alias("text"))
+    return recall.suggest_all(recall.search_index(products), products, asked).withColumn("place", F.col("place").cast("long"))
+
+
 def _records(s, d) -> DataFrame:
     """Record texts, sound and broken in turn, by the event's type."""
     e, node = t(s, d, "events"), _text("user_id")
@@ -529,10 +588,10 @@ def calculator_rows(s, d):
     return learning.calculator_rows(_products(s, d), pricing_rows, part.where("p_size > 25").select(_text("p_partkey").alias("id")), usage)
 
 
-@query("SELECT doc_id, nullif(rtrim(substr(trim(regexp_replace(strip_accents(lower(substr(text, 1, 90))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64), '-'), '') AS slug FROM documents")
+@query("SELECT doc_id, nullif(rtrim(substr(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64), '-'), '') AS slug FROM documents")
 def slugs(s, d):
-    """Slugs of the beginnings of texts, accents and all: a slug has 64 characters at most."""
-    return t(s, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 90)).alias("slug"))
+    """Slugs of whole texts, accents and all: a slug has 64 characters at most, wherever they begin."""
+    return t(s, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS ord, s_nationkey AS n FROM supplier), p AS (SELECT p_partkey AS ord, p_size AS n FROM part)
