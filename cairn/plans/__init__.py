@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cairn.plans import catalog_queries, crawl_queries, document_queries, learning_queries, registry, stream_queries  # noqa: F401
+    from cairn.plans import catalog_queries, crawl_queries, document_queries, learning_queries, registry, sql_queries, stream_queries  # noqa: F401
 
     return dict(registry.QUERIES)
 

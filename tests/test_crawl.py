@@ -187,3 +187,19 @@ def test_search_equals_each_suggestion(spark):
     got = recall.suggest_all(recall.search_index(products), products, spark.createDataFrame([(k, x) for k, x in enumerate(texts * 2)], "query int, text string")).collect()
     for k, x in enumerate(texts * 2):
         assert [r.id for r in sorted((r for r in got if r.query == k), key=lambda r: r.place)] == [r.id for r in recall.suggest(products, x).collect()], x
+
+
+def test_sql_alone(spark, sf):
+    from cairn.operators import recall
+    from cairn.plans import learning_queries, sql_queries
+
+    sql_queries._installed(spark, sf)
+    row = spark.sql("SELECT collapse_ws(' a \n b ') AS t, round_cents(1.005) AS c, is_success(4, 5) AS s, is_success(0, 0) AS z, review_due(DATE '2024-01-01', 9) AS d").first()
+    assert (row.t, row.s, row.z, str(row.d)) == ("a b", True, False, "2024-01-15")
+    name = spark.sql("SELECT name FROM products ORDER BY id").first().name
+    for text in (name[:4], name.lower(), "7", "", "zzz"):
+        want = recall.suggest(learning_queries._products(spark, sf), text).select("id", "name").collect()
+        assert spark.sql("SELECT * FROM suggest(:q)", args={"q": text}).collect() == want
+    assert spark.sql("SELECT count(*) AS n FROM shared_products('1', '2')").first().n == spark.sql("SELECT count(DISTINCT a.id) AS n FROM members a JOIN members b ON a.id = b.id WHERE a.solution = '1' AND b.solution = '2'").first().n
+    assert spark.sql("SELECT * FROM solutions_with('1')").count() == spark.sql("SELECT DISTINCT solution FROM members WHERE id = '1'").count()
+    assert spark.table("tier_estimates").count() and spark.table("default_tiers").count() and spark.table("opened_cards").count() and spark.table("solution_boundaries").count() and spark.table("map_members").count()
