@@ -7,6 +7,7 @@ go on with problems passes them to ``require``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,22 +93,82 @@ def relationships(edges: DataFrame, ids: dict[str, DataFrame]) -> tuple[DataFram
     return out, _problem(lost, F.concat_ws(" ", "type", "fromId", "toId"), F.concat(F.lit("unknown "), "collection", F.lit(" id "), "id"))
 
 
+def _weighed(claims: Claims) -> Callable[[DataFrame], DataFrame]:
+    """Adds the precedence and url of the source to rows of claims."""
+    sources = claims.sources.select(F.col("id").alias("source"), "precedence", "url")
+    return lambda rows: rows.join(sources, "source")
+
+
+def _products(claims: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows, problems = entities(claims, "key", ["name", "summary", "family_id"], "product", optional=("summary",))
+    return enriched(rows, docs).select("id", "name", F.coalesce("summary", _template(PRODUCT_SUMMARY, "name")).alias("summary"), F.col("family_id").alias("familyId"), "sourceIds"), problems
+
+
+def _sources(claims: Claims) -> tuple[DataFrame, DataFrame]:
+    twice = claims.sources.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("url")), " and ").alias("urls")).where("n > 1")
+    rows = claims.sources.select("id", "url", F.col("page_kind").alias("pageKind"), "title", F.col("retrieved_at").alias("retrievedAt"))
+    return rows, _problem(twice, F.concat(F.lit("source "), "id"), F.concat(F.lit("claimed by "), "urls"))
+
+
 def assembled(claims: Claims) -> tuple[dict[str, DataFrame], DataFrame]:
     """The collections of a catalog, and all problems of normalizing and assembling it."""
-    weighed = claims.sources.select(F.col("id").alias("source"), "precedence", "url")
-    tagged = lambda rows: rows.join(weighed, "source")
-    twice = claims.sources.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("url")), " and ").alias("urls")).where("n > 1")
+    tagged = _weighed(claims)
+    sources, p0 = _sources(claims)
     fams, p1 = families(claims.families)
-    products, p2 = entities(tagged(claims.products), "key", ["name", "summary", "family_id"], "product", optional=("summary",))
-    products = enriched(products, claims.docs).select("id", "name", F.coalesce("summary", _template(PRODUCT_SUMMARY, "name")).alias("summary"), F.col("family_id").alias("familyId"), "sourceIds")
+    products, p2 = _products(tagged(claims.products), claims.docs)
     solutions, p3 = entities(tagged(claims.solutions), "key", ["name", "summary"], "solution")
     use_cases, p4 = entities(tagged(claims.use_cases), "id", ["name", "summary"], "use case")
     edges, p5 = relationships(claims.edges, {"products": products, "solutions": solutions, "useCases": use_cases})
-    problems = [_problem(twice, F.concat(F.lit("source "), "id"), F.concat(F.lit("claimed by "), "urls")), p1, p2, p3, p4, p5, _problem(claims.problems, F.col("url"), F.col("message"))]
-    sources = claims.sources.select("id", "url", F.col("page_kind").alias("pageKind"), "title", F.col("retrieved_at").alias("retrievedAt"))
+    problems = [p0, p1, p2, p3, p4, p5, _problem(claims.problems, F.col("url"), F.col("message"))]
     return {"sources": sources, "productFamilies": fams, "products": products, "solutions": solutions, "useCases": use_cases, "relationships": edges}, reduce(DataFrame.unionByName, problems)
 
 
+def _changed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys whose rows are not the same bag as before, by digests that are summed up by key."""
+    digest = lambda rows, name: rows.groupBy(*keys).agg(F.struct(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(20, 0)")), F.count("*")).alias(name))
+    both = digest(before, "_b").join(digest(after, "_a"), keys, "full")
+    return written(both.where(~F.col("_b").eqNullSafe(F.col("_a"))).select(*keys))
+
+
+def refreshed(before: Claims, catalog: dict[str, DataFrame], after: Claims) -> tuple[dict[str, DataFrame], DataFrame, dict[str, DataFrame]]:
+    """The catalog of ``after``, its problems, and the keys that were assembled anew for each collection. ``catalog`` is the sound one of
+    ``before``. Claims of both are summed up by key; only those of keys whose claims changed are assembled, and take the place of
+    what was there. An edge is looked at again if it changed or if an end of it did."""
+    was, now = _weighed(before), _weighed(after)
+
+    def spliced(name: str, gone: DataFrame, part: DataFrame) -> DataFrame:
+        return catalog[name].join(gone.select("id").distinct(), "id", "left_anti").unionByName(part)
+
+    sources, p0 = _sources(after)
+    fams = _changed(before.families, after.families, ["id"])
+    part, p1 = families(after.families.join(fams, "id", "left_semi"))
+    out = {"sources": sources, "productFamilies": spliced("productFamilies", fams, part)}
+    old, new = was(before.products), now(after.products)
+    slugs = _changed(before.docs.where("slug IS NOT NULL"), after.docs.where("slug IS NOT NULL"), ["slug"]).select(F.col("slug").alias("id"))
+    keys = written(_changed(old, new, ["key"]).union(new.join(slugs, "id", "left_semi").select("key")).distinct())
+    part, p2 = _products(new.join(keys, "key", "left_semi"), after.docs)
+    gone = written(old.join(keys, "key", "left_semi").select("id").union(new.join(keys, "key", "left_semi").select("id")).distinct())
+    out["products"] = spliced("products", gone, part)
+    touched, lost, problems = {"productFamilies": fams, "products": keys}, [gone], [p0, p1, p2]
+    for name, one, two, key, kind in (("solutions", was(before.solutions), now(after.solutions), "key", "solution"), ("useCases", was(before.use_cases), now(after.use_cases), "id", "use case")):
+        keys = _changed(one, two, [key])
+        part, found = entities(two.join(keys, key, "left_semi"), key, ["name", "summary"], kind)
+        gone = written(one.join(keys, key, "left_semi").select("id").union(two.join(keys, key, "left_semi").select("id")).distinct())
+        out[name], touched[name] = spliced(name, gone, part), keys
+        lost.append(gone)
+        problems.append(found)
+    ends = reduce(DataFrame.union, lost).distinct()
+    edge = ["type", "from_id", "to_id"]
+    keys = _changed(before.edges, after.edges, edge)
+    near = reduce(DataFrame.union, (after.edges.join(ends.withColumnRenamed("id", end), end, "left_semi").select(*edge) for end in edge[1:]))
+    again = written(after.edges.join(keys.union(near).distinct(), edge, "left_semi"))
+    part, found = relationships(again, {name: out[name] for name in ("products", "solutions", "useCases")})
+    redone = keys.union(again.select(*edge)).distinct().toDF("type", "fromId", "toId")
+    out["relationships"] = catalog["relationships"].join(redone, ["type", "fromId", "toId"], "left_anti").unionByName(part)
+    touched["relationships"] = redone
+    return out, reduce(DataFrame.unionByName, [*problems, found, _problem(after.problems, F.col("url"), F.col("message"))]), touched
+
+
 def in_order(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The collections with ``ord``, their place in the document: by id, edges by type and ends."""
     return {c: placed(rows, ["type", "fromId", "toId"] if c == "relationships" else ["id"]) for c, rows in catalog.items()}
