@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import crawl
+from cairn.operators import assemble, crawl
+from cairn.operators.claims import Claims
 from cairn.plans.document_queries import DOCS, SITE, _id
 from cairn.plans.registry import query, t
 from cairn.sources import page_parsers
@@ -56,3 +57,44 @@ def crawl_failures(s, d) -> DataFrame:
     UNION ALL SELECT 'parsed', (SELECT count(*) FROM ok) UNION ALL SELECT 'sources', (SELECT count(*) FROM ok) UNION ALL SELECT 'products', 0 UNION ALL SELECT 'productFamilies', 0 UNION ALL SELECT 'solutions', (SELECT count(*) FROM ok) UNION ALL SELECT 'useCases', (SELECT count(DISTINCT nation) FROM ok WHERE n <> 5) UNION ALL SELECT 'relationships', (SELECT count(*) FROM ok WHERE n <> 5)""")
 def crawl_counts(s, d) -> DataFrame:
     return s.createDataFrame(sorted(_run(s, d).counts.items()), "name string, n long")
+
+
+# a page a part, whose summaries changed where parts have size 7, and a page a supplier
+def _stated(s, d, changed: bool) -> Claims:
+    part, sup = t(s, d, "part"), t(s, d, "supplier")
+    text = lambda x: (F.lit(x) if x is None else x).cast("string")
+    source = lambda rows, key, url, kind, weight: rows.select(_id(f"{kind}-", key).alias("id"), _id(url, key).alias("url"), F.lit(kind).alias("page_kind"), F.lit("t").alias("title"), F.lit("r").alias("retrieved_at"), F.lit(weight).alias("precedence"))
+    summary = F.when((F.col("p_size") == 7) & F.lit(changed), F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type"))
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    of = F.col("source")
+    part, sup = part.withColumn("source", _id("product-", "p_partkey")), sup.withColumn("source", _id("solution-", "s_suppkey"))
+    none = part.where("false")
+    size = F.concat(F.lit("size-"), F.col("p_size").cast("string"))
+    return Claims(
+        source(part, "p_partkey", "/p/", "product", 1).unionByName(source(sup, "s_suppkey", "/s/", "solution", 1)), part.select(of, brand.alias("id"), F.col("p_brand").alias("name")),
+        part.select(of, _id("/p/", "p_partkey").alias("key"), _id("part-", "p_partkey").alias("id"), F.col("p_name").alias("name"), summary.alias("summary"), brand.alias("family_id")),
+        sup.select(of, _id("/s/", "s_suppkey").alias("key"), _id("s-", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_name").alias("summary")),
+        part.select(of, size.alias("id"), size.alias("name"), size.alias("summary")), part.select(of, F.lit("product-use-case").alias("type"), _id("part-", "p_partkey").alias("from_id"), size.alias("to_id")),
+        none.select(of, text(None).alias("slug")), none.select(of, text(None).alias("url"), text(None).alias("message")),
+    )
+
+
+def _refreshed(s, d):
+    before = _stated(s, d, False)
+    return assemble.refreshed(before, assemble.assembled(before)[0], _stated(s, d, True))
+
+
+@query("SELECT 'part-' || p_partkey AS id, p_name AS name, CASE WHEN p_size = 7 THEN p_type || '!' ELSE p_type END AS summary, lower(replace(p_brand, '#', '-')) AS family, 'product-' || p_partkey AS sources FROM part")
+def refreshed_products(s, d) -> DataFrame:
+    return _refreshed(s, d)[0]["products"].select("id", "name", "summary", F.col("familyId").alias("family"), F.array_join("sourceIds", ",").alias("sources"))
+
+
+@query("SELECT 'products' AS collection, '/p/' || p_partkey AS key FROM part WHERE p_size = 7 UNION ALL SELECT 'relationships', 'product-use-case part-' || p_partkey || ' size-7' FROM part WHERE p_size = 7")
+def refreshed_keys(s, d) -> DataFrame:
+    """What was assembled anew: the parts of size 7 and the edges that lead from them."""
+    touched = _refreshed(s, d)[2]
+    parts = [rows.select(F.lit(c).alias("collection"), F.concat_ws(" ", *rows.columns).alias("key")) for c, rows in touched.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
