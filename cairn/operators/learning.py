@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.dimensions import solution_key
+from cairn.operators.member_sets import Sets, both_ways
 from cairn.operators.readmodels import mirrored_boundaries
 
 UNVISITED = "unvisited"
@@ -45,21 +46,27 @@ def cards(products: DataFrame, families: DataFrame, sources: DataFrame, roles: D
 def shared_products(pairs: DataFrame, members: DataFrame, products: DataFrame) -> DataFrame:
     """a, b and ``shared``: the products that both solutions have, as chips in display order; a product that the catalog
     lacks is named by its id."""
-    named = members.distinct().join(products.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", F.col("id").cast("string")))
-    one = pairs.select("a", "b").join(named.withColumnRenamed("solution", "a"), "a")
-    both = one.join(members.distinct().select(F.col("solution").alias("b"), "id"), ["b", "id"])
-    return chips(both, ["a", "b"]).withColumnRenamed("chips", "shared")
+    both = Sets(members).ids(pairs)
+    named = both.join(products.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", F.col("id").cast("string")))
+    return both_ways(pairs, chips(named, ["a", "b"]).withColumnRenamed("chips", "shared"))
 
 
-def solution_cards(solutions: DataFrame, notes: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """A card per solution (id, name, summary): note, ``products`` and ``boundaries``: neighbours with name, note (its own
-    before a mirrored one) and what both have."""
-    bounds = mirrored_boundaries(boundaries).where("a <> b")
+def card_boundaries(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """solution, neighbour, neighbour_name (its id where unknown), note (the solution's own before a mirrored one) and ``shared``: a row
+    per neighbour of either direction, so a solution may have any number of them."""
+    bounds = mirrored_boundaries(boundaries).where("a <> b").join(solutions.select(F.col("id").alias("a")), "a", "left_semi")
     names = solutions.select(F.col("id").alias("b"), F.col("name").alias("_name"))
     rows = bounds.join(names, "b", "left").join(shared_products(bounds, members, products), ["a", "b"], "left")
     shared = F.coalesce("shared", F.array().cast(dict(rows.dtypes)["shared"]))
-    entry = F.struct(F.col("b").alias("id"), F.coalesce("_name", F.col("b").cast("string")).alias("name"), F.col("note"), shared.alias("shared"))
-    bound = rows.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("boundaries"))
+    return rows.select(F.col("a").alias("solution"), F.col("b").alias("neighbour"), F.coalesce("_name", F.col("b").cast("string")).alias("neighbour_name"), "note", shared.alias("shared"))
+
+
+def solution_cards(solutions: DataFrame, notes: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """A card per solution (id, name, summary): note, ``products`` and ``boundaries``: neighbours with name, note and what both
+    have, in one cell, as a card shows them. ``card_boundaries`` has them as rows."""
+    entry = F.struct(F.col("neighbour").alias("id"), F.col("neighbour_name").alias("name"), "note", "shared")
+    rows = card_boundaries(solutions, members, products, boundaries)
+    bound = rows.groupBy(F.col("solution").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("boundaries"))
     named = members.distinct().join(products.select("id", "name"), "id", "left").select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
     own = chips(named, ["solution"]).select(F.col("solution").alias("id"), F.col("chips").alias("products"))
     return solutions.join(notes.select("id", "note"), "id", "left").join(own, "id", "left").join(bound, "id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.sources.shared import written
 
 
-def placed(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
+def placed(rows: DataFrame, order: list, name: str = "ord") -> DataFrame:
     """rows with their place from 0. Rows are dealt by ranges of the order; a place is the number of rows in the ranges
     before, from counts, plus the row's number in its own. Rows that tie in the whole order get places in any order."""
     n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.member_sets import Sets
 from cairn.operators.places import placed_within
 from cairn.sources.shared import written
 
@@ -117,10 +118,8 @@ def mirrored_boundaries(boundaries: DataFrame) -> DataFrame:
 
 def boundary_overlap(boundaries: DataFrame, members: DataFrame) -> DataFrame:
     """Mirrored boundaries with the number of products that both solutions have; none are dropped."""
-    pairs = members.select("solution", "id").distinct()
     sides = mirrored_boundaries(boundaries)
-    one = sides.join(pairs.withColumnRenamed("solution", "a"), "a")
-    both = one.join(pairs.select(F.col("solution").alias("b"), "id"), ["b", "id"]).groupBy("a", "b").agg(F.count("*").alias("n_common"))
+    both = Sets(members).counts(sides)
     return sides.join(both, ["a", "b"], "left").withColumn("n_common", F.coalesce("n_common", F.lit(0)))
 
 

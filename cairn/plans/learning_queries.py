@@ -77,9 +77,8 @@ def learning_cards(s, d):
     LEFT JOIN (SELECT s_suppkey::VARCHAR AS k, s_name FROM supplier) n ON n.k = bd.b LEFT JOIN sh ON sh.a = bd.a AND sh.b = bd.b""")
 def solution_card_boundaries(s, d):
     products = t(s, d, "part").where("p_size > 5").select(_text("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    cards = learning.solution_cards(_solutions(s, d), _solutions(s, d).select("id", F.col("name").alias("note")), _members(s, d), products, _bounds(s, d))
-    rows = cards.select(F.col("id").alias("solution"), F.explode("boundaries").alias("b"))
-    return rows.select("solution", F.col("b.id").alias("neighbour"), F.col("b.name").alias("neighbour_name"), F.col("b.note").alias("note"), F.md5(F.array_join(F.transform("b.shared", lambda c: c["name"]), ",")).alias("shared_md5"))
+    rows = learning.card_boundaries(_solutions(s, d), _members(s, d), products, _bounds(s, d))
+    return rows.select("solution", "neighbour", "neighbour_name", "note", F.md5(F.array_join(F.transform("shared", lambda c: c["name"]), ",")).alias("shared_md5"))
 
 
 @query(f"WITH {_MEM} SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_name AS note, count(named.id) AS n_products, md5(coalesce(string_agg(named.name, ',' ORDER BY lower(named.name), named.id), '')) AS products_md5 FROM supplier LEFT JOIN named ON s = s_suppkey::VARCHAR GROUP BY ALL")
