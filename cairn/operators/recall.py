@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.operators.learning import shared_products
 from cairn.operators.places import first_within
@@ -106,19 +107,51 @@ def boundary_effect(correct: str = "n_correct", total: str = "n_answers", wrong:
     return F.when((F.col(wrong) > 0) | (F.col(correct) < F.col(total)), "demote").otherwise("none")
 
 
-def picks(toggles: DataFrame, answers: DataFrame) -> DataFrame:
-    """area, id: what is picked after the toggles (area, seq, id) in order, with no more picks at a time than the area has
-    answers. A toggle removes a pick that is there; else it adds one while there is room. A session's toggles are one
-    learner's clicks; the fold over them is an aggregation of the sorted list."""
-    room = answers.groupBy("area").agg(F.count_distinct("id").cast("int").alias("room"))
-    empty = F.array().cast(f"array<{dict(toggles.dtypes)['id']}>")
-    ordered = toggles.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("t")).join(room, "area")
-
-    def step(acc: Column, x: Column) -> Column:
-        removed = F.array_remove(acc, x["id"])
-        return F.when(F.array_contains(acc, x["id"]), removed).when(F.size(acc) < F.col("room"), F.array_append(acc, x["id"])).otherwise(acc)
-
-    return ordered.select("area", F.explode(F.aggregate("t", empty, step)).alias("id"))
+def picks(toggles: DataFrame, answers: DataFrame, session: tuple[str, ...] = ("area",)) -> DataFrame:
+    """*session, id: what is picked in each session after its toggles (*session, seq, id) in order of seq, then id. A toggle removes a
+    pick that is there; else it adds one while there are fewer picks than its area has answers (area, id). Areas without answers
+    have no picks, and a null id is none.
+
+    A session that toggles no more ids than there is room for never runs out of it: there an id is picked if it was toggled an odd
+    number of times, by counts alone. Only sessions with more ids are folded in order, each as a stream of sorted rows in one task
+    that holds no more than the picks of the moment."""
+    keys = list(session)
+    room = answers.groupBy("area").agg(F.count_distinct("id").cast("int").alias("_room"))
+    clicks = toggles.where("id IS NOT NULL").join(room, "area").select(*keys, "seq", "id", "_room")
+    times = written(clicks.groupBy(*keys, "id", "_room").agg(F.count("*").alias("_n")))
+    full = written(times.groupBy(*keys, "_room").agg(F.count("*").alias("_ids")).where("_ids > _room"))
+    same = lambda one: reduce(lambda x, y: x & y, (one[k].eqNullSafe(full[k]) for k in keys))
+    free = times.join(full, same(times), "left_anti").where("_n % 2 = 1").select(*keys, "id")
+    rows = clicks.join(full, same(clicks), "left_semi")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "id").select(*keys, "id", "_room")
+    return free.unionByName(ordered.mapInArrow(_folded(free.schema), free.schema))
+
+
+def _folded(schema: StructType):
+    """The fold over batches of rows (*session, id, room) that are sorted by session."""
+
+    def fold(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields, now, held = to_arrow_schema(schema), None, {}
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+        for batch in batches:
+            done = []
+            for *key, x, room in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if key != now:
+                    done += [(*now, one) for one in held]
+                    now, held = key, {}
+                if x in held:
+                    del held[x]
+                elif len(held) < room:
+                    held[x] = True
+            if done:
+                yield made(done)
+        if held:
+            yield made([(*now, one) for one in held])
+
+    return fold
 
 
 def entered_chips(entered: DataFrame, products: DataFrame) -> DataFrame:

@@ -258,12 +258,24 @@ def entered_chips(s, d):
     return recall.entered_chips(_sessions(s, d)[1], products)
 
 
-# each area has more answers than ids are clicked, so what was clicked an odd number of times is picked
-@query("SELECT event_type AS area, user_id AS id FROM events WHERE user_id < 100 GROUP BY 1, 2 HAVING count(*) & 1 = 1")
+# each area has as many answers as ids are clicked, so what was clicked an odd number of times is picked
+@query("SELECT event_type AS area, user_id AS id FROM events GROUP BY 1, 2 HAVING count(*) & 1 = 1")
 def toggled_picks(s, d):
     e = t(s, d, "events")
-    toggles = e.where("user_id < 100").select(F.col("event_type").alias("area"), F.col("event_id").alias("seq"), F.col("user_id").alias("id"))
-    return recall.picks(toggles, e.select(F.col("event_type").alias("area"), "user_id").distinct().select("area", F.col("user_id").alias("id")))
+    toggles = e.select(F.col("event_type").alias("area"), F.col("event_id").alias("seq"), F.col("user_id").alias("id"))
+    return recall.picks(toggles, toggles.select("area", "id"))
+
+
+# a session is a learner's in an area, with room for three of seven ids; in the SQL what is held is a number's bits
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS learner, event_type AS area, event_id % 7 AS id, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY event_id) AS k FROM events),
+    room AS (SELECT event_type AS area, count(DISTINCT event_id % 3) AS room FROM events GROUP BY 1),
+    f AS (SELECT DISTINCT learner, area, 0::BIGINT AS k, 0::BIGINT AS held FROM e
+        UNION ALL SELECT f.learner, f.area, e.k, CASE WHEN held & (1::BIGINT << id) <> 0 OR bit_count(held) < room THEN xor(held, 1::BIGINT << id) ELSE held END FROM f JOIN e ON e.learner = f.learner AND e.area = f.area AND e.k = f.k + 1 JOIN room ON room.area = f.area),
+    l AS (SELECT learner, area, arg_max(held, k) AS held FROM f GROUP BY 1, 2) SELECT learner, area, id FROM l JOIN range(7) ids(id) ON held & (1::BIGINT << id) <> 0""")
+def capped_picks(s, d):
+    e = t(s, d, "events")
+    toggles = e.select((F.col("user_id") % 20).alias("learner"), F.col("event_type").alias("area"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("id"))
+    return recall.picks(toggles, e.select(F.col("event_type").alias("area"), (F.col("event_id") % 3).alias("id")), ("learner", "area"))
 
 
 # progress -------------------------------------------------------------------------------------------------------------

@@ -85,6 +85,22 @@ def test_picks(spark):
     answers = spark.createDataFrame([("x", "a"), ("x", "b")], "area string, id string")
     toggles = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("x", 3, "r"), ("x", 4, "p"), ("x", 5, "r"), ("x", 6, "s")], "area string, seq int, id string")
     assert sorted(r.id for r in recall.picks(toggles, answers).collect()) == ["q", "r"]
+    rng, want, rows = random.Random(5), {}, []
+    for n in range(400):
+        key, i = (rng.choice(("u", "v", None, "w")), rng.choice(("x", "y", "none"))), rng.choice((*"abcdef", None))
+        i = "a" if key[0] == "w" and i else i  # no more ids than there is room for
+        rows.append((*key, n, i))
+        held, room = want.setdefault(key, set()), {"x": 2, "y": 3, "none": 0}[key[1]]
+        if i in held:
+            held.remove(i)
+        elif i and len(held) < room:
+            held.add(i)
+    rng.shuffle(rows)
+    toggles = spark.createDataFrame(rows, "learner string, area string, seq int, id string").withColumn("room", F.lit(1))
+    answers = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "b"), ("y", "a"), ("y", "b"), ("y", "c")], "area string, id string")
+    got = [tuple(r) for r in recall.picks(toggles, answers, ("learner", "area")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*k, i) for k, ids in want.items() for i in ids}
+    assert not recall.picks(toggles.limit(0), answers, ("learner", "area")).count()
 
 
 def test_configuration(spark, tmp_path):
