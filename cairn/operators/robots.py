@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import url_host
 
+#: Letters of a rule that a path is searched for.
+GRAM = 3
 DELAY = r"^\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -45,13 +47,21 @@ def decisions(paths: DataFrame, parsed: DataFrame, agent: str) -> DataFrame:
     """paths (host, path) with ``allowed``: the longest matching pattern decides, allow wins ties, no match allows.
 
     A rule is found by what it has before its first wildcard: a path is cut to each length that such a beginning has on its host,
-    and cuts and beginnings meet by equality. Only rules with a wildcard or an end mark are then matched as patterns. So a path meets
-    the rules whose beginning it has, not all those of its host."""
+    and cuts and beginnings meet by equality. Where the beginning is shorter than ``GRAM`` letters and the rule has a longer run without
+    wildcards, it is found by the last letters of its longest run instead: these must stand somewhere in the path. Only rules with a
+    wildcard or an end mark are then matched as patterns. So a path meets the rules whose beginning or letters it has, not all those of its
+    host; rules with less than ``GRAM`` letters in a row are few of a kind, and meet all paths that begin like them."""
     asked = paths.select("host", "path").distinct().withColumn("_p", F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
-    found = rules(parsed, agent).distinct().withColumn("_begins", F.regexp_extract("pattern", r"\A([^*$]*)", 1))
-    lengths = found.groupBy("host").agg(F.collect_set(F.length("_begins")).alias("_lengths"))  # as many as a path is long, at most
+    longest = F.array_max(F.transform(F.split("pattern", r"[*$]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    found = rules(parsed, agent).distinct().withColumn("_begins", F.regexp_extract("pattern", r"\A([^*$]*)", 1)).withColumn("_run", longest)
+    found = found.withColumn("_gram", F.when((F.length("_begins") < GRAM) & (F.col("_run.n") >= GRAM), F.right("_run.run", F.lit(GRAM)))).drop("_run")
+    led, held = found.where("_gram IS NULL").drop("_gram"), found.where("_gram IS NOT NULL").drop("_begins")
+    lengths = led.groupBy("host").agg(F.collect_set(F.length("_begins")).alias("_lengths"))  # as many as a path is long, at most
     cuts = asked.join(lengths, "host").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_p")))).withColumn("_begins", F.expr("substring(_p, 1, _n)")).drop("_lengths", "_n")
-    hits = cuts.join(found, ["host", "_begins"]).where((F.col("_begins") == F.col("pattern")) | F.rlike("_p", F.col("regex")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_p") - GRAM + 1), lambda i: F.substring("_p", i, GRAM)))
+    inner = asked.where(F.length("_p") >= GRAM).join(held.select("host").distinct(), "host").withColumn("_gram", F.explode(grams))
+    hits = cuts.join(led, ["host", "_begins"]).where((F.col("_begins") == F.col("pattern")) | F.rlike("_p", F.col("regex"))).drop("_begins")
+    hits = hits.unionByName(inner.join(held, ["host", "_gram"]).where(F.rlike("_p", F.col("regex"))).drop("_gram"))
     best = hits.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
     return paths.join(best, ["host", "path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 

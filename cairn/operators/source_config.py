@@ -1,6 +1,7 @@
 """The configuration of sources: its shape, its ranges, and what must hold between its parts. All issues are reported.
 
-config: one row of allowedHosts, fetch and sources (``CONFIG``); issues are code, path, message, phase, ord, sub.
+config: one row of allowedHosts, fetch and sources (``CONFIG``); issues are code, path, message, phase, ord, sub. Sources may be given as
+rows (ord, id, url, pageKind) beside a configuration without them, so that no cell holds them all.
 """
 
 from __future__ import annotations
@@ -42,24 +43,26 @@ def entries(config: DataFrame) -> DataFrame:
     return config.select(F.posexplode("sources").alias("ord", "s")).select("ord", "s.*")
 
 
-def shape_issues(config: DataFrame, approved: list[str]) -> DataFrame:
-    row = config.withColumn("_ord", F.lit(0))
+def shape_issues(config: DataFrame, approved: list[str], sources: DataFrame | None = None) -> DataFrame:
+    listed = entries(config) if sources is None else sources
+    some = config.crossJoin(F.broadcast(listed.agg((F.count("*") > 0).alias("_some"))))  # one row
+    row = some.withColumn("_ord", F.lit(0))
     one = lambda holds, path, message: issues(row.where(~F.coalesce(holds, F.lit(False))), "invalid-shape", F.lit(path), F.lit(message), F.col("_ord"))
-    each = lambda holds, field, message: issues(entries(config).where(~F.coalesce(holds, F.lit(False))), "invalid-shape", F.concat(F.lit("sources["), F.col("ord").cast("string"), F.lit(f"].{field}")), F.lit(message), F.col("ord"))
+    each = lambda holds, field, message: issues(listed.where(~F.coalesce(holds, F.lit(False))), "invalid-shape", F.concat(F.lit("sources["), F.col("ord").cast("string"), F.lit(f"].{field}")), F.lit(message), F.col("ord"))
     return report([
         one(unique_list(F.col("allowedHosts")), "allowedHosts", "hosts must be unique, one at least"),
         one(F.size(F.array_except("allowedHosts", F.array(*map(F.lit, approved)))) == 0, "allowedHosts", "host is not approved"),
         *(one(policy(name), f"fetch.{name}", f"whole number from {low} to {high}") for name, (low, high) in RANGES.items()),
-        one(F.size("sources") >= 1, "sources", "one source at least"),
+        one(F.col("_some"), "sources", "one source at least"),
         each(id_slug(F.col("id")), "id", "slug"),
         each(seed_url(F.col("url")), "url", "https URL without query, fragment, port or credentials"),
         each(F.col("pageKind").isin(*PRECEDENCE), "pageKind", "kind of page"),
     ])
 
 
-def cross_issues(config: DataFrame, docs_host: str, site_host: str) -> DataFrame:
+def cross_issues(config: DataFrame, docs_host: str, site_host: str, sources: DataFrame | None = None) -> DataFrame:
     """Repeated ids, hosts that aren't allowed, kinds on the wrong host, repeated URLs."""
-    rows = entries(config).withColumn("host", url_host(F.col("url")))
+    rows = (entries(config) if sources is None else sources).withColumn("host", url_host(F.col("url")))
     hosts = config.select(F.explode("allowedHosts").alias("host")).distinct()
     at = lambda field: F.concat(F.lit("sources["), F.col("ord").cast("string"), F.lit(f"].{field}"))
     wanted = host_of_kind(F.col("pageKind"), docs_host, site_host)

@@ -504,12 +504,13 @@ def gated_sources(s, d):
     return robots.gated(sources, robots.host_decisions(answers, "cairn", 1500), answers, found, "cairn")
 
 
-def _config(s, d) -> DataFrame:
-    """One configuration with a source per supplier; its list is as long as the configuration has sources."""
+def _config(s, d) -> tuple[DataFrame, DataFrame]:
+    """One configuration, and its sources as rows, one a supplier."""
     url = F.concat(F.lit("https://"), F.when(F.col("s_nationkey") == 3, "other.example.net").when(F.col("s_nationkey") > 12, DOCS).otherwise(SITE), F.lit("/"), _text("s_nationkey"))
-    entry = F.struct(F.col("s_suppkey"), F.struct(F.concat(F.lit("s-"), (F.col("s_suppkey") - F.col("s_suppkey") % 2).cast("string")).alias("id"), url.alias("url"), F.when(F.col("s_acctbal") > 5000, "developer-docs").otherwise("marketing-product").alias("pageKind")).alias("s"))
-    rows = t(s, d, "supplier").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["s"]).alias("sources"))
-    return rows.select(F.array(F.lit(SITE), F.lit(DOCS)).alias("allowedHosts"), F.struct(*(F.lit(float(v)).alias(k) for k, v in (("timeoutMs", 500), ("maxRetries", 2), ("concurrency", 2.5), ("minRequestIntervalMs", 1000)))).alias("fetch"), "sources")
+    key = (F.col("s_suppkey") - F.col("s_suppkey") % 2).cast("string")
+    rows = t(s, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("s-"), key).alias("id"), url.alias("url"), F.when(F.col("s_acctbal") > 5000, "developer-docs").otherwise("marketing-product").alias("pageKind"))
+    fetch = F.struct(*(F.lit(float(v)).alias(k) for k, v in (("timeoutMs", 500), ("maxRetries", 2), ("concurrency", 2.5), ("minRequestIntervalMs", 1000))))
+    return s.range(1).select(F.array(F.lit(SITE), F.lit(DOCS)).alias("allowedHosts"), fetch.alias("fetch")), rows
 
 
 @query(f"""WITH c AS (SELECT s_suppkey AS ord, 's-' || s_suppkey - s_suppkey % 2 AS id, CASE WHEN s_nationkey = 3 THEN 'other.example.net' WHEN s_nationkey > 12 THEN '{DOCS}' ELSE '{SITE}' END AS host, s_nationkey AS n, CASE WHEN s_acctbal > 5000 THEN 'developer-docs' ELSE 'marketing-product' END AS k FROM supplier),
@@ -519,12 +520,14 @@ def _config(s, d) -> DataFrame:
     UNION ALL SELECT 'invalid-shape', 'sources[' || ord || '].pageKind', 'pageKind ''' || k || ''' requires hostname ''' || wanted || '''', ord, 2 FROM w WHERE n <> 3 AND host <> wanted
     UNION ALL SELECT 'invalid-shape', 'sources[' || ord || '].url', 'Duplicate source URL ''https://' || host || '/' || n || '''', ord, 3 FROM w WHERE j > 1""")
 def source_config_issues(s, d):
-    return source_config.cross_issues(_config(s, d), DOCS, SITE)
+    config, sources = _config(s, d)
+    return source_config.cross_issues(config, DOCS, SITE, sources)
 
 
 @query("""SELECT 'invalid-shape' AS code, path, message, 0 AS ord, phase FROM (VALUES ('allowedHosts', 'host is not approved', 1), ('fetch.timeoutMs', 'whole number from 1000 to 30000', 2), ('fetch.concurrency', 'whole number from 1 to 4', 4)) v(path, message, phase)""")
 def source_config_shape(s, d):
-    return source_config.shape_issues(_config(s, d), [SITE])
+    config, sources = _config(s, d)
+    return source_config.shape_issues(config, [SITE], sources)
 
 
 @query(f"SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN s_nationkey > 12 AND s_nationkey <> 3 ELSE s_nationkey <= 12 AND s_nationkey <> 3 END AS coupled FROM supplier")

@@ -1,8 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from cairn.operators import learning, readmodels, recall
+from cairn.operators import learning, readmodels, recall, robots
 from cairn.operators.member_sets import WORD, WORDS, Sets
 
 
@@ -40,3 +41,24 @@ def test_boundaries_as_rows(spark):
     assert overlap[("a", "a")] == 3 and overlap[("a", "b")] == overlap[("b", "a")] == 2 and overlap[("q", "b")] == 0
     asked = recall.solution_pools(solutions, members, products, bounds)[1].collect()
     assert {(r.solution, r.neighbour) for r in asked} == {("a", "b"), ("b", "a")}
+
+
+def test_longest_rule_against_all(spark):
+    """Against every rule of the host in turn: rules that begin with a wildcard, short and long runs, end marks, ties."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab/.") for _ in range(rng.randint(0, n)))
+    made = sorted({"/" * rng.randint(0, 1) + "*".join(word(5) for _ in range(rng.randint(1, 4))) + rng.choice(("", "$")) for _ in range(150)} - {"", "$"})
+    lines = [(rng.choice(("allow", "disallow")), p if p[0] in "/*" else "/" + p) for p in made]
+    parsed = robots.parse(spark.createDataFrame([("h", "user-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in lines)), ("other", "user-agent: *\ndisallow: /")], "host string, body string"))
+    asked = sorted({"/" + word(9) for _ in range(300)} | {"/", ""})
+
+    def holds(pattern: str, path: str) -> bool:
+        end = pattern.endswith("$")
+        return re.match(".*".join(map(re.escape, pattern.removesuffix("$").split("*"))) + (r"\Z" if end else ""), path, re.S) is not None
+
+    got = {r.path: r.allowed for r in robots.decisions(spark.createDataFrame([("h", p) for p in asked], "host string, path string"), parsed, "cairn").collect()}
+    for path in asked:
+        full = path if path.startswith("/") else "/" + path
+        fits = [(len(p), k == "allow") for k, p in lines if holds(p, full)]
+        assert got[path] == (max(fits)[1] if fits else True), path
+    assert len(set(got.values())) == 2
