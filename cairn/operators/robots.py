@@ -55,13 +55,15 @@ def decisions(paths: DataFrame, parsed: DataFrame, agent: str) -> DataFrame:
     longest = F.array_max(F.transform(F.split("pattern", r"[*$]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
     found = rules(parsed, agent).distinct().withColumn("_begins", F.regexp_extract("pattern", r"\A([^*$]*)", 1)).withColumn("_run", longest)
     found = found.withColumn("_gram", F.when((F.length("_begins") < GRAM) & (F.col("_run.n") >= GRAM), F.right("_run.run", F.lit(GRAM)))).drop("_run")
-    led, held = found.where("_gram IS NULL").drop("_gram"), found.where("_gram IS NOT NULL").drop("_begins")
-    lengths = led.groupBy("host").agg(F.collect_set(F.length("_begins")).alias("_lengths"))  # as many as a path is long, at most
-    cuts = asked.join(lengths, "host").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_p")))).withColumn("_begins", F.expr("substring(_p, 1, _n)")).drop("_lengths", "_n")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_p") - GRAM + 1), lambda i: F.substring("_p", i, GRAM)))
-    inner = asked.where(F.length("_p") >= GRAM).join(held.select("host").distinct(), "host").withColumn("_gram", F.explode(grams))
-    hits = cuts.join(led, ["host", "_begins"]).where((F.col("_begins") == F.col("pattern")) | F.rlike("_p", F.col("regex"))).drop("_begins")
-    hits = hits.unionByName(inner.join(held, ["host", "_gram"]).where(F.rlike("_p", F.col("regex"))).drop("_gram"))
+    led = F.col("_gram").isNull()
+    found = found.select("host", "pattern", "allow", "regex", led.alias("_led"), F.coalesce("_gram", "_begins").alias("_key"))
+    hosts = found.groupBy("host").agg(F.collect_set(F.when(F.col("_led"), F.length("_key"))).alias("_lengths"), F.bool_or(~F.col("_led")).alias("_held"))  # as many lengths as a path has letters, at most
+    key = lambda is_led, start, n: F.struct(F.lit(is_led).alias("_led"), F.substring("_p", start, n).alias("_key"))
+    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.length("_p")), lambda n: key(True, F.lit(1), n))
+    grams = F.transform(F.sequence(F.lit(1), F.length("_p") - GRAM + 1), lambda i: key(False, i, F.lit(GRAM)))
+    keys = F.when(F.col("_held") & (F.length("_p") >= GRAM), F.concat(cuts, F.array_distinct(grams))).otherwise(cuts)
+    met = asked.join(hosts, "host").select("host", "path", "_p", F.inline(keys)).join(found, ["host", "_led", "_key"])
+    hits = met.where((F.col("_led") & (F.col("_key") == F.col("pattern"))) | F.rlike("_p", F.col("regex")))
     best = hits.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
     return paths.join(best, ["host", "path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 
