@@ -203,3 +203,55 @@ def test_sql_alone(spark, sf):
     assert spark.sql("SELECT count(*) AS n FROM shared_products('1', '2')").first().n == spark.sql("SELECT count(DISTINCT a.id) AS n FROM members a JOIN members b ON a.id = b.id WHERE a.solution = '1' AND b.solution = '2'").first().n
     assert spark.sql("SELECT * FROM solutions_with('1')").count() == spark.sql("SELECT DISTINCT solution FROM members WHERE id = '1'").count()
     assert spark.table("tier_estimates").count() and spark.table("default_tiers").count() and spark.table("opened_cards").count() and spark.table("solution_boundaries").count() and spark.table("map_members").count()
+
+
+def test_parsing_shuffles_nothing(spark, monkeypatch):
+    """One table is written, of what pages say, and no element meets another by a shuffle."""
+    plans, written = [], page_parsers.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(page_parsers, "written", seen)
+    df = spark.createDataFrame([(1, f"https://{SITE}/overview", OVERVIEW)], "page_id int, url string, html string")
+    parsed = page_parsers.parse(df)
+    assert parsed.first().issue is None and len(plans) == 1
+    assert not any("Exchange" in p for p in [*plans, parsed._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_plain_markup_as_the_reader_has_it():
+    """What one expression reads, and what it leaves to Python's reader, give the same starts, ends and texts."""
+    rng = random.Random(7)
+    bits = ["<p>", "<P class=x>", "</p>", '<a href="/x?a=1&amp;b=2">', "</a >", "text", "&amp;", "&", "&lt", "a < b", "<!-- c -->", "<!doctype html>", "<br/>", "<img src=/a/b.png>", "<a href=x/>", "<b\n a='1' b>", "<title>", "</title>", "<script>", 'if (a<b) "</p>"', "</script>", "<x-y z=1>", "<!-- a--b -->", '<a b="1"c="2">', "<?pi?>", "</ p>", '<a b = "c">', "<", '<p data-x="a>b">', "<input disabled value=''>"]
+
+    def events(read, html):
+        out = []
+        read(html, lambda tag, attrs: out.append((tag, [(n, v or "") for n, v in attrs])), lambda tag: out.append("/" + tag), lambda text: out.append([text]))
+        joined = []
+        for x in out:
+            if isinstance(x, list) and joined and isinstance(joined[-1], list):
+                x = [joined.pop()[0] + x[0]]
+            joined.append(x)
+        return joined
+
+    def whole(html, start, end, data):
+        reader = page_parsers._Reader(start, end, data)
+        reader.feed(html)
+        reader.close()
+
+    for _ in range(5000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))
+        assert events(page_parsers._read, html) == events(whole, html), html
+
+
+def test_elements_leave_python_in_small_batches(spark):
+    """Six hundred pages of a hundred links each, in one batch: no more than a bounded number of elements is held at once."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([*StructType.fromDDL("page int").fields, StructField("elements", StructType.fromDDL(f"x array<struct<{page_parsers.ELEMENT}>>")["x"].dataType)])
+    batch = pa.RecordBatch.from_pydict({"page": pa.array(range(600), pa.int32()), "html": ["<a href=/x>y</a>" * 100] * 600, "url": [f"https://{SITE}/"] * 600})
+    got = list(page_parsers._batches(schema, 1)([batch]))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(600))
+    assert max(len(b.column(1).values) for b in got) <= page_parsers.ELEMENTS_AT_ONCE + 100
