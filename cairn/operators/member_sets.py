@@ -1,79 +1,53 @@
-"""Sets of members as bitmaps, and what pairs of sets have in common.
+"""Sets of members, and what pairs of sets have in common.
 
-members: solution, id. Ids in two rows or more are numbered, the most common ones first, so that sets meet in few blocks; an id in
-one row is in no intersection and has no number. Repeated rows set a bit twice, so rows are never made distinct. A set is a row for each block of 4,096 numbers of which
-it has any: 64 words of 64 bits. Of a pair, the set of fewer blocks is carried to the other's, so a set that is in many pairs
-travels once a block, however large it is. Pairs are two ways one. Null solutions and ids are in no set.
+members: solution, id. Of a pair, the set that is in more pairs stays and the other's members travel to it; of these only ids that
+some set that stays has, so what travels grows with the pairs' smaller sides and not with all ids that there are. Repeated rows count
+once. Pairs are two ways one. Null solutions and ids are in no set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.places import placed
 from cairn.sources.shared import written
 
+#: Sizes of sets that are large: of a word of bits, and of a block in words.
 WORD = 64
 WORDS = 64
 
 
-def numbered(members: DataFrame) -> DataFrame:
-    """id and number of the ids in two or more rows."""
-    held = members.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
-    return placed(held, [F.desc("_n"), F.col("id")], "number").select("id", "number")
-
-
-def bitmaps(members: DataFrame, numbers: DataFrame) -> DataFrame:
-    """solution, block, words."""
-    n = F.col("number")
-    bit = F.expr(f"shiftleft(1L, CAST(number % {WORD} AS INT))")
-    words = members.join(numbers, "id").groupBy("solution", F.floor(n / WORD).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    blocks = words.groupBy("solution", F.floor(F.col("_word") / WORDS).alias("block"))
-    sets = blocks.agg(F.map_from_entries(F.collect_list(F.struct((F.col("_word") % WORDS).cast("int"), "_bits"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0)))
-    return sets.select("solution", "block", dense.alias("words"))
-
-
-def n_bits(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w)).cast("long")
-
-
 class Sets:
-    """The written sets of a table of members, which is read twice for them."""
+    """The sets of a table of members, which is read where it lies."""
 
     def __init__(self, members: DataFrame):
         self.members = members.select("solution", "id").dropna()
-        self.numbers = numbered(self.members)
-        self.maps = written(bitmaps(self.members, self.numbers))
 
     def _own(self, pairs: DataFrame) -> DataFrame:
         same = pairs.where("a = b").select("a", "b").distinct()
         return self.members.withColumnRenamed("solution", "a").join(same, "a").select("a", "b", "id").distinct()
 
     def _met(self, pairs: DataFrame) -> DataFrame:
-        """a < b, block, words of both; rows without a common bit are left out."""
-        once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        size = self.maps.groupBy("solution").agg(F.count("*").alias("n"))
-        one, two = size.toDF("a", "_na"), size.toDF("b", "_nb")
+        """a < b, id: the common members of each pair of two sets, once."""
+        once = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = once.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
         turn = F.col("_na") > F.col("_nb")
-        sided = once.join(one, "a").join(two, "b").select("a", "b", F.when(turn, F.col("b")).otherwise(F.col("a")).alias("_few"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("_many"))
-        carried = sided.join(self.maps.toDF("_few", "block", "_w"), "_few")
-        met = carried.join(self.maps.toDF("_many", "block", "words"), ["_many", "block"])
-        return met.select("a", "b", "block", F.zip_with("_w", "words", lambda x, y: x.bitwiseAND(y)).alias("words")).where(F.exists("words", lambda w: w != 0))
+        sided = once.join(n.toDF("a", "_na"), "a").join(n.toDF("b", "_nb"), "b")
+        sided = written(sided.select("a", "b", F.when(turn, F.col("a")).otherwise(F.col("b")).alias("_stays"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("_goes")))
+        stay = self.members.join(sided.select(F.col("_stays").alias("solution")).distinct(), "solution", "left_semi").distinct()
+        stay = written(stay.toDF("_stays", "id"))
+        go = self.members.join(sided.select(F.col("_goes").alias("solution")).distinct(), "solution", "left_semi")
+        go = written(go.join(stay.select("id").distinct(), "id", "left_semi").select(F.col("solution").alias("_goes"), "id").distinct())
+        return sided.join(go, "_goes").join(stay, ["_stays", "id"]).select("a", "b", "id")
 
     def counts(self, pairs: DataFrame) -> DataFrame:
         """a, b, n_common of the pairs (a, b) that have a common member, as they are given; a set and itself have all."""
-        found = self._met(pairs).groupBy("a", "b").agg(F.sum(n_bits(F.col("words"))).alias("n_common"))
+        found = self._met(pairs).groupBy("a", "b").agg(F.count("*").alias("n_common"))
         return both_ways(pairs, found).unionByName(self._own(pairs).groupBy("a", "b").agg(F.count("*").alias("n_common")))
 
     def ids(self, pairs: DataFrame) -> DataFrame:
         """a, b, id: the common members of each pair, once for both ways (a < b), and all of a set and itself."""
-        words = self._met(pairs).select("a", "b", "block", F.posexplode("words").alias("_k", "_bits")).where("_bits <> 0")
-        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("_bits", k) == 1)
-        number = ((F.col("block") * WORDS + F.col("_k")) * WORD + F.col("_bit")).alias("number")
-        found = words.withColumn("_bit", F.explode(bits)).select("a", "b", number).join(self.numbers, "number").select("a", "b", "id")
-        return found.unionByName(self._own(pairs))
+        return self._met(pairs).unionByName(self._own(pairs))
 
 
 def both_ways(pairs: DataFrame, found: DataFrame) -> DataFrame:

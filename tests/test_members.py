@@ -62,3 +62,22 @@ def test_longest_rule_against_all(spark):
         fits = [(len(p), k == "allow") for k, p in lines if holds(p, full)]
         assert got[path] == (max(fits)[1] if fits else True), path
     assert len(set(got.values())) == 2
+
+
+def test_what_no_set_that_stays_has_doesnt_travel(spark, monkeypatch):
+    """A hub of two thousand ids and two hundred sets with ten of them each and three hundred others: only the tens are written."""
+    from cairn.operators import member_sets
+
+    size, written = [], member_sets.written
+
+    def seen(df):
+        out = written(df)
+        size.append(out.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(member_sets, "written", seen)
+    rows = [("hub", f"h{k}") for k in range(2000)] + [(f"s{k}", f"h{10 * k + j}") for k in range(200) for j in range(10)]
+    rows += [(f"s{k}", f"x{300 * (k // 2) + j}") for k in range(200) for j in range(300)]
+    counts = Sets(spark.createDataFrame(rows, "solution string, id string")).counts(spark.createDataFrame([("hub", f"s{k}") for k in range(200)], "a string, b string"))
+    assert {r.n_common for r in counts.collect()} == {10} and counts.count() == 200
+    assert sum(size) < 200_000
