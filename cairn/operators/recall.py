@@ -74,14 +74,23 @@ def suggest_all(index: DataFrame, products: DataFrame, queries: DataFrame, limit
     return asked.join(found, "_q").select("query", "place", "id", "name")
 
 
-def solution_pools(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The answers (solution, id, name) of every solution that has a composition, and its boundary questions: solution,
-    neighbour, neighbour_name and answers, for each neighbour of either direction with which it shares products."""
+def pool_answers(solutions: DataFrame, members: DataFrame, products: DataFrame) -> DataFrame:
+    """The answers (solution, id, name) of every solution that has a composition."""
     named = members.distinct().join(products.select("id", "name"), "id", "left").join(solutions.select(F.col("id").alias("solution")), "solution", "left_semi")
-    answers = named.select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
+    return named.select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
+
+
+def pool_questions(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Boundary questions: solution, neighbour, neighbour_name and answers, for each neighbour of either direction with which a
+    solution shares products."""
     sides = mirrored_boundaries(boundaries).where("a <> b").select("a", "b").join(solutions.select(F.col("id").alias("a")), "a", "left_semi")
     asked = shared_products(sides, members, products).join(solutions.select(F.col("id").alias("b"), F.col("name").alias("_n")), "b", "left")
-    return answers, asked.select(F.col("a").alias("solution"), F.col("b").alias("neighbour"), F.coalesce("_n", F.col("b").cast("string")).alias("neighbour_name"), F.col("shared").alias("answers"))
+    return asked.select(F.col("a").alias("solution"), F.col("b").alias("neighbour"), F.coalesce("_n", F.col("b").cast("string")).alias("neighbour_name"), F.col("shared").alias("answers"))
+
+
+def solution_pools(solutions: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The answers of every solution and its boundary questions."""
+    return pool_answers(solutions, members, products), pool_questions(solutions, members, products, boundaries)
 
 
 def results(answers: DataFrame, picked: DataFrame) -> DataFrame:

@@ -81,3 +81,11 @@ def test_what_no_set_that_stays_has_doesnt_travel(spark, monkeypatch):
     counts = Sets(spark.createDataFrame(rows, "solution string, id string")).counts(spark.createDataFrame([("hub", f"s{k}") for k in range(200)], "a string, b string"))
     assert {r.n_common for r in counts.collect()} == {10} and counts.count() == 200
     assert sum(size) < 200_000
+
+
+def test_answers_alone_need_no_pairs(spark, sf, monkeypatch):
+    from cairn.operators import learning as cards
+    from cairn.plans import learning_queries
+
+    monkeypatch.setattr(cards, "Sets", None)  # pairs would be looked up by it
+    assert learning_queries.solution_pool_answers(spark, sf).columns == ["solution", "id", "name"]
