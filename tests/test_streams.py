@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cairn.operators import progress
@@ -40,6 +41,85 @@ def test_late_and_shuffled_streams_equal_the_batch(spark, tmp_path):
         assert r.e == sum("-" in x[4] for x in own) and set(r.o) == {x[3] for x in own if x[4] == "visit" and x[3] != "solution:a"} and r.d == len({x[1].date() for x in own})
 
 
+class Held:
+    """The state of one key, in memory; ``largest``: bytes or rows of the largest value that was put."""
+
+    def __init__(self):
+        self.largest, self.timers, self.all = 0, [], []
+
+    def _var(self, name, *schemas):
+        held, outer = {}, self
+
+        class Var:
+            exists = staticmethod(lambda: bool(held))
+            get = staticmethod(lambda: held[()])
+            update = staticmethod(lambda v: held.update({(): v}))
+            clear = staticmethod(held.clear)
+            getValue = staticmethod(held.get)
+            containsKey = staticmethod(held.__contains__)
+            removeKey = staticmethod(held.pop)
+            iterator = staticmethod(lambda: iter(list(held.items())))
+
+            @staticmethod
+            def put(rows):
+                outer.largest = max(outer.largest, len(rows))
+                held[()] = rows
+
+            @staticmethod
+            def updateValue(k, v):
+                outer.largest = max(outer.largest, *(len(x) for x in v if isinstance(x, bytes)), 0)
+                held[k] = v
+
+        self.all.append((name, held))
+        return Var
+
+    getMapState = getListState = getValueState = _var
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_events_are_never_held_at_once(monkeypatch):
+    """However many events wait, a value of the state and a step have a bounded number of them; the rows are those of one
+    sorted fold, over several levels of merged runs and a watermark that passes parts of runs."""
+    for name, value in {"RUN": 50, "PART": 7, "STEP": 30, "RUNS": 4}.items():
+        monkeypatch.setattr(learners, name, value, raising=False)
+    rng = random.Random(5)
+    rows = [(rng.randrange(900) * 1_000_000, k if k % 9 else None, k % 5, rng.choice(("a", "b", "solution:a")), rng.choice(KINDS)) for k in range(3_000)]
+    frames = [pd.DataFrame(rows[k : k + 110], columns=["us", "ord", "day", "node", "kind"]) for k in range(0, 3_000, 110)]
+    held, got = Held(), []
+    processor = learners.Progress()
+    processor.init(held)
+    got += processor.handleInputRows(("u",), iter(frames[:10]), Watermark(0))
+    got += processor.handleInputRows(("u",), iter(frames[10:]), Watermark(0))
+    assert not got and held.timers == [min(r[0] for r in rows) // 1000 + 1]
+    for second in (100, 333, 1_000):
+        got += processor.handleExpiredTimer(("u",), Watermark(second * 1_000), None)
+    assert max(map(len, got)) <= 30 and held.largest <= 2_000
+    assert not held.timers and not [name for name, own in held.all if own and name in ("parts", "runs", "waiting")]
+    out = pd.concat(got)
+    want = sorted(rows, key=lambda r: (r[0], r[1] is None, r))
+    assert list(zip(out["us"], out["node"], out["kind"], strict=True)) == [(r[0], r[3], r[4]) for r in want]
+    one = learners.Progress()
+    one.init(Held())
+    steps = one._steps("u", want)
+    assert list(zip(out["status"], out["streak"], out["opened"], out["days"], strict=True)) == [(r[5], r[6], r[9], r[10]) for r in steps]
+
+
 def test_store_stays_small(spark, tmp_path):
     """Over many batches, some of them run twice, there are few folders, and each key has its last state."""
     path, want = str(tmp_path / "states"), {}
