@@ -6,6 +6,7 @@ join or a grouping on the key that it tests; none stops at the first issue.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -146,8 +147,12 @@ def curated_reference_issues(curated: dict[str, DataFrame], products: DataFrame,
     return report([reduce(DataFrame.unionByName, p) for p in parts])
 
 
-def two_phases(shape: DataFrame, integrity: DataFrame) -> DataFrame:
-    """The shape issues; if there are none, the integrity issues, which need well-formed rows."""
+def two_phases(shape: DataFrame, integrity: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """The shape issues; if there are none, the integrity issues, which need well-formed rows. A function that makes the latter is
+    called only then."""
+    if callable(integrity):
+        own = shape if "sub" in shape.columns else shape.withColumn("sub", F.lit(None).cast("long"))
+        return own.unionByName(integrity()) if shape.isEmpty() else own
     clean = shape.agg((F.count("*") == 0).alias("_clean"))
     return shape.unionByName(integrity.crossJoin(F.broadcast(clean)).where("_clean").drop("_clean"), allowMissingColumns=True)  # one row
 

@@ -130,7 +130,7 @@ def curated_duplicate_ids(s, d):
 def two_phase_issues(s, d):
     odd = t(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("ord"))
     shape = integrity.report([integrity.issues(odd, "invalid-shape", X.issue_path("solutions", F.col("ord"), "id"), F.lit("slug"), F.col("ord"))])
-    return integrity.two_phases(shape, integrity.document_issues(_catalog(s, d)))
+    return integrity.two_phases(shape, lambda: integrity.document_issues(_catalog(s, d)))
 
 
 @query("""SELECT s_suppkey AS ord, 'supplier-' || s_suppkey AS "solutionId",

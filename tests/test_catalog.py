@@ -368,3 +368,15 @@ def test_map_members(spark):
     assert model == {key: (len(ids), " | ".join(names[k] for k in ids if names[k] is not None)) for key, ids in want.items()}
     largest = readmodels._ranged_members(products, placements, layers).groupBy("lane", "layer", "bucket").count().agg(F.max("count")).first()[0]
     assert largest < 0.5 * len(want["a", "x"])
+
+
+def test_integrity_is_not_asked_of_rows_of_wrong_shape(spark):
+    shape = spark.createDataFrame([("invalid-shape", "a", "m", 1, 0)], "code string, path string, message string, ord long, phase int")
+    more = spark.createDataFrame([("duplicate-id", "b", "n", 2, 3, 0)], "code string, path string, message string, ord long, sub long, phase int")
+
+    def never():
+        raise AssertionError("asked")
+
+    assert integrity.two_phases(shape, never).select("path", "sub").collect() == [("a", None)]
+    for later in (more, lambda: more):
+        assert [(r.path, r.sub, r.phase) for r in integrity.two_phases(shape.where("ord > 1"), later).collect()] == [("b", 3, 0)]
