@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import issue_path
 from cairn.operators.dimensions import ENDPOINTS
+from cairn.sources.shared import written
 
 # fixed values: how many issues are shown, and the texts of the issues below
 MAX_VISIBLE_ISSUES = 10
 COLLECTIONS = ("productFamilies", "products", "solutions", "useCases")
 CURATED_KEYS = {"products": "productId", "compositions": "solutionId", "pricing": "productId", "learningNotes": "productId", "scenarios": "id", "narration": "productId", "solutionNotes": "solutionId"}
 
+#: Hashes by which rows of one key are counted, the rows beyond which a hash is crowded, and the unknown ids that are broadcast.
+HASHES, CROWDED, BROADCAST_ROWS = 65_536, 1_000_000, 500_000
+
 
 def issues(df: DataFrame, code: str, path: Column, message: Column, ord: Column) -> DataFrame:
     return df.select(F.lit(code).alias("code"), path.alias("path"), message.alias("message"), ord.cast("long").alias("ord"))
@@ -31,12 +35,18 @@ def duplicate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def later_rows(df: DataFrame, keys: list[str], ord: str = "ord") -> DataFrame:
-    """Every row of a key but its first by ``ord``; of rows that share the first place all but one. The firsts are
-    aggregated before rows meet them, so a key of many rows needs no sort."""
-    first = df.groupBy(*keys).agg(F.min(ord).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = df.join(first, keys)
+    """Every row of a key but its first by ``ord``; of rows that share the first place all but one. Rows travel once, to be numbered
+    by key. Where a hash of keys is in very many rows, the firsts are aggregated before rows meet them, so no key is sorted there."""
+    df = df.where(F.col(ord).isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(*keys), F.lit(HASHES)).cast("int"))
+    crowded = F.broadcast(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select("_h"))  # a row per hash at most
+    alone = hashed.join(crowded, "_h", "left_anti").drop("_h")
+    alone = alone.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(ord))).where("_k > 1").drop("_k")
+    many = hashed.join(crowded, "_h", "left_semi").drop("_h")
+    first = many.groupBy(*keys).agg(F.min(ord).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = many.join(first, keys)
     tied = rows.where(F.col(ord) == F.col("_first")).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(ord))).where("_k > 1").drop("_k")
-    return rows.where(F.col(ord) > F.col("_first")).unionByName(tied).drop("_first")
+    return alone.unionByName(rows.where(F.col(ord) > F.col("_first")).unionByName(tied).drop("_first"))
 
 
 def missing_references(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -103,11 +113,14 @@ def document_issues(catalog: dict[str, DataFrame]) -> DataFrame:
     unsourced = issue(missing_references(used, catalog["sources"], "source", "id"), "unknown-source-reference", at("sourceIds", F.lit("["), F.col("sub").cast("string"), F.lit("]")), _quoted("Unknown source id", "source"))
     # and whatever refers to an entity in another: a row for each end of an edge, one for a product's family
     last = 2 * len(phase)
-    side = lambda field, k: F.struct(F.lit(k).alias("sub"), F.lit(field).alias("field"), F.element_at(F.create_map(*(F.lit(x) for kind, sides in ENDPOINTS.items() for x in (kind, sides[k]))), F.col("type")).alias("to"), F.col(field).alias("id"))
+    side = lambda field, k: F.struct(F.lit(k).alias("sub"), F.lit(field).alias("field"), F.coalesce(*(F.when(F.col("type") == kind, sides[k]) for kind, sides in ENDPOINTS.items())).alias("to"), F.col(field).alias("id"))
     ends = catalog["relationships"].select(named("relationships"), F.lit(last + 1).alias("phase"), "ord", F.inline(F.array(side("fromId", 0), side("toId", 1))))
     family = catalog["products"].select(named("products"), F.lit(last).alias("phase"), "ord", zero, F.lit("familyId").alias("field"), F.lit("productFamilies").alias("to"), F.col("familyId").alias("id"))
     known = ids.where("c <> 'sources'").select(F.col("c").alias("to"), "id").distinct()
-    lost = ends.unionByName(family).where("id IS NOT NULL AND to IS NOT NULL").join(known, ["to", "id"], "left_anti")
+    # ids are looked up once each, however many rows name them; rows then meet the unknown ones
+    refs = ends.unionByName(family).where("id IS NOT NULL AND to IS NOT NULL")
+    lost_ids = written(refs.select("to", "id").distinct().join(known, ["to", "id"], "left_anti"))
+    lost = refs.join(F.broadcast(lost_ids) if lost_ids.count() <= BROADCAST_ROWS else lost_ids, ["to", "id"])
     unknown = issue(lost, "unknown-entity-reference", at("", F.lit("."), "field"), F.concat(F.lit("Unknown "), "to", _quoted(" id", "id")))
     again = later_rows(catalog["relationships"].select(named("relationships"), F.lit(last + 1).alias("phase"), F.col("ord").cast("long").alias("ord"), "type", "fromId", "toId", F.lit(2).alias("sub")), ["type", "fromId", "toId"])
     repeated = issue(again, "duplicate-relationship", at(""), F.concat(_quoted("Duplicate relationship", "type"), _quoted(" from", "fromId"), _quoted(" to", "toId")))

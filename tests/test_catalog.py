@@ -370,6 +370,50 @@ def test_map_members(spark):
     assert largest < 0.5 * len(want["a", "x"])
 
 
+def _exchanged(df) -> tuple[list, str]:
+    """The rows, collected, and the plan as it ran."""
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_later_rows_travel_once(spark, monkeypatch):
+    """Rows meet no second copy of themselves, unless a key is in very many of them; ties and nulls are as they were either way."""
+    rows = [(k % 7 if k % 11 else None, f"x{k % 3}", k // 2 if k % 13 else None) for k in range(400)] + [(99, "one", k) for k in range(50)] + [(99, "one", 0)] * 2
+    want, seen = [], set()
+    for r in sorted((r for r in rows if None not in r), key=lambda r: r[2]):
+        want += [r] if r[:2] in seen else []
+        seen.add(r[:2])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows, "a int, b string, ord int").repartition(3)
+        got, plan = _exchanged(integrity.later_rows(df, ["a", "b"]))
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert "SortMergeJoin" not in plan.split("== Initial Plan ==")[0]
+        for most in (0, 30):
+            monkeypatch.setattr(integrity, "CROWDED", most)
+            assert sorted(map(tuple, integrity.later_rows(df, ["a", "b"]).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ends_of_edges_are_looked_up_once_an_id(spark, monkeypatch):
+    """Edges don't travel to be looked up: what is exchanged by id is a row for each id and task. Issues are the same beyond the limit of a broadcast."""
+    text = "ord long, id string, sourceIds array<string>"
+    made = {c: spark.createDataFrame([(0, f"{c}-0", ["s"])], text) for c in ("productFamilies", "solutions", "useCases")}
+    made["sources"] = spark.createDataFrame([(0, "s")], "ord long, id string")
+    made["products"] = spark.createDataFrame([(0, "p", ["s"], "productFamilies-0"), (1, "q", ["s"], None)], text + ", familyId string")
+    edge = lambda k: (k, "product-solution", f"p{k % 2 or ''}", "solutions-0" if k % 3 else "none", ["s"])
+    made["relationships"] = spark.createDataFrame([edge(k) for k in range(600)], "ord long, type string, fromId string, toId string, sourceIds array<string>").coalesce(1)
+    want = sorted([(k, 0, f"Unknown products id 'p{k % 2}'") for k in range(600) if k % 2] + [(k, 1, "Unknown solutions id 'none'") for k in range(600) if k % 3 == 0])
+    unknown = lambda: integrity.document_issues(made).where("code = 'unknown-entity-reference'")
+    found, plan = _exchanged(unknown().select("ord", "sub", "message"))
+    assert sorted(map(tuple, found)) == want
+    assert "LeftAnti" not in plan.split("== Initial Plan ==")[0]
+    monkeypatch.setattr(integrity, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, unknown().select("ord", "sub", "message").collect())) == want
+
+
 def test_integrity_is_not_asked_of_rows_of_wrong_shape(spark):
     shape = spark.createDataFrame([("invalid-shape", "a", "m", 1, 0)], "code string, path string, message string, ord long, phase int")
     more = spark.createDataFrame([("duplicate-id", "b", "n", 2, 3, 0)], "code string, path string, message string, ord long, sub long, phase int")
