@@ -22,9 +22,10 @@ def _flag(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def chips(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and ``chips``: id and name of each row, in display order. A group is what a card shows."""
-    entry = F.struct(F.lower("name").alias("l"), F.col("id"), F.col("name"))
-    sorted_ = F.transform(F.array_sort(F.collect_set(entry)), lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name")))
+    """keys and ``chips``: id and name of each row, in display order. A group is what a card shows; what its names are sorted by is
+    made where they are sorted."""
+    entry = F.transform(F.collect_set(F.struct("id", "name")), lambda c: F.struct(F.lower(c["name"]).alias("l"), c["id"].alias("id"), c["name"].alias("name")))
+    sorted_ = F.transform(F.array_sort(entry), lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name")))
     return rows.groupBy(*keys).agg(sorted_.alias("chips"))
 
 
@@ -61,15 +62,21 @@ def card_boundaries(solutions: DataFrame, members: DataFrame, products: DataFram
     return rows.select(F.col("a").alias("solution"), F.col("b").alias("neighbour"), F.coalesce("_name", F.col("b").cast("string")).alias("neighbour_name"), "note", shared.alias("shared"))
 
 
+def card_products(solutions: DataFrame, notes: DataFrame, members: DataFrame, products: DataFrame) -> DataFrame:
+    """A row per solution (id, name, summary) with note and ``products``, as chips in display order (null where it has none); a product
+    that the catalog lacks is named by its id."""
+    named = members.join(products.select("id", "name"), "id", "left").select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
+    own = chips(named, ["solution"]).select(F.col("solution").alias("id"), F.col("chips").alias("products"))
+    return solutions.join(notes.select("id", "note"), "id", "left").join(own, "id", "left")
+
+
 def solution_cards(solutions: DataFrame, notes: DataFrame, members: DataFrame, products: DataFrame, boundaries: DataFrame) -> DataFrame:
     """A card per solution (id, name, summary): note, ``products`` and ``boundaries``: neighbours with name, note and what both
-    have, in one cell, as a card shows them. ``card_boundaries`` has them as rows."""
+    have, in one cell, as a card shows them. ``card_boundaries`` has them as rows, ``card_products`` the rest."""
     entry = F.struct(F.col("neighbour").alias("id"), F.col("neighbour_name").alias("name"), "note", "shared")
     rows = card_boundaries(solutions, members, products, boundaries)
     bound = rows.groupBy(F.col("solution").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("boundaries"))
-    named = members.distinct().join(products.select("id", "name"), "id", "left").select("solution", "id", F.coalesce("name", F.col("id").cast("string")).alias("name"))
-    own = chips(named, ["solution"]).select(F.col("solution").alias("id"), F.col("chips").alias("products"))
-    return solutions.join(notes.select("id", "note"), "id", "left").join(own, "id", "left").join(bound, "id", "left")
+    return card_products(solutions, notes, members, products).join(bound, "id", "left")
 
 
 def verified_slots(placements: DataFrame, states: DataFrame) -> DataFrame:

@@ -89,3 +89,25 @@ def test_answers_alone_need_no_pairs(spark, sf, monkeypatch):
 
     monkeypatch.setattr(cards, "Sets", None)  # pairs would be looked up by it
     assert learning_queries.solution_pool_answers(spark, sf).columns == ["solution", "id", "name"]
+
+
+def test_products_of_cards_are_made_alone(spark, sf, monkeypatch):
+    """What a query leaves out is not made; cards have the same products with and without their boundaries."""
+    from cairn import plans
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    solutions, notes = table([("s", "S"), ("t", "T"), ("u", "U")], "id string, name string"), table([("s", "n")], "id string, note string")
+    members = table([("s", "2"), ("s", "1"), ("s", "2"), ("s", "9"), ("t", "2"), ("x", "1"), ("t", None)], "solution string, id string")
+    products, bounds = table([("1", "beta"), ("2", "Alpha")], "id string, name string"), table([("s", "t", "w")], "a string, b string, note string")
+    cards = learning.solution_cards(solutions, notes, members, products, bounds)
+    want = {("s", "n", (("9", "9"), ("2", "Alpha"), ("1", "beta"))), ("t", None, ((None, None), ("2", "Alpha"))), ("u", None, None)}
+    asked = lambda df: {(r.id, r.note, tuple(map(tuple, r.products)) if r.products is not None else None) for r in df.collect()}
+    assert asked(cards) == want and cards.columns == ["id", "name", "note", "products", "boundaries"]
+    assert {r.id: [b.shared for b in r.boundaries or []] for r in cards.collect()} == {"s": [[("2", "Alpha")]], "t": [[("2", "Alpha")]], "u": []}
+
+    def never(*_):
+        raise AssertionError("asked")
+
+    monkeypatch.setattr(learning, "card_boundaries", never)
+    assert asked(learning.card_products(solutions, notes, members, products)) == want
+    assert plans.queries()["solution_card_products"](spark, sf).count()
